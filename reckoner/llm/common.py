@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,3 +48,37 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns whose names would clash with an operator's results."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def with_results(
+    df: DataFrame,
+    work: Callable[[], Callable[[pa.Array], dict[str, object]]],
+    fields: str,
+    text: str = "text",
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """The columns ``keep`` of ``df`` (all by default) and new ones computed from ``text``.
+
+    ``work`` runs once in each task and returns the function that turns an Arrow
+    column into the new columns by name. Nothing is shuffled. Columns of ``df``
+    that carry the name of a new one give way to it.
+    """
+    new = T.StructType.fromDDL(fields)
+    names = [f.name for f in new]
+    read = without(df, *names)
+    kept = [c for c in read.columns if keep is None or c in keep]
+    out = T.StructType([read.schema[c] for c in kept] + list(new))
+    arrow = to_arrow_schema(out)
+    needed = kept if text in kept else [*kept, text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = work()
+        for batch in batches:
+            if batch.num_rows:
+                found = compute(batch.column(needed.index(text)))
+                columns = [batch.column(i) for i in range(len(kept))] + [found[n] for n in names]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c).cast(f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
+                )
+
+    return read.select(*needed).mapInArrow(run, out)
