@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reckoner.llm.common import table
+from reckoner.llm import tokenfiles
+from reckoner.llm.common import fresh_path, table
 from reckoner.llm.tiling import decontaminate
 
 
@@ -14,5 +15,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op10_decontamination,)}
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = fresh_path(spark, "tokens")
+    return tokenfiles.read(tokenfiles.write(docs, path, public_tokenizers.path("word_bpe_49k.json")))
+
+
+QUERIES = {f.__name__: f for f in (op7_token_files, op10_decontamination)}
 ORACLE: dict[str, str] = {}
