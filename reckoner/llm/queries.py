@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from reckoner.llm import tokenfiles
 from reckoner.llm.common import fresh_path, table
 from reckoner.llm.tiling import decontaminate
+from reckoner.llm.wordpiece import count_tokens
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +22,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(tokenfiles.write(docs, path, public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op7_token_files, op10_decontamination)}
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op7_token_files, op8_token_counts, op10_decontamination)}
 ORACLE: dict[str, str] = {}
