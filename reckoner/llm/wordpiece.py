@@ -60,7 +60,8 @@ def vocabulary(path: str, end: str = "</w>") -> list[tuple[bytes, bool]]:
 class Automaton:
     """Counts the pieces of a word in one pass over its bytes.
 
-    The end of a word is read as symbol 256.
+    The last byte of a word is read as a symbol of its own, byte + 256, so that only
+    pieces with the end-of-word mark match there.
     """
 
     def __init__(self, pieces: list[tuple[bytes, bool]]):
@@ -69,7 +70,7 @@ class Automaton:
         first, symbol = [0], [0]
         for body, last in pieces:
             node = 0
-            for s in (*body, 256) if last else body:
+            for s in (*body[:-1], body[-1] + 256) if last else body:
                 to = self.edge.get(node << 9 | s)
                 if to is None:
                     to = self.edge[node << 9 | s] = len(is_piece)
@@ -105,7 +106,7 @@ class Automaton:
     def count(self, word: bytes) -> int:
         """Pieces of a word; -1 if the vocabulary can't cover it."""
         edge, node, n = self.edge, 0, 0
-        for s in (*word, 256):
+        for s in (*word[:-1], word[-1] + 256):
             while (to := edge.get(node << 9 | s)) is None:
                 n += self.popped[node]
                 node = self.fail[node]
