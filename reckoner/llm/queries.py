@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reckoner.llm import tokenfiles
+from reckoner.llm import tokenfiles, toxicity
 from reckoner.llm.common import fresh_path, table
 from reckoner.llm.tiling import decontaminate
 from reckoner.llm.wordpiece import count_tokens
@@ -16,6 +17,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = fresh_path(spark, "tokens")
@@ -27,5 +35,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op7_token_files, op8_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op4_toxicity, op7_token_files, op8_token_counts, op10_decontamination)}
 ORACLE: dict[str, str] = {}
