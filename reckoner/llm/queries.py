@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from reckoner.llm import tokenfiles, toxicity
 from reckoner.llm.common import fresh_path, table
+from reckoner.llm.neardup import near_duplicates
 from reckoner.llm.tiling import decontaminate
 from reckoner.llm.wordpiece import count_tokens
 
@@ -24,6 +25,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = fresh_path(spark, "tokens")
@@ -35,5 +40,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op7_token_files, op8_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op4_toxicity, op5_near_duplicates, op7_token_files, op8_token_counts, op10_decontamination)}
 ORACLE: dict[str, str] = {}
