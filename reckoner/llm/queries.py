@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reckoner.llm import tokenfiles, toxicity
+from reckoner.llm import maxplus, tokenfiles, toxicity
 from reckoner.llm.common import fresh_path, table
 from reckoner.llm.neardup import near_duplicates
 from reckoner.llm.tiling import decontaminate
 from reckoner.llm.wordpiece import count_tokens
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = maxplus.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), verify=True, keep=["doc_id"])
+    return coded.select("doc_id", F.size("ids").alias("n_pieces"), "ids", "same")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -40,5 +46,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op5_near_duplicates, op7_token_files, op8_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op4_toxicity, op5_near_duplicates, op7_token_files, op8_token_counts, op9_pieces, op10_decontamination)}
 ORACLE: dict[str, str] = {}

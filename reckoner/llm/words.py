@@ -117,3 +117,10 @@ def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarr
         word = hashes[np.where(use, at + k, at)] if len(at) else np.zeros(0, np.uint64)
         total = np.where(use, total * _STEP + word, total)
     return mix(total), begin
+
+
+def gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs ``flat[begin:begin + size]``, one behind the other."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(begin - (ends - size), size)]
