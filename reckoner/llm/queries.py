@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reckoner.llm import maxplus, tokenfiles, toxicity
+from reckoner.llm import maxplus, tokenfiles, toxicity, warc
 from reckoner.llm.common import fresh_path, table
 from reckoner.llm.neardup import near_duplicates
 from reckoner.llm.tiling import decontaminate
@@ -24,6 +24,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.archive(table(spark, sf_dir, "pages"), path)
+    return warc.pages_of(spark, path)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -46,5 +52,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op5_near_duplicates, op7_token_files, op8_token_counts, op9_pieces, op10_decontamination)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_warc, op4_toxicity, op5_near_duplicates, op7_token_files, op8_token_counts, op9_pieces, op10_decontamination)}
+ORACLE: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+ CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to, url
+FROM f""",
+}
