@@ -39,14 +39,17 @@ from reckoner.llm import words
 
 LENGTH = 2048
 BATCH_ROWS = 256
-CACHE_WORDS = 600_000
-#: Letters of the Latin-1 block with a mark behind them: text that the tokenizer
-#: always cuts between the two, whatever stands around it.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+CACHE_WORDS = 1_000_000
+SLICE_BYTES = 8 << 20
+LINE_WORDS = 200
+#: The tokenizer takes a run of such letters as one word, and cuts before a mark.
+_LATIN = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+_LETTERS = re.compile(f"{_LATIN}+")
 
 
 class Encoder:
-    """Encodes texts with a tokenizer that never joins text across white space.
+    """Encodes texts with a tokenizer that never joins text across white space and
+    closes each word with a piece in ``</w>``.
 
     Each different word is encoded by the library once and then remembered, up to
     ``CACHE_WORDS`` words; ids of a text are gathered from that memory.
@@ -58,6 +61,8 @@ class Encoder:
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.final = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.final[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -66,31 +71,44 @@ class Encoder:
         self.size = np.array([0, 1], np.int64)  # of slot 0, nothing, and slot 1, the end
         self.begin = np.array([0, 0], np.int64)
 
-    def slot_pairs(self, distinct: list[str]) -> np.ndarray:
+    def add(self, new: list[str]) -> None:
+        """Encode strings not seen yet; letters alone go to the library in long lines."""
+        plain = [x for x in new if _LETTERS.fullmatch(x)]
+        other = [x for x in new if not _LETTERS.fullmatch(x)]
+        ids, n = [], []
+        for a in range(0, len(plain), LINE_WORDS):
+            line = np.array(self.tokenizer.encode(" ".join(plain[a : a + LINE_WORDS]), add_special_tokens=False).ids, np.uint32)
+            ids.append(line)
+            n.append(np.diff(np.flatnonzero(self.final[line]) + 1, prepend=0))
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+        ids.append(np.fromiter((i for x in got for i in x), np.uint32))
+        n.append(np.fromiter(map(len, got), np.int64, len(got)))
+        size = np.concatenate(n)
+        self.slots.update(zip(plain + other, range(len(self.size), len(self.size) + len(size)), strict=True))
+        self.begin = np.concatenate([self.begin, np.cumsum(size) - size + len(self.flat)])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, *ids])
+
+    def slot_pairs(self, distinct: pa.Array) -> np.ndarray:
+        """The slots of each string's letters and of the marks behind them."""
         if len(self.slots) > CACHE_WORDS:
             self.forget()
-        parts, new = [], {}
-        for word in distinct:
-            m = _PLAIN.fullmatch(word)
-            head, tail = (m[1].lower(), m[2]) if m else (word, "")
-            for x in (head, tail):
-                if x not in self.slots:
-                    new[x] = None
-            parts += (head, tail)
-        if new:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(list(new), add_special_tokens=False)]
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            begin = np.cumsum(n) - n + len(self.flat)
-            self.slots.update(zip(new, range(len(self.size), len(self.size) + len(n)), strict=True))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in got for i in ids), np.uint32)])
-            self.size, self.begin = np.concatenate([self.size, n]), np.concatenate([self.begin, begin])
-        return np.fromiter((self.slots[x] for x in parts), np.int64, len(parts)).reshape(-1, 2)
+        plain = pc.match_substring_regex(distinct, f"^{_LATIN}+[.,;:!?]*$")
+        heads = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(distinct, ".,;:!?")), distinct)
+        tails = pc.if_else(plain, pc.replace_substring_regex(distinct, f"^{_LATIN}+", ""), "")
+        columns = []
+        for part in (heads, tails):
+            code = part.dictionary_encode()
+            strings = code.dictionary.to_pylist()
+            if new := [x for x in strings if x not in self.slots]:
+                self.add(new)
+            columns.append(np.fromiter(map(self.slots.__getitem__, strings), np.int64, len(strings))[code.indices.to_numpy(zero_copy_only=False)])
+        return np.stack(columns, 1)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, each row closed by the end id, and the rows' counts."""
         split = pc.ascii_split_whitespace(pc.fill_null(column, ""))
         code = split.flatten().dictionary_encode()
-        pairs = self.slot_pairs(code.dictionary.to_pylist())
+        pairs = self.slot_pairs(code.dictionary)
         slots = pairs[code.indices.to_numpy(zero_copy_only=False)].reshape(-1)
         last = 2 * np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
         slots = np.insert(slots, last, 1)
@@ -108,7 +126,7 @@ def _encoder(path: str, end_id: int) -> Encoder:
 
 def _rows_of(column: pa.Array) -> Iterator[pa.Array]:
     _, offsets = words.utf8(column)
-    for a, b in words.slices(offsets):
+    for a, b in words.slices(offsets, SLICE_BYTES):
         yield column.slice(a, b - a)
 
 
