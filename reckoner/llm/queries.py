@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from reckoner.llm import html_main, maxplus, tokenfiles, toxicity, warc
 from reckoner.llm.common import fresh_path, table
+from reckoner.llm.fingerprints import fingerprints
 from reckoner.llm.neardup import near_duplicates
 from reckoner.llm.tiling import decontaminate
 from reckoner.llm.wordpiece import count_tokens
@@ -30,6 +31,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_of(spark, path)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_main.extract(pages, html_main.learn(pages), keep=["page_id", "url"])
@@ -57,7 +62,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_main_text, op4_toxicity, op5_near_duplicates, op7_token_files, op8_token_counts, op9_pieces, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_main_text, op4_toxicity, op5_near_duplicates, op7_token_files, op8_token_counts, op9_pieces, op10_decontamination)}
 ORACLE: dict[str, str] = {
     "op1_warc": """
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
