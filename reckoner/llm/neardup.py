@@ -10,15 +10,19 @@ class and are compared once, as one representative.
    frequent, two sketches that share t values share one among the first m - t + 1 of
    m. Only these are put into inverted lists, so what many documents share (a license,
    a passage) makes no list for a document that has enough of its own.
-2. Stars. Each inverted list is linked to a few pivots: members with the smallest
+2. Stars. Each inverted list is linked to ``PIVOTS`` pivots: members with the smallest
    hash under as many seeds. A list of n members gives a few n pairs, not n * n / 2.
 3. Estimate. A pair stays if its sketches share t of the k smallest values of
    their union.
 4. Verify. Exact Jaccard on the full sets decides.
-5. Components of the links found so far. ``ROUNDS`` turns with other pivots link
-   members not yet in their pivot's component. In the last turn all pairs left in a list
-   between different components are looked at. So no link between different components
-   is lost, and members of one component are never paired again.
+5. Components of the links found so far. Members of lists that still hold several
+   components are indexed once more, by their full sets: a set shares at least
+   ``percent`` of its own size with any it is linked to, so of its shingles, rare ones
+   first, the first quarter and one more is enough. A text with that many shingles of
+   its own meets nobody. In these lists, members outside the component that most of
+   the list belongs to are paired with all members of other components, and verified. So
+   no link between different components is lost, and members of one component are not
+   paired again.
 
 Defined results: null and wordless texts have an empty set and link to nothing;
 fewer than ``size`` words are one shingle; rows with equal doc_id are one document;
@@ -46,8 +50,6 @@ SKETCH = 48
 SHARED = 19
 BROADCAST_NODES = 1_000_000
 PIVOTS = 3
-ROUNDS = 2
-MAX_STEPS = 60
 
 
 def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -98,14 +100,20 @@ def _needed(m: Column, percent: int, k: int) -> Column:
     return F.when(m <= k * percent // 100, exact).otherwise(F.lit(SHARED * k // SKETCH)).cast("int")
 
 
-def _index(classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """(value, node, n) of the inverted lists, lists of one left out."""
-    values = classes.select("node", "n", F.explode("sketch").alias("value"), F.size("sketch").alias("m"))
+def _lists_of(values: DataFrame, needed: Column) -> DataFrame:
+    """(value, place, node, n, alone) of lists that any pair sharing ``needed`` meets in.
+
+    ``values`` has node, n, m (how many values the node has) and value. Rare values
+    come first; alone is the number of a node's values that no other node has: first
+    in the order, they match nothing. Lists of one are left out.
+    """
     often = settled(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))
-    shared = values.join(often, "value").groupBy("node").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("have"))
-    # Values of this document alone come first in the order and match nothing.
-    use = F.col("m") - _needed(F.col("m"), percent, k) + 1 - (F.col("m") - F.size("have"))
-    return shared.where(use > 0).select("node", "n", F.explode(F.slice("have", F.lit(1), F.greatest(use, F.lit(1)))).alias("x")).select(F.col("x.value").alias("value"), "node", "n")
+    shared = values.join(often, "value").groupBy("node", "n", "m").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("have"))
+    shared = shared.withColumn("alone", F.col("m") - F.size("have"))
+    use = F.col("m") - needed + 1 - F.col("alone")
+    return shared.where(use > 0).select("node", "n", "alone", F.posexplode(F.slice("have", F.lit(1), F.greatest(use, F.lit(1)))).alias("at", "x")).select(
+        F.col("x.value").alias("value"), (F.col("at") + F.col("alone")).alias("place"), "node", "n", "alone"
+    )
 
 
 def _fits(n: Column, m: Column, percent: int) -> Column:
@@ -135,69 +143,77 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node with a link: the smallest node that it reaches.
 
-    Each step gives a node the smallest root among its neighbours' and then that
-    root's own root, so paths shrink by doubling; steps end when no root changes.
+    Each step gives a node the smallest root among its neighbours' and its own, or
+    that root's own root before the step, so long paths shrink by jumps; steps end when no
+    root changes.
     """
     both = settled(links.select("a", "b").union(links.select("b", "a")).distinct())
     roots = settled(both.groupBy("a").agg(F.min("b").alias("r")).select(F.col("a").alias("node"), F.least("a", "r").alias("root")))
-    for _ in range(MAX_STEPS):
+    while True:
         at = roots.select(F.col("node").alias("b"), F.col("root").alias("r"))
-        least = settled(both.join(at, "b").groupBy("a").agg(F.min("r").alias("r")))
-        # A root learns what its members have heard.
-        heard = settled(roots.join(least, F.col("node") == F.col("a")).select("node", "root", F.least("root", "r").alias("new")))
-        low = settled(heard.groupBy("root").agg(F.min("new").alias("low")))
-        moved = settled(heard.join(low, "root").select("node", "root", F.least("new", "low").alias("new")))
-        jump = moved.select(F.col("node").alias("other"), F.col("new").alias("to"))
-        after = settled(moved.join(jump, F.col("new") == F.col("other")).select("node", F.col("root").alias("old"), F.least("new", "to").alias("root")))
-        changed = after.where("root <> old").limit(1).count()
+        heard = both.join(at, "b").groupBy("a").agg(F.min("r").alias("r")).withColumnRenamed("a", "node")
+        lower = roots.join(heard, "node").select("node", F.col("root").alias("old"), F.least("root", "r").alias("new"))
+        jump = roots.select(F.col("node").alias("new"), F.col("root").alias("to"))
+        after = settled(lower.join(jump, "new").select("node", "old", F.least("new", "to").alias("root")))
         roots = after.select("node", "root")
-        if not changed:
+        if not after.where("root <> old").limit(1).count():
             return roots
-    raise RuntimeError(f"components still change after {MAX_STEPS} steps")
 
 
-def _stars(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs of every list's members with the list's pivots of this turn."""
-    seeds = [turn * PIVOTS + s for s in range(PIVOTS)]
-    key = [F.struct(F.xxhash64("node", F.lit(s)).alias("h"), F.col("node").alias("pivot"), F.col("root").alias("pivot_root"), F.col("n").alias("pivot_n")) for s in seeds]
-    stars = members.groupBy("value").agg(*[F.min(x).alias(f"p{s}") for s, x in zip(seeds, key, strict=True)])
-    stars = settled(stars.select("value", F.explode(F.array(*[f"p{s}" for s in seeds])).alias("p")).select("value", "p.pivot", "p.pivot_root", "p.pivot_n").distinct())
-    apart = (F.col("root") != F.col("pivot_root")) & _fits(F.col("n"), F.col("pivot_n"), percent)
-    return members.join(stars, "value").where(apart).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+def _stars(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of every list's members with the list's pivots."""
+    # The first pivot is the member with the fewest values of its own; others are random.
+    key = [F.struct((F.col("alone") if s == 0 else F.lit(0)).alias("rank"), F.xxhash64("node", F.lit(s)).alias("h"), F.col("node").alias("pivot"), F.col("n").alias("m")) for s in range(PIVOTS)]
+    stars = members.groupBy("value").agg(*[F.min(x).alias(f"p{s}") for s, x in enumerate(key)])
+    stars = settled(stars.select("value", F.inline(F.array(*[f"p{s}" for s in range(PIVOTS)]))).select("value", "pivot", "m").distinct())
+    apart = (F.col("node") != F.col("pivot")) & _fits(F.col("n"), F.col("m"), percent)
+    return members.join(stars, "value").where(apart).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
 
+def _open(members: DataFrame) -> DataFrame:
+    """Members of lists of several components, with the list's most frequent root."""
+    most = members.groupBy("value", "root").count().groupBy("value").agg(F.max(F.struct("count", "root")).alias("most"), F.count("*").alias("roots"))
+    most = settled(most.where("roots > 1").select("value", F.col("most.root").alias("most")))
+    return settled(members.join(most, "value"))
 
-def _rest(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of every list's members in different components."""
-    other = members.select("value", F.col("node").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"))
-    apart = (F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & _fits(F.col("n"), F.col("m"), percent)
-    return members.join(other, "value").where(apart).select(F.col("node").alias("a"), "b")
+
+def _rest(some: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a list's members in different components.
+
+    One of such a pair isn't in the component that most of the list's members have.
+    The smaller set of a linked pair shares more of its size than the larger one, so
+    for it only the beginning of its own order counts.
+    """
+    early = F.col("place") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent))
+    some = some.withColumn("early", early)
+    few = some.where("root <> most").select("value", F.col("node").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("early").alias("soon"))
+    meet = F.when(F.col("n") < F.col("m"), F.col("early")).when(F.col("n") > F.col("m"), F.col("soon")).otherwise(F.col("early") & F.col("soon"))
+    apart = (F.col("root") != F.col("other")) & meet & _fits(F.col("n"), F.col("m"), percent)
+    return some.join(few, "value").where(apart).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
 def linked(classes: DataFrame, texts: DataFrame, size: int, percent: int, k: int) -> DataFrame:
     """(node, root) of the classes that have a link; ``texts`` has node and text."""
-    index = settled(_index(classes, percent, k))
-    nodes = settled(index.select("node").distinct())
+    values = classes.select("node", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
+    index = settled(_lists_of(values, _needed(F.col("m"), percent, k)))
+    nodes = settled(index.select("node", "n").distinct())
     # Texts are shuffled only where the ids are too many to be sent to every task.
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
-    sets = settled(full_sets(texts.join(wanted, "node", "left_semi"), size, keep=["node"]).dropDuplicates(["node"]))
-    roots = links = seen = None
-    for turn in range(ROUNDS + 1):
-        members = index.withColumn("root", F.col("node"))
-        if roots is not None:
-            members = index.join(roots, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("root"))
-        # Lists with members of several components only.
-        split = settled(members.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("value"))
-        if not split.limit(1).count():
-            break
-        members = settled(members.join(split, "value"))
-        pairs = (_stars(members, turn, percent) if turn < ROUNDS else _rest(members, percent)).distinct()
-        pairs = settled(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        seen = pairs if seen is None else seen.union(pairs)
-        found = settled(_verified(settled(_estimated(pairs, classes, percent, k)), sets, percent))
-        if found.limit(1).count():
-            links = found if links is None else links.union(found)
-            roots = components(links)
-    return roots if roots is not None else nodes.select("node", F.col("node").alias("root"))
+    sets = settled(full_sets(texts.join(wanted, "node"), size, keep=["node", "n"]))
+
+    def test(pairs: DataFrame) -> DataFrame:
+        return settled(_verified(_estimated(pairs, classes, percent, k), sets, percent).distinct())
+
+    def rooted(lists: DataFrame) -> DataFrame:
+        return lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    links = test(_stars(index, percent))
+    roots = components(links)
+    still = _open(rooted(index)).select("node").distinct()
+    grams = sets.join(still, "node").select("node", "n", F.col("n").alias("m"), F.explode("grams").alias("value")).distinct()
+    exact = _lists_of(grams, F.ceil(F.col("m") * percent / 100).cast("int"))
+    more = test(_rest(_open(rooted(exact)), percent))
+    return components(links.union(more)) if more.limit(1).count() else roots
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, k: int = SKETCH) -> DataFrame:
