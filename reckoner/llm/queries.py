@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reckoner.llm import html_main, maxplus, tokenfiles, toxicity, warc
+from reckoner.llm import html_main, maxplus, ppm, tokenfiles, toxicity, warc
 from reckoner.llm.common import fresh_path, table
 from reckoner.llm.fingerprints import fingerprints
 from reckoner.llm.neardup import near_duplicates
@@ -51,6 +51,13 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    fitted, counts = ppm.fit(docs.where(~held_out))
+    return ppm.score(docs, fitted, counts).withColumn("held_out", held_out)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = fresh_path(spark, "tokens")
@@ -62,7 +69,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_main_text, op4_toxicity, op5_near_duplicates, op7_token_files, op8_token_counts, op9_pieces, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_main_text, op4_toxicity, op5_near_duplicates, op6_ppm, op7_token_files, op8_token_counts, op9_pieces, op10_decontamination)}
 ORACLE: dict[str, str] = {
     "op1_warc": """
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
