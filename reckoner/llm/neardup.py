@@ -101,21 +101,32 @@ def _needed(m: Column, percent: int, k: int) -> Column:
 
 
 def _lists_of(values: DataFrame, needed: Column) -> DataFrame:
-    """(value, place, node, n, alone) of lists that any pair sharing ``needed`` meets in.
+    """(value, place, node, n, rank) of lists that any pair sharing ``needed`` meets in.
 
     ``values`` has node, n, m (how many values the node has) and value. Rare values
-    come first; alone is the number of a node's values that no other node has: first
-    in the order, they match nothing. Lists of one are left out.
+    come first; those that no other node has match nothing. rank is the mean frequency of
+    a node's values, less than 0: the lowest is at the centre of its group. Lists of one
+    are left out.
     """
     often = settled(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))
     shared = values.join(often, "value").groupBy("node", "n", "m").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("have"))
-    shared = shared.withColumn("alone", F.col("m") - F.size("have"))
+    alone = F.col("m") - F.size("have")
+    often = F.aggregate("have", F.lit(0).cast("long"), lambda total, x: total + x["df"])
+    shared = shared.withColumns({"alone": alone, "rank": -(often + alone) / F.col("m")})
     use = F.col("m") - needed + 1 - F.col("alone")
-    return shared.where(use > 0).select("node", "n", "alone", F.posexplode(F.slice("have", F.lit(1), F.greatest(use, F.lit(1)))).alias("at", "x")).select(
-        F.col("x.value").alias("value"), (F.col("at") + F.col("alone")).alias("place"), "node", "n", "alone"
+    return shared.where(use > 0).select("node", "n", "alone", "rank", F.posexplode(F.slice("have", F.lit(1), F.greatest(use, F.lit(1)))).alias("at", "x")).select(
+        F.col("x.value").alias("value"), (F.col("at") + F.col("alone")).alias("place"), "node", "n", "rank"
     )
 
 
+def _merged(lists: DataFrame) -> DataFrame:
+    """Lists with the same members as one list: one change of a text makes several
+    shingles, whose lists are alike. A member has the best of its places."""
+    alike = settled(lists.groupBy("value").agg(F.bit_xor(F.xxhash64("node")).alias("same"), F.count("*").alias("of")))
+    joined = lists.join(alike, "value").groupBy("same", "of", "node", "n").agg(F.min("place").alias("place"), F.min("rank").alias("rank"))
+    return joined.select(F.xxhash64("same", "of").alias("value"), "place", "node", "n", "rank")
+
+
 def _fits(n: Column, m: Column, percent: int) -> Column:
     """Whether sets of these sizes can be as similar as that."""
     return (n * 100 >= m * percent) & (m * 100 >= n * percent)
@@ -162,8 +173,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def _stars(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of every list's members with the list's pivots."""
-    # The first pivot is the member with the fewest values of its own; others are random.
-    key = [F.struct((F.col("alone") if s == 0 else F.lit(0)).alias("rank"), F.xxhash64("node", F.lit(s)).alias("h"), F.col("node").alias("pivot"), F.col("n").alias("m")) for s in range(PIVOTS)]
+    # The first pivot is the member nearest the centre; others are random.
+    key = [F.struct((F.col("rank") if s == 0 else F.lit(0)).alias("rank"), F.xxhash64("node", F.lit(s)).alias("h"), F.col("node").alias("pivot"), F.col("n").alias("m")) for s in range(PIVOTS)]
     stars = members.groupBy("value").agg(*[F.min(x).alias(f"p{s}") for s, x in enumerate(key)])
     stars = settled(stars.select("value", F.inline(F.array(*[f"p{s}" for s in range(PIVOTS)]))).select("value", "pivot", "m").distinct())
     apart = (F.col("node") != F.col("pivot")) & _fits(F.col("n"), F.col("m"), percent)
@@ -212,7 +223,7 @@ def linked(classes: DataFrame, texts: DataFrame, size: int, percent: int, k: int
     still = _open(rooted(index)).select("node").distinct()
     grams = sets.join(still, "node").select("node", "n", F.col("n").alias("m"), F.explode("grams").alias("value")).distinct()
     exact = _lists_of(grams, F.ceil(F.col("m") * percent / 100).cast("int"))
-    more = test(_rest(_open(rooted(exact)), percent))
+    more = test(_rest(_open(rooted(settled(_merged(settled(exact))))), percent))
     return components(links.union(more)) if more.limit(1).count() else roots
 
 
