@@ -71,7 +71,7 @@ def mileage_cap(days: Column) -> Column:
 def money_text(amount: Column, currency: Column) -> Column:
     """Symbol and two decimals for known currencies, code and amount for others."""
     sign = F.when(currency.isNull() | (currency == "USD"), "$").when(currency == "EUR", "€").when(currency == "GBP", "£").when(currency.isin("JPY", "CNY"), "¥").when(currency == "INR", "₹")
-    return F.concat(F.coalesce(sign, F.concat(currency, F.lit(" "))), F.format_string("%.2f", amount))
+    return F.when(amount.isNotNull(), F.concat(F.coalesce(sign, F.concat(currency, F.lit(" "))), F.format_string("%.2f", amount)))
 
 
 def original_amount_display(original: Column, currency: Column, usd: Column) -> Column:

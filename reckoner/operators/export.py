@@ -49,7 +49,7 @@ def with_currency_name(df: DataFrame, column: str = "original_currency") -> Data
 
 
 def _two(column: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f", F.round(column, 2)), F.lit(""))
+    return F.when(column.isNotNull(), F.format_string("%.2f", F.round(column, 2))).otherwise("")
 
 
 def _optional(df: DataFrame, name: str) -> Column:

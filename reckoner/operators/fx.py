@@ -55,7 +55,7 @@ def enrich(lines: DataFrame, rates: DataFrame) -> DataFrame:
     skipped = F.col("original_currency").isNull() | F.col("original_amount").isNull() | F.col("day").isNull()
     status = F.when(skipped, "skipped").when(F.col("usd_per_unit").isNull(), "failed").otherwise("fetched")
     rate = F.when(status == "fetched", F.col("usd_per_unit"))
-    amount = F.coalesce(F.round(F.col("original_amount") * rate, 2), F.col("line_amount_usd"))
+    amount = F.coalesce(F.round((F.col("original_amount") * rate).cast("decimal(24,6)"), 2).cast("double"), F.col("line_amount_usd"))
     return joined.select(*lines.columns, status.alias("fx_status"), rate.alias("fx_rate"), amount.alias("fx_amount_usd"))
 
 

@@ -93,7 +93,7 @@ _norm = lambda c: f"lower(trim(regexp_replace(regexp_replace(regexp_replace({c},
 
 ORACLE = {
     "A01": f"WITH {LINES} SELECT report_id, coalesce({_money('line_amount_usd')}, 0.0) AS total_usd FROM lines GROUP BY 1",
-    "A03": f"WITH {ENRICHED} SELECT report_id, coalesce({_money('coalesce(round(original_amount * fx_rate, 2), line_amount_usd)')}, 0.0) AS total_usd, count(*) FILTER (fx_status = 'fetched') AS n_fetched, count(*) FILTER (fx_status = 'skipped') AS n_skipped, count(*) FILTER (fx_status = 'failed') AS n_failed FROM enriched GROUP BY 1",
+    "A03": f"WITH {ENRICHED} SELECT report_id, coalesce({_money('coalesce(CAST(round(CAST(original_amount * fx_rate AS DECIMAL(24,6)), 2) AS DOUBLE), line_amount_usd)')}, 0.0) AS total_usd, count(*) FILTER (fx_status = 'fetched') AS n_fetched, count(*) FILTER (fx_status = 'skipped') AS n_skipped, count(*) FILTER (fx_status = 'failed') AS n_failed FROM enriched GROUP BY 1",
     "A05": f"WITH {LINES} SELECT report_id, min(date_text) AS earliest_date FROM lines GROUP BY 1",
     "A06": f"WITH {ROLLUP} SELECT inferred_category, category_confidence, count(*) AS n FROM rollup_ GROUP BY 1, 2",
     "A09": f"WITH {ROLLUP} SELECT * FROM rollup_",
@@ -133,7 +133,7 @@ ORACLE = {
     "E06": f"WITH {ROLLUP} SELECT filer_id, CAST(row_number() OVER (PARTITION BY filer_id ORDER BY when_text DESC NULLS LAST, report_id) AS BIGINT) AS place, report_id, n_lines, total_usd FROM reports JOIN rollup_ USING (report_id)",
     "F01": f"WITH {LINES} SELECT {_portal} AS shown, count(*) AS n FROM lines GROUP BY 1",
     "F02": f"WITH {REPORTS}, {WINDOWS} SELECT report_id, from_date, to_date, CAST(to_date AS DATE) - CAST(from_date AS DATE) + 1 AS days, CASE WHEN to_date >= from_date THEN CAST(to_date AS DATE) - CAST(from_date AS DATE) END AS nights FROM windows",
-    "F07": f"WITH {LINES} SELECT report_id, line_idx, round({_cap}, 3) AS cap, {_precise} AS precise FROM lines WHERE {_cap} IS NOT NULL",
+    "F07": f"WITH {LINES} SELECT report_id, line_idx, round({_cap}, 7) AS cap, {_precise} AS precise FROM lines WHERE {_cap} IS NOT NULL",
     "F09": f"WITH {LINES} SELECT report_id, line_idx, CASE WHEN original_amount IS NOT NULL THEN concat(CASE original_currency WHEN 'EUR' THEN '€' WHEN 'GBP' THEN '£' WHEN 'JPY' THEN '¥' WHEN 'INR' THEN '₹' ELSE concat(original_currency, ' ') END, printf('%.2f', original_amount)) WHEN line_amount_usd IS NOT NULL THEN concat('$', printf('%.2f', line_amount_usd)) END AS shown FROM lines",
     "F11": f"WITH {LINES} SELECT array_to_string([concat(upper(w[1]), w[2:]) for w in string_split(expense_type, '_')], ' ') AS title, count(*) AS n FROM lines GROUP BY 1",
     "F15": "SELECT page_id, lower(regexp_replace(url, '[^A-Za-z0-9]', '-', 'g')) AS anchor FROM pages",

@@ -230,7 +230,7 @@ def windows(spark: SparkSession, d: str) -> DataFrame:
 def caps(spark: SparkSession, d: str) -> DataFrame:
     cap = S.tip_cap(F.col("tip"), F.col("pre_tax"), F.col("tax"), F.col("line_amount_usd"))
     df = V.lines(spark, d).withColumn("c", cap).where("c is not null")
-    return df.select("report_id", "line_idx", F.round("c.cap", 3).alias("cap"), F.col("c.precise").alias("precise"))
+    return df.select("report_id", "line_idx", F.round("c.cap", 7).alias("cap"), F.col("c.precise").alias("precise"))
 
 
 @query("F09")
@@ -295,12 +295,9 @@ def inferred(spark: SparkSession, d: str) -> DataFrame:
 
 @query("J19")
 def quote_search(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark passages as quotes, each searched in the documents that share its first words."""
-    head = lambda c: F.array_join(F.slice(F.split(S.quote_norm(c), " "), 1, 3), " ")
-    b = V.read(spark, d, "benchmark").select(F.col("item_id").alias("evidence_id"), F.col("text").alias("quote"), head(F.col("text")).alias("_head"))
-    words = F.split(S.quote_norm(F.col("text")), " ")
-    triples = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 3), " ")))
+    """Benchmark passages as quotes, searched in the documents that have their longest word."""
+    b = V.read(spark, d, "benchmark").select(F.col("item_id").alias("evidence_id"), F.col("text").alias("quote"), F.element_at(grounding.search_keys(F.col("text")), 3).alias("_word"))
     docs = V.read(spark, d, "documents").select("doc_id", "text")
-    met = docs.select("doc_id", F.explode(triples).alias("_head")).join(F.broadcast(b) if b.count() <= 10_000 else b, "_head").select("evidence_id", "doc_id", "quote").distinct()
-    found = grounding.occurrences(met, docs)
-    return found.where("level = 0").select("evidence_id", "doc_id", "n_found")
+    each = docs.select("doc_id", F.explode(F.array_distinct(F.split(S.quote_norm(F.col("text")), " "))).alias("_word"))
+    met = each.join(b, "_word").select("evidence_id", "doc_id", "quote")
+    return grounding.occurrences(met, docs).where("level = 0").select("evidence_id", "doc_id", "n_found")
