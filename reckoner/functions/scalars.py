@@ -134,7 +134,7 @@ def coerce_by_type(text: Column, kind: Column) -> Column:
     """struct(value as text, error) by the type that a field has."""
     b, n = coerce_bool(text), coerce_number(text)
     blank = F.trim(text) == ""
-    value = F.when(blank, None).when(kind == "boolean", b["value"].cast("string")).when(kind == "number", n["value"].cast("string")).otherwise(text)
+    value = F.when(blank, None).when(kind == "boolean", b["value"].cast("string")).when(kind == "number", shown_number(n["value"])).otherwise(text)
     error = F.when(kind == "boolean", b["error"]).when(kind == "number", n["error"]).otherwise(False)
     return F.struct(value.alias("value"), error.alias("error"))
 
