@@ -202,7 +202,9 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an archive without files
+            return
         system, name = fs.FileSystem.from_uri(partition.path)
         rows, size = [], 0
         with system.open_input_file(name) as source:
