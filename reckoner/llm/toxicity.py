@@ -43,11 +43,11 @@ from reckoner.llm.common import with_results
 SAMPLE_ROWS = 2500
 THRESHOLD = 0.3
 CODE_BYTES = 3
-WINDOW, OVERLAP = 128, 16
+WINDOW, OVERLAP = 96, 24
 LEVEL = 3
 ORDINARY_BYTES, TOXIC_BYTES = 16_000, 6_000
-LOG_ODDS, LEAST_SHARE = 3.0, 0.005
-CONSPICUOUS = 6
+LOG_ODDS, LEAST_SHARE = 3.0, 0.012
+CONSPICUOUS = 9
 
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 _LETTER = np.zeros(256, bool)
