@@ -20,7 +20,7 @@ class and are compared once, as one representative.
    ``percent`` of its own size with any it is linked to, so of its shingles, rare ones
    first, the first quarter and one more is enough. A text with that many shingles of
    its own meets nobody. In these lists, members outside the component that most of
-   the list belongs to are paired with all members of other components, and verified. So
+   the list belongs to are paired with all members of other components and verified. So
    no link between different components is lost, and members of one component are not
    paired again.
 
@@ -154,21 +154,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node with a link: the smallest node that it reaches.
 
-    Each step gives a node the smallest root among its neighbours' and its own, or
-    that root's own root before the step, so long paths shrink by jumps; steps end when no
-    root changes.
+    Each step moves a node to its smallest neighbour's smallest neighbour and then
+    contracts the graph to where its nodes went, so links within what has met are
+    dropped and few are left for the next step; steps end when none is left. The smallest
+    node of a component never moves.
     """
-    both = settled(links.select("a", "b").union(links.select("b", "a")).distinct())
-    roots = settled(both.groupBy("a").agg(F.min("b").alias("r")).select(F.col("a").alias("node"), F.least("a", "r").alias("root")))
-    while True:
-        at = roots.select(F.col("node").alias("b"), F.col("root").alias("r"))
-        heard = both.join(at, "b").groupBy("a").agg(F.min("r").alias("r")).withColumnRenamed("a", "node")
-        lower = roots.join(heard, "node").select("node", F.col("root").alias("old"), F.least("root", "r").alias("new"))
-        jump = roots.select(F.col("node").alias("new"), F.col("root").alias("to"))
-        after = settled(lower.join(jump, "new").select("node", "old", F.least("new", "to").alias("root")))
-        roots = after.select("node", "root")
-        if not after.where("root <> old").limit(1).count():
-            return roots
+    roots, left = None, settled(links.select("a", "b").where("a <> b").distinct())
+    while roots is None or left.limit(1).count():
+        both = left.union(left.select("b", "a"))
+        near = settled(both.groupBy("a").agg(F.min("b").alias("r")).select(F.col("a").alias("node"), F.least("a", "r").alias("to")))
+        further = near.select(F.col("node").alias("to"), F.col("to").alias("on"))
+        moved = settled(near.join(further, "to").select("node", F.col("on").alias("to")))
+        if roots is None:
+            roots = moved.select("node", F.col("to").alias("root"))
+        else:
+            roots = settled(roots.join(moved.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        at_a, at_b = moved.select(F.col("node").alias("a"), F.col("to").alias("x")), moved.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        left = settled(left.join(at_a, "a").join(at_b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return roots
 
 
 def _stars(members: DataFrame, percent: int) -> DataFrame:
@@ -212,18 +215,19 @@ def linked(classes: DataFrame, texts: DataFrame, size: int, percent: int, k: int
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
     sets = settled(full_sets(texts.join(wanted, "node"), size, keep=["node", "n"]))
 
-    def test(pairs: DataFrame) -> DataFrame:
-        return settled(_verified(_estimated(pairs, classes, percent, k), sets, percent).distinct())
+    def verified(pairs: DataFrame) -> DataFrame:
+        return settled(_verified(pairs, sets, percent).distinct())
 
     def rooted(lists: DataFrame) -> DataFrame:
         return lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    links = test(_stars(index, percent))
+    links = verified(_estimated(_stars(index, percent), classes, percent, k))
     roots = components(links)
     still = _open(rooted(index)).select("node").distinct()
     grams = sets.join(still, "node").select("node", "n", F.col("n").alias("m"), F.explode("grams").alias("value")).distinct()
     exact = _lists_of(grams, F.ceil(F.col("m") * percent / 100).cast("int"))
-    more = test(_rest(_open(rooted(settled(_merged(settled(exact))))), percent))
+    # These lists are of full sets; sketches have nothing to add.
+    more = verified(_rest(_open(rooted(settled(_merged(settled(exact))))), percent))
     return components(links.union(more)) if more.limit(1).count() else roots
 
 
