@@ -5,7 +5,7 @@ A text is read as its lower-cased words, one space between them and an end symbo
 is a trie of byte contexts of up to ``ORDER`` bytes, pretrained on the training
 documents. A byte is looked for in the longest context known; where it is missing, an
 escape (as likely as ``DISCOUNT`` of a count for each different byte seen there, which
-these bytes lose, and all that was pruned) leads to the context shorter by a byte, in which all bytes of the longer
+these bytes lose) leads to the context shorter by a byte, in which all bytes of the longer
 one are excluded; below order 0 all bytes not yet excluded are equally likely. The code lengths
 of a document's bytes add up to its score.
 
@@ -16,14 +16,17 @@ slice of many documents at once.
 
 Counting covers all training documents: slices of documents give the numbers of
 their words and of their runs of ``ORDER`` + 1 bytes, and Spark adds them up; shorter
-runs are marginals of these. Runs of 3 bytes or more that are rarer than
-``LEAST_SHARE`` of all bytes are pruned, so each order keeps 1 / LEAST_SHARE of them at
-most: that bounds the trie, which is broadcast, whatever the corpus. What was pruned
-below a context adds to its escape.
-
-The base score needs the count of each word of a document among all training words.
-Words that make up at least ``HOT_SHARE`` of them, 1 / HOT_SHARE at most, are
-broadcast; the others are joined by word, and summed by row.
+runs are marginals of these. No run is left out: the counts stay a Spark table, dealt
+by the last ``LOW`` bytes of the contexts. All longer contexts of a byte end with these, so
+each part of the table is a trie of its own above the shorter runs, which are
+broadcast (there are 256 ** (LOW + 1) different ones at most, whatever the corpus).
+
+The codes of runs that make up at least ``HOT_RUN_SHARE`` of all bytes, and the counts
+of words that make up at least ``HOT_SHARE`` of all words, are broadcast (1 / share of
+them at most). The other runs and words of a document are sent to the part of the
+table that knows them, and what it answers is summed by row. The base score needs the count of
+each word of a document among all training words. Sums are of whole ``UNIT`` ths, so they
+don't depend on the order of their terms.
 
 Defined results: null and wordless texts are scored for their end alone; a null
 doc_id belongs to the training part; rows with equal doc_id and text have equal scores;
@@ -41,14 +44,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from reckoner.llm import words
 from reckoner.llm.common import fresh_path
 
 ORDER = 5
 DISCOUNT = 0.4
-LEAST_SHARE = 1e-7
+LOW = 3
+HOT_RUN_SHARE = 1e-7
 HOT_SHARE = 1e-6
+UNIT = 1 << 32
+PART_ROWS = 1 << 20
 SLICE_BYTES = 4 << 20
 END = 0xFF
 _SPACE = 0x20
@@ -178,7 +186,12 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-_RUN, _WORD = 0, 1
+#: Kinds of rows, in the order in which a part reads them: counts before questions.
+_RUN, _WORD, _ASK_RUN, _ASK_WORD, _DOC = range(5)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * UNIT).astype(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,22 +208,87 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Fitted:
-    """What scoring needs: the trie, the hot words, and the totals of words."""
+    """What scoring needs: the low orders, the hot runs and words, and the totals of words."""
 
-    def __init__(self, model: Model, hot: np.ndarray, hot_counts: np.ndarray, n: int, distinct: int, ends: int):
-        self.model, self.hot, self.n, self.distinct, self.ends = model, hot, n, distinct, ends
-        self.hot_code = np.log10(hot_counts + 0.5)
+    def __init__(self, low: list[tuple[np.ndarray, np.ndarray]], hot: np.ndarray, hot_counts: np.ndarray, n: int, distinct: int, ends: int, parts: int):
+        self.low, self.hot, self.n, self.distinct, self.ends, self.parts = low, hot, n, distinct, ends, parts
+        self.hot_code = _units(np.log10(hot_counts + 0.5))
+        self.runs, self.run_code = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
-def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    got = df.select("key", "count").toArrow()
+def _arrays(df: DataFrame, value: str = "count") -> tuple[np.ndarray, np.ndarray]:
+    got = df.select("key", value).toArrow()
     keys = got.column(0).to_numpy().astype(np.int64).view(np.uint64)
     by = np.argsort(keys)
     return keys[by], got.column(1).to_numpy()[by]
 
 
+def _masked(key: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The marginal counts of the runs of ``order`` + 1 bytes."""
+    short, place = np.unique(key & np.uint64((1 << 8 * (order + 1)) - 1), return_inverse=True)
+    return short, np.bincount(place, weights=counts, minlength=len(short)).astype(np.int64)
+
+
+def _answered(counts: DataFrame, asked: DataFrame, fitted: Fitted) -> DataFrame:
+    """(row, doc, score, cold_n, cold_sum): the answers to rows of ``asked``, to be summed by row.
+
+    ``asked``: kind, row, key, n (how often the row has the key) and doc, which passes through.
+    """
+    shared = counts.sparkSession.sparkContext.broadcast(fitted.low)
+    doc_type = asked.schema["doc"].dataType
+    out = T.StructType.fromDDL(f"row long, doc {doc_type.simpleString()}, score long, cold_n long, cold_sum long")
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, model, words_of = {_RUN: [], _WORD: []}, None, None
+        for batch in batches:
+            kind, key = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+            row, n = batch.column(1).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
+            for k, got in known.items():
+                if (kind == k).any():
+                    got.append((key[kind == k].copy(), n[kind == k].copy()))
+            if not (kind >= _ASK_RUN).any():
+                continue
+            if model is None:
+                joined = {}
+                for k, got in known.items():
+                    keys, counts_ = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, t) for i, t in enumerate((np.uint64, np.int64)))
+                    by = np.argsort(keys)
+                    joined[k] = keys[by], counts_[by]
+                model = Model([*shared.value, *(_masked(*joined[_RUN], o) for o in range(LOW, ORDER + 1))])
+                words_of = joined[_WORD]
+            ask = (kind == _ASK_RUN) | (kind == _ASK_WORD)
+            if ask.any():
+                who, place = np.unique(row[ask].astype(np.int64), return_inverse=True)
+                run_code, word_n, word_code = (np.zeros(len(ask), np.int64) for _ in range(3))
+                at = np.flatnonzero(kind == _ASK_RUN)
+                distinct, back = np.unique(key[at], return_inverse=True)
+                run_code[at] = n[at] * _units(model.code(distinct))[back]
+                at = np.flatnonzero(kind == _ASK_WORD)
+                found = _find(words_of[0], key[at])
+                seen = np.zeros(len(at), np.int64)
+                seen[found >= 0] = words_of[1][found[found >= 0]]
+                word_n[at], word_code[at] = n[at] * (seen > 0), n[at] * _units(np.log10(seen + 0.5))
+                sums = []
+                for values in (run_code, word_n, word_code):
+                    total = np.zeros(len(who), np.int64)
+                    np.add.at(total, place, values[ask])
+                    sums.append(pa.array(total))
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.nulls(len(who), arrow.field("doc").type), *sums], schema=arrow)
+            docs = np.flatnonzero(kind == _DOC)
+            if len(docs):
+                zero = pa.array(np.zeros(len(docs), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(row[docs].astype(np.int64)), batch.column(4).take(pa.array(docs)).cast(arrow.field("doc").type), zero, zero, zero], schema=arrow)
+
+    trained = counts.select("kind", F.lit(0).cast("long").alias("row"), "key", F.col("count").alias("n"), F.lit(None).cast(doc_type).alias("doc"))
+    is_run = F.col("kind").isin(_RUN, _ASK_RUN)
+    group = F.when(is_run, F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * LOW) - 1))).otherwise(F.col("key"))
+    dealt = trained.unionByName(asked).repartition(fitted.parts, group).sortWithinPartitions("kind")
+    return dealt.mapInArrow(run, out)
+
+
 def fit(training: DataFrame) -> tuple[Fitted, DataFrame]:
-    """The fitted model, and the counts of all training words (key, count)."""
+    """The fitted model, and the counts of all training runs and words (kind, key, count)."""
     spark = training.sparkSession
     path = fresh_path(spark, "ppm")
     each = training.select("text").mapInArrow(_count, "kind int, key long, count long")
@@ -218,52 +296,62 @@ def fit(training: DataFrame) -> tuple[Fitted, DataFrame]:
     table = spark.read.parquet(path)
     ends = training.count()
     of = {r["kind"]: r for r in table.groupBy("kind").agg(F.sum("count").alias("n"), F.count("*").alias("distinct")).collect()}
-    n_bytes = of[_RUN]["n"] if _RUN in of else 0
+    n_bytes, n_runs = (of[_RUN]["n"], of[_RUN]["distinct"]) if _RUN in of else (0, 0)
     n_words, distinct = (of[_WORD]["n"], of[_WORD]["distinct"]) if _WORD in of else (0, 0)
-    tables = []
-    for o in range(ORDER + 1):
+    low = []
+    for o in range(LOW):
         key = F.col("key").bitwiseAND(F.lit((1 << 8 * (o + 1)) - 1))
-        shorter = table.where(F.col("kind") == _RUN).groupBy(key.alias("key")).agg(F.sum("count").alias("count"))
-        tables.append(_arrays(shorter.where(F.col("count") >= (max(1, math.ceil(LEAST_SHARE * n_bytes)) if o >= 2 else 1))))
-    counts = table.where(F.col("kind") == _WORD).select("key", "count")
-    hot, hot_counts = _arrays(counts.where(F.col("count") >= max(2, math.ceil(HOT_SHARE * n_words))))
-    return Fitted(Model(tables), hot, hot_counts, n_words + ends, distinct + (ends > 0), ends), counts
+        low.append(_arrays(table.where(F.col("kind") == _RUN).groupBy(key.alias("key")).agg(F.sum("count").alias("count"))))
+    hot, hot_counts = _arrays(table.where((F.col("kind") == _WORD) & (F.col("count") >= max(2, math.ceil(HOT_SHARE * n_words)))))
+    hot_runs = table.where((F.col("kind") == _RUN) & (F.col("count") >= max(2, math.ceil(HOT_RUN_SHARE * n_bytes))))
+    hot_bytes = hot_runs.agg(F.coalesce(F.sum("count"), F.lit(0))).head()[0]
+    # Enough parts for the counts and for what the training documents themselves would ask.
+    rows = n_runs + distinct + n_bytes - hot_bytes + n_words - int(hot_counts.sum())
+    fitted = Fitted(low, hot, hot_counts, n_words + ends, distinct + (ends > 0), ends, max(spark.sparkContext.defaultParallelism, math.ceil(rows / PART_ROWS)))
+    asked = hot_runs.select(F.lit(_ASK_RUN).alias("kind"), F.col("key").alias("row"), "key", F.lit(1).cast("long").alias("n"), F.lit(None).cast("struct<doc_id: long>").alias("doc"))
+    fitted.runs, fitted.run_code = _arrays(_answered(table, asked, fitted).select(F.col("row").alias("key"), "score"), "score")
+    return fitted, table
 
 
 def _score_slice(fitted: Fitted, w: words.Words) -> tuple[np.ndarray, ...]:
-    """Per row: score and hot sums; and the (row, word, times) of cold words."""
+    """Per row the hot sums; and the (row, run, times) and (row, word, times) of cold ones."""
     n_rows = len(w.first) - 1
     text, begin = normal(w)
-    key = runs(text, begin, fitted.model.order)
-    bits = np.uint64(max(1, len(key)).bit_length())
-    if 8 * (fitted.model.order + 1) + int(bits) <= 64:
-        # Key and place in one number sort faster than places by key.
-        both = np.sort(key << bits | np.arange(len(key), dtype=np.uint64))
-        key, place = both >> bits, (both & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
-    else:
-        place = np.argsort(key)
-        key = key[place]
+    key = runs(text, begin, ORDER)
+    place = np.argsort(key)
+    key = key[place]
     new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-    code = np.zeros(len(key))
-    code[place] = fitted.model.code(key[new])[np.cumsum(new) - 1]
+    distinct, back = key[new], np.cumsum(new) - 1
+    at = _find(fitted.runs, distinct)
+    codes = np.zeros(len(distinct), np.int64)
+    codes[at >= 0] = fitted.run_code[at[at >= 0]]
+    code = np.zeros(len(key), np.int64)
+    code[place] = codes[back]
     score = np.add.reduceat(code, begin[:-1]) if n_rows else code
+    cold = np.flatnonzero((at < 0)[back])
+    both, run_times = np.unique(back[cold] * max(1, n_rows) + np.searchsorted(begin, place[cold], "right") - 1, return_counts=True)
+    of_runs = both % max(1, n_rows), distinct[both // max(1, n_rows)], run_times
     hashed, row = w.hashes(), np.repeat(np.arange(n_rows), w.counts())
     at = _find(fitted.hot, hashed)
     is_hot = at >= 0
-    hot_sum = np.bincount(row[is_hot], weights=fitted.hot_code[at[is_hot]], minlength=n_rows)
+    hot_sum = np.zeros(n_rows, np.int64)
+    np.add.at(hot_sum, row[is_hot], fitted.hot_code[at[is_hot]])
     hot_n = np.bincount(row[is_hot], minlength=n_rows)
     cold, cold_row = hashed[~is_hot], row[~is_hot]
     by = np.lexsort((cold, cold_row))
     cold, cold_row = cold[by], cold_row[by]
     first = np.flatnonzero(np.concatenate([[True], (cold[1:] != cold[:-1]) | (cold_row[1:] != cold_row[:-1])])) if len(cold) else np.zeros(0, np.int64)
     times = np.diff(np.concatenate([first, [len(cold)]]))
-    return score, hot_sum, hot_n, cold_row[first], cold[first], times
+    return score, hot_sum, hot_n, of_runs, (cold_row[first], cold[first], times)
 
 
 def score(docs: DataFrame, fitted: Fitted, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    doc = f"struct<doc_id: {docs.schema['doc_id'].dataType.simpleString()}, n_tokens: long, hot_n: long, hot_sum: long, score: long>"
+    schema = T.StructType.fromDDL(f"kind int, row long, key long, n long, doc {doc}")
+    arrow = to_arrow_schema(schema)
+    fields = list(arrow.field("doc").type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fit_, part, seen = shared.value, TaskContext.get().partitionId(), 0
@@ -271,34 +359,29 @@ def score(docs: DataFrame, fitted: Fitted, counts: DataFrame) -> DataFrame:
             data, offsets = words.utf8(batch.column(1))
             for a, b in words.slices(offsets, SLICE_BYTES):
                 w = words.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                score_, hot_sum, hot_n, row, word, times = _score_slice(fit_, w)
-                n, m = b - a, len(word)
+                score_, hot_sum, hot_n, of_runs, of_words = _score_slice(fit_, w)
+                n = b - a
                 name = (part << 36) + seen + np.arange(n)
                 seen += n
-                # A row of its own for each document, with a key that no word has.
-                of_doc = [pa.nulls(m, batch.column(0).type), *(pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-                doc = [batch.column(0).slice(a, n), w.counts().astype(np.int64) + 1, hot_n.astype(np.int64), hot_sum.astype(np.float64), score_.astype(np.float64)]
-                columns = [
-                    np.concatenate([name, name[row]]),
-                    np.concatenate([words.mix(name.astype(np.uint64)), word]).view(np.int64),
-                    np.concatenate([np.zeros(n, np.int64), times.astype(np.int64)]),
-                    *(pa.concat_arrays([d if isinstance(d, pa.Array) else pa.array(d), e]) for d, e in zip(doc, of_doc, strict=True)),
-                ]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["row", "key", "times", "doc_id", "n_tokens", "hot_n", "hot_sum", "score"])
-
-    each = docs.select("doc_id", "text").mapInArrow(run, f"row long, key long, times long, doc_id {id_type}, n_tokens long, hot_n long, hot_sum double, score double")
-    c = F.coalesce("count", F.lit(0))
-    met = each.join(counts, "key", "left").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.max("hot_n").alias("hot_n"),
-        F.max("hot_sum").alias("hot_sum"),
-        F.max("score").alias("score"),
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("cold_n"),
-        F.sum(F.col("times") * F.log10(c + F.lit(0.5))).alias("cold_sum"),
+                for kind, (row, key, times) in ((_ASK_RUN, of_runs), (_ASK_WORD, of_words)):
+                    columns = [np.full(len(row), kind, np.int32), name[row], key.view(np.int64), times.astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(row), arrow.field("doc").type)], schema=arrow)
+                # A row of its own for each document.
+                own = [batch.column(0).slice(a, n).cast(fields[0].type), *(pa.array(x.astype(np.int64)) for x in (w.counts() + 1, hot_n, hot_sum, score_))]
+                columns = [np.full(n, _DOC, np.int32), name, words.mix(name.astype(np.uint64)).view(np.int64), np.ones(n, np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.StructArray.from_arrays(own, fields=fields)], schema=arrow)
+
+    each = docs.select("doc_id", "text").mapInArrow(run, schema)
+    met = _answered(counts, each, fitted).groupBy("row").agg(
+        F.max("doc.doc_id").alias("doc_id"),
+        F.max("doc.n_tokens").alias("n_tokens"),
+        F.max("doc.hot_n").alias("hot_n"),
+        (F.max("doc.hot_sum") + F.sum("cold_sum")).alias("sum"),
+        (F.max("doc.score") + F.sum("score")).alias("score"),
+        F.sum("cold_n").alias("cold_n"),
     )
     # The end is a token like any other.
-    base = F.col("hot_sum") + F.col("cold_sum") + F.lit(math.log10(fitted.ends + 0.5))
+    base = F.col("sum") / F.lit(UNIT) + F.lit(math.log10(fitted.ends + 0.5))
     each_token = math.log10(fitted.n + 0.5 * (fitted.distinct + 1))
     return met.select(
         "doc_id",
@@ -306,5 +389,5 @@ def score(docs: DataFrame, fitted: Fitted, counts: DataFrame) -> DataFrame:
         (F.col("hot_n") + F.col("cold_n") + F.lit(int(fitted.ends > 0))).alias("n_known"),
         F.lit(fitted.n).cast("long").alias("train_tokens"),
         (base - F.col("n_tokens") * F.lit(each_token)).alias("base_score"),
-        "score",
+        (F.col("score") / F.lit(UNIT)).alias("score"),
     )

@@ -225,6 +225,29 @@ def test_scores(spark):
     assert ppm.score(docs, nothing, none).count() == len(texts)
 
 
+@pytest.mark.parametrize("share", [ppm.HOT_SHARE / 10, 1e-2])
+def test_scores_prune_no_run(spark, monkeypatch, share):
+    # Over 12 MB, so that a run seen once is less than 1e-7 of the bytes.
+    monkeypatch.setattr(ppm, "HOT_RUN_SHARE", share, raising=False)
+    common, rare = text(1, 250), "quixotic zymurgy 漢字 jabberwocky"
+    docs = spark.range(6500).select(F.col("id").alias("doc_id"), F.lit(common).alias("text")).unionByName(documents(spark, [rare]))
+    asked = [rare, "zymurgical quixote 漢語", text(2, 20), "", common]
+    got = [r["score"] for r in ppm.score(documents(spark, asked), *ppm.fit(docs)).orderBy("doc_id").collect()]
+
+    def keys(texts):
+        body, begin = ppm.normal(next(words.batches_of_words(pa.array(texts)))[2])
+        return ppm.runs(body, begin, ppm.ORDER), begin
+
+    (many, _), (once, _) = keys([common]), keys([rare])
+    tables = []
+    for o in range(ppm.ORDER + 1):
+        short = np.uint64((1 << 8 * (o + 1)) - 1)
+        tables.append(ppm.counted(np.concatenate([np.repeat(many & short, 6500), once & short])))
+    key, begin = keys(asked)
+    want = np.add.reduceat(ppm.Model(tables).code(key), begin[:-1])
+    assert got == pytest.approx(want.tolist(), abs=1e-4)
+
+
 def test_warc(spark):
     pages = [(3, "u3", "x" * 200), (1, "u1", "x" * 200), (2, "u2", "short"), (4, "u4", "short"), (5, "u5", None), (6, "u6\r\nX: y", "é" * 60), (7, None, "x" * 200)]
     path = fresh_path(spark, "warc")
