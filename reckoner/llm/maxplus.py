@@ -15,8 +15,9 @@ computed in a task of its own, with the ``reach`` characters behind the cut at h
 a scan over a text's matrices gives the state at each cut; and every chunk then
 traces its best path back independently. A shorter text is one chunk.
 
-Within a chunk, no piece holds U+2581 behind another character, so paths meet in
-front of each word. Each different word of a batch is solved once.
+Where no piece holds U+2581 behind another character than itself, paths meet in front
+of each run of U+2581. Such a run and the word behind it are a unit, and each
+different unit of a batch is solved once. With other vocabularies a text is one unit.
 
 Ids are those of the best-scoring path. They differ from merges applied in the
 order of a byte-pair model, and decode to the same text.
@@ -45,7 +46,8 @@ from reckoner.llm.common import with_results
 SPACE = "▁"
 CHUNK_CHARS = 1 << 16
 CACHE_WORDS = 400_000
-_WORD = re.compile(f"{SPACE}[^{SPACE}]*|^[^{SPACE}]+")
+_UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+")
+_BORDER = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 _NONE = -np.inf
 
 
@@ -57,6 +59,8 @@ class Pieces:
         self.longest = max(map(len, scores), default=1)
         #: Characters that may stand behind a cut and still belong to a piece before it.
         self.reach = self.longest - 1
+        #: Whether a piece goes on from a word into the spaces behind it.
+        self.crosses = any(map(_BORDER.search, scores))
         self.known: dict[str, tuple[float, tuple[int, ...]]] = {}
         # Prefixes of pieces let the search stop early.
         self.heads = {p[:n] for p in scores for n in range(1, len(p) + 1)}
@@ -100,7 +104,7 @@ class Pieces:
         return out[::-1]
 
     def word(self, text: str) -> tuple[float, tuple[int, ...]]:
-        """Score and ids of a word's best path."""
+        """Score and ids of a unit's best path."""
         got = self.known.get(text)
         if got is None:
             best, last = self._forward(text, len(text), 0)
@@ -112,23 +116,43 @@ class Pieces:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, and the count of each row."""
-        split = pc.split_pattern(pc.replace_substring(texts, SPACE, " "), " ")
-        code = split.flatten().dictionary_encode()
-        each = [self.word(SPACE + w)[1] for w in code.dictionary.to_pylist()]
+        empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        spaced = pc.replace_substring(texts, SPACE, " ")
+        if self.crosses:
+            code = spaced.dictionary_encode()
+            each = [self.word(SPACE + t.replace(" ", SPACE))[1] for t in code.dictionary.to_pylist()]
+            unit, ends = code.indices.to_numpy(zero_copy_only=False), np.arange(1, len(texts) + 1)
+        else:
+            split = pc.split_pattern(spaced, " ")
+            code = split.flatten().dictionary_encode()
+            named = code.dictionary.to_pylist()
+            each = [self.word(SPACE + w)[1] for w in named]
+            word = code.indices.to_numpy(zero_copy_only=False)
+            last = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)) - 1
+            # Empty words are spaces more in front of the next word, or at the end of a text.
+            closes = word != (named.index("") if "" in named else -1)
+            closes[last] = True
+            at = np.flatnonzero(closes)
+            more = np.diff(at, prepend=-1) - 1
+            unit, wide = word[at].astype(np.int64), np.flatnonzero(more)
+            different, place = np.unique(more[wide] * max(1, len(named)) + unit[wide], return_inverse=True)
+            each += [self.word(SPACE * (1 + k // len(named)) + named[k % len(named)])[1] for k in different.tolist()]
+            unit[wide] = len(named) + place
+            ends = np.searchsorted(at, last) + 1
         size = np.fromiter(map(len, each), np.int64, len(each))
         flat = np.fromiter((i for ids in each for i in ids), np.int32, int(size.sum()))
-        word = code.indices.to_numpy(zero_copy_only=False)
-        n_words = pc.list_value_length(split).to_numpy(zero_copy_only=False)
-        empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        n = size[word]
-        # An empty text splits into one empty word, which stands for nothing.
-        n[np.cumsum(n_words)[empty] - 1] = 0
-        ids = words.gathered(flat, (np.cumsum(size) - size)[word], n)
-        return ids, np.diff(np.concatenate([[0], np.cumsum(n)])[np.cumsum(n_words)], prepend=0)
+        n = size[unit]
+        # An empty text is one empty word, which stands for nothing.
+        n[ends[empty] - 1] = 0
+        ids = words.gathered(flat, (np.cumsum(size) - size)[unit], n)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(n)])[ends], prepend=0)
 
     def _borders(self, text: str, inside: int) -> tuple[int, int]:
         """First and last place in a chunk where a path must break; (-1, -1) without."""
-        return text.find(SPACE, 0, inside), text.rfind(SPACE, 0, inside)
+        first = None if self.crosses else _BORDER.search(text, 0, inside)
+        if first is None:
+            return -1, -1
+        return first.start(), len(text[: text.rfind(SPACE, 0, inside)].rstrip(SPACE))
 
     def matrix(self, text: str, inside: int) -> np.ndarray:
         """Best score for each state in and out of a chunk.
@@ -145,10 +169,10 @@ class Pieces:
                 if state - inside < size:
                     out[state, state - inside] = 0.0
             elif first >= state:
-                # Up to the first border, over whole words, and from the last border on.
+                # Up to the first border, over whole units, and from the last border on.
                 head = self._forward(text[:first], first, state)[0][first]
                 if middle is None:
-                    between = sum(self.word(w)[0] for w in _WORD.findall(text[first:final]))
+                    between = sum(self.word(w)[0] for w in _UNIT.findall(text[first:final]))
                     middle = between + np.array(self._forward(text[final:], inside - final, 0)[0][inside - final :])
                 out[state, : len(middle)] = head + middle
             else:
@@ -167,7 +191,7 @@ class Pieces:
             return self._ids(text, last, end, into)
         _, last = self._forward(text[:first], first, into)
         out = self._ids(text[:first], last, first, into)
-        for w in _WORD.findall(text[first:final]):
+        for w in _UNIT.findall(text[first:final]):
             out += self.word(w)[1]
         tail = text[final:]
         _, last = self._forward(tail, inside - final, 0)
@@ -203,8 +227,7 @@ def states(matrices: list[np.ndarray]) -> list[int]:
 def load(path: str) -> Pieces:
     """Pieces of a SentencePiece model file; one for each worker process.
 
-    Left out: control pieces, bytes (only used for unknown characters), and runs of
-    several U+2581, which that library's encoder doesn't produce either.
+    Left out: control pieces, and bytes (only used for unknown characters).
     """
     import sentencepiece
 
@@ -214,7 +237,7 @@ def load(path: str) -> Pieces:
         piece = model.id_to_piece(i)
         if model.is_byte(i):
             byte_ids[int(piece[3:5], 16)] = i
-        elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or SPACE in piece[1:]):
+        elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
             scores[piece] = (i, float(model.get_score(i)))
     return Pieces(scores, byte_ids, min(s for _, s in scores.values()) - 10)
 

@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from reckoner.llm import fingerprints, html_main, maxplus, neardup, ppm, tiling, tokenfiles, toxicity, warc, wordpiece, words
@@ -179,6 +180,29 @@ def test_pieces_round_trip_and_chunks_agree(spark):
     assert maxplus.encode(empty(spark), PIECES).count() == 0
 
 
+def test_pieces_of_runs_of_spaces(spark):
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    scores = {p: model.get_score(i) for i, p in enumerate(names) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+
+    def best(t):
+        w = "▁" + t.replace(" ", "▁")
+        top = [0.0] + [-math.inf] * len(w)
+        for j in range(1, len(w) + 1):
+            top[j] = max((top[i] + scores[w[i:j]] for i in range(max(0, j - 40), j) if w[i:j] in scores), default=-math.inf)
+        return top[-1]
+
+    texts = [a + " " * k + b for k in range(2, 21) for a, b in (("fox", "jumps"), ("", "x"), ("x", ""), ("", ""))] + ["if a:\n    b   =  1\n" + " " * 37 + "c", " ".join(["a", "", "", "b"] * 30)]
+    for chunk in (maxplus.CHUNK_CHARS, 7):
+        got = maxplus.encode(documents(spark, texts), PIECES, chunk_chars=chunk, verify=True).orderBy("doc_id").collect()
+        assert all(r["same"] for r in got)
+        whole = [k for k, t in enumerate(texts) if "\n" not in t]
+        assert [sum(model.get_score(i) for i in got[k]["ids"]) for k in whole] == [best(texts[k]) for k in whole]
+    crossing = maxplus.Pieces({"▁": (0, -9.0), "a": (1, -3.0), "b": (2, -3.0), "a▁": (3, -1.0), "▁b": (4, -9.0)}, [0] * 256, -99.0)
+    ids, n = crossing.ids(pa.array(["a b", "", "b"]))
+    assert (ids.tolist(), n.tolist()) == ([0, 3, 2, 4], [3, 0, 1])
+
+
 def test_max_plus_matrices_are_associative():
     x = maxplus.load(PIECES)
     w = maxplus.SPACE + text(6, 12).replace(" ", maxplus.SPACE)
