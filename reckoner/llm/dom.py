@@ -4,7 +4,9 @@ Inline elements belong to the block around them. Character references are decode
 white space inside a block becomes one space, comments, scripts, styles and other
 unseen text are left out. Unclosed and misnested tags are repaired the way browsers
 do where it matters for blocks: a block start ends an open paragraph, an item ends an
-item, an end tag without its start is ignored.
+item, an end tag without its start is ignored. The text of buttons, lists of choices,
+drawings and templates goes up to their end tag; without one, up to the next block start or the
+end of an element around them.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from dataclasses import dataclass, field
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|iframe|svg|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|title|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I,
 )
@@ -28,6 +30,11 @@ BLOCK = frozenset(
 )
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _HOLDS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}}
+#: Elements with markup inside whose text isn't read. Those without an end tag are open as "?tag".
+HIDDEN = frozenset("noscript template svg select button".split())
+_LOOSE = {f"?{t}" for t in HIDDEN}
+_ALONE = frozenset(("select", "button"))
+_HAS_HIDDEN = re.compile(f"<(?:{'|'.join(sorted(HIDDEN))})\\b", re.I)
 #: Groups of tags as one feature.
 GROUPS = ("article main", "nav menu", "header", "footer", "aside", "ul ol dl", "li dd dt", "p pre blockquote", "h1 h2 h3 h4 h5 h6 hgroup", "form fieldset", "section", "div center", "table tbody thead tr td th", "body html", "figure figcaption")
 _GROUP = {t: k for k, g in enumerate(GROUPS) for t in g.split()}
@@ -52,11 +59,33 @@ class Block:
     inline: int = 0
 
 
+def _ended(page: str) -> set[int]:
+    """Where the hidden elements start that have an end tag of their own."""
+    open_: list[tuple[str, int]] = []
+    out = set()
+    if not _HAS_HIDDEN.search(page):
+        return out
+    for m in _TOKEN.finditer(page):
+        tag = m[3] and m[3].lower()
+        if tag is None or tag in VOID:
+            continue
+        k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == tag), -1) if m[2] or tag in _ALONE else -1
+        if m[2] and k >= 0 and tag in HIDDEN:
+            out.add(open_[k][1])
+        if k >= 0:
+            del open_[k:]
+        if not (m[2] or tag == "svg" and m[4].endswith("/")):
+            open_.append((tag, m.start()))
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in page order; the first is the page itself."""
     out = [Block("html", -1, 0)]
-    open_ = [(0, "html")]
-    now, links, run, order = 0, 0, [], 0
+    #: (block, tag, whether it is seen) of each open element.
+    open_ = [(0, "html", True)]
+    now, links, run, order, hidden = 0, 0, [], 0, 0
+    ended = _ended(page)
 
     def flush() -> None:
         nonlocal run, order
@@ -68,10 +97,11 @@ def blocks(page: str) -> list[Block]:
 
     def close(to: int) -> None:
         """Close open elements from place ``to`` on."""
-        nonlocal now, links
-        if any(t in BLOCK for _, t in open_[to:]):
+        nonlocal now, links, hidden
+        if any(seen and t in BLOCK for _, t, seen in open_[to:]):
             flush()
-        links -= sum(t == "a" for _, t in open_[to:])
+        links -= sum(seen and t == "a" for _, t, seen in open_[to:])
+        hidden -= sum(t in HIDDEN or t in _LOOSE for _, t, _ in open_[to:])
         del open_[to:]
         now = open_[-1][0]
 
@@ -85,7 +115,7 @@ def blocks(page: str) -> list[Block]:
 
     at = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not hidden:
             text = page[at : m.start()]
             run.append(text)
             if links:
@@ -104,13 +134,24 @@ def blocks(page: str) -> list[Block]:
         if tag == "br":
             run.append(" ")
             continue
+        if hidden and (tag in BLOCK or tag in _ALONE) and (k := find(_LOOSE if tag in BLOCK else {tag, f"?{tag}"}, set())):
+            close(k)
+        if tag in HIDDEN:
+            if not (tag == "svg" and m[4].endswith("/")):
+                open_.append((now, tag if m.start() in ended else f"?{tag}", False))
+                hidden += 1
+            continue
+        if hidden:
+            if tag not in VOID:
+                open_.append((now, tag, False))
+            continue
         if tag not in BLOCK:
             out[now].inline += 1
             if tag not in VOID:
-                open_.append((now, tag))
+                open_.append((now, tag, True))
                 links += tag == "a"
             continue
-        if tag in ("html", "body", "head") and any(t == tag for _, t in open_):
+        if tag in ("html", "body", "head") and any(t == tag for _, t, _ in open_):
             continue
         if k := find({"p"}, {"td", "th", "button"}):
             close(k)
@@ -123,8 +164,8 @@ def blocks(page: str) -> list[Block]:
         out[now].children.append(len(out) - 1)
         if tag not in VOID:
             now = len(out) - 1
-            open_.append((now, tag))
-    if at < len(page):
+            open_.append((now, tag, True))
+    if at < len(page) and not hidden:
         run.append(page[at:])
     flush()
     return [b for b in out]

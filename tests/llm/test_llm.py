@@ -310,6 +310,18 @@ def test_blocks_and_text():
     assert blocks("") and blocks("<") and blocks("<p") and blocks("</p></div>")
 
 
+def test_hidden_elements_end_where_they_should():
+    read = lambda page: [t for b in blocks(page) for _, t in b.runs]
+    assert read('<article><p>one <svg class="i"/> two</p><p>three</p></article><p>four') == ["one two", "three", "four"]
+    assert read("<p>one <svg><path d='x'/><text>no</text></svg> two</p>") == ["one two"]
+    for tag in ("button", "select", "svg", "noscript", "template"):
+        assert read(f"<div><p>one <{tag} a=b>no</p><p>two</p></div><p>three") == ["one", "two", "three"]
+        assert read(f"<div>one<{tag}>no<p>two</p></div><p>three <{tag}>no</{tag}> four") == ["one", "two", "three four"]
+        assert read(f"<p>one <{tag}><div>no <b>no</b></div><p>no</p></{tag}> two</p>") == ["one two"]
+    assert read("<ul><li>one <button>no<li>two <button>no</button> three</ul>") == ["one", "two three"]
+    assert read("<p>one<script>no") == ["one"]
+
+
 def test_extraction(spark):
     article = lambda k: "".join(f"<p>{text(k * 10 + j, 40)}.</p>" for j in range(5))
     page = lambda k: f'<html><body><nav><ul><li><a href="/">{text(k, 2)}</a></li><li><a>{text(k + 1, 2)}</a></li></ul></nav><div class="ad">{text(k + 2, 8)}</div><article><h1>{text(k, 5)}</h1>{article(k)}</article><footer>{text(k + 3, 6)}</footer></body></html>'
