@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 _TOKEN = re.compile(
@@ -191,12 +192,20 @@ def features(tree: list[Block]) -> list[list[float]]:
         if b.parent >= 0:
             for total in (chars, links, below, paragraphs, stops):
                 total[b.parent] += total[k]
+    # Of the children of each block: their places, tags, text and link text.
+    place, alike, kin_text, kin_link = [0] * n, [Counter() for _ in tree], [0] * n, [0.0] * n
+    for k, b in enumerate(tree):
+        for j, c in enumerate(b.children):
+            place[c] = j
+        alike[k].update(tree[c].tag for c in b.children)
+        kin_text[k], kin_link[k] = sum(chars[c] for c in b.children), sum(links[c] for c in b.children)
     rows, above = [], [(0, 0)] * n
     within = [[0.0] * 6 for _ in range(n)]
     every = max(1, chars[0])
     for k, b in enumerate(tree):
         bad, good = sum(t in ASIDE for t in b.tokens), sum(t in MAIN for t in b.tokens)
-        kin = tree[b.parent].children if b.parent >= 0 else [k]
+        parent, root = b.parent, b.parent < 0
+        n_kin = 1 if root else len(tree[parent].children)
         if b.parent >= 0:
             above[k] = (above[b.parent][0] + sum(t in ASIDE for t in tree[b.parent].tokens), above[b.parent][1] + sum(t in MAIN for t in tree[b.parent].tokens))
             within[k] = within[b.parent][:]
@@ -210,10 +219,12 @@ def features(tree: list[Block]) -> list[list[float]]:
             tags[group] = 1.0
         if b.parent >= 0 and (g := _GROUP.get(tree[b.parent].tag, -1)) >= 0:
             up[g] = 1.0
-        kin_chars = sum(chars[c] for c in kin)
+        kin_chars = chars[k] if root else kin_text[parent]
+        kin_links = links[k] if root else kin_link[parent]
+        same_tag = 1 if root else alike[parent][b.tag]
         rows.append(
-            [b.depth, kin.index(k) / len(kin) if len(kin) < 400 else 0.5, len(kin), chars[k] / every, chars[k], own[k], links[k] / max(1, chars[k]), chars[k] / below[k], paragraphs[k], stops[k] / max(1, chars[k]), b.inline, bad, good, *above[k]]
-            + [kin_chars / len(kin), sum(links[c] for c in kin) / max(1, kin_chars), sum(tree[c].tag == b.tag for c in kin) / len(kin) if len(kin) < 400 else 1.0, len(b.tokens)]
+            [b.depth, place[k] / n_kin, n_kin, chars[k] / every, chars[k], own[k], links[k] / max(1, chars[k]), chars[k] / below[k], paragraphs[k], stops[k] / max(1, chars[k]), b.inline, bad, good, *above[k]]
+            + [kin_chars / n_kin, kin_links / max(1, kin_chars), same_tag / n_kin, len(b.tokens)]
             + tags
             + up
             + within[k]

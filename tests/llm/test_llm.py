@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from reckoner.llm import fingerprints, html_main, maxplus, neardup, ppm, tiling, tokenfiles, toxicity, warc, wordpiece, words
 from reckoner.llm.common import fresh_path
-from reckoner.llm.dom import blocks
+from reckoner.llm.dom import FEATURES, blocks, features
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -322,6 +322,18 @@ def test_hidden_elements_end_where_they_should():
     assert read("<p>one<script>no") == ["one"]
 
 
+def test_features_of_many_siblings():
+    at = [FEATURES.index(f) for f in ("place", "siblings", "kin_alike", "kin_chars", "kin_links")]
+    for n in (30, 399, 400, 1200):
+        tree = blocks("<body>" + "".join(f"<p>{k}</p>" if k % 3 else f"<div><a>{k}</a></div>" for k in range(n)))
+        rows = features(tree)
+        own = [len(str(k)) for k in range(n)]
+        links = sum(own[::3])
+        for k, c in enumerate(tree[1].children):
+            share = (n - (n + 2) // 3 if k % 3 else (n + 2) // 3) / n
+            assert [rows[c][i] for i in at] == pytest.approx([k / n, n, share, sum(own) / n, links / sum(own)])
+
+
 def test_extraction(spark):
     article = lambda k: "".join(f"<p>{text(k * 10 + j, 40)}.</p>" for j in range(5))
     page = lambda k: f'<html><body><nav><ul><li><a href="/">{text(k, 2)}</a></li><li><a>{text(k + 1, 2)}</a></li></ul></nav><div class="ad">{text(k + 2, 8)}</div><article><h1>{text(k, 5)}</h1>{article(k)}</article><footer>{text(k + 3, 6)}</footer></body></html>'
