@@ -104,8 +104,13 @@ def car_mileage(lines: DataFrame) -> DataFrame:
 
 
 def all_issues(reports: DataFrame, lines: DataFrame, parity: bool = True) -> DataFrame:
-    """Issues of all passes; pass_no and line_idx give their order."""
+    """Issues of all passes; pass_no and line_idx give their order.
+
+    Pass 8 needs the columns of rented cars (see ``car_mileage``).
+    """
     parts = [required_report_fields(reports), required_line_fields(lines, parity), conditional_required(lines), category_consistency(reports, lines), trip_window(reports, lines), tips(lines)]
+    if {"miles", "pick_up", "drop_off"} <= set(lines.columns):
+        parts.append(car_mileage(lines))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -117,6 +117,14 @@ def test_car_mileage(spark):
     assert [r["line_idx"] for r in validate.car_mileage(df).collect()] == [0]
 
 
+def test_all_issues_have_car_mileage(spark):
+    reports = spark.createDataFrame([(1, "2025-01-01", "expenses_domestic")], "report_id long, when_text string, category string")
+    df = lines(spark, {"country": "US"}).withColumns({"miles": F.lit(800.0), "pick_up": F.lit("2025-01-01"), "drop_off": F.lit("2025-01-02")})
+    issues = validate.all_issues(reports, df)
+    assert [r["pass_no"] for r in issues.where("pass_no = 8").collect()] == [8]
+    assert validate.all_issues(reports, df.drop("miles")).where("pass_no = 8").count() == 0
+
+
 def test_edits(spark):
     e = spark.createDataFrame([(1, "expense_report.a", "1", 1, 1), (1, "expense_report.a", "2", 2, 2), (1, "x", "2", 2, 3), (1, "expense_report.b", "no", 3, 4)], "report_id long, path string, new_text string, ts long, event_id long")
     leaves = spark.createDataFrame([(1, "expense_report.a", "0")], "report_id long, path string, value string")
