@@ -20,7 +20,8 @@ class and are compared once, as one representative.
    ``percent`` of its own size with any it is linked to, so of its shingles, rare ones
    first, the first quarter and one more is enough. A text with that many shingles of
    its own meets nobody. In these lists, members outside the component that most of
-   the list belongs to are paired with all members of other components and verified. So
+   the list belongs to are paired with members of other components, where sizes and the
+   places of the shared value leave room for enough common shingles, and verified. So
    no link between different components is lost, and members of one component are not
    paired again.
 
@@ -108,7 +109,7 @@ def _lists_of(values: DataFrame, needed: Column) -> DataFrame:
     a node's values, less than 0: the lowest is at the centre of its group. Lists of one
     are left out.
     """
-    often = settled(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))
+    often = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     shared = values.join(often, "value").groupBy("node", "n", "m").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("have"))
     alone = F.col("m") - F.size("have")
     often = F.aggregate("have", F.lit(0).cast("long"), lambda total, x: total + x["df"])
@@ -122,7 +123,7 @@ def _lists_of(values: DataFrame, needed: Column) -> DataFrame:
 def _merged(lists: DataFrame) -> DataFrame:
     """Lists with the same members as one list: one change of a text makes several
     shingles, whose lists are alike. A member has the best of its places."""
-    alike = settled(lists.groupBy("value").agg(F.bit_xor(F.xxhash64("node")).alias("same"), F.count("*").alias("of")))
+    alike = lists.groupBy("value").agg(F.bit_xor(F.xxhash64("node")).alias("same"), F.count("*").alias("of"))
     joined = lists.join(alike, "value").groupBy("same", "of", "node", "n").agg(F.min("place").alias("place"), F.min("rank").alias("rank"))
     return joined.select(F.xxhash64("same", "of").alias("value"), "place", "node", "n", "rank")
 
@@ -159,19 +160,19 @@ def components(links: DataFrame) -> DataFrame:
     dropped and few are left for the next step; steps end when none is left. The smallest
     node of a component never moves.
     """
-    roots, left = None, settled(links.select("a", "b").where("a <> b").distinct())
-    while roots is None or left.limit(1).count():
+    steps, left = [], settled(links.select("a", "b").where("a <> b").distinct())
+    while not steps or left.limit(1).count():
         both = left.union(left.select("b", "a"))
-        near = settled(both.groupBy("a").agg(F.min("b").alias("r")).select(F.col("a").alias("node"), F.least("a", "r").alias("to")))
+        near = both.groupBy("a").agg(F.min("b").alias("r")).select(F.col("a").alias("node"), F.least("a", "r").alias("to"))
         further = near.select(F.col("node").alias("to"), F.col("to").alias("on"))
         moved = settled(near.join(further, "to").select("node", F.col("on").alias("to")))
-        if roots is None:
-            roots = moved.select("node", F.col("to").alias("root"))
-        else:
-            roots = settled(roots.join(moved.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         at_a, at_b = moved.select(F.col("node").alias("a"), F.col("to").alias("x")), moved.select(F.col("node").alias("b"), F.col("to").alias("y"))
         left = settled(left.join(at_a, "a").join(at_b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return roots
+        steps.append(moved)
+    roots = steps[0].select("node", F.col("to").alias("root"))
+    for moved in steps[1:]:
+        roots = roots.join(moved.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return settled(roots) if len(steps) > 1 else roots
 
 
 def _stars(members: DataFrame, percent: int) -> DataFrame:
@@ -179,7 +180,7 @@ def _stars(members: DataFrame, percent: int) -> DataFrame:
     # The first pivot is the member nearest the centre; others are random.
     key = [F.struct((F.col("rank") if s == 0 else F.lit(0)).alias("rank"), F.xxhash64("node", F.lit(s)).alias("h"), F.col("node").alias("pivot"), F.col("n").alias("m")) for s in range(PIVOTS)]
     stars = members.groupBy("value").agg(*[F.min(x).alias(f"p{s}") for s, x in enumerate(key)])
-    stars = settled(stars.select("value", F.inline(F.array(*[f"p{s}" for s in range(PIVOTS)]))).select("value", "pivot", "m").distinct())
+    stars = stars.select("value", F.inline(F.array(*[f"p{s}" for s in range(PIVOTS)]))).select("value", "pivot", "m").distinct()
     apart = (F.col("node") != F.col("pivot")) & _fits(F.col("n"), F.col("m"), percent)
     return members.join(stars, "value").where(apart).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
@@ -187,8 +188,7 @@ def _stars(members: DataFrame, percent: int) -> DataFrame:
 def _open(members: DataFrame) -> DataFrame:
     """Members of lists of several components, with the list's most frequent root."""
     most = members.groupBy("value", "root").count().groupBy("value").agg(F.max(F.struct("count", "root")).alias("most"), F.count("*").alias("roots"))
-    most = settled(most.where("roots > 1").select("value", F.col("most.root").alias("most")))
-    return settled(members.join(most, "value"))
+    return members.join(most.where("roots > 1").select("value", F.col("most.root").alias("most")), "value")
 
 
 def _rest(some: DataFrame, percent: int) -> DataFrame:
@@ -200,9 +200,14 @@ def _rest(some: DataFrame, percent: int) -> DataFrame:
     """
     early = F.col("place") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent))
     some = some.withColumn("early", early)
-    few = some.where("root <> most").select("value", F.col("node").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("early").alias("soon"))
+    few = some.where("root <> most").select(
+        "value", F.col("node").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("early").alias("soon"), F.col("place").alias("stands")
+    )
     meet = F.when(F.col("n") < F.col("m"), F.col("early")).when(F.col("n") > F.col("m"), F.col("soon")).otherwise(F.col("early") & F.col("soon"))
-    apart = (F.col("root") != F.col("other")) & meet & _fits(F.col("n"), F.col("m"), percent)
+    # At the first value that a pair shares, no more than what stands behind it can be common.
+    common = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
+    room = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("stands")) >= common
+    apart = (F.col("root") != F.col("other")) & meet & room & _fits(F.col("n"), F.col("m"), percent)
     return some.join(few, "value").where(apart).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
@@ -216,7 +221,8 @@ def linked(classes: DataFrame, texts: DataFrame, size: int, percent: int, k: int
     sets = settled(full_sets(texts.join(wanted, "node"), size, keep=["node", "n"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return settled(_verified(pairs, sets, percent).distinct())
+        # A pivot is in many pairs. Without an aggregate behind the joins, Spark can split it.
+        return settled(_verified(pairs, sets, percent))
 
     def rooted(lists: DataFrame) -> DataFrame:
         return lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -227,7 +233,8 @@ def linked(classes: DataFrame, texts: DataFrame, size: int, percent: int, k: int
     grams = sets.join(still, "node").select("node", "n", F.col("n").alias("m"), F.explode("grams").alias("value")).distinct()
     exact = _lists_of(grams, F.ceil(F.col("m") * percent / 100).cast("int"))
     # These lists are of full sets; sketches have nothing to add.
-    more = verified(_rest(_open(rooted(settled(_merged(settled(exact))))), percent))
+    lists = settled(rooted(_merged(settled(exact))))
+    more = verified(_rest(settled(_open(lists)), percent))
     return components(links.union(more)) if more.limit(1).count() else roots
 
 
