@@ -1,29 +1,39 @@
 """Piece encoding and decoding by a max-plus parallel scan.
 
 The vocabulary is that of a SentencePiece model file; spaces are written as U+2581
-with one in front, as that library does. The encoding is the sequence of pieces with
-the largest sum of scores (a character that no piece covers costs ``unknown`` and
-becomes its UTF-8 bytes). Of equally good ones the one with the longer last piece is
-taken, then so backwards. Decoding joins the pieces and gives back the text.
-
-Best paths are found over a lattice of character positions. Cut anywhere, a text's
-state at the cut is the number of characters by which the piece in progress reaches
-over it, so a chunk is a matrix over (state in, state out) with the best score of
-each, and matrices of neighbouring chunks combine by the associative max-plus
-product. Texts longer than ``chunk_chars`` are split into chunks. Each chunk's matrix is
-computed in a task of its own, with the ``reach`` characters behind the cut at hand;
-a scan over a text's matrices gives the state at each cut; and every chunk then
-traces its best path back independently. A shorter text is one chunk.
-
-Where no piece holds U+2581 behind another character than itself, paths meet in front
-of each run of U+2581. Such a run and the word behind it are a unit, and each
-different unit of a batch is solved once. With other vocabularies a text is one unit.
-
-Ids are those of the best-scoring path. They differ from merges applied in the
-order of a byte-pair model, and decode to the same text.
+with one in front, as that library does, and the ids are that library's. Best paths
+are found over a lattice of character positions whose edges are pieces (a character
+that no piece covers becomes its UTF-8 bytes):
+
+* Unigram models: an edge weighs its piece's score (``unknown`` for an uncovered
+  character), and of equal sums the one with the longer last piece is taken.
+* Byte-pair models: an edge weighs nothing if its piece may stand behind the one
+  before, that is if merging the two pieces' text gives the two pieces, and minus
+  infinity if not. Merges in different pieces don't meet before one crosses a border
+  between two, and which merge is first to cross depends on these two alone. So a path
+  is finite exactly if it is what all merges give, and there is one such path.
+
+Cut anywhere, a text's state at the cut is the piece that reaches up to it or over
+it, so a chunk is a matrix over (state in, state out) with the best sum of each, and
+matrices of neighbouring chunks combine by the associative max-plus product. Texts
+of at least ``chunk_chars`` are split into chunks:
+
+1. Each chunk's matrix is computed on its own, with the characters around its cuts.
+2. Every ``FAN`` neighbours are combined into one matrix, and so on until one is left.
+3. Downwards again, the states at the cuts inside each group follow from those at its
+   ends, so no task holds more than ``FAN`` matrices of a text, however long it is.
+4. Every chunk traces its path back independently.
+
+A shorter text is one chunk. Where no piece holds U+2581 behind another character than
+itself, paths meet in front of each run of U+2581. Such a run and the word behind it
+are a unit, and each different unit is solved once. With other vocabularies a text is
+one unit.
+
+Decoding joins the pieces and gives back the text.
 
 Defined results: null and empty texts have no pieces, and decode to the empty
-text; equal texts have equal ids; extra columns stay as ``keep`` says.
+text; equal texts have equal ids; extra columns stay as ``keep`` says; no documents
+give no rows. ``chunk_chars`` must be larger than the longest piece.
 """
 
 from __future__ import annotations
@@ -32,6 +42,7 @@ import functools
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -41,35 +52,110 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reckoner.llm import words
-from reckoner.llm.common import with_results
+from reckoner.llm.common import settled, with_results
 
 SPACE = "▁"
-CHUNK_CHARS = 1 << 16
-CACHE_WORDS = 400_000
+CHUNK_CHARS = 1 << 14
+#: Neighbouring matrices that one step combines.
+FAN = 32
+CACHE_WORDS = 200_000
+CACHE_PAIRS = 1_000_000
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+")
 _BORDER = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 _NONE = -np.inf
 
 
+#: A state at a cut: characters of its piece before the cut and behind it.
+State = tuple[int, int]
+START: State = (0, 0)
+
+
 class Pieces:
-    """Pieces with scores, and best paths over them."""
+    """Pieces with scores, and best paths over them. ``merged``: of a byte-pair model."""
 
-    def __init__(self, scores: dict[str, tuple[int, float]], byte_ids: list[int], unknown: float):
-        self.scores, self.byte_ids, self.unknown = scores, byte_ids, unknown
+    def __init__(self, scores: dict[str, tuple[int, float]], byte_ids: list[int], unknown: float, merged: bool = False):
+        self.scores, self.byte_ids, self.unknown, self.merged = scores, byte_ids, unknown, merged
         self.longest = max(map(len, scores), default=1)
-        #: Characters that may stand behind a cut and still belong to a piece before it.
-        self.reach = self.longest - 1
         #: Whether a piece goes on from a word into the spaces behind it.
         self.crosses = any(map(_BORDER.search, scores))
+        #: Solved units; those not used since the last time that ``known`` was full go.
         self.known: dict[str, tuple[float, tuple[int, ...]]] = {}
+        self.older: dict[str, tuple[float, tuple[int, ...]]] = {}
         # Prefixes of pieces let the search stop early.
         self.heads = {p[:n] for p in scores for n in range(1, len(p) + 1)}
+        self.inner = {p[n : n + 2] for p in scores for n in range(len(p) - 1)}
+        self.number = {p: i for p, (i, _) in scores.items()}
+        self.letters = {p for p in scores if len(p) == 1}
+        #: Finds all pieces of a text, at each end the longest first.
+        self.automaton = ahocorasick.Automaton()
+        for p, i in self.number.items():
+            self.automaton.add_word(p, (i, len(p)))
+        self.automaton.make_automaton()
+        #: By the numbers of two pieces; the numbers behind the pieces: uncovered, none.
+        self.pairs: dict[int, bool] = {}
+        self.uncovered = max(self.number.values(), default=0) + 1
+        self.bits = (self.uncovered + 1).bit_length()
+
+    def _merge(self, text: str) -> list[str]:
+        """What merges leave of a short text: the best-scored pair first, then the leftmost."""
+        parts, scores = list(text), self.scores
+        while True:
+            best, at = _NONE, -1
+            for k in range(len(parts) - 1):
+                found = scores.get(parts[k] + parts[k + 1])
+                if found is not None and found[1] > best:
+                    best, at = found[1], k
+            if at < 0:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def fits(self, before: str, piece: str) -> bool:
+        """Whether merges leave both pieces of their joined text ("" before a text's first)."""
+        if before and before[-1] + piece[0] not in self.inner:
+            return self.fits("", before) and self.fits("", piece)
+        return self._merge(before + piece) == [x for x in (before, piece) if x]
+
+    def _forward_merged(self, text: str, inside: int, start: int, before: str) -> tuple[list[float], list[int]]:
+        """``_forward`` of a byte-pair model: at most one piece can end a path at a position."""
+        n = len(text)
+        best, last, ends = [_NONE] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[start] = 0.0
+        uncovered, bits, pairs = self.uncovered, self.bits, self.pairs
+        ends[start] = self.number.get(before, uncovered) if before else uncovered + 1
+        holes = [] if self.letters.issuperset(text) else [k for k in range(start, min(n, inside)) if text[k] not in self.letters]
+        hole = 0
+        for at, (own, size) in self.automaton.iter(text, start):
+            while hole < len(holes) and holes[hole] < at:
+                k = holes[hole]
+                best[k + 1], last[k + 1], ends[k + 1] = best[k], 1, uncovered
+                hole += 1
+            j = at + 1
+            i = j - size
+            if ends[j] >= 0 or i >= inside:
+                continue
+            former = ends[i]
+            if former < 0:
+                continue
+            key = former << bits | own
+            fit = pairs.get(key)
+            if fit is None:
+                if len(pairs) > CACHE_PAIRS:
+                    pairs.clear()
+                fit = pairs[key] = self.fits(before if i == start else text[i - last[i] : i], text[i:j])
+            if fit:
+                best[j], last[j], ends[j] = 0.0, size, own
+        for k in holes[hole:]:
+            best[k + 1], last[k + 1], ends[k + 1] = best[k], 1, uncovered
+        return best, last
 
-    def _forward(self, text: str, inside: int, start: int) -> tuple[list[float], list[int]]:
-        """Best scores and last piece lengths at each position, from ``start`` on.
+    def _forward(self, text: str, inside: int, start: int = 0, before: str = "") -> tuple[list[float], list[int]]:
+        """Best sums and last piece lengths at each position, from ``start`` on.
 
-        Pieces begin before ``inside`` and may end up to the end of ``text``.
+        Pieces begin before ``inside`` and may end up to the end of ``text``. ``before``:
+        the piece that ends at ``start``.
         """
+        if self.merged:
+            return self._forward_merged(text, inside, start, before)
         n = len(text)
         best, last = [_NONE] * (n + 1), [0] * (n + 1)
         best[start] = 0.0
@@ -78,15 +164,14 @@ class Pieces:
             base = best[i]
             if base == _NONE:
                 continue
-            if text[i] not in scores:
-                if base + self.unknown > best[i + 1]:
-                    best[i + 1], last[i + 1] = base + self.unknown, 1
+            if text[i] not in scores and base + self.unknown > best[i + 1]:
+                best[i + 1], last[i + 1] = base + self.unknown, 1
             for j in range(i + 1, min(n, i + self.longest) + 1):
                 piece = text[i:j]
                 if piece not in heads:
                     break
                 found = scores.get(piece)
-                # Of equal scores the first found has the longer last piece.
+                # Of equal sums the first found has the longer last piece.
                 if found is not None and base + found[1] > best[j]:
                     best[j], last[j] = base + found[1], j - i
         return best, last
@@ -104,13 +189,15 @@ class Pieces:
         return out[::-1]
 
     def word(self, text: str) -> tuple[float, tuple[int, ...]]:
-        """Score and ids of a unit's best path."""
+        """Sum and ids of a unit's best path."""
         got = self.known.get(text)
         if got is None:
-            best, last = self._forward(text, len(text), 0)
-            got = best[-1], tuple(self._ids(text, last, len(text), 0))
+            got = self.older.get(text)
+            if got is None:
+                best, last = self._forward(text, len(text))
+                got = best[-1], tuple(self._ids(text, last, len(text), 0))
             if len(self.known) > CACHE_WORDS:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[text] = got
         return got
 
@@ -154,48 +241,62 @@ class Pieces:
             return -1, -1
         return first.start(), len(text[: text.rfind(SPACE, 0, inside)].rstrip(SPACE))
 
-    def matrix(self, text: str, inside: int) -> np.ndarray:
-        """Best score for each state in and out of a chunk.
+    def states(self, before: str, behind: str) -> list[State]:
+        """The states at a cut between these characters, in the order of matrices.
 
-        ``text``: its ``inside`` characters and up to ``reach`` behind them. States
-        that point behind the chunk pass through where it is shorter than that.
+        Before a text's first character there is one, behind its last also.
         """
-        size = self.reach + 1
-        out = np.full((size, size), _NONE)
-        first, final = self._borders(text, inside)
+        if not before or not behind:
+            return [START]
+        reach = min(self.longest - 1, len(behind))
+        if not self.merged:
+            return [(0, over) for over in range(reach + 1)]
+        found = [(back, over) for back in range(1, min(self.longest, len(before)) + 1) for over in range(min(reach, self.longest - back) + 1) if before[-back:] + behind[:over] in self.scores]
+        return found if before[-1] in self.scores else [(1, 0), *found]
+
+    def _start(self, before: str, text: str, state: State) -> tuple[int, str]:
+        back, over = state
+        return over, (before[len(before) - back :] + text[:over] if self.merged else "")
+
+    def matrix(self, before: str, text: str, behind: str) -> np.ndarray:
+        """Best sum for each state in and out of a chunk between these characters."""
+        inside, whole = len(text), text + behind
+        out_states = self.states(text, behind)
+        out = np.full((len(self.states(before, whole)), len(out_states)), _NONE)
+
+        def ends(best: list[float], last: list[int], at: int) -> np.ndarray:
+            if not behind or not self.merged:
+                return np.array([best[at + over] for _, over in out_states])
+            return np.array([best[at + over] if last[at + over] == back + over else _NONE for back, over in out_states])
+
+        first, final = self._borders(whole, inside)
         middle = None
-        for state in range(size):
-            if state > inside:
-                if state - inside < size:
-                    out[state, state - inside] = 0.0
-            elif first >= state:
+        for k, state in enumerate(self.states(before, whole)):
+            start, former = self._start(before, whole, state)
+            if first >= start:
                 # Up to the first border, over whole units, and from the last border on.
-                head = self._forward(text[:first], first, state)[0][first]
+                head = self._forward(whole[:first], first, start, former)[0][first]
                 if middle is None:
-                    between = sum(self.word(w)[0] for w in _UNIT.findall(text[first:final]))
-                    middle = between + np.array(self._forward(text[final:], inside - final, 0)[0][inside - final :])
-                out[state, : len(middle)] = head + middle
+                    between = sum(self.word(w)[0] for w in _UNIT.findall(whole[first:final]))
+                    middle = between + ends(*self._forward(whole[final:], inside - final), inside - final)
+                out[k] = head + middle
             else:
-                tail = np.array(self._forward(text, inside, state)[0][inside:])
-                out[state, : len(tail)] = tail
+                out[k] = ends(*self._forward(whole, inside, start, former), inside)
         return out
 
-    def trace(self, text: str, inside: int, into: int, outof: int) -> list[int]:
+    def trace(self, before: str, text: str, behind: str, into: int, outof: int) -> list[int]:
         """Ids of the pieces that begin in a chunk, on the best path between two states."""
-        if into >= inside:
-            return []
-        first, final = self._borders(text, inside)
-        end = inside + outof
-        if first < into:
-            _, last = self._forward(text, inside, into)
-            return self._ids(text, last, end, into)
-        _, last = self._forward(text[:first], first, into)
-        out = self._ids(text[:first], last, first, into)
-        for w in _UNIT.findall(text[first:final]):
+        inside, whole = len(text), text + behind
+        start, former = self._start(before, whole, self.states(before, whole)[into])
+        end = inside + self.states(text, behind)[outof][1]
+        first, final = self._borders(whole, inside)
+        if first < start:
+            return self._ids(whole, self._forward(whole, inside, start, former)[1], end, start)
+        out = self._ids(whole[:first], self._forward(whole[:first], first, start, former)[1], first, start)
+        for w in _UNIT.findall(whole[first:final]):
             out += self.word(w)[1]
-        tail = text[final:]
-        _, last = self._forward(tail, inside - final, 0)
-        return out + self._ids(tail, last, end - final, 0)
+        tail = whole[final:]
+        return out + self._ids(tail, self._forward(tail, inside - final)[1], end - final, 0)
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -203,24 +304,26 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(1)
 
 
-def states(matrices: list[np.ndarray]) -> list[int]:
-    """The state at each cut of the best path that begins and ends in state 0.
+def between(matrices: list[np.ndarray], into: int, outof: int) -> list[int]:
+    """The state at each cut of the best path from state ``into`` to ``outof``.
 
-    Products from the left and from the right give the best score through each state
-    at each cut; the path is then read off cut by cut.
+    Products from the right give the best sum from each state at each cut to the end;
+    the path is then read off cut by cut.
     """
-    n = len(matrices)
-    right = [np.full(len(matrices[0]), _NONE)]
-    right[0][0] = 0.0
-    for m in reversed(matrices):
-        right.append((m + right[-1][None, :]).max(1))
-    right.reverse()
-    path, now = [0], 0
-    for k in range(n):
-        through = matrices[k][now] + right[k + 1]
-        now = int(np.argmax(through))
-        path.append(now)
-    return path
+    right = [matrices[-1][:, [outof]]]
+    for m in reversed(matrices[:-1]):
+        right.append(product(m, right[-1]))
+    path = [into]
+    for m, rest in zip(matrices[:-1], reversed(right[:-1]), strict=True):
+        path.append(int(np.argmax(m[path[-1]] + rest[:, 0])))
+    return [*path, outof]
+
+
+def _model_type(path: str) -> int:
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(path, "rb") as f:
+        return sentencepiece_model_pb2.ModelProto.FromString(f.read()).trainer_spec.model_type
 
 
 @functools.lru_cache(maxsize=2)
@@ -239,7 +342,8 @@ def load(path: str) -> Pieces:
             byte_ids[int(piece[3:5], 16)] = i
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
             scores[piece] = (i, float(model.get_score(i)))
-    return Pieces(scores, byte_ids, min(s for _, s in scores.values()) - 10)
+    # 1: unigram, 2: byte pairs.
+    return Pieces(scores, byte_ids, min(s for _, s in scores.values()) - 10, merged=_model_type(path) == 2)
 
 
 class Decoder:
@@ -309,40 +413,74 @@ def _short(docs: DataFrame, path: str, verify: bool, keep: list[str]) -> DataFra
 
 
 def _chunks(docs: DataFrame, chunk: int, reach: int) -> DataFrame:
-    """(_row, _at, _text, _inside): a text's chunks with what is read behind each."""
+    """(_row, _at, _before, _text, _behind): a text's chunks with what stands around each."""
     n = F.length("_written")
     at = F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("_at")
-    cut = docs.select("_row", "_written", n.alias("_n"), at)
-    return cut.select(
-        "_row", "_at", F.substr("_written", F.col("_at") * chunk + 1, F.lit(chunk + reach)).alias("_text"), F.least(F.lit(chunk), F.col("_n") - F.col("_at") * chunk).alias("_inside")
-    ).repartition("_row", "_at")
+    first = F.col("_at") * chunk
+    read = lambda begin, size: F.substr("_written", begin + 1, size)
+    around = read(F.greatest(first - reach, F.lit(0)), F.least(first, F.lit(reach))).alias("_before"), read(first, F.lit(chunk)).alias("_text"), read(first + chunk, F.lit(reach)).alias("_behind")
+    return docs.select("_row", "_written", at).select("_row", "_at", *around)
+
+
+def _packed(m: np.ndarray) -> bytes:
+    return np.array(m.shape, np.int32).tobytes() + m.astype(np.float64).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.float64, offset=8).reshape(np.frombuffer(raw, np.int32, 2))
+
+
+def _states_at_cuts(matrices: DataFrame, n_chunks: int) -> DataFrame:
+    """(_row, _at, _into, _outof) of every matrix (_row, _at, _matrix), by a scan over a tree."""
+
+    def combine(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_at")
+        whole = functools.reduce(product, map(_unpacked, rows["_matrix"]))
+        return pd.DataFrame({"_row": rows["_row"][:1], "_at": rows["_at"][:1] // FAN, "_matrix": [_packed(whole)]})
+
+    def inner(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_at")
+        path = between([_unpacked(m) for m in rows["_matrix"]], int(rows["_first"].iloc[0]), int(rows["_last"].iloc[0]))
+        return pd.DataFrame({"_row": rows["_row"], "_at": rows["_at"], "_into": path[:-1], "_outof": path[1:]})
+
+    group = (F.col("_at") / FAN).cast("int").alias("_group")
+    levels = [matrices]
+    while n_chunks > 1:
+        levels.append(levels[-1].groupBy("_row", group).applyInPandas(combine, "_row binary, _at int, _matrix binary"))
+        n_chunks = -(-n_chunks // FAN)
+    found = levels[-1].select("_row", "_at", F.lit(0).alias("_into"), F.lit(0).alias("_outof"))
+    for level in reversed(levels[:-1]):
+        ends = found.select("_row", F.col("_at").alias("_group"), F.col("_into").alias("_first"), F.col("_outof").alias("_last"))
+        held = level.select("*", group).join(ends, ["_row", "_group"])
+        found = held.groupBy("_row", "_group").applyInPandas(inner, "_row binary, _at int, _into int, _outof int")
+    return found
 
 
 def _long(docs: DataFrame, path: str, chunk: int) -> DataFrame:
     """(_row, ids) of texts in several chunks."""
-    reach = load(path).reach
-    chunks = _chunks(docs, chunk, reach)
+    pieces = load(path)
+    if chunk <= pieces.longest:
+        raise ValueError(f"chunk_chars must be larger than {pieces.longest}")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # With a number, small chunks aren't put together in few tasks.
+    chunks = _chunks(docs, chunk, pieces.longest).repartition(tasks, "_row", "_at")
 
     def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = load(path)
         for part in batches:
-            made = [pieces.matrix(t, i).tobytes() for t, i in zip(part["_text"], part["_inside"], strict=True)]
+            made = [_packed(pieces.matrix(*x)) for x in zip(part["_before"], part["_text"], part["_behind"], strict=True)]
             yield pd.DataFrame({"_row": part["_row"], "_at": part["_at"], "_matrix": made})
 
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_at")
-        path_states = states([np.frombuffer(m).reshape(reach + 1, reach + 1) for m in rows["_matrix"]])
-        return pd.DataFrame({"_row": rows["_row"], "_at": rows["_at"], "_into": path_states[:-1], "_outof": path_states[1:]})
-
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = load(path)
         for part in batches:
-            rows = zip(part["_text"], part["_inside"], part["_into"], part["_outof"], strict=True)
+            rows = zip(part["_before"], part["_text"], part["_behind"], part["_into"], part["_outof"], strict=True)
             yield pd.DataFrame({"_row": part["_row"], "_at": part["_at"], "_ids": [pieces.trace(*r) for r in rows]})
 
-    matrices = chunks.mapInPandas(transfer, "_row long, _at int, _matrix binary")
-    at_cuts = matrices.groupBy("_row").applyInPandas(scan, "_row long, _at int, _into int, _outof int")
-    traced = chunks.join(at_cuts, ["_row", "_at"]).mapInPandas(trace, "_row long, _at int, _ids array<int>")
+    longest = docs.agg(F.max(F.length("_written"))).first()[0] or 0
+    matrices = settled(chunks.mapInPandas(transfer, "_row binary, _at int, _matrix binary"))
+    at_cuts = _states_at_cuts(matrices, -(-longest // chunk))
+    traced = chunks.join(at_cuts, ["_row", "_at"]).repartition(tasks, "_row", "_at").mapInPandas(trace, "_row binary, _at int, _ids array<int>")
     parts = traced.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "_ids"))).alias("_parts"))
     return parts.select("_row", F.flatten(F.col("_parts._ids")).alias("ids"))
 
@@ -353,8 +491,8 @@ def encode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, verify: b
     kept = [c for c in docs.columns if keep is None or c in keep]
     is_long = F.coalesce(F.length("text") >= chunk_chars, F.lit(False))
     short = _short(docs.where(~is_long), path, verify, kept)
-    # A long text goes by its hash, so equal texts share the work.
-    long = docs.where(is_long).withColumn("_written", _written(F.col("text"))).withColumn("_row", F.xxhash64("_written"))
+    # A long text goes by its SHA-256, so equal texts share the work.
+    long = docs.where(is_long).withColumn("_written", _written(F.col("text"))).withColumn("_row", F.unhex(F.sha2("_written", 256)))
     joined = long.join(_long(long.select("_row", "_written").dropDuplicates(["_row"]), path, chunk_chars), "_row")
     found = ["ids"]
     if verify:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
@@ -167,37 +168,55 @@ def test_piece_counts_match_longest_match(spark):
     assert wordpiece.Automaton([(b"ab", False), (b"b", True)]).count(b"zb") == -1
 
 
-def test_pieces_round_trip_and_chunks_agree(spark):
-    x = maxplus.load(PIECES)
-    texts = [*ODD, text(5, 400), "a▁b", "no spaces".replace(" ", "") * 300, "  two  spaces  "]
-    whole = maxplus.encode(documents(spark, texts), PIECES, verify=True).orderBy("doc_id").collect()
-    cut = maxplus.encode(documents(spark, texts), PIECES, chunk_chars=200, verify=True).orderBy("doc_id").collect()
-    names = {i: s for _, (i, s) in x.scores.items()}
-    total = lambda ids: sum(names.get(i, 0.0) for i in ids)
-    for a, b, t in zip(whole, cut, texts, strict=True):
-        assert a["same"] and b["same"] and maxplus.decode(a["ids"], PIECES) == (t or "").replace("▁", " ")
-        assert total(a["ids"]) == total(b["ids"])
-    assert maxplus.encode(empty(spark), PIECES).count() == 0
-
-
-def test_pieces_of_runs_of_spaces(spark):
-    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-    scores = {p: model.get_score(i) for i, p in enumerate(names) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
-
-    def best(t):
-        w = "▁" + t.replace(" ", "▁")
-        top = [0.0] + [-math.inf] * len(w)
-        for j in range(1, len(w) + 1):
-            top[j] = max((top[i] + scores[w[i:j]] for i in range(max(0, j - 40), j) if w[i:j] in scores), default=-math.inf)
-        return top[-1]
-
-    texts = [a + " " * k + b for k in range(2, 21) for a, b in (("fox", "jumps"), ("", "x"), ("x", ""), ("", ""))] + ["if a:\n    b   =  1\n" + " " * 37 + "c", " ".join(["a", "", "", "b"] * 30)]
-    for chunk in (maxplus.CHUNK_CHARS, 7):
-        got = maxplus.encode(documents(spark, texts), PIECES, chunk_chars=chunk, verify=True).orderBy("doc_id").collect()
-        assert all(r["same"] for r in got)
-        whole = [k for k, t in enumerate(texts) if "\n" not in t]
-        assert [sum(model.get_score(i) for i in got[k]["ids"]) for k in whole] == [best(texts[k]) for k in whole]
+def unigram_model(path):
+    """A small unigram model file with made-up scores; nothing is trained."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.trainer_spec.model_type = 1
+    model.trainer_spec.byte_fallback = True
+    model.normalizer_spec.name = "identity"
+    model.normalizer_spec.add_dummy_prefix = True
+    model.normalizer_spec.remove_extra_whitespaces = False
+    add = lambda piece, score, kind: model.pieces.add(piece=piece, score=score, type=kind)
+    add("<unk>", 0, 2)
+    for b in range(256):
+        add(f"<0x{b:02X}>", 0, 6)
+    r = random.Random(9)
+    letters = "abdeghiklmnoprstuxz▁0123"
+    made = {*letters, *("".join(r.choice(letters[:16]) for _ in range(r.choice((2, 2, 3, 4)))) for _ in range(600)), *(f"▁{w[:k]}" for w in WORDS for k in (2, 3, 4)), "▁▁"}
+    for k, piece in enumerate(sorted(made)):
+        add(piece, -1.0 - k % 97 / 8, 1)
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("kind", ["merged", "unigram"])
+def test_pieces_are_the_librarys(spark, tmp_path, kind):
+    path = PIECES if kind == "merged" else unigram_model(tmp_path / "uni.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    spaces = [a + " " * k + b for k in range(2, 21) for a, b in (("fox", "jumps"), ("", "x"), ("x", ""), ("", ""))]
+    texts = [*ODD, text(5, 400), "a▁b", "nospaces" * 300, "日本語テキスト" * 40, "  two  spaces  ", "if a:\n    b   =  1\n" + " " * 37 + "c", " ".join(["a", "", "", "b"] * 30), text(5, 400), *spaces]
+    docs = documents(spark, texts).withColumns({"IDS": F.lit(1), "same": F.lit("x")})
+    for chunk in (maxplus.CHUNK_CHARS, 17):
+        got = maxplus.encode(docs, path, chunk_chars=chunk, verify=True).orderBy("doc_id").collect()
+        assert [r["ids"] for r in got] == library.encode([t or "" for t in texts])
+        assert all(r["same"] and maxplus.decode(r["ids"], path) == (t or "").replace("▁", " ") for r, t in zip(got, texts, strict=True))
+    assert maxplus.encode(empty(spark), path).count() == 0
+    with pytest.raises(ValueError, match="larger"):
+        maxplus.encode(docs, path, chunk_chars=3)
+
+
+def test_pieces_of_a_text_of_many_chunks(spark):
+    # More than FAN * FAN chunks, so the tree has three levels.
+    long = text(7, 1500) + "x" * 3000 + text(8, 1500)
+    assert len(long) > 17 * maxplus.FAN**2
+    got = maxplus.encode(documents(spark, [long, "", None, long]), PIECES, chunk_chars=17, verify=True).orderBy("doc_id").collect()
+    want = sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(long)
+    assert [r["ids"] for r in got] == [want, [], [], want] and all(r["same"] for r in got)
+
+
+def test_pieces_with_a_vocabulary_that_crosses_words():
     crossing = maxplus.Pieces({"▁": (0, -9.0), "a": (1, -3.0), "b": (2, -3.0), "a▁": (3, -1.0), "▁b": (4, -9.0)}, [0] * 256, -99.0)
     ids, n = crossing.ids(pa.array(["a b", "", "b"]))
     assert (ids.tolist(), n.tolist()) == ([0, 3, 2, 4], [3, 0, 1])
@@ -206,13 +225,11 @@ def test_pieces_of_runs_of_spaces(spark):
 def test_max_plus_matrices_are_associative():
     x = maxplus.load(PIECES)
     w = maxplus.SPACE + text(6, 12).replace(" ", maxplus.SPACE)
-    best = x._forward(w, len(w), 0)[0][-1]
-    for size in (1, 5, 17):
-        parts = [x.matrix(w[a : a + size + x.reach], min(size, len(w) - a)) for a in range(0, len(w), size)]
-        left = parts[0]
-        for m in parts[1:]:
-            left = maxplus.product(left, m)
-        assert left[0, 0] == best
+    for size in (17, 20, 33):
+        parts = [x.matrix(w[max(0, a - x.longest) : a], w[a : a + size], w[a + size : a + size + x.longest]) for a in range(0, len(w), size)]
+        left = functools.reduce(maxplus.product, parts)
+        right = functools.reduce(lambda a, b: maxplus.product(b, a), reversed(parts))
+        assert left.shape == (1, 1) and left[0, 0] == right[0, 0] == 0
 
 
 def test_model_probabilities_add_up_to_one():
