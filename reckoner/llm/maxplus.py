@@ -127,7 +127,8 @@ class Pieces:
         for at, (own, size) in self.automaton.iter(text, start):
             while hole < len(holes) and holes[hole] < at:
                 k = holes[hole]
-                best[k + 1], last[k + 1], ends[k + 1] = best[k], 1, uncovered
+                if ends[k] >= 0:
+                    best[k + 1], last[k + 1], ends[k + 1] = 0.0, 1, uncovered
                 hole += 1
             j = at + 1
             i = j - size
@@ -145,7 +146,8 @@ class Pieces:
             if fit:
                 best[j], last[j], ends[j] = 0.0, size, own
         for k in holes[hole:]:
-            best[k + 1], last[k + 1], ends[k + 1] = best[k], 1, uncovered
+            if ends[k] >= 0:
+                best[k + 1], last[k + 1], ends[k + 1] = 0.0, 1, uncovered
         return best, last
 
     def _forward(self, text: str, inside: int, start: int = 0, before: str = "") -> tuple[list[float], list[int]]:
@@ -179,6 +181,8 @@ class Pieces:
     def _ids(self, text: str, last: list[int], end: int, start: int) -> list[int]:
         out: list[int] = []
         while end > start:
+            if not last[end]:
+                raise ValueError("no path ends here")
             piece = text[end - last[end] : end]
             found = self.scores.get(piece)
             if found is not None:

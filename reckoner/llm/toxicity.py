@@ -8,9 +8,13 @@ then matches words and word beginnings, and only those.
 
 The toxic dictionary holds the ordinary one as well, in the same place, so that a
 difference can only come from what toxic text has beyond ordinary text. It is
-trained on the words that are over-represented in toxic documents. Figures over the
-windows of a document (largest and mean differences, share of conspicuous windows)
-go to a logistic function that is calibrated on the labelled rows.
+trained on toxic documents without the words that ordinary ones have nearly as often:
+trained on their whole text, it mostly holds ordinary text (README has the figures).
+Figures over the windows of a document (largest and mean differences, share of
+conspicuous windows) go to a logistic function. It is calibrated on rows that the
+dictionaries behind their figures haven't seen: the labelled rows are dealt to
+``CALIBRATION_FOLDS`` parts, and each is scored with dictionaries of the others. The
+dictionaries of the model are then trained on all of them.
 
 Learning reads a bounded sample: at most ``sample_rows`` labelled documents of each
 class, those with the smallest hash of their id, read to the driver; classes are
@@ -20,8 +24,10 @@ some kilobytes.
 
 Defined results: null and empty texts score like a document with one window
 without difference; rows without a label are only scored; of several labels
-of a document the largest counts; with no labels of one class every score is the share
-of label 1 (0 without labels); a null doc_id is never used for learning.
+of a document, and of equal texts with different labels, the largest counts; with no
+labels of one class every score is the share of label 1 (0 without labels); a null
+doc_id is never used for learning; equal texts have equal scores; columns named like a
+result give way to it; no documents give no rows, and no labels a model that scores 0.
 """
 
 from __future__ import annotations
@@ -48,6 +54,7 @@ LEVEL = 3
 ORDINARY_BYTES, TOXIC_BYTES = 16_000, 6_000
 LOG_ODDS, LEAST_SHARE = 3.0, 0.012
 CONSPICUOUS = 9
+CALIBRATION_FOLDS = 2
 
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 _LETTER = np.zeros(256, bool)
@@ -76,13 +83,18 @@ def _code(text: bytes) -> bytes:
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """What zstandard's trainer selects from the samples; all of them if they are few."""
+    """What zstandard's trainer selects from the samples.
+
+    Where they are too few for it: the different samples, frequent ones last (nearest
+    to the text, where matches are cheapest), rare ones left out beyond ``size``.
+    """
     if sum(map(len, samples)) > 4 * size and len(samples) > 20:
         try:
             return zstandard.train_dictionary(size, samples).as_bytes()
         except zstandard.ZstdError:
             pass
-    return b"".join(samples)[-size:]
+    often = Counter(samples)
+    return b"".join(sorted(often, key=lambda x: (often[x], x)))[-size:]
 
 
 @dataclass
@@ -149,33 +161,49 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -
     return beta / scale
 
 
-def fit(texts: list[str], labels: list[int], totals: tuple[int, int]) -> Model:
-    """A model of labelled texts; ``totals``: rows of label 0 and 1 that they stand for."""
-    share = totals[1] / max(1, sum(totals))
-    distinct = {t: y for t, y in zip(texts, labels, strict=True)}
-    split = {t: _WORD.findall(t.encode().lower()) for t in distinct}
+def _dictionaries(texts: list[str], labels: list[int]) -> tuple[bytes, bytes] | None:
+    """Ordinary and toxic dictionary; None if texts of a class are missing or none tells."""
+    split = [_WORD.findall(t.encode().lower()) for t in texts]
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    n = [0, 0]
-    for t, y in distinct.items():
-        seen[y].update(set(split[t]))
-        n[y] += 1
+    for w, y in zip(split, labels, strict=True):
+        seen[y].update(set(w))
+    n = len(labels) - sum(labels), sum(labels)
     if not n[0] or not n[1]:
-        return Model(b"", b"", np.zeros(0), share)
+        return None
     least = max(2 if n[1] < 100 else 3, LEAST_SHARE * n[1])
     telling = {w for w, k in seen[1].items() if k >= least and np.log((k + 0.5) / (n[1] + 1)) - np.log((seen[0][w] + 0.5) / (n[0] + 1)) > LOG_ODDS}
     toxic, ordinary = [], []
-    for t, y in distinct.items():
-        own = [w for w in split[t] if w in telling] if y else split[t]
+    for all_words, y in zip(split, labels, strict=True):
+        own = [w for w in all_words if w in telling] if y else all_words
         size = 8 if y else 32
         (toxic if y else ordinary).extend(_code(b" " + b" ".join(own[i : i + size]) + b" ") for i in range(0, len(own), size))
-    if not toxic:
+    return (_dictionary(ordinary, ORDINARY_BYTES), _dictionary(toxic, TOXIC_BYTES)) if toxic else None
+
+
+def fit(texts: list[str], labels: list[int], totals: tuple[int, int]) -> Model:
+    """A model of labelled texts; ``totals``: rows of label 0 and 1 that they stand for."""
+    share = totals[1] / max(1, sum(totals))
+    label: dict[str, int] = {}
+    for t, y in zip(texts, labels, strict=True):
+        label[t] = max(y, label.get(t, 0))
+    each = list(label)
+    made = _dictionaries(each, list(label.values()))
+    if made is None:
         return Model(b"", b"", np.zeros(0), share)
-    model = Model(_dictionary(ordinary, ORDINARY_BYTES), _dictionary(toxic, TOXIC_BYTES), np.zeros(1), share)
-    x = Scorer(model).features(pa.array(texts, pa.string()))
-    y = np.array(labels, float)
+    model = Model(*made, np.zeros(1), share)
+    fold = [zlib.crc32(t.encode()) // 7 % CALIBRATION_FOLDS for t in each]
+    x, y = [], []
+    for k in range(CALIBRATION_FOLDS):
+        mine = [t for t, f in zip(each, fold, strict=True) if f == k]
+        rest = [t for t, f in zip(each, fold, strict=True) if f != k]
+        # Too few rows to leave some out: those of the model itself.
+        others = _dictionaries(rest, [label[t] for t in rest]) or made
+        x.append(Scorer(Model(*others, np.zeros(1), share)).features(pa.array(mine, pa.string())))
+        y += [label[t] for t in mine]
+    y = np.array(y, float)
     of_class = [max(1, len(y) - y.sum()), max(1, y.sum())]
     weight = np.where(y == 1, totals[1] / of_class[1], totals[0] / of_class[0]) * len(y) / max(1, sum(totals))
-    model.weights = _logistic(x, y, weight)
+    model.weights = _logistic(np.concatenate(x), y, weight)
     return model
 
 

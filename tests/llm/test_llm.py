@@ -216,6 +216,18 @@ def test_pieces_of_a_text_of_many_chunks(spark):
     assert [r["ids"] for r in got] == [want, [], [], want] and all(r["same"] for r in got)
 
 
+def test_pieces_cut_beside_uncovered_characters():
+    x = maxplus.load(PIECES)
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    r = random.Random(2)
+    for _ in range(400):
+        t = "".join(r.choice(["thti", "on", "ble.", "\n", "A", " and", "\t", ",", "ing", "io", "é", "\n\n", "  "]) for _ in range(r.randrange(10, 60)))
+        w, size = maxplus.SPACE + t.replace(" ", maxplus.SPACE), r.randrange(17, 40)
+        parts = [(w[max(0, a - x.longest) : a], w[a : a + size], w[a + size : a + size + x.longest]) for a in range(0, len(w), size)]
+        at_cuts = maxplus.between([x.matrix(*p) for p in parts], 0, 0)
+        assert [i for p, a, b in zip(parts, at_cuts[:-1], at_cuts[1:], strict=True) for i in x.trace(*p, a, b)] == library.encode(t)
+
+
 def test_pieces_with_a_vocabulary_that_crosses_words():
     crossing = maxplus.Pieces({"▁": (0, -9.0), "a": (1, -3.0), "b": (2, -3.0), "a▁": (3, -1.0), "▁b": (4, -9.0)}, [0] * 256, -99.0)
     ids, n = crossing.ids(pa.array(["a b", "", "b"]))
