@@ -55,7 +55,7 @@ from reckoner.llm import words
 from reckoner.llm.common import settled, with_results
 
 SPACE = "▁"
-CHUNK_CHARS = 1 << 14
+CHUNK_CHARS = 1 << 15
 #: Neighbouring matrices that one step combines.
 FAN = 32
 CACHE_WORDS = 200_000
@@ -281,7 +281,8 @@ class Pieces:
                 # Up to the first border, over whole units, and from the last border on.
                 head = self._forward(whole[:first], first, start, former)[0][first]
                 if middle is None:
-                    between = sum(self.word(w)[0] for w in _UNIT.findall(whole[first:final]))
+                    # Every unit of a byte-pair model has a path, which weighs nothing.
+                    between = 0.0 if self.merged else sum(self.word(w)[0] for w in _UNIT.findall(whole[first:final]))
                     middle = between + ends(*self._forward(whole[final:], inside - final), inside - final)
                 out[k] = head + middle
             else:
