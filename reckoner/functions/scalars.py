@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Month names of portal dates.
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -82,24 +86,86 @@ def title_case(snake: Column) -> Column:
     return F.array_join(F.transform(F.split(snake, "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2**20))), " ")
 
 
+def line_headline(kind: Column, venue: Column, provider: Column, airline: Column, departure: Column, destination: Column, round_trip: Column, hotel: Column, conference: Column, fee: Column) -> Column:
+    """What a line is about, by its kind: a venue, a service, an airline and its route ..."""
+    has = lambda c: F.coalesce(c != "", F.lit(False))
+    route = F.concat(airline, F.lit(" "), departure, F.when(F.coalesce(round_trip, F.lit(False)), "↔").otherwise("→"), destination)
+    flown = F.when(has(airline) & has(departure) & has(destination), route).otherwise("(airfare)")
+    charged = F.when(has(airline) & has(fee), F.concat(airline, F.lit(" — "), title_case(fee), F.lit(" fee"))).when(has(airline), airline).otherwise("(ancillary fee)")
+    text = F.lit("—")
+    for name, shown in (
+        ("ancillary", charged),
+        ("conference", F.when(has(conference), conference).otherwise("(conference)")),
+        ("lodging", F.when(has(hotel), hotel).otherwise("(no hotel name)")),
+        ("airfare", flown),
+        ("transport", F.when(has(provider), provider).otherwise("(no service provider)")),
+        ("meal", F.when(has(venue), venue).otherwise("(no venue)")),
+    ):
+        text = F.when(kind == name, shown).otherwise(text)
+    return text
+
+
 def expense_type_display(kind: Column, alcohol: Column) -> Column:
     meal = kind.isin("business_meal", "group_travel_meal")
     return F.when(meal & (alcohol > 0), F.concat(title_case(kind), F.lit(" with Alcohol"))).otherwise(title_case(kind))
 
 
-# Labels of path endings that aren't the title case of their name.
-_LABELS = {"line_amount_usd": "Amount (USD)", "original_amount": "Original amount", "original_currency": "Original currency"}
+# Labels of fields whose name differs from what is shown, by the path's end.
+LABELS = {
+    "transaction_summary.transaction_date": "Trip Date",
+    "transaction_summary.total_usd": "Total USD",
+    "transaction_summary.transaction_number": "Transaction Number",
+    "general_information.category": "Category",
+    "general_information.payment_method": "Payment Method",
+    "general_information.event_name": "Event Name",
+    "general_information.authorized_by": "Authorized By",
+    "general_information.rush_processing": "Rush Processing",
+}
+# Sections that a label leaves out in front, and blocks that it leaves out inside.
+SECTIONS = ("general_information", "transaction_summary", "per_diem_expenses", "mileage_expenses", "allocation_and_approvers")
+BLOCKS = (
+    "common",
+    "meal_details",
+    "ground_transport_details",
+    "airfare_details",
+    "lodging_details",
+    "conference_registration_details",
+    "car_rental_details",
+    "gift_details",
+    "human_subject_details",
+)
 
 
 def friendly_label(path: Column) -> Column:
-    """A field's label: "Line n: " in front for lines, structural names left out."""
-    line = F.regexp_extract(path, r"transaction_lines\[([0-9]+)\]", 1)
-    names = F.filter(F.split(F.regexp_replace(path, r"\[[0-9]*\]", ""), r"\."), lambda x: ~x.isin("expense_report", "transaction_lines", "common", "general_information"))
-    last = F.element_at(names, -1)
-    label = title_case(last)
-    for name, text in _LABELS.items():
-        label = F.when(last == name, text).otherwise(label)
-    return F.when(line != "", F.concat(F.lit("Line "), (line.cast("int") + 1).cast("string"), F.lit(": "), label)).otherwise(label)
+    """A field's label: "Line n: " in front for lines, names of groups kept ("Payee: Name")."""
+    parts = F.split(F.regexp_replace(path, r"^expense_report\.", ""), r"\.")
+    line = F.regexp_extract(F.get(parts, F.lit(0)), r"^transaction_lines\[([0-9]+)\]$", 1)
+    rest = F.when((line != "") | F.get(parts, F.lit(0)).isin(*SECTIONS), F.slice(parts, 2, 1000)).otherwise(parts)
+    kept = F.filter(rest, lambda name, k: ~name.isin(*BLOCKS) | (k == F.size(rest) - 1))
+    label = F.array_join(F.transform(kept, title_case), ": ")
+    label = F.when(line != "", F.concat(F.lit("Line "), (line.cast("bigint") + 1).cast("string"), F.lit(": "), label)).otherwise(label)
+    for end, text in LABELS.items():
+        label = F.when(path.endswith(end), text).otherwise(label)
+    return label
+
+
+# What the codes of derived values mean; other codes have no text.
+ORIGINS = {
+    "reduce.total_usd": "sum of all line amounts",
+    "reduce.earliest_date": "earliest date across all receipts",
+    "reduce.inferred_category": "based on receipt currencies",
+    "reduce.lodging.daily_rate": "average of per-night rates",
+    "reduce.lodging.number_of_nights": "check-out minus check-in",
+    "reduce.fx.mock": "converted via mock FX rate (placeholder; real-time tool TBD)",
+}
+
+
+def origin_text(code: Column) -> Column:
+    """How a derived value came about, for a reader; null for codes of absence."""
+    text = F.lit(None).cast("string")
+    for k, v in ORIGINS.items():
+        text = F.when(code == k, v).otherwise(text)
+    return text
 
 
 def field_anchor(path: Column) -> Column:
@@ -130,45 +196,99 @@ def coerce_number(text: Column) -> Column:
     return F.struct(value.alias("value"), (value.isNull() & (t != "")).alias("error"))
 
 
-def coerce_by_type(text: Column, kind: Column) -> Column:
-    """struct(value as text, error) by the type that a field has."""
-    b, n = coerce_bool(text), coerce_number(text)
-    blank = F.trim(text) == ""
-    value = F.when(blank, None).when(kind == "boolean", b["value"].cast("string")).when(kind == "number", shown_number(n["value"])).otherwise(text)
-    error = F.when(kind == "boolean", b["error"]).when(kind == "number", n["error"]).otherwise(False)
+def coerce_by_type(text: Column, kind: Column, old_kind: Column | None = None) -> Column:
+    """struct(value as text, error). The type of the old value decides ("boolean", "number"
+    or "string"; null where there is none), and without one the type that the field has.
+
+    Text is trimmed, and blank text is null.
+    """
+    t = F.trim(text)
+    use = kind if old_kind is None else F.coalesce(old_kind, kind)
+    b, n = coerce_bool(t), coerce_number(t)
+    value = F.when(t == "", None).when(use == "boolean", b["value"].cast("string")).when(use == "number", shown_number(n["value"])).otherwise(t)
+    error = F.when(use == "boolean", b["error"]).when(use == "number", n["error"]).otherwise(False)
     return F.struct(value.alias("value"), error.alias("error"))
 
 
 def validate_enum(value: Column, allowed: Column) -> Column:
     """null if the value is allowed, else a message with the first five that are."""
-    some = F.array_join(F.slice(allowed, 1, 5), ", ")
+    more = F.when(F.size(allowed) > 5, F.concat(F.lit(", … ("), F.size(allowed).cast("string"), F.lit(" total)"))).otherwise("")
+    some = F.concat(F.array_join(F.slice(allowed, 1, 5), ", "), more)
     return F.when(value.isNotNull() & ~F.array_contains(allowed, value), F.concat(F.lit("must be one of: "), some))
 
 
-def normalize_enum(text: Column) -> Column:
-    return F.replace(F.lower(F.trim(text)), F.lit(" "), F.lit("_"))
+# Spellings of form fields, in normal form, and their codes.
+RUSH_CODES = {"yes": "yes", "true": "yes", "no": "no", "false": "no"}
+ACTIVITY_CODES = {"conference": "conference", "research_collaboration": "research_collaboration", "fieldwork": "fieldwork", "other": "other"}
+
+
+def affiliation_codes(institution: str) -> dict[str, str]:
+    """Spellings of affiliations; the codes begin with the institution's name."""
+    roles = ("student", "postdoc", "faculty", "staff")
+    return {**{r: f"{institution}_{r}" for r in roles}, **{f"{institution}_{r}": f"{institution}_{r}" for r in roles}, "other": "other"}
+
+
+def normalize_enum(text: Column, codes: dict[str, str] | None = None) -> Column:
+    """Trimmed, lower case, spaces as underscores; with ``codes`` the code, null if unknown."""
+    normal = F.replace(F.lower(F.trim(text)), F.lit(" "), F.lit("_"))
+    if codes is None:
+        return normal
+    found = F.lit(None).cast("string")
+    for spelling, code in codes.items():
+        found = F.when(normal == spelling, code).otherwise(found)
+    return found
 
 
 def sanitize_filename(name: Column) -> Column:
-    return F.regexp_replace(F.element_at(F.split(name, "/"), -1), "[^A-Za-z0-9._-]", "_")
+    """The last part of a path, each run of other characters as one _; "upload" if empty."""
+    last = F.regexp_extract(F.regexp_replace(name, r"(/\.?)+$", ""), r"([^/]*)$", 1)
+    clean = F.regexp_replace(F.when(last == ".", "").otherwise(last), "[^A-Za-z0-9._-]+", "_")
+    return F.when(clean == "", "upload").otherwise(clean)
 
 
 def valid_id(text: Column) -> Column:
     return text.rlike("^[A-Za-z0-9_-]+$")
 
 
+# Currency codes that quotes and tokens disagree about, and punctuation that
+# counts as a space. Points (decimals) and @ stay.
+QUOTE_CODES = "USD EUR GBP JPY CNY INR SGD AUD CAD HKD CHF NZD SEK NOK DKK MXN ZAR KRW THB MYR IDR PHP VND BRL ARS TWD AED SAR".split()
+QUOTE_SIGNS = "[$₹€£¥]"
+QUOTE_PUNCTUATION = r"[:;,()\[\]{}<>'\"!?\\|*+=&^~`\-/%]"
+
+
 def quote_norm(text: Column) -> Column:
-    """Currency marks dropped, punctuation but . and @ to spaces, lower case."""
-    bare = F.regexp_replace(text, r"USD|EUR|GBP|INR|JPY|Rs\.?|[$€£¥₹]", " ")
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^\p{L}\p{N}.@\s]", " "), r"\s+", " ")))
+    """Currency signs and whole-word codes dropped, punctuation to spaces, lower case."""
+    codes = rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(QUOTE_CODES)})(?![\p{{L}}\p{{N}}_])"
+    bare = F.regexp_replace(F.regexp_replace(text, f"{QUOTE_SIGNS}|{codes}", ""), QUOTE_PUNCTUATION, " ")
+    return F.lower(F.trim(F.regexp_replace(bare, r"(?U)\s+", " ")))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 - Levenshtein distance over the longer length; 0 if either is empty."""
+def edit_likeness(a: Column, b: Column) -> Column:
+    """1 - Levenshtein distance over the longer length; 0 if either is empty.
+
+    Built in, and no measure of the verifier (see ``similarity``).
+    """
     longest = F.greatest(F.length(a), F.length(b))
     return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+@F.pandas_udf(T.DoubleType())
+def _matching_share(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Two times the characters in matching blocks over all characters; 0 if either is
+    empty or null, 1 if they are equal. Blocks are the longest match, then those on either side.
+
+    Only pairs that aren't equal go to Python, in Arrow batches; texts are quotes of a line.
+    """
+    differ = a != b
+    share = _matching_share(F.when(differ, a).otherwise(""), F.when(differ, b).otherwise(""))
+    return F.when((F.length(a) > 0) & (a == b), 1.0).otherwise(F.coalesce(share, F.lit(0.0)))
+
+
 def csv_field(text: Column) -> Column:
     """RFC 4180 quoting."""
     t = F.coalesce(text, F.lit(""))

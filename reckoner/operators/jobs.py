@@ -52,9 +52,12 @@ def paired(log: DataFrame) -> DataFrame:
     return start.join(end, [*key, "turn"], "left").withColumn("seconds", F.unix_timestamp("ended_at") - F.unix_timestamp("started_at"))
 
 
+# Names of errors that may pass when a call is repeated.
+RETRYABLE_NAMES = ("TimeoutError", "ConnectionError", "ServiceUnavailable", "InternalServerError", "DeadlineExceeded", "GoogleAPIError", "RetryError")
+
+
 def is_retryable(code: Column, name: Column) -> Column:
-    known = name.isin("TimeoutError", "ConnectionError", "ServiceUnavailable", "DeadlineExceeded", "ResourceExhausted", "InternalServerError", "TooManyRequests")
-    return code.isin(*RETRYABLE_CODES) | F.coalesce(known, F.lit(False))
+    return F.coalesce(code.isin(*RETRYABLE_CODES), F.lit(False)) | F.coalesce(name.isin(*RETRYABLE_NAMES), F.lit(False))
 
 
 def usage(log: DataFrame) -> DataFrame:

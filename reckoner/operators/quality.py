@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ def leaves(docs: DataFrame, json: str = "json", depth: int = 12) -> DataFrame:
     A recursive query over variants; empty objects and arrays are leaves.
     """
     spark = docs.sparkSession
-    view = f"_leaf_source_{abs(hash(json)) % 10**6}"
+    view = f"_leaf_source_{uuid.uuid4().hex}"
     docs.select("document_id", F.col(json).alias("j")).createOrReplaceTempView(view)
     return spark.sql(
         f"""
@@ -25,25 +27,60 @@ def leaves(docs: DataFrame, json: str = "json", depth: int = 12) -> DataFrame:
           FROM walk w, LATERAL variant_explode(w.v) e
         )
         SELECT document_id, path, CAST(v AS STRING) AS value, schema_of_variant(v) AS kind FROM walk
-        WHERE v IS NOT NULL AND schema_of_variant(v) NOT LIKE 'OBJECT<_%' AND schema_of_variant(v) NOT LIKE 'ARRAY<_%'
+        WHERE v IS NOT NULL AND (CAST(v AS STRING) IN ('[]', '{{}}') OR schema_of_variant(v) NOT LIKE 'OBJECT<%' AND schema_of_variant(v) NOT LIKE 'ARRAY<%')
         """
     )
 
 
+_NUMBERS = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
+
+
+def _arrays(leaf_table: DataFrame, length: str) -> DataFrame:
+    """(document_id, path, length) of every array that a leaf stands in, or that is empty."""
+    path = F.col("path")
+    begins = F.filter(F.sequence(F.lit(1), F.length(path)), lambda k: F.substring(path, k, 1) == "[")
+    inside = F.transform(begins, lambda k: F.struct(F.substring(path, F.lit(1), k - 1).alias("path"), (F.regexp_extract(F.substring(path, k, F.lit(12)), r"^\[([0-9]+)\]", 1).cast("int") + 1).alias("n")))
+    each = leaf_table.select("document_id", F.inline(inside)).unionByName(leaf_table.where("kind = 'ARRAY<VOID>' and value = '[]'").select("document_id", "path", F.lit(0).alias("n")))
+    return each.groupBy("document_id", "path").agg(F.max("n").alias(length))
+
+
 def tree_diff(left: DataFrame, right: DataFrame, benign: tuple[str, ...] = ()) -> DataFrame:
-    """Differences of two leaf tables (document_id, path, value).
+    """Differences of two leaf tables (document_id, path, value; kind as ``leaves`` gives it).
 
-    DROPPED, ADDED (benign paths left out), NULL MISMATCH, VALUE; numbers that are
-    equal as numbers are equal.
+    DROPPED, ADDED (those left out whose path ends in a ``benign`` one), NULL MISMATCH,
+    TYPE, VALUE and ARRAY LENGTH. Numbers that are equal as numbers are equal. Below arrays
+    of different lengths nothing else is reported. Without ``kind`` on both sides types
+    and lengths aren't compared, and texts that are equal numbers are equal.
     """
-    a = left.select("document_id", "path", F.col("value").alias("left_value"), F.lit(True).alias("_a"))
-    b = right.select("document_id", "path", F.col("value").alias("right_value"), F.lit(True).alias("_b"))
+    typed = "kind" in left.columns and "kind" in right.columns
+    kinds = ["kind"] if typed else []
+    a = left.select("document_id", "path", F.col("value").alias("left_value"), *[F.col(c).alias("_ka") for c in kinds], F.lit(True).alias("_a"))
+    b = right.select("document_id", "path", F.col("value").alias("right_value"), *[F.col(c).alias("_kb") for c in kinds], F.lit(True).alias("_b"))
     j = a.join(b, ["document_id", "path"], "full_outer")
     l, r = F.col("left_value"), F.col("right_value")
-    same = l.eqNullSafe(r) | F.coalesce(l.try_cast("double") == r.try_cast("double"), F.lit(False))
-    kind = F.when(F.col("_b").isNull(), "DROPPED").when(F.col("_a").isNull(), "ADDED").when(same, None).when(l.isNull() | r.isNull(), "NULL MISMATCH").otherwise("VALUE")
-    out = j.withColumn("difference", kind).where("difference is not null")
-    return out.where(~((F.col("difference") == "ADDED") & F.col("path").isin(*benign))).select("document_id", "path", "difference", "left_value", "right_value")
+    equal_numbers = F.coalesce(l.try_cast("double") == r.try_cast("double"), F.lit(False))
+    same, other_type = l.eqNullSafe(r) | equal_numbers, F.lit(False)
+    no_left, no_right = l.isNull(), r.isNull()
+    if typed:
+        kind = lambda c: F.when(F.col(c).rlike(_NUMBERS), "number").otherwise(F.col(c))
+        no_left, no_right = l.isNull() | (F.col("_ka") == "VOID"), r.isNull() | (F.col("_kb") == "VOID")
+        other_type = kind("_ka") != kind("_kb")
+        same = (no_left & no_right) | (~other_type & (l.eqNullSafe(r) | ((kind("_ka") == "number") & equal_numbers)))
+    found = F.when(F.col("_b").isNull(), "DROPPED").when(F.col("_a").isNull(), "ADDED").when(same, None).when(no_left != no_right, "NULL MISMATCH").when(other_type, "TYPE").otherwise("VALUE")
+    out = j.withColumn("difference", found).where("difference is not null")
+    skip = F.lit(False)
+    for end in benign:
+        skip = skip | F.col("path").endswith(end)
+    out = out.where(~((F.col("difference") == "ADDED") & skip)).select("document_id", "path", "difference", "left_value", "right_value")
+    if not typed:
+        return out
+    met = _arrays(left, "_l").join(_arrays(right, "_r"), ["document_id", "path"]).where("_l <> _r")
+    lengths = met.select("document_id", "path", F.lit("ARRAY LENGTH").alias("difference"), F.col("_l").cast("string").alias("left_value"), F.col("_r").cast("string").alias("right_value"))
+    # What stands below such an array (it, if it is empty) isn't reported on its own, nor an array inside it.
+    outer = met.groupBy("document_id").agg(F.collect_set("path").alias("_outer"))
+    below = lambda df: df.join(outer, "document_id", "left").where(~F.coalesce(F.exists("_outer", lambda x: F.startswith(F.col("path"), F.concat(x, F.lit("[")))), F.lit(False)))
+    own = below(out).where(~F.coalesce(F.array_contains("_outer", F.col("path")), F.lit(False)))
+    return own.drop("_outer").unionByName(below(lengths).drop("_outer"))
 
 
 def expectations(expected: DataFrame, found: DataFrame) -> DataFrame:
@@ -66,13 +103,21 @@ def expectations(expected: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def failures(outcomes: DataFrame) -> DataFrame:
-    return outcomes.groupBy("document_id").agg(F.count_if(F.col("outcome") != "pass").alias("n_failed"), F.count("*").alias("n_checked"))
+    """Failed and checked expectations of each document and, with a null document_id, of all."""
+    return outcomes.rollup("document_id").agg(F.count_if(F.col("outcome") != "pass").alias("n_failed"), F.count("*").alias("n_checked"))
+
+
+# Phrases of a response's body and their classes, by status.
+EDIT_CLASSES = {400: (("did not resolve", "WALK"), ("must be a number", "COERCE"), ("must be yes or no", "COERCE"), ("must be one of", "ENUM")), 500: (("render failed", "RENDER"),)}
 
 
 def edit_class(status: Column, body: Column) -> Column:
     """PASS, WALK, COERCE, ENUM, RENDER or OTHER from a response."""
-    b = F.lower(body)
-    return F.when(status < 300, "PASS").when(b.contains("path"), "WALK").when(b.contains("type"), "COERCE").when(b.contains("must be one of"), "ENUM").when(b.contains("render"), "RENDER").otherwise("OTHER")
+    found = F.when(status == 200, "PASS")
+    for code, phrases in EDIT_CLASSES.items():
+        for phrase, name in phrases:
+            found = found.when((status == code) & F.contains(body, F.lit(phrase)), name)
+    return found.otherwise("OTHER")
 
 
 def audit_counts(responses: DataFrame) -> DataFrame:
@@ -80,8 +125,8 @@ def audit_counts(responses: DataFrame) -> DataFrame:
 
 
 def unknown_members(used: DataFrame, master: DataFrame) -> DataFrame:
-    """Members in use that the master list doesn't have."""
-    return used.select("member").exceptAll(master.select("member")).distinct()
+    """Different members in use that the master list doesn't have, however often it has others."""
+    return used.select("member").where("member is not null").distinct().join(master.select("member"), "member", "left_anti")
 
 
 def first_seen(paths: DataFrame) -> DataFrame:

@@ -48,6 +48,14 @@ def derive_lines(lines: DataFrame, rates: DataFrame) -> DataFrame:
     ).drop("_rate")
 
 
+def derive_lodging(lines: DataFrame) -> DataFrame:
+    """``lines`` with daily_rate (mean of nightly_rates; null for none), its confidence, and
+    number_of_nights (check_out_date - check_in_date; null if malformed or reversed)."""
+    mean = F.aggregate("nightly_rates", F.lit(0.0), lambda total, x: total + x) / F.size("nightly_rates")
+    has = F.coalesce(F.size("nightly_rates") > 0, F.lit(False))
+    return lines.withColumns({"daily_rate": F.when(has, mean), "daily_rate_confidence": F.when(has, "high"), "number_of_nights": S.nights_between(F.col("check_in_date"), F.col("check_out_date"))})
+
+
 def is_foreign_currency(code: Column) -> Column:
     return F.coalesce(F.upper(code) != "USD", F.lit(False))
 
@@ -98,11 +106,28 @@ def propagate_activity(lines: DataFrame, reports: DataFrame) -> DataFrame:
     return joined.withColumn("foreign_activity_type", F.when(F.col("expense_type").endswith("_foreign"), F.col("_activity"))).drop("_activity")
 
 
-def merge_extractions(main: DataFrame, extra: DataFrame, key: str = "document_id") -> DataFrame:
-    """Two partial extractions of a document; columns of ``extra`` win where not null."""
+def merge_extractions(main: DataFrame, extra: DataFrame, key: str = "document_id", nested: tuple[str, ...] = ()) -> DataFrame:
+    """Two partial extractions of a document; columns of ``extra`` win where not null.
+
+    Struct columns in ``nested`` are merged field by field, one level deep. A document
+    that isn't in both exactly once is an error.
+    """
     shared = [c for c in extra.columns if c in main.columns and c != key]
+    count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
+    sizes = count(main, "_n").join(count(extra, "_m"), key, "full_outer")
+    wrong = ~(F.col("_n").eqNullSafe(F.lit(1)) & F.col("_m").eqNullSafe(F.lit(1)))
+    checked = sizes.select(key, F.when(wrong, F.raise_error(F.concat(F.lit("not one extraction on each side: "), F.col(key).cast("string")))).otherwise(True).alias("_ok")).where("_ok")
     renamed = extra.withColumnsRenamed({c: f"_extra_{c}" for c in shared})
-    return main.join(renamed, key).withColumns({c: F.coalesce(f"_extra_{c}", c) for c in shared}).drop(*[f"_extra_{c}" for c in shared])
+
+    def merged(c: str) -> Column:
+        if c not in nested:
+            return F.coalesce(f"_extra_{c}", c)
+        left, right = main.schema[c].dataType.names, extra.schema[c].dataType.names
+        a, b = F.col(c), F.col(f"_extra_{c}")
+        fields = [(F.coalesce(b[n], a[n]) if n in left and n in right else (a if n in left else b)[n]).alias(n) for n in dict.fromkeys([*left, *right])]
+        return F.when(a.isNotNull() | b.isNotNull(), F.struct(*fields))
+
+    return checked.join(main, key).join(renamed, key).withColumns({c: merged(c) for c in shared}).drop("_ok", *[f"_extra_{c}" for c in shared])
 
 
 def spend_by_kind(derived: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import PurePosixPath
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reckoner.functions import scalars as S
 
@@ -63,18 +67,34 @@ def listing(reports: DataFrame, filer: Column | None = None, limit: int = 100) -
 
 
 def with_collision_suffix(files: DataFrame) -> DataFrame:
-    """``files`` (upload_id, seq, name) with unique_name: repeats become name_2, name_3 ...
+    """``files`` (upload_id, seq, name) with unique_name, in the order of seq: a name that
+    is taken gets the first free number from 2 on (name_2.pdf).
 
-    A made name that a given name of the same upload already has moves on behind it.
+    Each name depends on all before it, so uploads that repeat a name go through Python,
+    one upload (its files' names) at a time; all others stay in the JVM. Rows of equal
+    seq are taken by name; a null name stays null.
     """
-    from pyspark.sql import Window
-
-    stem, dot = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 2)
-    n = F.row_number().over(Window.partitionBy("upload_id", "name").orderBy("seq"))
-    made = files.withColumn("n", n).withColumn("unique_name", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat(stem, F.lit("_"), F.col("n").cast("string"), dot)))
-    first = Window.partitionBy("upload_id", "unique_name").orderBy(F.col("n") > 1, "seq")
-    clash = made.withColumn("m", F.row_number().over(first))
-    return clash.withColumn("unique_name", F.when(F.col("m") == 1, F.col("unique_name")).otherwise(F.concat(stem, F.lit("_"), F.col("n").cast("string"), F.lit("_"), F.col("m").cast("string"), dot))).drop("n", "m")
+    key = F.col("upload_id")
+    repeats = files.where("name is not null").groupBy("upload_id", "name").count().where("count > 1").select("upload_id").distinct()
+    made = files.join(repeats, "upload_id", "left_semi").groupBy(key).applyInPandas(_numbered, T.StructType([*files.schema.fields, T.StructField("unique_name", T.StringType())]))
+    return files.join(repeats, "upload_id", "left_anti").withColumn("unique_name", F.col("name")).unionByName(made)
+
+
+def _numbered(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["seq", "name"])
+    seen, counters, out = set(), {}, []
+    for name in rows["name"]:
+        if name is None or name not in seen:
+            out.append(name)
+        else:
+            k = counters.get(name, 2)
+            path = PurePosixPath(name)
+            while (made := f"{path.stem}_{k}{path.suffix}") in seen:
+                k += 1
+            counters[name] = k + 1
+            out.append(made)
+        seen.add(out[-1])
+    return rows.assign(unique_name=out)
 
 
 def is_test_report(upload_id: Column, user: Column, patterns: tuple[str, ...] = ("^test", "^e2e")) -> Column:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reckoner.functions import scalars as S
@@ -14,104 +12,172 @@ from reckoner.sources import catalog
 COLUMNS = ("report_id", "pass_no", "line_idx", "severity", "kind", "path", "message")
 INSTITUTION = "the institution"
 MEALS = ("business_meal", "group_travel_meal")
+RIDES = ("ground_transportation_domestic", "ground_transportation_foreign")
+PASSES = (1, 2, 3, 4, 5, 6, 7, 8)
+# Columns of the report and line tables, by the path of the field that they hold. Other
+# fields are read from a column named like the last part of their path.
+REPORT_COLUMNS = {"payee.name": "payee_name", "payee.affiliation": "affiliation", "business_purpose.when": "when_text", "total_usd": "stated_usd"}
+LINE_COLUMNS = {"common.date": "date_text", "common.country_of_activity": "country"}
+# Blocks of a line, by the kind of its type.
+BLOCK_OF_KIND = {"meal": "meal_details", "transport": "ground_transport_details", "lodging": "lodging_details", "conference": "conference_registration_details", "ancillary": "ancillary_details"}
 
 
-def _issue(df: DataFrame, pass_no: int, severity: str, kind: str, path: Column, message: Column, line: Column | None = None) -> DataFrame:
-    at = F.lit(-1).cast("long") if line is None else line
-    return df.select("report_id", F.lit(pass_no).alias("pass_no"), at.alias("line_idx"), F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), path.alias("path"), message.alias("message"))
+def _issue(pass_no: int, severity: str, kind: str, path: Column, message: Column, line: bool) -> Column:
+    at = F.col("line_idx") if line else F.lit(-1).cast("long")
+    return F.struct(F.lit(pass_no).alias("pass_no"), at.alias("line_idx"), F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), path.alias("path"), message.alias("message"))
 
 
 def _line_path(tail: str) -> Column:
     return F.concat(F.lit("expense_report.transaction_lines["), F.col("line_idx").cast("string"), F.lit(f"].{tail}"))
 
 
-def required_report_fields(reports: DataFrame) -> DataFrame:
-    """Report fields that must be there."""
-    path = "expense_report.general_information.business_purpose.when"
-    return _issue(reports.where("when_text is null"), 1, "error", "MissingRequiredField", F.lit(path), F.lit("Required field is missing"))
-
+def _missing(pass_no: int, path: Column, line: bool, message: Column | None = None) -> Column:
+    return _issue(pass_no, "error", "MissingRequiredField", path, F.lit("Required field is missing") if message is None else message, line)
 
-def required_line_fields(lines: DataFrame, parity: bool = True) -> DataFrame:
-    """Line fields that must be there.
-
-    With ``parity`` none is reported: the catalogue's keys name no line, so these
-    checks never fire there. Without, the evident intent is applied.
-    """
-    fields = {"common.date": "date_text", "common.line_amount_usd": "line_amount_usd", "common.expense_type": "expense_type"}
-    parts = [
-        _issue(lines.where(F.col(c).isNull() & F.lit(not parity)), 3, "error", "MissingRequiredField", _line_path(p), F.lit("Required field is missing"), F.col("line_idx")) for p, c in fields.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
 
+def _review(pass_no: int, path: Column, message: Column, line: bool = True) -> Column:
+    return _issue(pass_no, "warning", "ManualReviewRequired", path, message, line)
 
-def conditional_required(lines: DataFrame) -> DataFrame:
-    """Every (line, rule) whose condition holds and whose target is missing.
 
-    The rules are compiled to one array of messages per line; no join of lines with rules.
-    """
-    paths = {"country": "country_of_activity"}
+def _report_fields(pass_no: int, section: str, columns: list[str]) -> list[Column]:
+    """Required fields of a section; those without a column aren't judged."""
     found = []
-    for target, on, values in catalog.CONDITIONAL_RULES:
-        missing = F.col(target).isNull() if target in lines.columns else F.lit(True)
-        found.append(F.when(F.col(on).isin(*values) & missing, F.lit(paths.get(target, target))))
-    each = lines.select("report_id", "line_idx", F.explode(F.array_compact(F.array(*found))).alias("target"))
-    path = F.concat(F.lit("expense_report.transaction_lines["), F.col("line_idx").cast("string"), F.lit("].common."), F.col("target"))
-    return _issue(each, 4, "error", "MissingRequiredField", path, F.lit("Required for this expense type"), F.col("line_idx"))
-
-
-def category_consistency(reports: DataFrame, lines: DataFrame) -> DataFrame:
-    """Domestic reports with lines elsewhere; foreign reports without anything foreign."""
-    joined = lines.join(reports.select("report_id", "category"), "report_id")
-    away = joined.where((F.col("category") == "expenses_domestic") & ~is_home(F.col("country")))
-    first = _issue(away, 5, "warning", "ManualReviewRequired", _line_path("common.country_of_activity"), F.concat(F.lit("Report is domestic but the line is in "), F.col("country")), F.col("line_idx"))
-    any_foreign = F.bool_or(F.coalesce(~is_home(F.col("country")), F.lit(False)) | (is_foreign_currency(F.col("original_currency")) & (F.col("original_currency") != "")))
-    of_lines = lines.groupBy("report_id").agg(any_foreign.alias("_any"))
-    foreign = reports.where("category = 'expenses_foreign'").join(of_lines, "report_id", "left").where(~F.coalesce("_any", F.lit(False)))
-    second = _issue(foreign, 5, "warning", "ManualReviewRequired", F.lit("expense_report.general_information.category"), F.lit("Report is foreign but no line has a foreign country or currency"))
-    return first.unionByName(second)
-
-
-def trip_window(reports: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines dated outside the report's window; free text and odd dates are skipped."""
-    windows = reports.select("report_id", S.when_window(F.col("when_text")).alias("w")).where("w is not null")
-    joined = lines.where((F.length("date_text") == 10) & F.col("date_text").contains("-")).join(windows, "report_id")
-    where = F.when(F.col("date_text") < F.col("w.start"), F.concat(F.lit("before trip start "), F.col("w.start"))).when(F.col("date_text") > F.col("w.end"), F.concat(F.lit("after trip end "), F.col("w.end")))
-    bad = joined.withColumn("_where", where).where("_where is not null")
-    message = F.concat(F.lit("Transaction date "), F.col("date_text"), F.lit(" is "), F.col("_where"), F.lit(". Was this purchased ahead of the trip, or is the wrong receipt attached?"))
-    return _issue(bad, 6, "warning", "ManualReviewRequired", _line_path("common.date"), message, F.col("line_idx"))
+    for field in catalog.REQUIRED_FIELDS[section]:
+        column = REPORT_COLUMNS.get(field, field)
+        if column in columns:
+            found.append(F.when(F.col(f"r.{column}").isNull(), _missing(pass_no, F.lit(f"expense_report.{section}.{field}"), False)))
+    return found
 
 
-def tips(lines: DataFrame, institution: str = INSTITUTION) -> DataFrame:
-    """Tips over 20 % of the taxed amount, or of the total without the tip."""
+def _line_fields(columns: list[str], parity: bool) -> list[Column]:
+    found = []
+    kind = F.try_element_at(catalog.literal_map(catalog.KIND_OF_TYPE), F.col("expense_type"))
+    block_of = F.when(F.col("expense_type") == "personal_mileage", "mileage_details").otherwise(F.try_element_at(catalog.literal_map(BLOCK_OF_KIND), kind))
+    for block in () if parity else catalog.WALKED_BLOCKS:
+        for field in catalog.REQUIRED_FIELDS[f"transaction_lines[].{block}"]:
+            path = f"{block}.{field}"
+            column = LINE_COLUMNS.get(path, field)
+            if column in columns and path not in catalog.NOT_WALKED:
+                there = F.lit(True) if block == "common" else block_of == block
+                found.append(F.when(there & F.col(column).isNull(), _missing(3, _line_path(path), True)))
+    return found
+
+
+def _conditional(columns: list[str]) -> list[Column]:
+    """Rules on lines, compiled to one expression each; no join of lines with rules."""
+    found = []
+    for target, text in catalog.REQUIRED_WHEN:
+        field, values = catalog.condition(text)
+        tail = target.removeprefix("transaction_lines[].")
+        on, column = LINE_COLUMNS.get(field, field.split(".")[-1]), LINE_COLUMNS.get(tail, tail.split(".")[-1])
+        if tail == target or target in catalog.UNCHECKED_TARGETS or field in catalog.UNRESOLVED or on not in columns or column not in columns:
+            continue
+        message = F.concat(F.lit(f"Required when {text} (in line "), (F.col("line_idx") + 1).cast("string"), F.lit(")"))
+        found.append(F.when(F.col(on).cast("string").isin(*values) & F.col(column).isNull(), _missing(4, _line_path(tail), True, message)))
+    return found
+
+
+def _tip(institution: str) -> Column:
     cap = S.tip_cap(F.col("tip"), F.col("pre_tax"), F.col("tax"), F.col("line_amount_usd"))
-    bad = lines.withColumn("_cap", cap).where("tip > _cap.cap + 0.005")
     meal = F.col("expense_type").isin(*MEALS)
     f2 = lambda c: F.format_string("%.2f", c)
-    basis = F.concat(F.lit("20% × $"), f2(F.col("_cap.base")), F.when(F.col("_cap.precise"), " post-tax").otherwise(" (total − tip)"))
+    basis = F.concat(F.lit("20% × $"), f2(cap["base"]), F.when(cap["precise"], " post-tax").otherwise(" (total − tip)"))
+    message = F.concat(F.when(meal, "Tip $").otherwise("Driver tip $"), f2(F.col("tip")), F.lit(f" exceeds {institution}'s 20% guideline (cap $"), f2(cap["cap"]), F.lit(", "), basis, F.lit("). Verify with the FA before filing."))
+    path = F.when(meal, _line_path("meal_details.tip_amount")).otherwise(_line_path("ground_transport_details.tip_amount"))
+    return F.when(F.col("expense_type").isin(*MEALS, *RIDES) & (F.col("tip") > cap["cap"] + 0.005), _review(7, path, message))
+
+
+def _mileage(institution: str) -> Column:
+    days = F.greatest(F.lit(1), S.days_inclusive(F.col("rental_start_date"), F.col("rental_end_date")))
+    cap = S.mileage_cap(days)
+    miles = F.col("miles_driven")
     message = F.concat(
-        F.when(meal, "Tip $").otherwise("Driver tip $"), f2(F.col("tip")), F.lit(f" exceeds {institution}'s 20% guideline (cap $"), f2(F.col("_cap.cap")), F.lit(", "), basis, F.lit("). Verify with the FA before filing.")
+        F.format_string("%.0f", miles.cast("double")), F.lit(" miles over "), days.cast("string"), F.lit(f" day(s) exceeds {institution}'s 350 mi/day cap (max "), cap.cast("string"), F.lit(" mi). Verify with the FA — excess may need special approval or won't be reimbursed.")
     )
-    path = F.when(meal, _line_path("meal_details.tip_amount")).otherwise(_line_path("ground_transport_details.tip_amount"))
-    return _issue(bad, 7, "warning", "ManualReviewRequired", path, message, F.col("line_idx"))
+    known = F.col("rental_start_date").isNotNull() & F.col("rental_end_date").isNotNull() & S.days_inclusive(F.col("rental_start_date"), F.col("rental_end_date")).isNotNull()
+    return F.when(known & (miles > 0) & (miles > cap + 0.5), _review(8, _line_path("car_rental_details.miles_driven"), message))
 
 
-def car_mileage(lines: DataFrame) -> DataFrame:
-    """Rental miles over 350 a day; needs miles, pick_up and drop_off columns."""
-    days = S.days_inclusive(F.col("pick_up"), F.col("drop_off"))
-    bad = lines.where(F.col("miles") > 0).withColumn("_cap", F.when(days.isNotNull(), S.mileage_cap(days))).where("miles > _cap + 0.5")
-    message = F.concat(F.lit("Rental mileage exceeds "), F.col("_cap").cast("string"), F.lit(" miles"))
-    return _issue(bad, 8, "warning", "ManualReviewRequired", _line_path("car_rental_details.miles"), message, F.col("line_idx"))
+def _window() -> Column:
+    w, date = S.when_window(F.col("r.when_text")), F.col("date_text")
+    where = F.when(date < w["start"], F.concat(F.lit("before trip start "), w["start"])).when(date > w["end"], F.concat(F.lit("after trip end "), w["end"]))
+    message = F.concat(F.lit("Transaction date "), date, F.lit(" is "), where, F.lit(". Was this purchased ahead of the trip, or is the wrong receipt attached?"))
+    return F.when((F.length(date) == 10) & date.contains("-") & where.isNotNull(), _review(6, _line_path("common.date"), message))
 
 
-def all_issues(reports: DataFrame, lines: DataFrame, parity: bool = True) -> DataFrame:
-    """Issues of all passes; pass_no and line_idx give their order.
+def all_issues(reports: DataFrame, lines: DataFrame, parity: bool = True, institution: str = INSTITUTION, passes: tuple[int, ...] = PASSES) -> DataFrame:
+    """Issues of all passes; pass_no and line_idx (-1: of the report) give their order.
 
-    Pass 8 needs the columns of rented cars (see ``car_mileage``).
+    1 and 2: required report fields; 3: required line fields; 4: fields required under a
+    condition; 5: category against countries and currencies; 6: dates outside the trip;
+    7: tips; 8: miles of rented cars. Lines are read once: they meet their report, each
+    row gives an array of issues, and those of the report go with its first line, or
+    with the row that a report without lines has. Lines of unknown reports are left out.
+    Rules on fields without a column aren't applied. With ``parity`` pass 3 reports
+    nothing: the catalogue's keys name no line, so these checks never fire there.
     """
-    parts = [required_report_fields(reports), required_line_fields(lines, parity), conditional_required(lines), category_consistency(reports, lines), trip_window(reports, lines), tips(lines)]
-    if {"miles", "pick_up", "drop_off"} <= set(lines.columns):
-        parts.append(car_mileage(lines))
-    return reduce(DataFrame.unionByName, parts)
+    columns, known = lines.columns, reports.columns
+    of_line, of_report = [], []
+    if 1 in passes:
+        of_report += _report_fields(1, "general_information", known)
+    if 2 in passes:
+        of_report += _report_fields(2, "transaction_summary", known)
+    if 3 in passes:
+        of_line += _line_fields(columns, parity)
+    if 4 in passes:
+        of_line += _conditional(columns)
+    away = None
+    if 5 in passes and {"country", "original_currency"} <= set(columns):
+        away = F.coalesce(~is_home(F.col("country")), F.lit(False)) | (is_foreign_currency(F.col("original_currency")) & (F.col("original_currency") != ""))
+        message = F.concat(F.lit("Report is domestic but the line is in "), F.col("country"))
+        of_line.append(F.when((F.col("r.category") == "expenses_domestic") & ~is_home(F.col("country")), _review(5, _line_path("common.country_of_activity"), message)))
+        foreign = (F.col("r.category") == "expenses_foreign") & ~F.coalesce("_away", F.lit(False))
+        of_report.append(F.when(foreign, _review(5, F.lit("expense_report.general_information.category"), F.lit("Report is foreign but no line has a foreign country or currency"), False)))
+    if 6 in passes:
+        of_line.append(_window())
+    if 7 in passes and {"tip", "pre_tax", "tax"} <= set(columns):
+        of_line.append(_tip(institution))
+    if 8 in passes and {"miles_driven", "rental_start_date", "rental_end_date"} <= set(columns):
+        of_line.append(_mileage(institution))
+    # By name, so that neither side's columns hide the other's.
+    held = F.struct(*[F.col(c) for c in known]).alias("r")
+    met = reports.select("report_id", held).join(lines, "report_id", "left" if of_report else "inner")
+    if away is not None:
+        met = met.withColumn("_away", F.bool_or(away).over(Window.partitionBy("report_id")))
+    none = F.lit(None).cast("struct<pass_no:int,line_idx:bigint,severity:string,kind:string,path:string,message:string>")
+    lined = F.array(none, *of_line)
+    first = F.when(F.coalesce(F.col("line_idx"), F.lit(0)) == 0, F.array(none, *of_report)).otherwise(F.array(none))
+    both = F.concat(F.when(F.col("line_idx").isNotNull(), lined).otherwise(F.array(none)), first)
+    return met.select("report_id", F.inline(F.array_compact(both))).select(*COLUMNS)
+
+
+def required_report_fields(reports: DataFrame, lines: DataFrame) -> DataFrame:
+    """Report fields that must be there (passes 1 and 2)."""
+    return all_issues(reports, lines, passes=(1, 2))
+
+
+def required_line_fields(reports: DataFrame, lines: DataFrame, parity: bool = True) -> DataFrame:
+    return all_issues(reports, lines, parity, passes=(3,))
+
+
+def conditional_required(reports: DataFrame, lines: DataFrame) -> DataFrame:
+    return all_issues(reports, lines, passes=(4,))
+
+
+def category_consistency(reports: DataFrame, lines: DataFrame) -> DataFrame:
+    return all_issues(reports, lines, passes=(5,))
+
+
+def trip_window(reports: DataFrame, lines: DataFrame) -> DataFrame:
+    return all_issues(reports, lines, passes=(6,))
+
+
+def tips(reports: DataFrame, lines: DataFrame, institution: str = INSTITUTION) -> DataFrame:
+    return all_issues(reports, lines, institution=institution, passes=(7,))
+
+
+def car_mileage(reports: DataFrame, lines: DataFrame, institution: str = INSTITUTION) -> DataFrame:
+    return all_issues(reports, lines, institution=institution, passes=(8,))
 
 
 def review_status(reports: DataFrame, lines: DataFrame, issues: DataFrame) -> DataFrame:

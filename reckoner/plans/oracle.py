@@ -19,13 +19,22 @@ lines AS (SELECT l.l_orderkey AS report_id,
  CASE WHEN t.expense_type = 'personal_mileage' THEN l.l_quantity END AS distance_miles,
  CASE WHEN t.expense_type IN ('business_meal','group_travel_meal','ground_transportation_domestic','ground_transportation_foreign') THEN l.l_extendedprice * l.l_discount * 3 END AS tip,
  CASE WHEN l.l_partkey % 2 = 0 THEN l.l_extendedprice * (1 - l.l_discount) END AS pre_tax,
- CASE WHEN l.l_partkey % 3 <> 0 THEN l.l_extendedprice * l.l_tax END AS tax
+ CASE WHEN l.l_partkey % 3 <> 0 THEN l.l_extendedprice * l.l_tax END AS tax,
+ CASE WHEN t.expense_type = 'car_rental' THEN l.l_quantity * 60 END AS miles_driven,
+ CASE WHEN t.expense_type = 'car_rental' AND l.l_partkey % 4 <> 0 THEN CAST(CAST(l.l_shipdate AS DATE) AS VARCHAR) END AS rental_start_date,
+ CASE WHEN t.expense_type = 'car_rental' THEN CAST(CAST(l.l_shipdate AS DATE) + CAST(l.l_quantity % 5 AS INT) AS VARCHAR) END AS rental_end_date,
+ CASE WHEN t.expense_type LIKE 'lodging%' THEN CAST(CAST(l.l_shipdate AS DATE) AS VARCHAR) END AS check_in_date,
+ CASE WHEN t.expense_type LIKE 'lodging%' AND l.l_partkey % 4 <> 0 THEN CAST(CAST(l.l_shipdate AS DATE) + CAST(l.l_quantity % 6 - 1 AS INT) AS VARCHAR) END AS check_out_date,
+ CASE WHEN t.expense_type LIKE 'lodging%' THEN [l.l_extendedprice, l.l_extendedprice * (1 - l.l_discount), l.l_extendedprice * (1 + l.l_tax)][1:CAST(l.l_quantity % 4 AS INT)] END AS nightly_rates
  FROM lineitem l JOIN dim_type t ON t.type_no = l.l_partkey % 18 JOIN dim_ccy c ON c.ccy_no = l.l_suppkey % 6
  JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN nation n ON n.n_nationkey = s.s_nationkey)"""
 REPORTS = """reports AS (SELECT o_orderkey AS report_id, o_custkey AS filer_id,
  CASE o_orderstatus WHEN 'F' THEN 'expenses_foreign' WHEN 'O' THEN 'expenses_domestic' ELSE 'relocation' END AS category,
  CASE WHEN o_custkey % 4 = 0 THEN NULL WHEN o_custkey % 4 = 1 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) WHEN o_custkey % 4 = 2 THEN 'spring trip'
- ELSE concat(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), ' to ', CAST(CAST(EXTRACT(YEAR FROM o_orderdate) AS BIGINT) + 1 AS VARCHAR), '-01-31') END AS when_text FROM orders)"""
+ ELSE concat(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), ' to ', CAST(CAST(EXTRACT(YEAR FROM o_orderdate) AS BIGINT) + 1 AS VARCHAR), '-01-31') END AS when_text,
+ CASE WHEN o_custkey % 7 <> 0 THEN concat('Payee ', o_custkey) END AS payee_name, nullif(o_orderpriority, '4-NOT SPECIFIED') AS payment_method,
+ CASE WHEN o_orderkey % 9 <> 0 THEN concat('Event ', o_orderkey) END AS event_name,
+ CASE WHEN o_orderkey % 11 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS transaction_date, CASE WHEN o_totalprice >= 5000 THEN o_totalprice END AS stated_usd FROM orders)"""
 FX = """fx AS (SELECT CASE CAST(o_orderkey % 4 AS BIGINT) WHEN 0 THEN 'INR' WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP' ELSE 'JPY' END AS currency,
  CAST(o_orderdate AS DATE) AS rate_date, round(CAST(min(o_totalprice) AS DOUBLE) / 100000, 4) AS usd_per_unit FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1, 2)"""
 _years = {k: v for k, v in catalog.MILEAGE_RATES.items() if k.isdigit()}
@@ -58,14 +67,29 @@ _path = lambda tail: f"concat('expense_report.transaction_lines[', CAST(line_idx
 _cap = "CASE WHEN tip > 0 THEN CASE WHEN pre_tax IS NOT NULL AND tax IS NOT NULL AND pre_tax + tax > 0 THEN (pre_tax + tax) * 0.2 WHEN line_amount_usd - tip > 0 THEN (line_amount_usd - tip) * 0.2 END END"
 _precise = "coalesce(pre_tax IS NOT NULL AND tax IS NOT NULL AND pre_tax + tax > 0, false)"
 _issue = lambda no, sev, kind, path, msg, line="CAST(-1 AS BIGINT)": f"report_id, {no} AS pass_no, {line} AS line_idx, '{sev}' AS severity, '{kind}' AS kind, {path} AS path, {msg} AS message"
-V01 = f"SELECT {_issue(1, 'error', 'MissingRequiredField', chr(39) + 'expense_report.general_information.business_purpose.when' + chr(39), chr(39) + 'Required field is missing' + chr(39))} FROM reports WHERE when_text IS NULL"
+_quoted = lambda t: "'" + t + "'"
+_missing = _quoted("Required field is missing")
+_general = "expense_report.general_information."
+V01 = " UNION ALL ".join(
+    f"SELECT {_issue(1, 'error', 'MissingRequiredField', _quoted(_general + p), _missing)} FROM reports WHERE {c} IS NULL"
+    for p, c in (("category", "category"), ("payee.name", "payee_name"), ("payment_method", "payment_method"), ("business_purpose.when", "when_text"), ("event_name", "event_name"))
+)
+SUMMARY = " UNION ALL ".join(
+    f"SELECT {_issue(2, 'error', 'MissingRequiredField', _quoted('expense_report.transaction_summary.' + p), _missing)} FROM reports WHERE {c} IS NULL" for p, c in (("transaction_date", "transaction_date"), ("total_usd", "stated_usd"))
+)
 V02 = " UNION ALL ".join(
-    f"SELECT {_issue(3, 'error', 'MissingRequiredField', _path(p), chr(39) + 'Required field is missing' + chr(39), 'line_idx')} FROM lines WHERE {c} IS NULL"
-    for p, c in (("common.date", "date_text"), ("common.line_amount_usd", "line_amount_usd"), ("common.expense_type", "expense_type"))
+    f"SELECT {_issue(3, 'error', 'MissingRequiredField', _path(p), _missing, 'line_idx')} FROM lines WHERE {w}"
+    for p, w in (
+        ("common.date", "date_text IS NULL"),
+        ("common.line_amount_usd", "line_amount_usd IS NULL"),
+        ("common.expense_type", "expense_type IS NULL"),
+        ("lodging_details.check_out_date", "expense_type LIKE 'lodging%' AND check_out_date IS NULL"),
+    )
 )
-_targets = {"original_currency": "original_currency IS NULL", "original_amount": "original_amount IS NULL", "exchange_rate": "true", "country": "country IS NULL", "foreign_activity_type": "true"}
+_targets = {"original_currency": "original_currency IS NULL", "original_amount": "original_amount IS NULL", "exchange_rate": "true", "country_of_activity": "country IS NULL", "foreign_activity_type": "true"}
+_away = "airfare_foreign, gift_card_employee_foreign, gifts_foreign_activity, ground_transportation_foreign, lodging_foreign"
 V03 = " UNION ALL ".join(
-    f"SELECT {_issue(4, 'error', 'MissingRequiredField', _path('common.' + ('country_of_activity' if t == 'country' else t)), chr(39) + 'Required for this expense type' + chr(39), 'line_idx')} FROM lines WHERE expense_type IN {_in(catalog.ALWAYS_FOREIGN)} AND {c}"
+    "SELECT " + _issue(4, "error", "MissingRequiredField", _path("common." + t), f"concat('Required when expense_type in [{_away}] (in line ', line_idx + 1, ')')", "line_idx") + f" FROM lines WHERE list_contains(string_split('{_away}', ', '), expense_type) AND {c}"
     for t, c in _targets.items()
 )
 V04 = f"""SELECT {_issue(5, 'warning', 'ManualReviewRequired', _path('common.country_of_activity'), "concat('Report is domestic but the line is in ', country)", 'line_idx')} FROM (SELECT l.*, category FROM lines l JOIN reports r USING (report_id)) WHERE category = 'expenses_domestic' AND NOT {_home}
@@ -74,8 +98,11 @@ V04 = f"""SELECT {_issue(5, 'warning', 'ManualReviewRequired', _path('common.cou
 V05 = f"""SELECT {_issue(6, 'warning', 'ManualReviewRequired', _path('common.date'), "concat('Transaction date ', date_text, ' is ', CASE WHEN date_text < from_date THEN concat('before trip start ', from_date) ELSE concat('after trip end ', to_date) END, '. Was this purchased ahead of the trip, or is the wrong receipt attached?')", 'line_idx')}
  FROM lines JOIN windows USING (report_id) WHERE from_date IS NOT NULL AND (date_text < from_date OR date_text > to_date)"""
 _tip_path = f"CASE WHEN expense_type IN ('business_meal','group_travel_meal') THEN {_path('meal_details.tip_amount')} ELSE {_path('ground_transport_details.tip_amount')} END"
-V06 = f"SELECT report_id, 7 AS pass_no, line_idx, 'warning' AS severity, 'ManualReviewRequired' AS kind, {_tip_path} AS path, '' AS message FROM lines WHERE tip > {_cap} + 0.005"
-ALL = f"{LINES}, {REPORTS}, {WINDOWS}, issues AS ({V01} UNION ALL {V03} UNION ALL {V04} UNION ALL {V05} UNION ALL {V06})"
+V06 = f"SELECT report_id, 7 AS pass_no, line_idx, 'warning' AS severity, 'ManualReviewRequired' AS kind, {_tip_path} AS path, '' AS message FROM lines WHERE tip > {_cap} + 0.005 AND expense_type IN ('business_meal','group_travel_meal','ground_transportation_domestic','ground_transportation_foreign')"
+_days = "greatest(1, CAST(rental_end_date AS DATE) - CAST(rental_start_date AS DATE) + 1)"
+V07 = f"""SELECT {_issue(8, 'warning', 'ManualReviewRequired', _path('car_rental_details.miles_driven'), f"concat(CAST(miles_driven AS INT), ' miles over ', {_days}, ' day(s) exceeds the institution''s 350 mi/day cap (max ', {_days} * 350, ' mi). Verify with the FA — excess may need special approval or won''t be reimbursed.')", 'line_idx')}
+ FROM lines WHERE miles_driven > 0 AND rental_start_date IS NOT NULL AND miles_driven > {_days} * 350 + 0.5"""
+ALL = f"{LINES}, {REPORTS}, {WINDOWS}, issues AS ({V01} UNION ALL {SUMMARY} UNION ALL {V03} UNION ALL {V04} UNION ALL {V05} UNION ALL {V06} UNION ALL {V07})"
 _names = ",".join(f"('{k}','{v}')" for k, v in catalog.CURRENCIES.items())
 NAMES = f"dim_currency AS (SELECT * FROM (VALUES {_names}) AS t(code, name))"
 _display = "concat(coalesce(original_currency, 'USD'), ' - ', coalesce(name, original_currency, 'USD'))"
@@ -89,7 +116,8 @@ KEYS = "keys AS (SELECT DISTINCT upper(trim(original_currency)) AS currency, CAS
 ASOF = f"{LINES}, {FX}, {KEYS}, asof_ AS (SELECT k.currency, k.day, max_by(f.usd_per_unit, f.rate_date) AS usd_per_unit FROM keys k LEFT JOIN fx f ON f.currency = k.currency AND f.rate_date <= k.day GROUP BY 1, 2)"
 ENRICHED = f"""{ASOF}, enriched AS (SELECT l.*, CASE WHEN original_currency IS NULL OR original_amount IS NULL THEN 'skipped' WHEN usd_per_unit IS NULL THEN 'failed' ELSE 'fetched' END AS fx_status,
  CASE WHEN original_currency IS NOT NULL AND original_amount IS NOT NULL THEN usd_per_unit END AS fx_rate FROM lines l LEFT JOIN asof_ a ON a.currency = l.original_currency AND a.day = CAST(l.date_text AS DATE))"""
-_norm = lambda c: f"lower(trim(regexp_replace(regexp_replace(regexp_replace({c}, 'USD|EUR|GBP|INR|JPY|Rs\\.?|[$€£¥₹]', ' ', 'g'), '[^\\p{{L}}\\p{{N}}.@\\s]', ' ', 'g'), '\\s+', ' ', 'g')))"
+_codes = "USD|EUR|GBP|JPY|CNY|INR|SGD|AUD|CAD|HKD|CHF|NZD|SEK|NOK|DKK|MXN|ZAR|KRW|THB|MYR|IDR|PHP|VND|BRL|ARS|TWD|AED|SAR"
+_norm = lambda c: f"lower(trim(regexp_replace(translate(regexp_replace({c}, '[$₹€£¥]|\\b({_codes})\\b', '', 'g'), ':;,()[]{{}}<>''\"!?\\|*+=&^~`-/%', '{' ' * 29}'), '\\s+', ' ', 'g')))"
 
 ORACLE = {
     "A01": f"WITH {LINES} SELECT report_id, coalesce({_money('line_amount_usd')}, 0.0) AS total_usd FROM lines GROUP BY 1",
@@ -115,12 +143,13 @@ ORACLE = {
     "J10": f"WITH {LINES}, {NAMES} SELECT {_display} AS currency_display, count(*) AS n FROM lines LEFT JOIN dim_currency ON code = coalesce(original_currency, 'USD') GROUP BY 1",
     "D01": f"WITH {DERIVED} SELECT report_id, line_idx, round(amount_usd, 4) AS amount_usd, CASE WHEN by_rate THEN 'placeholder_fx' WHEN line_amount_usd IS NULL AND distance_miles IS NOT NULL THEN 'mileage_rate' END AS origin, CASE WHEN by_rate THEN 'medium' ELSE confidence END AS amount_confidence, by_rate AS needs_review FROM derived",
     "D05": f"WITH {ENRICHED} SELECT report_id, line_idx, fx_status, fx_rate FROM enriched",
-    "V01": f"WITH {REPORTS} {V01}",
+    "V01": f"WITH {REPORTS} {V01} UNION ALL {SUMMARY}",
     "V02": f"WITH {LINES} {V02}",
     "V03": f"WITH {LINES} {V03}",
     "V04": f"WITH {LINES}, {REPORTS} {V04}",
     "V05": f"WITH {LINES}, {REPORTS}, {WINDOWS} {V05}",
     "V06": f"WITH {LINES}, v AS ({V06}) SELECT report_id, line_idx, path, severity FROM v",
+    "V07": f"WITH {LINES} {V07}",
     "V08": f"WITH {ALL} SELECT pass_no, severity, kind, count(*) AS n, count(DISTINCT report_id) AS n_reports FROM issues GROUP BY 1, 2, 3",
     "X01": f"WITH {ROUTED}, {NAMES} SELECT report_id, line_no AS line, {_portal} AS expense_date, {_display} AS expense_currency, {_amount} AS expense_amount, {_two('line_amount_usd')} AS usd_amount, {_label(1)} AS expense_type, '' AS remarks FROM routed LEFT JOIN dim_currency ON code = coalesce(original_currency, 'USD') WHERE NOT is_foreign",
     "X02": f"WITH {ROUTED}, {NAMES} SELECT report_id, line_no AS line, 'Expenses (Foreign)' AS category, {_portal} AS expense_date, {_display} AS expense_currency, {_amount} AS expense_amount, {_label(2)} AS expense_type, '' AS remarks, coalesce(country, '') AS country, '' AS activity_type, '' AS affiliation, '' AS traveler_id, '' AS traveler_name, '' AS ticket_number, '' AS travel_booking_method, '' AS airline, '' AS class_of_ticket, '' AS departure_airport, '' AS destination_airport, '' AS number_of_nights, '' AS location, CASE WHEN expense_type IN ('lodging_domestic','lodging_foreign') THEN 'No' ELSE '' END AS conference_hotel FROM routed LEFT JOIN dim_currency ON code = coalesce(original_currency, 'USD') WHERE is_foreign",
@@ -137,7 +166,7 @@ ORACLE = {
     "F09": f"WITH {LINES} SELECT report_id, line_idx, CASE WHEN original_amount IS NOT NULL THEN concat(CASE original_currency WHEN 'EUR' THEN '€' WHEN 'GBP' THEN '£' WHEN 'JPY' THEN '¥' WHEN 'INR' THEN '₹' ELSE concat(original_currency, ' ') END, printf('%.2f', original_amount)) WHEN line_amount_usd IS NOT NULL THEN concat('$', printf('%.2f', line_amount_usd)) END AS shown FROM lines",
     "F11": f"WITH {LINES} SELECT array_to_string([concat(upper(w[1]), w[2:]) for w in string_split(expense_type, '_')], ' ') AS title, count(*) AS n FROM lines GROUP BY 1",
     "F15": "SELECT page_id, lower(regexp_replace(url, '[^A-Za-z0-9]', '-', 'g')) AS anchor FROM pages",
-    "F24": "SELECT page_id, regexp_replace(string_split(url, '/')[-1], '[^A-Za-z0-9._-]', '_', 'g') AS name, regexp_full_match(url, '[A-Za-z0-9_-]+') AS is_id FROM pages",
+    "F24": "WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN url || '/' WHEN 2 THEN url || '/re ç(' || page_id || ').pdf' ELSE '' END AS raw FROM pages) SELECT page_id, coalesce(nullif(regexp_replace(string_split(rtrim(raw, '/'), '/')[-1], '[^A-Za-z0-9._-]+', '_', 'g'), ''), 'upload') AS name, regexp_full_match(url, '[A-Za-z0-9_-]+') AS is_id FROM pages JOIN p USING (page_id)",
     "F25": f"SELECT item_id, {_norm('text')} AS norm FROM benchmark",
     "J15": "SELECT CASE WHEN l.doc_id IS NULL THEN 'missing path' WHEN CAST(l.quality AS INT) = CASE WHEN d.n_chars > 200 THEN 1 ELSE 0 END THEN 'pass' ELSE 'failed' END AS outcome, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1",
     "J17": "SELECT 'toxic' AS path, 'DROPPED' AS difference, count(*) AS n FROM labels UNION ALL SELECT 'quality', 'VALUE', count(*) FROM labels WHERE quality <> toxic",

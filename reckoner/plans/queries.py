@@ -28,7 +28,7 @@ def derived(spark: SparkSession, d: str) -> DataFrame:
 
 @query("A01")
 def raw_total(spark: SparkSession, d: str) -> DataFrame:
-    return V.lines(spark, d).groupBy("report_id").agg(F.coalesce(reduce.money(F.col("line_amount_usd")), F.lit(0.0)).alias("total_usd"))
+    return V.lines(spark, d, country=False).groupBy("report_id").agg(F.coalesce(reduce.money(F.col("line_amount_usd")), F.lit(0.0)).alias("total_usd"))
 
 
 @query("A09")
@@ -38,7 +38,7 @@ def reports_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("A03")
 def fx_totals(spark: SparkSession, d: str) -> DataFrame:
-    return fx.totals(fx.enrich(V.lines(spark, d), V.fx_rates(spark, d)))
+    return fx.totals(fx.enrich(V.lines(spark, d, country=False), V.fx_rates(spark, d)))
 
 
 @query("A11")
@@ -48,12 +48,12 @@ def spend(spark: SparkSession, d: str) -> DataFrame:
 
 @query("A12")
 def page_counts(spark: SparkSession, d: str) -> DataFrame:
-    return export.line_counts(V.lines(spark, d), V.reports(spark, d))
+    return export.line_counts(V.lines(spark, d, country=False), V.reports(spark, d))
 
 
 @query("A13")
 def confidence_counts(spark: SparkSession, d: str) -> DataFrame:
-    return quality.confidence_histogram(V.lines(spark, d).select("report_id", "confidence"))
+    return quality.confidence_histogram(V.lines(spark, d, country=False).select("report_id", "confidence"))
 
 
 @query("A16")
@@ -85,22 +85,22 @@ def job_latest(spark: SparkSession, d: str) -> DataFrame:
 @query("P02")
 def kinds(spark: SparkSession, d: str) -> DataFrame:
     kind = F.coalesce(F.try_element_at(catalog.literal_map(catalog.KIND_OF_TYPE), F.col("expense_type")), F.lit("other"))
-    return V.lines(spark, d).groupBy(kind.alias("kind"), "original_currency").agg(F.count("*").alias("n"))
+    return V.lines(spark, d, country=False).groupBy(kind.alias("kind"), "original_currency").agg(F.count("*").alias("n"))
 
 
 @query("P03")
 def routing(spark: SparkSession, d: str) -> DataFrame:
-    return export.routed(V.lines(spark, d), V.reports(spark, d)).select("report_id", "line_idx", "is_foreign", "line_no")
+    return export.routed(V.lines(spark, d, country=False), V.reports(spark, d)).select("report_id", "line_idx", "is_foreign", "line_no")
 
 
 @query("P04")
 def foreign_types(spark: SparkSession, d: str) -> DataFrame:
-    return V.lines(spark, d).groupBy("expense_type").agg(F.bool_or(F.col("expense_type").endswith("_foreign")).alias("is_foreign"), F.count("*").alias("n"))
+    return V.lines(spark, d, country=False).groupBy("expense_type").agg(F.bool_or(F.col("expense_type").endswith("_foreign")).alias("is_foreign"), F.count("*").alias("n"))
 
 
 @query("J05")
 def mileage(spark: SparkSession, d: str) -> DataFrame:
-    lines = V.lines(spark, d).where("distance_miles is not null")
+    lines = V.lines(spark, d, country=False).where("distance_miles is not null")
     rated = reduce.mileage_rates(lines, catalog.dim_mileage_rate(spark))
     return rated.select("report_id", "line_idx", F.round("usd_per_mile", 4).alias("usd_per_mile"), F.round(S.mileage_amount(F.col("distance_miles"), F.col("usd_per_mile")), 2).alias("amount"))
 
@@ -112,17 +112,17 @@ def placeholder_fx(spark: SparkSession, d: str) -> DataFrame:
 
 @query("J07")
 def as_of(spark: SparkSession, d: str) -> DataFrame:
-    return fx.as_of(fx._keys(V.lines(spark, d)), V.fx_rates(spark, d)).select("currency", F.col("day").cast("string").alias("day"), "usd_per_unit")
+    return fx.as_of(fx._keys(V.lines(spark, d, country=False)), V.fx_rates(spark, d)).select("currency", F.col("day").cast("string").alias("day"), "usd_per_unit")
 
 
 @query("J07_range")
 def as_of_range(spark: SparkSession, d: str) -> DataFrame:
-    return fx.as_of_range(fx._keys(V.lines(spark, d)), V.fx_rates(spark, d)).select("currency", F.col("day").cast("string").alias("day"), "usd_per_unit")
+    return fx.as_of_range(fx._keys(V.lines(spark, d, country=False)), V.fx_rates(spark, d)).select("currency", F.col("day").cast("string").alias("day"), "usd_per_unit")
 
 
 @query("J10")
 def currency_names(spark: SparkSession, d: str) -> DataFrame:
-    return export.with_currency_name(V.lines(spark, d).select("original_currency")).groupBy("currency_display").agg(F.count("*").alias("n"))
+    return export.with_currency_name(V.lines(spark, d, country=False).select("original_currency")).groupBy("currency_display").agg(F.count("*").alias("n"))
 
 
 @query("D01")
@@ -132,22 +132,22 @@ def derived_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("D05")
 def enriched(spark: SparkSession, d: str) -> DataFrame:
-    return fx.enrich(V.lines(spark, d), V.fx_rates(spark, d)).select("report_id", "line_idx", "fx_status", "fx_rate")
+    return fx.enrich(V.lines(spark, d, country=False), V.fx_rates(spark, d)).select("report_id", "line_idx", "fx_status", "fx_rate")
 
 
 @query("V01")
 def v_report(spark: SparkSession, d: str) -> DataFrame:
-    return validate.required_report_fields(V.reports(spark, d))
+    return validate.required_report_fields(V.reports(spark, d), V.lines(spark, d, country=False))
 
 
 @query("V02")
 def v_lines(spark: SparkSession, d: str) -> DataFrame:
-    return validate.required_line_fields(V.lines(spark, d), parity=False)
+    return validate.required_line_fields(V.reports(spark, d), V.lines(spark, d, country=False), parity=False)
 
 
 @query("V03")
 def v_conditional(spark: SparkSession, d: str) -> DataFrame:
-    return validate.conditional_required(V.lines(spark, d))
+    return validate.conditional_required(V.reports(spark, d), V.lines(spark, d))
 
 
 @query("V04")
@@ -157,12 +157,17 @@ def v_category(spark: SparkSession, d: str) -> DataFrame:
 
 @query("V05")
 def v_window(spark: SparkSession, d: str) -> DataFrame:
-    return validate.trip_window(V.reports(spark, d), V.lines(spark, d))
+    return validate.trip_window(V.reports(spark, d), V.lines(spark, d, country=False))
 
 
 @query("V06")
 def v_tips(spark: SparkSession, d: str) -> DataFrame:
-    return validate.tips(V.lines(spark, d)).select("report_id", "line_idx", "path", "severity")
+    return validate.tips(V.reports(spark, d), V.lines(spark, d, country=False)).select("report_id", "line_idx", "path", "severity")
+
+
+@query("V07")
+def v_mileage(spark: SparkSession, d: str) -> DataFrame:
+    return validate.car_mileage(V.reports(spark, d), V.lines(spark, d, country=False))
 
 
 @query("V08")
@@ -173,7 +178,7 @@ def v_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query("X01")
 def x_domestic(spark: SparkSession, d: str) -> DataFrame:
-    return export.domestic_rows(V.lines(spark, d), V.reports(spark, d))
+    return export.domestic_rows(V.lines(spark, d, country=False), V.reports(spark, d))
 
 
 @query("X02")
@@ -183,7 +188,7 @@ def x_foreign(spark: SparkSession, d: str) -> DataFrame:
 
 @query("X03")
 def x_combined(spark: SparkSession, d: str) -> DataFrame:
-    return export.combined_rows(V.lines(spark, d))
+    return export.combined_rows(V.lines(spark, d, country=False))
 
 
 @query("E01")
@@ -212,12 +217,12 @@ def filer_listing(spark: SparkSession, d: str) -> DataFrame:
     """Each filer's reports, newest first, and their totals."""
     totals = reports_rollup(spark, d).select("report_id", "n_lines", "total_usd")
     at = Window.partitionBy("filer_id").orderBy(F.desc_nulls_last("when_text"), "report_id")
-    return V.reports(spark, d).join(totals, "report_id").withColumn("place", F.row_number().over(at).cast("long")).select("filer_id", "place", "report_id", "n_lines", "total_usd")
+    return V.reports(spark, d).select("report_id", "filer_id", "when_text").join(totals, "report_id").withColumn("place", F.row_number().over(at).cast("long")).select("filer_id", "place", "report_id", "n_lines", "total_usd")
 
 
 @query("F01")
 def portal_dates(spark: SparkSession, d: str) -> DataFrame:
-    return V.lines(spark, d).groupBy(S.portal_date(F.col("date_text")).alias("shown")).agg(F.count("*").alias("n"))
+    return V.lines(spark, d, country=False).groupBy(S.portal_date(F.col("date_text")).alias("shown")).agg(F.count("*").alias("n"))
 
 
 @query("F02")
@@ -229,19 +234,19 @@ def windows(spark: SparkSession, d: str) -> DataFrame:
 @query("F07")
 def caps(spark: SparkSession, d: str) -> DataFrame:
     cap = S.tip_cap(F.col("tip"), F.col("pre_tax"), F.col("tax"), F.col("line_amount_usd"))
-    df = V.lines(spark, d).withColumn("c", cap).where("c is not null")
+    df = V.lines(spark, d, country=False).withColumn("c", cap).where("c is not null")
     return df.select("report_id", "line_idx", F.round("c.cap", 7).alias("cap"), F.col("c.precise").alias("precise"))
 
 
 @query("F09")
 def money_texts(spark: SparkSession, d: str) -> DataFrame:
-    lines = V.lines(spark, d)
+    lines = V.lines(spark, d, country=False)
     return lines.select("report_id", "line_idx", S.original_amount_display(F.col("original_amount"), F.col("original_currency"), F.col("line_amount_usd")).alias("shown"))
 
 
 @query("F11")
 def titles(spark: SparkSession, d: str) -> DataFrame:
-    return V.lines(spark, d).groupBy("expense_type").agg(F.count("*").alias("n")).select(S.title_case(F.col("expense_type")).alias("title"), "n")
+    return V.lines(spark, d, country=False).groupBy("expense_type").agg(F.count("*").alias("n")).select(S.title_case(F.col("expense_type")).alias("title"), "n")
 
 
 @query("F15")
@@ -251,7 +256,8 @@ def anchors(spark: SparkSession, d: str) -> DataFrame:
 
 @query("F24")
 def safe_names(spark: SparkSession, d: str) -> DataFrame:
-    return V.read(spark, d, "pages").select("page_id", S.sanitize_filename(F.col("url")).alias("name"), S.valid_id(F.col("url")).alias("is_id"))
+    end = F.when(F.col("page_id") % 4 == 0, F.col("url")).when(F.col("page_id") % 4 == 1, F.concat("url", F.lit("/"))).when(F.col("page_id") % 4 == 2, F.concat("url", F.lit("/re ç("), "page_id", F.lit(").pdf"))).otherwise("")
+    return V.read(spark, d, "pages").select("page_id", S.sanitize_filename(end).alias("name"), S.valid_id(F.col("url")).alias("is_id"))
 
 
 @query("F25")
@@ -285,7 +291,7 @@ def last_turns(spark: SparkSession, d: str) -> DataFrame:
 
 @query("A05")
 def earliest(spark: SparkSession, d: str) -> DataFrame:
-    return V.lines(spark, d).groupBy("report_id").agg(F.min("date_text").alias("earliest_date"))
+    return V.lines(spark, d, country=False).groupBy("report_id").agg(F.min("date_text").alias("earliest_date"))
 
 
 @query("A06")
@@ -295,9 +301,6 @@ def inferred(spark: SparkSession, d: str) -> DataFrame:
 
 @query("J19")
 def quote_search(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark passages as quotes, searched in the documents that have their longest word."""
-    b = V.read(spark, d, "benchmark").select(F.col("item_id").alias("evidence_id"), F.col("text").alias("quote"), F.element_at(grounding.search_keys(F.col("text")), 3).alias("_word"))
-    docs = V.read(spark, d, "documents").select("doc_id", "text")
-    each = docs.select("doc_id", F.explode(F.array_distinct(F.split(S.quote_norm(F.col("text")), " "))).alias("_word"))
-    met = each.join(b, "_word").select("evidence_id", "doc_id", "quote")
-    return grounding.occurrences(met, docs).where("level = 0").select("evidence_id", "doc_id", "n_found")
+    """Benchmark passages as quotes, searched in all documents."""
+    quotes = V.read(spark, d, "benchmark").select(F.col("item_id").alias("evidence_id"), F.col("text").alias("quote"))
+    return grounding.search(quotes, V.read(spark, d, "documents"))

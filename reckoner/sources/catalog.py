@@ -9,84 +9,83 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Display names of currencies, as the filing portal spells them.
-CURRENCIES = dict(
-    line.split(" ", 1)
-    for line in """AED United Arab Emirates Dirham
-ALL Albanian Lek
-AOA Angolanische Kwanza
-ARS Argentine peso
-AUD Australian Dollar
-BDT Bangladeshi Taka
-BGN Bulgarian Lev
-BRL Brazilian Real
-BWP Botswana Pula
-CAD Canadian Dollar
-CHF Swiss Franc
-CLP Chilean Peso
-CNY Chinese Yuan Renminbi
-COP Colombian Peso
-CRC Costa Rican Colon
-CZK Czech Koruna
-DKK Danish Krone
-DOP Dominican Peso
-EGP Egyptian Pound
-EUR Euro
-GBP British Pound
-GEL Georgian Lari
-GTQ Guatemalan Quetzal
-HKD Hong Kong Dollar
-HUF Hungarian Forint
-IDR Indonesian Rupiah
-ILS Israeli Shekel
-INR Indian Rupee
-ISK Icelandic Krona
-JMD Jamaican Dollar
-JOD Jordanian Dinars
-JPY Japanese Yen
-KES Kenyan Shilling
-KRW South Korean won
-KWD Kuwaiti Dinar
-KYD Cayman Islands Dollar
-KZT Kazakhstan Tenge
-LKR Sri Lankan Rupee
-LTL Lithuanian Litas
-LYD Libyan Dinar
-MAD Moroccan Dirham
-MGA Malagasy Ariary
-MOP Macanese Pataca
-MXN Mexican Peso
-MYR Malaysian Ringgit
-NAD Namibian Dollar
-NGN Nigerian Naira
-NIO Nicaraguan Córdoba
-NOK Norwegian Krone
-NPR Nepalese Rupee
-NZD New Zealand Dollar
-OMR Omani Rial
-PEN Sol
-PHP Philippine Peso
-PLN Polish Zloty
-PYG Paraguay Guarani
-QAR Qatari Rial
-RON Romanian Leu
-RSD Serbian Dinar
-SAR Saudi Riyal
-SEK Swedish Krona
-SGD Singapore Dollar
-THB Thai Baht
-TRY Turkish Lira
-TTD Trinidad and Tobago Dollar
-TWD New Taiwan dollar
-TZS Tanzanian Schilling
-UGX Ugandan Shilling
-USD US Dollar
-UYU Uruguayan Peso
-VEF Venezuelan Bolivar Fuerte
-VND Vietnamese Dong
-XOF West African CFA Franc
-ZAR South African Rand
-ZWD Zimbabwe Dollar""".splitlines()
-)
+CURRENCIES = {
+    "AED": "United Arab Emirates Dirham",
+    "ALL": "Albanian Lek",
+    "AOA": "Angolanische Kwanza",
+    "ARS": "Argentine peso",
+    "AUD": "Australian Dollar",
+    "BDT": "Bangladeshi Taka",
+    "BGN": "Bulgarian Lev",
+    "BRL": "Brazilian Real",
+    "BWP": "Botswana Pula",
+    "CAD": "Canadian Dollar",
+    "CHF": "Swiss Franc",
+    "CLP": "Chilean Peso",
+    "CNY": "Chinese Yuan Renminbi",
+    "COP": "Colombian Peso",
+    "CRC": "Costa Rican Colon",
+    "CZK": "Czech Koruna",
+    "DKK": "Danish Krone",
+    "DOP": "Dominican Peso",
+    "EGP": "Egyptian Pound",
+    "EUR": "Euro",
+    "GBP": "British Pound",
+    "GEL": "Georgian Lari",
+    "GTQ": "Guatemalan Quetzal",
+    "HKD": "Hong Kong Dollar",
+    "HUF": "Hungarian Forint",
+    "IDR": "Indonesian Rupiah",
+    "ILS": "Israeli Shekel",
+    "INR": "Indian Rupee",
+    "ISK": "Icelandic Krona",
+    "JMD": "Jamaican Dollar",
+    "JOD": "Jordanian Dinars",
+    "JPY": "Japanese Yen",
+    "KES": "Kenyan Shilling",
+    "KRW": "South Korean won",
+    "KWD": "Kuwaiti Dinar",
+    "KYD": "Cayman Islands Dollar",
+    "KZT": "Kazakhstan Tenge",
+    "LKR": "Sri Lankan Rupee",
+    "LTL": "Lithuanian Litas",
+    "LYD": "Libyan Dinar",
+    "MAD": "Moroccan Dirham",
+    "MGA": "Malagasy Ariary",
+    "MOP": "Macanese Pataca",
+    "MXN": "Mexican Peso",
+    "MYR": "Malaysian Ringgit",
+    "NAD": "Namibian Dollar",
+    "NGN": "Nigerian Naira",
+    "NIO": "Nicaraguan Córdoba",
+    "NOK": "Norwegian Krone",
+    "NPR": "Nepalese Rupee",
+    "NZD": "New Zealand Dollar",
+    "OMR": "Omani Rial",
+    "PEN": "Sol",
+    "PHP": "Philippine Peso",
+    "PLN": "Polish Zloty",
+    "PYG": "Paraguay Guarani",
+    "QAR": "Qatari Rial",
+    "RON": "Romanian Leu",
+    "RSD": "Serbian Dinar",
+    "SAR": "Saudi Riyal",
+    "SEK": "Swedish Krona",
+    "SGD": "Singapore Dollar",
+    "THB": "Thai Baht",
+    "TRY": "Turkish Lira",
+    "TTD": "Trinidad and Tobago Dollar",
+    "TWD": "New Taiwan dollar",
+    "TZS": "Tanzanian Schilling",
+    "UGX": "Ugandan Shilling",
+    "USD": "US Dollar",
+    "UYU": "Uruguayan Peso",
+    "VEF": "Venezuelan Bolivar Fuerte",
+    "VND": "Vietnamese Dong",
+    "XOF": "West African CFA Franc",
+    "ZAR": "South African Rand",
+    "ZWD": "Zimbabwe Dollar",
+}
 
 # Placeholder rates, USD per unit.
 PLACEHOLDER_RATES = {"INR": 0.012, "EUR": 1.07, "GBP": 1.27, "JPY": 0.0067}
@@ -158,9 +157,88 @@ KIND_OF_TYPE = {
     "ancillary_airline_fee": "ancillary",
 }
 
-# required_when rules on lines, (target column, condition column, values).
-FOREIGN_FIELDS = ("original_currency", "original_amount", "exchange_rate", "country", "foreign_activity_type")
-CONDITIONAL_RULES = [(field, "expense_type", ALWAYS_FOREIGN) for field in FOREIGN_FIELDS]
+# Fields that must be there, by the object they stand in.
+REQUIRED_FIELDS = {
+    "general_information": "category payee payee.name payee.sunet payee.affiliation rush_processing payment_method business_purpose business_purpose.who business_purpose.what business_purpose.when business_purpose.where business_purpose.why event_name student_certification authorized_by".split(),
+    "transaction_summary": "transaction_date total_usd".split(),
+    "transaction_lines[].common": "date line_amount_usd expense_type remarks source_document".split(),
+    "transaction_lines[].airfare_details": "travelers_name ticket_number ticket_amount booking_method airline class_of_ticket departure_airport destination_airport round_trip".split(),
+    "transaction_lines[].lodging_details": "hotel_name location check_in_date check_out_date number_of_nights daily_rate booking_method is_shared_lodging".split(),
+    "transaction_lines[].ground_transport_details": "origin destination service_provider missing_receipt".split(),
+    "transaction_lines[].conference_registration_details": "conference_name order_number ticket_type attendee_name registration_system conference_start_date conference_end_date meals_included".split(),
+    "transaction_lines[].ancillary_details": "fee_category airline description".split(),
+    "transaction_lines[].meal_details": "venue_name attendees meal_purpose has_alcohol_on_receipt".split(),
+    "transaction_lines[].car_rental_details": "rental_company pickup_location return_location rental_start_date rental_end_date vehicle_class insurance_included".split(),
+    "transaction_lines[].mileage_details": "distance_miles origin destination trip_date".split(),
+    "transaction_lines[].gift_details": "recipient_name recipient_relationship gift_purpose".split(),
+    "transaction_lines[].human_subject_details": "irb_protocol_number number_of_subjects per_subject_amount".split(),
+    "per_diem_expenses[]": "expense_type start_date end_date number_of_days location country_of_activity per_diem_rate remarks meal_deductions reimbursement_summary".split(),
+    "allocation_and_approvers": ["other_beneficiaries"],
+}
+# Fields that may be missing.
+OPTIONAL_FIELDS = {
+    "general_information.student_certification": "supports_faculty_research presenting_at_conference integral_to_degree_work related_to_employment other".split(),
+    "transaction_summary": "transaction_number status".split(),
+    "transaction_lines[].common.source_document": "filename document_type".split(),
+    "transaction_lines[].lodging_details": ["personal_nights_excluded"],
+    "transaction_lines[].ground_transport_details": "tip_amount pre_tax_amount tax_amount".split(),
+    "transaction_lines[].conference_registration_details.meals_included": "schedule schedule[] schedule[].date schedule[].breakfast schedule[].lunch schedule[].dinner".split(),
+    "transaction_lines[].meal_details": "attendees[] attendees[].name attendees[].affiliation tip_amount pre_tax_amount tax_amount".split(),
+    "transaction_lines[].car_rental_details": ["miles_driven"],
+    "transaction_lines[].mileage_details": ["vehicle_class"],
+    "per_diem_expenses[]": "meal_deductions[] meal_deductions[].date meal_deductions[].breakfast_provided meal_deductions[].lunch_provided meal_deductions[].dinner_provided meal_deductions[].deduction_amount reimbursement_summary[] reimbursement_summary[].date reimbursement_summary[].per_diem_amount reimbursement_summary[].meal_deduction reimbursement_summary[].net_amount".split(),
+    "allocation_and_approvers": "beneficiary_list[] beneficiary_list[].name beneficiary_list[].relationship".split(),
+}
+_AWAY = "expense_type in [airfare_foreign, gift_card_employee_foreign, gifts_foreign_activity, ground_transportation_foreign, lodging_foreign]"
+# Fields and blocks that must be there when a condition holds, in order.
+REQUIRED_WHEN = [
+    ("general_information.student_certification.other_explanation", "student_certification.other == true"),
+    ("transaction_lines[].common.original_currency", _AWAY),
+    ("transaction_lines[].common.original_amount", _AWAY),
+    ("transaction_lines[].common.exchange_rate", _AWAY),
+    ("transaction_lines[].common.country_of_activity", _AWAY),
+    ("transaction_lines[].common.foreign_activity_type", _AWAY),
+    ("transaction_lines[].airfare_details", "expense_type in [airfare_domestic, airfare_foreign]"),
+    ("transaction_lines[].lodging_details", "expense_type in [lodging_domestic, lodging_foreign]"),
+    ("transaction_lines[].lodging_details.shared_with_transaction_number", "lodging_details.is_shared_lodging == true"),
+    ("transaction_lines[].ground_transport_details", "expense_type in [ground_transportation_foreign, ground_transportation_domestic]"),
+    ("transaction_lines[].conference_registration_details", "expense_type == conference_registration"),
+    ("transaction_lines[].ancillary_details", "expense_type == ancillary_airline_fee"),
+    ("transaction_lines[].meal_details", "expense_type in [business_meal, group_travel_meal]"),
+    ("transaction_lines[].meal_details.alcohol_amount", "meal_details.has_alcohol_on_receipt == true"),
+    ("transaction_lines[].car_rental_details", "expense_type == car_rental"),
+    ("transaction_lines[].mileage_details", "expense_type == personal_mileage"),
+    ("transaction_lines[].gift_details", "expense_type in [gift_card_employee_foreign, gifts_foreign_activity]"),
+    ("transaction_lines[].human_subject_details", "expense_type == human_subject_incentive"),
+    ("per_diem_expenses[].foreign_activity_type", "expense_type in [international_lodging, international_meals]"),
+    ("allocation_and_approvers.beneficiary_list", "allocation_and_approvers.other_beneficiaries == true"),
+]
+# Required line fields that aren't looked at, as nothing fills them before a person does.
+NOT_WALKED = ("conference_registration_details.conference_start_date", "conference_registration_details.conference_end_date", "conference_registration_details.meals_included")
+WALKED_BLOCKS = ("common", "meal_details", "ground_transport_details", "lodging_details", "mileage_details", "conference_registration_details", "ancillary_details")
+# Targets of conditions that are never reported, and conditions that nothing resolves.
+UNCHECKED_TARGETS = ("transaction_lines[].ancillary_details", "transaction_lines[].mileage_details", "per_diem_expenses[].foreign_activity_type")
+UNRESOLVED = ("meal_details.has_alcohol_on_receipt",)
+
+
+def validation_rules(spark: SparkSession) -> DataFrame:
+    """(path, required, required_expression) of every rule on a field."""
+    when = dict(REQUIRED_WHEN)
+    rows = [(f"expense_report.{group}.{f}", True, None) for group, fields in REQUIRED_FIELDS.items() for f in fields]
+    rows += [(f"expense_report.{group}.{f}", False, None) for group, fields in OPTIONAL_FIELDS.items() for f in fields]
+    rows += [(f"expense_report.{path}", False, condition) for path, condition in when.items()]
+    return spark.createDataFrame(rows, "path string, required boolean, required_expression string")
+
+
+def condition(text: str) -> tuple[str, list[str]] | None:
+    """Field and accepted values of "field == value" or "field in [a, b]"; None for other text."""
+    if " in " in text:
+        field, values = text.split(" in ", 1)
+        return field.strip(), [v.strip() for v in values.strip().strip("[]").split(",")]
+    if "==" in text:
+        field, value = text.split("==", 1)
+        return field.strip(), [value.strip()]
+    return None
 
 
 def literal_map(values: dict) -> Column:
@@ -191,5 +269,5 @@ def load_mileage_rates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def conditional_rules(spark: SparkSession) -> DataFrame:
-    """(target, condition column, JSON list of its values) of the required_when rules."""
-    return spark.createDataFrame([(t, c, json.dumps(v)) for t, c, v in CONDITIONAL_RULES], "target string, on_column string, allowed string")
+    """(target, field, JSON list of its values) of the rules that hold under a condition."""
+    return spark.createDataFrame([(t, condition(c)[0], json.dumps(condition(c)[1])) for t, c in REQUIRED_WHEN], "target string, on_field string, allowed string")

@@ -21,17 +21,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per report and line; line_idx counts from 0 in a total order."""
-    l, s, n = (read(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation"))
-    # Suppliers and nations stay hash joins of Spark's choice: their size is checked by it.
-    places = s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", "s_nationkey", "n_name")
-    df = l.join(places, l.l_suppkey == places.s_suppkey)
+def lines(spark: SparkSession, sf_dir: str, country: bool = True) -> DataFrame:
+    """One row per report and line; line_idx counts from 0 in a total order.
+
+    Without ``country`` that column is left out, and with it two joins.
+    """
+    df = read(spark, sf_dir, "lineitem")
+    places = []
+    if country:
+        # Suppliers and nations stay joins of Spark's choice: their size is checked by it.
+        s, n = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "nation")
+        df = df.join(s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey", "n_name"), "l_suppkey")
+        places = [F.when(F.col("s_nationkey") % 5 == 1, "United States").when(F.col("s_nationkey") % 5 == 2, None).otherwise(F.col("n_name")).alias("country")]
     pick = lambda values, key: F.element_at(F.array(*[F.lit(v) for v in values]), (key + 1).cast("int"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     price = F.col("l_extendedprice")
     kind, code = pick(TYPES, F.col("l_partkey") % 18), pick(CODES, F.col("l_suppkey") % 6)
-    mileage = F.col("expense_type") == "personal_mileage"
+    mileage, rented = F.col("expense_type") == "personal_mileage", F.col("expense_type") == "car_rental"
+    lodging = F.col("expense_type").isin("lodging_domestic", "lodging_foreign")
+    day = F.to_date("l_shipdate").cast("string")
+    later = lambda n: F.date_add(F.to_date("l_shipdate"), n.cast("int")).cast("string")
     df = df.withColumns({"expense_type": kind, "original_currency": code})
     return df.select(
         F.col("l_orderkey").alias("report_id"),
@@ -43,11 +52,19 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("original_currency").isNotNull(), price).alias("original_amount"),
         F.when(F.col("original_currency").isNull() & ~mileage, price).alias("line_amount_usd"),
         F.when(F.col("l_returnflag") == "A", "high").when(F.col("l_returnflag") == "N", "medium").otherwise("low").alias("confidence"),
-        F.when(F.col("s_nationkey") % 5 == 1, "United States").when(F.col("s_nationkey") % 5 == 2, None).otherwise(F.col("n_name")).alias("country"),
+        *places,
         F.when(mileage, F.col("l_quantity")).alias("distance_miles"),
         F.when(F.col("expense_type").isin(*TIPPED), price * F.col("l_discount") * 3).alias("tip"),
         F.when(F.col("l_partkey") % 2 == 0, price * (1 - F.col("l_discount"))).alias("pre_tax"),
         F.when(F.col("l_partkey") % 3 != 0, price * F.col("l_tax")).alias("tax"),
+        F.lit(None).cast("double").alias("exchange_rate"),
+        F.lit(None).cast("string").alias("foreign_activity_type"),
+        F.when(rented, F.col("l_quantity") * 60).alias("miles_driven"),
+        F.when(rented & (F.col("l_partkey") % 4 != 0), day).alias("rental_start_date"),
+        F.when(rented, later(F.col("l_quantity") % 5)).alias("rental_end_date"),
+        F.when(lodging, day).alias("check_in_date"),
+        F.when(lodging & (F.col("l_partkey") % 4 != 0), later(F.col("l_quantity") % 6 - 1)).alias("check_out_date"),
+        F.when(lodging, F.slice(F.array(price, price * (1 - F.col("l_discount")), price * (1 + F.col("l_tax"))), F.lit(1), (F.col("l_quantity") % 4).cast("int"))).alias("nightly_rates"),
     )
 
 
@@ -61,6 +78,11 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("filer_id"),
         F.when(F.col("o_orderstatus") == "F", "expenses_foreign").when(F.col("o_orderstatus") == "O", "expenses_domestic").otherwise("relocation").alias("category"),
         F.when(turn == 0, None).when(turn == 1, day).when(turn == 2, "spring trip").otherwise(F.concat(day, F.lit(" to "), end)).alias("when_text"),
+        F.when(F.col("o_custkey") % 7 != 0, F.concat(F.lit("Payee "), F.col("o_custkey").cast("string"))).alias("payee_name"),
+        F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority")).alias("payment_method"),
+        F.when(F.col("o_orderkey") % 9 != 0, F.concat(F.lit("Event "), F.col("o_orderkey").cast("string"))).alias("event_name"),
+        F.when(F.col("o_orderkey") % 11 != 0, day).alias("transaction_date"),
+        F.when(F.col("o_totalprice") >= 5000, F.col("o_totalprice")).alias("stated_usd"),
     )
 
 

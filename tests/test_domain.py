@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import json
 
 import pytest
@@ -108,21 +109,111 @@ def test_window_and_conditional_issues(spark):
     df = lines(spark, {}, {"line_idx": 1, "date_text": "2025-01-04"}, {"line_idx": 2, "date_text": "2025-01-09", "expense_type": "lodging_foreign"})
     where = [r["message"].split(". ")[0] for r in validate.trip_window(reports, df).orderBy("line_idx").collect()]
     assert where == ["Transaction date 2025-01-02 is before trip start 2025-01-03", "Transaction date 2025-01-09 is after trip end 2025-01-05"]
-    assert validate.conditional_required(df).count() == 5
-    assert validate.required_line_fields(df).count() == 0 < validate.required_line_fields(df, parity=False).count()
+    away = validate.conditional_required(reports, df.withColumns({"exchange_rate": F.lit(None), "foreign_activity_type": F.lit(None)})).collect()
+    assert len(away) == 5 and away[0]["message"].startswith("Required when expense_type in [airfare_foreign,") and away[0]["message"].endswith("] (in line 3)")
+    assert validate.required_line_fields(reports, df).count() == 0 < validate.required_line_fields(reports, df, parity=False).count()
 
 
-def test_car_mileage(spark):
-    df = spark.createDataFrame([(1, 0, 800.0, "2025-01-01", "2025-01-02"), (1, 1, 700.0, "2025-01-01", "2025-01-02"), (1, 2, 900.0, None, None)], "report_id long, line_idx long, miles double, pick_up string, drop_off string")
-    assert [r["line_idx"] for r in validate.car_mileage(df).collect()] == [0]
+def test_rules(spark):
+    rules = {r["path"]: r for r in catalog.validation_rules(spark).collect()}
+    assert len(rules) > 130 and rules["expense_report.general_information.payee.name"]["required"]
+    assert rules["expense_report.transaction_lines[].car_rental_details"]["required_expression"] == "expense_type == car_rental"
+    assert catalog.condition("a.b == true") == ("a.b", ["true"]) and catalog.condition("x in [a, b]") == ("x", ["a", "b"]) and catalog.condition("Must fall within") is None
+
 
+def car(spark, *rows):
+    return spark.createDataFrame([(1, k, m, a, b) for k, (m, a, b) in enumerate(rows)], "report_id long, line_idx long, miles_driven double, rental_start_date string, rental_end_date string")
 
-def test_all_issues_have_car_mileage(spark):
+
+def test_car_mileage(spark):
     reports = spark.createDataFrame([(1, "2025-01-01", "expenses_domestic")], "report_id long, when_text string, category string")
-    df = lines(spark, {"country": "US"}).withColumns({"miles": F.lit(800.0), "pick_up": F.lit("2025-01-01"), "drop_off": F.lit("2025-01-02")})
+    df = car(spark, (800.0, "2025-01-01", "2025-01-02"), (700.0, "2025-01-01", "2025-01-02"), (900.0, None, None), (400.0, "2025-01-02", "2025-01-01"))
+    got = validate.car_mileage(reports, df).orderBy("line_idx").collect()
+    assert [r["line_idx"] for r in got] == [0, 3]
+    assert got[0]["path"] == "expense_report.transaction_lines[0].car_rental_details.miles_driven"
+    assert got[0]["message"] == "800 miles over 2 day(s) exceeds the institution's 350 mi/day cap (max 700 mi). Verify with the FA — excess may need special approval or won't be reimbursed."
+
+
+def test_all_issues_of_reports_and_lines(spark):
+    reports = spark.createDataFrame([(1, "2025-01-01", "expenses_domestic", None), (2, None, "expenses_foreign", "x")], "report_id long, when_text string, category string, payee_name string")
+    df = lines(spark, {"country": "US"}).join(car(spark, (800.0, "2025-01-01", "2025-01-02")), ["report_id", "line_idx"])
     issues = validate.all_issues(reports, df)
     assert [r["pass_no"] for r in issues.where("pass_no = 8").collect()] == [8]
-    assert validate.all_issues(reports, df.drop("miles")).where("pass_no = 8").count() == 0
+    assert validate.all_issues(reports, df.drop("miles_driven")).where("pass_no = 8").count() == 0
+    # Report 2 has no lines: its own issues are there, once each.
+    assert sorted((r["pass_no"], r["path"].split(".")[-1]) for r in issues.where("report_id = 2").collect()) == [(1, "when"), (5, "category")]
+    assert [r["path"].split(".")[-1] for r in issues.where("report_id = 1 and pass_no = 1").collect()] == ["name"]
+
+
+def test_tips_of_meals_and_rides_only(spark):
+    reports = spark.createDataFrame([(1, "2025-01-01", "expenses_domestic")], "report_id long, when_text string, category string")
+    tip = {"tip": 30.0, "pre_tax": 100.0, "tax": 10.0}
+    df = lines(spark, {"expense_type": "business_meal", **tip}, {"line_idx": 1, "expense_type": "lodging_domestic", **tip}, {"line_idx": 2, "expense_type": "ground_transportation_foreign", **tip})
+    assert [r["path"].split("].")[1] for r in validate.tips(reports, df).orderBy("line_idx").collect()] == ["meal_details.tip_amount", "ground_transport_details.tip_amount"]
+
+
+def each(spark, column, *values, kind="string"):
+    return [r[0] for r in spark.createDataFrame([(v,) for v in values], f"t {kind}").select(column).collect()]
+
+
+def test_labels_and_names(spark):
+    t = F.col("t")
+    paths = ("transaction_summary.transaction_date", "general_information.category", "general_information.payee.name", "general_information.business_purpose.who", "transaction_lines[0].common.country_of_activity", "transaction_lines[2].meal_details.venue_name", "transaction_lines[1].ground_transport_details.origin")
+    assert each(spark, S.friendly_label(t), *[f"expense_report.{p}" for p in paths]) == ["Trip Date", "Category", "Payee: Name", "Business Purpose: Who", "Line 1: Country Of Activity", "Line 3: Venue Name", "Line 2: Origin"]
+    assert each(spark, S.origin_text(t), "reduce.fx.mock", "not_present_in_receipt") == ["converted via mock FX rate (placeholder; real-time tool TBD)", None]
+    assert each(spark, S.sanitize_filename(t), "a/b c?!.pdf", "", "/", "x//", None) == ["b_c_.pdf", "upload", "upload", "x", None]
+    assert each(spark, S.normalize_enum(t, S.affiliation_codes("uni")), " Uni Student", "postdoc", "Dean", None) == ["uni_student", "uni_postdoc", None, None]
+    six = F.array(*[F.lit(x) for x in "abcdef"])
+    assert each(spark, S.validate_enum(t, six), "a", "z", None) == [None, "must be one of: a, b, c, d, e, … (6 total)", None]
+    assert each(spark, S.validate_enum(t, F.slice(six, 1, 5)), "z") == ["must be one of: a, b, c, d, e"]
+
+
+def test_quotes(spark):
+    assert each(spark, S.quote_norm(F.col("t")), "Total: $163.54 USD", "EUROPE 20-JAN-24", "Rs. 5,20%", "SRIRAM/ADITYA  a@b.c") == ["total 163.54", "europe 20 jan 24", "rs. 5 20", "sriram aditya a@b.c"]
+    pairs = [("abcd", "bcde"), ("total 42.50", "total 42.5"), ("", "x"), (None, "x"), ("same", "same"), ("ab", "xy")]
+    got = spark.createDataFrame(pairs, "a string, b string").select(S.similarity(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == [difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in pairs]
+
+
+def test_values_keep_the_type_of_the_old_one(spark):
+    df = spark.createDataFrame([(" yes ", "string", "boolean"), ("12", "number", None), (" 12 ", "number", "string"), ("x", "string", "number"), ("  ", "string", "string")], "t string, k string, old string")
+    got = [tuple(r[0]) for r in df.select(S.coerce_by_type(F.col("t"), F.col("k"), F.col("old"))).collect()]
+    assert got == [("true", False), ("12", False), ("12", False), (None, True), (None, False)]
+
+
+def test_classes_of_responses_and_errors(spark):
+    rows = [(200, "path", "PASS"), (400, "path did not resolve", "WALK"), (400, "must be yes or no", "COERCE"), (400, "must be one of: a", "ENUM"), (400, "type of path", "OTHER"), (500, "render failed", "RENDER"), (500, "must be a number", "OTHER"), (201, "", "OTHER")]
+    got = spark.createDataFrame(rows, "s int, b string, want string").select(quality.edit_class(F.col("s"), F.col("b")), "want").collect()
+    assert all(a == b for a, b in got)
+    names = spark.createDataFrame([(None, "RetryError"), (None, "GoogleAPIError"), (None, "ResourceExhausted"), (429, "X"), (404, None)], "c int, n string")
+    assert [r[0] for r in names.select(jobs.is_retryable(F.col("c"), F.col("n"))).collect()] == [True, True, False, True, False]
+    used = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "member string")
+    assert [r[0] for r in quality.unknown_members(used, used.where("member = 'a'").limit(1)).collect()] == ["b"]
+
+
+def test_merged_extractions(spark):
+    kind = "document_id long, date string, airfare_details struct<airline:string,fare:double>"
+    main = spark.createDataFrame([(1, "d", ("A", None))], kind)
+    extra = spark.createDataFrame([(1, None, (None, 3.0))], kind)
+    assert tuple(reduce.merge_extractions(main, extra, nested=("airfare_details",)).first()) == (1, "d", ("A", 3.0))
+    with pytest.raises(Exception, match="not one extraction"):
+        reduce.merge_extractions(main, extra.union(extra)).collect()
+
+
+def test_lodging(spark):
+    df = spark.createDataFrame([([189.0, 189.0, 250.0], "2025-01-13", "2025-01-14"), ([], "2025-12-30", "2026-01-02"), (None, "2025-01-02", "2025-01-01")], "nightly_rates array<double>, check_in_date string, check_out_date string")
+    got = [(r["daily_rate"] and round(r["daily_rate"], 4), r["number_of_nights"], r["daily_rate_confidence"]) for r in reduce.derive_lodging(df).collect()]
+    assert got == [(209.3333, 1, "high"), (None, 3, None), (None, None, None)]
+
+
+def test_search_finds_what_contains_finds(spark):
+    texts = ["the total fare 42.50 was paid", "fare", "xx welfares yy", "a b c d", "", None, "pre total fare 42.50 wash", "a long quote about nothing"]
+    quotes = ["total fare 42.50 was", "fare", "a b", "b", "otal fare 42.50 wa", "long quote about", "absent words stand here", "", "of"]
+    got = grounding.search(spark.createDataFrame(list(enumerate(quotes)), "evidence_id long, quote string"), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = {(i, j, t.count(q)) for i, q in enumerate(quotes) for j, t in enumerate(texts) if t and q and q in t}
+    assert {tuple(r) for r in got.collect()} == want
+    shuffled = grounding.search(spark.createDataFrame(list(enumerate(quotes)), "evidence_id long, quote string"), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), broadcast_bytes=0)
+    assert {tuple(r) for r in shuffled.collect()} == want
 
 
 def test_edits(spark):
@@ -143,8 +234,11 @@ def test_store(spark):
     s1 = store.upsert_reports(old, spark.createDataFrame([("a", "{}", None, [str(k) for k in range(60)], "me")], kinds), now)
     s2 = store.upsert_reports(s1, spark.createDataFrame([("a", "{1}", None, None, None)], kinds), F.lit("2026-02-01").cast("timestamp")).first()
     assert (s2["report_json"], s2["filed_by"], str(s2["created_at"])[:10], str(s2["updated_at"])[:10], str(s2["ttl"])[:10], len(s2["history"])) == ("{1}", "me", "2026-01-01", "2026-02-01", "2026-04-01", 50)
-    files = spark.createDataFrame([("u", 1, "a.png"), ("u", 2, "a_2.png"), ("u", 3, "a.png")], "upload_id string, seq int, name string")
-    assert len({r["unique_name"] for r in store.with_collision_suffix(files).collect()}) == 3
+    names = ["a.png", "a_2.png", "a.png", "a_2_2.png", "a.png", "a_2.png", ".x", ".x", "b"]
+    files = spark.createDataFrame([("u", k, x) for k, x in enumerate(names)] + [("v", 0, "a.png"), ("v", 1, None)], "upload_id string, seq int, name string")
+    got = {(r["upload_id"], r["seq"]): r["unique_name"] for r in store.with_collision_suffix(files).collect()}
+    assert [got["u", k] for k in range(len(names))] == ["a.png", "a_2.png", "a_3.png", "a_2_2.png", "a_4.png", "a_2_3.png", ".x", ".x_2", "b"]
+    assert got["v", 0] == "a.png" and got["v", 1] is None
 
 
 def test_leaves_and_diff(spark):
@@ -157,12 +251,29 @@ def test_leaves_and_diff(spark):
     assert {(x["path"], x["difference"]) for x in quality.tree_diff(l, r, benign=("x",)).collect()} == {("b", "DROPPED"), ("c", "NULL MISMATCH"), ("y", "ADDED")}
 
 
+def test_diff_of_types_and_lengths(spark):
+    docs = lambda x: quality.leaves(spark.createDataFrame([("d", json.dumps(x))], "document_id string, json string"))
+    a = {"a": 1, "b": "1", "c": [1, 2], "d": None, "e": {"f": [{"g": 1}]}, "h": [], "z": 5, "n": 80896, "s": {}}
+    b = {"a": 1.0, "b": 1, "c": [1], "d": 3, "e": {"f": [{"g": 2}, {"g": 3}]}, "h": [1], "y": 1, "n": 80896.0, "s": {}}
+    got = {(r["path"], r["difference"]) for r in quality.tree_diff(docs(a), docs(b), benign=(".y",)).collect()}
+    assert got == {("$.b", "TYPE"), ("$.c", "ARRAY LENGTH"), ("$.d", "NULL MISMATCH"), ("$.e.f", "ARRAY LENGTH"), ("$.h", "ARRAY LENGTH"), ("$.z", "DROPPED")}
+
+
 def test_grounding(spark):
     tokens = spark.createDataFrame([("d", 1, 0, "Total", [0.0, 0.0, 1.0, 1.0]), ("d", 1, 1, " ", [0.0] * 4), ("d", 1, 2, "$42.50", [2.0, 0.0, 3.0, 1.0])], "doc_id string, page int, pos int, text string, box array<double>")
     numbered = grounding.number_tokens(tokens)
-    e = spark.createDataFrame([(1, "d", "total 42.50", [0, 1]), (2, "d", "total", [1]), (3, "d", "nothing", [7])], "evidence_id int, doc_id string, quote string, token_ids array<long>")
-    got = {r["evidence_id"]: (r["box"], r["how"]) for r in grounding.ground(e, numbered).collect()}
-    assert got[1] == ([0.0, 0.0, 3.0, 1.0], "tokens") and got[2] == ([0.0, 0.0, 1.0, 1.0], "search") and got[3] == (None, None)
+    e = spark.createDataFrame([(1, "d", 1, "total 42.50", [1, 2]), (2, "d", 1, "total", [2]), (3, "d", 1, "nothing", [7]), (4, "d", 2, "total", None)], "evidence_id int, doc_id string, page int, quote string, token_ids array<long>")
+    got = {r["evidence_id"]: (r["boxes"], r["how"]) for r in grounding.ground(e, numbered).collect()}
+    assert got[1] == ([[0.0, 0.0, 3.0, 1.0]], "tokens") and got[2] == ([[0.0, 0.0, 1.0, 1.0]], "search") and got[3] == got[4] == ([], None)
+
+
+def test_grounding_has_a_box_for_each_place(spark):
+    said = "fare paid in full the fare paid late".split()
+    tokens = grounding.number_tokens(spark.createDataFrame([("d", 1, k, w, [float(k), 0.0, k + 1.0, 1.0]) for k, w in enumerate(said)], "doc_id string, page int, pos int, text string, box array<double>"))
+    quotes = ["fare paid", "paid in full with thanks", "zz late", "no such thing"]
+    e = spark.createDataFrame([(k, "d", 1, q, None) for k, q in enumerate(quotes)], "evidence_id int, doc_id string, page int, quote string, token_ids array<long>")
+    got = {r["evidence_id"]: ([b[::2] for b in r["boxes"]], r["level"]) for r in grounding.ground(e, tokens).collect()}
+    assert got == {0: ([[0.0, 2.0], [5.0, 7.0]], 0), 1: ([[1.0, 4.0]], 1), 2: ([[7.0, 8.0]], 2), 3: ([], None)}
 
 
 def test_rate_pages(spark):
