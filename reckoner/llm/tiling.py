@@ -6,15 +6,22 @@ common run of unmarked words is marked, again and again, until none of
 ``seed_words`` is left. Tiles may lie in any order, so shuffled passages count.
 The share of the item's words under tiles is its coverage.
 
+Of the shared seeds only those are kept that no longer match begins before, and the
+length of their match is found by halving, with running hashes of the words; so a word
+or a phrase repeated all over both texts makes few matches. A tile counts only if its
+words are equal, byte by byte.
+
 Defined results: a null or wordless text is clean with coverage 0 and no item; a
 null or wordless item matches nothing; an item shorter than a seed matches only as
 a whole; of items with equal coverage the smallest id is named; repeated
 documents get equal rows; every column of the documents is kept, save those named
-like a result. An empty benchmark leaves all documents clean.
+like a result, whatever their case. An empty benchmark leaves all documents clean; no
+documents give no rows.
 
 Scale: one pass over the documents, without a shuffle. The benchmark is dealt into
-blocks of ``block_bytes`` at most, each broadcast and matched in a pass of its own,
-so what is broadcast never grows with it.
+blocks of ``block_bytes`` at most, each broadcast and matched in a pass of its own.
+Where there are several, each pass but the last is written to the checkpoint folder
+and its block given up, so neither driver nor executors ever hold more than one.
 """
 
 from __future__ import annotations
@@ -22,6 +29,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,52 +37,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reckoner.llm import words
-from reckoner.llm.common import with_results
+from reckoner.llm.common import settled, with_results, without
 
 SEED_WORDS = 4
 COVERAGE = 0.6
 BLOCK_BYTES = 16 << 20
+#: Pairs of shared seeds that are looked at together.
+PART = 1 << 20
 _SIEVE_BITS = 22
 
 
-def tiles(pairs: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place, item place, length) from the seed matches of one pair.
+def tiles(matches: list[tuple[int, int, int]], size: int, equal: Callable[[int, int, int], bool] = lambda i, j, n: True) -> list[tuple[int, int, int]]:
+    """Greedy tiles (place, item place, length) from the longest matches of one pair.
 
-    Seeds that follow each other on a diagonal form a longest match. The longest
-    is marked first (ties: the earliest). A match that marks cut is split into its
-    unmarked runs, and those wait their turn again.
+    The longest is marked first (ties: the earliest). A match that marks cut is split
+    into its unmarked runs, and those wait their turn again. ``equal`` tells whether the
+    words of a match are the same.
     """
-    seeds = set(pairs)
-    heap: list[tuple[int, int, int]] = []
-    for i, j in seeds:
-        if (i - 1, j - 1) not in seeds:
-            n = 1
-            while (i + n, j + n) in seeds:
-                n += 1
-            heap.append((-(n + size - 1), i, j))
+    heap = [(-n, i, j) for i, j, n in matches]
     heapq.heapify(heap)
-    here: set[int] = set()
-    there: set[int] = set()
+    here = np.zeros(max((i + n for i, _, n in matches), default=0), bool)
+    there = np.zeros(max((j + n for _, j, n in matches), default=0), bool)
     found = []
     while heap:
         length, i, j = heapq.heappop(heap)
-        free = [i + k not in here and j + k not in there for k in range(-length)]
-        if all(free):
-            here.update(range(i, i - length))
-            there.update(range(j, j - length))
-            found.append((i, j, -length))
+        taken = here[i : i - length] | there[j : j - length]
+        if not taken.any():
+            if equal(i, j, -length):
+                here[i : i - length] = there[j : j - length] = True
+                found.append((i, j, -length))
             continue
-        k = 0
-        while k < len(free):
-            run = k
-            while run < len(free) and free[run]:
-                run += 1
-            if run - k >= size:
-                heapq.heappush(heap, (k - run, i + k, j + k))
-            k = run + 1
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).view(np.int8)))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if b - a >= size:
+                heapq.heappush(heap, (a - b, i + a, j + a))
     return found
 
 
+def _running(hashed: np.ndarray) -> np.ndarray:
+    """Running Karp-Rabin sums: those of a run of words come from their difference."""
+    total = np.zeros(len(hashed) + 1, np.uint64)
+    np.cumsum(hashed * words._power("up", len(hashed)), out=total[1:])
+    return total
+
+
 class Block:
     """Seeds of some benchmark items, to be broadcast."""
 
@@ -84,23 +90,50 @@ class Block:
         texts = items.column("text").combine_chunks().take(pa.array(order))
         data, offsets = words.utf8(texts.cast(pa.string()))
         w = words.Words(data, offsets)
-        hashed, self.size = w.hashes(), w.counts()
-        grams, begin = words.shingles(hashed, w.first, seed_words)
-        owner = np.repeat(np.arange(len(self.ids)), np.diff(begin))
-        place = np.arange(len(grams)) - begin[owner]
-        by = np.argsort(grams, kind="stable")
-        self.grams, self.owner, self.place = grams[by], owner[by], place[by]
+        self.words, hashed, self.size = w, w.hashes(), w.counts()
+        self.running, self.down = _running(hashed), words._power("down", len(hashed) + 1).copy()
+        self.flat, self.begin = words.shingles(hashed, w.first, seed_words)
+        # An item shorter than a seed is one seed of its own length.
+        by = np.argsort(self.flat, kind="stable")
+        self.grams, self.at = self.flat[by], by
+        self.owner = np.repeat(np.arange(len(self.ids)), np.diff(self.begin))
         self.sieve = np.zeros(1 << _SIEVE_BITS, bool)
         self.sieve[self.grams >> np.uint64(64 - _SIEVE_BITS)] = True
-        # An item shorter than a seed is one seed of its own length.
         self.short = sorted({int(n) for n in self.size if 0 < n < seed_words})
 
-    def seeds(self, grams: np.ndarray) -> list[tuple[int, int, int]]:
-        """(place in ``grams``, item, place in the item) of every shared seed."""
+    def starts(self, grams: np.ndarray, is_first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``grams``, place in the items' seeds) of shared seeds that no shared seed
+        comes before. ``is_first`` marks the first seed of each row of ``grams``."""
         maybe = np.flatnonzero(self.sieve[grams >> np.uint64(64 - _SIEVE_BITS)])
-        left = np.searchsorted(self.grams, grams[maybe], "left")
-        right = np.searchsorted(self.grams, grams[maybe], "right")
-        return [(int(p), int(self.owner[k]), int(self.place[k])) for p, a, b in zip(maybe, left, right, strict=True) for k in range(a, b)]
+        left, right = (np.searchsorted(self.grams, grams[maybe], side) for side in ("left", "right"))
+        # Pairs are made and sieved in parts, however often a seed is repeated.
+        ends = np.cumsum(right - left)
+        here, there = [], []
+        for a in range(0, int(ends[-1]) if len(ends) else 0, PART):
+            pair = np.arange(a, min(a + PART, int(ends[-1])))
+            k = np.searchsorted(ends, pair, "right")
+            p, g = maybe[k], self.at[left[k] + pair - (ends[k] - (right - left)[k])]
+            begins = is_first[p] | (g == self.begin[self.owner[g]]) | (grams[p - 1] != self.flat[g - 1])
+            here.append(p[begins])
+            there.append(g[begins])
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *here]), np.concatenate([none, *there])
+
+
+def _lengths(block: Block, running: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray, least: int, most: np.ndarray) -> np.ndarray:
+    """Words of the longest match from word ``a`` of the texts and ``b`` of the items on."""
+    low, high = np.minimum(least, most), most
+    while (low < high).any():
+        mid = (low + high + 1) // 2
+        same = (running[a + mid] - running[a]) * down[a] == (block.running[b + mid] - block.running[b]) * block.down[b]
+        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+    return low
+
+
+def _equal(w: words.Words, a: int, v: words.Words, b: int, n: int) -> bool:
+    size = w.ends[a : a + n] - w.starts[a : a + n]
+    other = v.ends[b : b + n] - v.starts[b : b + n]
+    return np.array_equal(size, other) and np.array_equal(words.gathered(w.data, w.starts[a : a + n], size), words.gathered(v.data, v.starts[b : b + n], other))
 
 
 def _judge(block: Block, seed_words: int):
@@ -108,22 +141,32 @@ def _judge(block: Block, seed_words: int):
         n = len(column)
         best, item, count = np.zeros(n), [None] * n, np.zeros(n, np.int32)
         for a, _, w in words.batches_of_words(column):
-            hashed = w.hashes()
-            shared: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
+            hashed, n_words = w.hashes(), w.counts()
+            running, down = _running(hashed), words._power("down", len(hashed) + 1)
+            shared: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+            least: dict[tuple[int, int], int] = {}
             for size in [seed_words, *block.short]:
-                n_words = w.counts()
                 # Rows with fewer words than ``size`` have one shingle, of another length.
                 grams, begin = words.shingles(hashed, w.first, size)
-                for p, k, j in block.seeds(grams):
-                    row = int(np.searchsorted(begin, p, "right")) - 1
-                    need = min(int(block.size[k]), seed_words)
-                    if need == size and n_words[row] >= size:
-                        shared[row, k, size].append((p - int(begin[row]), j))
-            for (row, k, size), pairs in sorted(shared.items()):
-                marked = tiles(pairs, size)
-                cover = sum(t[2] for t in marked) / int(block.size[k])
-                if cover > best[a + row]:
-                    best[a + row], item[a + row], count[a + row] = cover, block.ids[k], len(marked)
+                row_of = np.repeat(np.arange(len(n_words)), np.diff(begin))
+                is_first = np.zeros(len(grams), bool)
+                is_first[begin[:-1][np.diff(begin) > 0]] = True
+                p, g = block.starts(grams, is_first)
+                row, k = row_of[p], block.owner[g]
+                fit = (np.minimum(block.size[k], seed_words) == size) & (n_words[row] >= size)
+                p, g, row, k = p[fit], g[fit], row[fit], k[fit]
+                i, j = p - begin[row], g - block.begin[k]
+                most = np.minimum(n_words[row] - i, block.size[k] - j)
+                long = _lengths(block, running, down, w.first[row] + i, block.words.first[k] + j, size, most)
+                for r, which, x, y, z in zip(row.tolist(), k.tolist(), i.tolist(), j.tolist(), long.tolist(), strict=True):
+                    shared[r, which].append((x, y, z))
+                    least[r, which] = size
+            for (r, which), matches in sorted(shared.items()):
+                here, there = int(w.first[r]), int(block.words.first[which])
+                marked = tiles(matches, least[r, which], lambda i, j, n: _equal(w, here + i, block.words, there + j, n))  # noqa: B023
+                cover = sum(t[2] for t in marked) / int(block.size[which])
+                if cover > best[a + r]:
+                    best[a + r], item[a + r], count[a + r] = cover, block.ids[which], len(marked)
         return best, item, count
 
     return compute
@@ -148,7 +191,8 @@ def decontaminate(
     n_blocks = max(1, math.ceil(size / block_bytes))
     part = F.pmod(F.xxhash64("item_id"), F.lit(n_blocks))
     id_type = benchmark.schema["item_id"].dataType.simpleString()
-    kept = [c for c in docs.columns if (keep is None or c in keep) and c not in ("item_id", "coverage", "n_tiles", "contaminated")]
+    docs = without(docs, "item_id", "coverage", "n_tiles", "contaminated")
+    kept = [c for c in docs.columns if keep is None or c in keep]
     out = docs
     for b in range(n_blocks):
         items = benchmark.where((part == b) & F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").toArrow()
@@ -166,6 +210,9 @@ def decontaminate(
         last = b == n_blocks - 1
         carried = [f"_{x}{c}" for c in range(b) for x in ("item", "cover", "tiles")]
         out = with_results(out, work, f"_item{b} {id_type}, _cover{b} double, _tiles{b} int", keep=[*kept, *carried] if last else [*dict.fromkeys([*kept, "text"]), *carried])
+        if not last:
+            out = settled(out)
+            block.destroy()
     best = F.struct(F.col("_cover0").alias("c"), F.col("_item0").alias("i"), F.col("_tiles0").alias("t"))
     for b in range(1, n_blocks):
         other = F.struct(F.col(f"_cover{b}").alias("c"), F.col(f"_item{b}").alias("i"), F.col(f"_tiles{b}").alias("t"))
