@@ -7,15 +7,19 @@ records that pass and only if the option ``payload`` isn't false. Writing makes
 gzip member per record. The member's header carries its compressed size (a gzip extra
 field, which other readers ignore), so an unwanted record is skipped by a seek;
 without that field the member is inflated to find its end. A range ends at most
-``RANGE_BYTES`` behind its start, or at the end of the record there.
+``RANGE_BYTES`` behind its start, or at the end of the record there. Archives of other
+writers, ``*.warc.gz`` and plain ``*.warc``, are one range each. What isn't a record, or ends
+before its time, is an error; with the option ``damaged`` as "skip" the rest of its range
+is left out.
 
 ``archive`` writes one record per page: of equal payloads of at least
 ``least_bytes`` the page with the smallest id is a response, the others revisit it.
 
 Defined results: a null payload is empty; smaller payloads are always responses;
 pages with a null id are responses with an id-less record; rows with equal id and
-equal payload are alike; extra columns are not archived; no pages make an empty
-archive.
+equal payload are alike; a URL with line breaks or spaces at its ends, which a header can't
+hold, has a header of its own beside and comes back unchanged; extra columns are not
+archived; no pages make an empty archive.
 
 Lost executors: each task attempt writes files of its own name, and only those of
 committed attempts are listed in the manifest that reading starts from.
@@ -23,6 +27,7 @@ committed attempts are listed in the manifest that reading starts from.
 
 from __future__ import annotations
 
+import base64
 import json
 import struct
 import uuid
@@ -48,11 +53,14 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.pandas.types import from_arrow_schema
 
+from reckoner.llm.common import settled
+
 LEAST_BYTES = 100
 RANGE_BYTES = 8 << 20
 FILE_BYTES = 256 << 20
 BATCH_BYTES = 4 << 20
-BROADCAST_ROWS = 1_000_000
+#: Of a broadcast table of revisits, and of one of its rows in memory.
+BROADCAST_BYTES, REVISIT_BYTES = 64 << 20, 128
 COLUMNS = pa.schema(
     [(c, pa.string()) for c in ("record_id", "record_type", "target_uri", "warc_date", "refers_to", "payload_digest")]
     + [("payload_length", pa.int64()), ("content_type", pa.string()), ("payload", pa.binary())]
@@ -70,6 +78,8 @@ HEADERS = {
 }
 _HTTP = "application/http; msgtype=response"
 _EXTRA = b"WL"
+#: Base64 of a URL that its own header doesn't hold unchanged.
+_EXACT = "X-Exact-Target-URI"
 _MANIFEST = "_archives.json"
 
 
@@ -87,7 +97,10 @@ def record(row: dict, date: str) -> bytes:
     body = (row.get("payload") or b"") if row["record_type"] != "revisit" else b""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + body
     values = {"warc_date": date, "content_type": _HTTP} | {k: row[k] for k in HEADERS if row.get(k) is not None}
-    lines = [f"{name}: {' '.join(str(values[k]).split())}" for k, name in HEADERS.items() if k in values]
+    plain = {k: " ".join(str(v).split()) for k, v in values.items()}
+    lines = [f"{name}: {plain[k]}" for k, name in HEADERS.items() if k in values]
+    if plain.get("target_uri", "") != values.get("target_uri", ""):
+        lines.append(f"{_EXACT}: {base64.b64encode(values['target_uri'].encode()).decode()}")
     return "\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -98,6 +111,8 @@ def header(text: bytes) -> dict[str, str]:
         name, colon, value = line.partition(":")
         if colon:
             fields[name.strip().lower()] = value.strip()
+    if exact := fields.get(_EXACT.lower()):
+        fields[HEADERS["target_uri"].lower()] = base64.b64decode(exact).decode()
     return fields
 
 
@@ -121,21 +136,58 @@ class Record:
     block: bytes | None
 
 
+class Damaged(ValueError):
+    pass
+
+
 def records(source: pa.NativeFile, start: int, end: int, wanted, payload: bool, first_bytes: int = 4096) -> Iterator[Record]:
     """Records that begin in ``start`` to ``end`` and whose header ``wanted`` accepts."""
     at = start
     while at < end:
         source.seek(at)
         raw = source.read(first_bytes)
-        if len(raw) < 18 or raw[:2] != b"\x1f\x8b":
-            return
-        size = _member_size(raw)
-        inflate = zlib.decompressobj(31)
+        if raw[:5] == b"WARC/":
+            found, size = _plain(source, at, raw, wanted, payload)
+        elif raw[:2] == b"\x1f\x8b":
+            found, size = _member(source, at, raw, wanted, payload, first_bytes)
+        elif not raw.strip(b"\r\n"):
+            # Blank lines at the end of a plain archive.
+            found, size = None, max(1, len(raw))
+        else:
+            raise Damaged(f"no record at byte {at}")
+        at += size
+        if found:
+            yield found
+
+
+def _plain(source: pa.NativeFile, at: int, raw: bytes, wanted, payload: bool) -> tuple[Record | None, int]:
+    while b"\r\n\r\n" not in raw:
+        more = source.read(1 << 16)
+        if not more:
+            raise Damaged(f"a header without end at byte {at}")
+        raw += more
+    head, _, rest = raw.partition(b"\r\n\r\n")
+    fields = header(head)
+    n = int(fields.get("content-length", 0))
+    if not wanted(fields):
+        return None, len(head) + 4 + n + 4
+    if payload:
+        if len(rest) < n:
+            rest += source.read(n - len(rest))
+        if len(rest) < n:
+            raise Damaged(f"a record of {n} bytes has {len(rest)} at byte {at}")
+    return Record(fields, rest[:n] if payload else None), len(head) + 4 + n + 4
+
+
+def _member(source: pa.NativeFile, at: int, raw: bytes, wanted, payload: bool, first_bytes: int) -> tuple[Record | None, int]:
+    size = _member_size(raw)
+    inflate = zlib.decompressobj(31)
+    try:
         text = inflate.decompress(raw, first_bytes)
         while b"\r\n\r\n" not in text:
             more = inflate.unconsumed_tail or source.read(first_bytes)
-            if not more:
-                return
+            if not more or inflate.eof:
+                raise Damaged(f"a header without end at byte {at}")
             text += inflate.decompress(more, first_bytes)
         head, _, rest = text.partition(b"\r\n\r\n")
         fields = header(head)
@@ -145,13 +197,13 @@ def records(source: pa.NativeFile, start: int, end: int, wanted, payload: bool,
             while not inflate.eof:
                 more = inflate.unconsumed_tail or source.read(1 << 16)
                 if not more:
-                    break
+                    raise Damaged(f"a record without end at byte {at}")
                 parts.append(inflate.decompress(more))
             size = size or source.tell() - len(inflate.unused_data) - at
             rest = b"".join(parts)[: int(fields.get("content-length", 0))]
-        at += size
-        if take:
-            yield Record(fields, rest if payload else None)
+    except zlib.error as error:
+        raise Damaged(f"{error} at byte {at}") from error
+    return (Record(fields, rest if payload else None) if take else None), size
 
 
 def body(fields: dict[str, str], block: bytes) -> bytes:
@@ -167,8 +219,8 @@ class Range(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, payload: bool):
-        self.path, self.payload, self.tests = path, payload, []
+    def __init__(self, path: str, payload: bool, skip_damaged: bool = False):
+        self.path, self.payload, self.skip_damaged, self.tests = path, payload, skip_damaged, []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Take over tests of header columns; the others stay with Spark."""
@@ -192,7 +244,7 @@ class WarcReader(DataSourceReader):
                 listed = json.loads(file.read())
         except FileNotFoundError:
             found = system.get_file_info(fs.FileSelector(root))
-            listed = [{"name": f.base_name, "starts": [0], "size": f.size} for f in found if f.base_name.endswith(".warc.gz")]
+            listed = [{"name": f.base_name, "starts": [0], "size": f.size} for f in found if f.base_name.endswith((".warc.gz", ".warc"))]
         return [Range(f"{self.path.rstrip('/')}/{f['name']}", a, b) for f in listed for a, b in zip(f["starts"], [*f["starts"][1:], f["size"]], strict=True)]
 
     def wanted(self, fields: dict[str, str]) -> bool:
@@ -208,7 +260,16 @@ class WarcReader(DataSourceReader):
         system, name = fs.FileSystem.from_uri(partition.path)
         rows, size = [], 0
         with system.open_input_file(name) as source:
-            for r in records(source, partition.start, partition.end, self.wanted, self.payload):
+            found = records(source, partition.start, partition.end, self.wanted, self.payload)
+            while True:
+                try:
+                    r = next(found, None)
+                except Damaged as error:
+                    if not self.skip_damaged:
+                        raise Damaged(f"{partition.path}: {error}") from error
+                    r = None
+                if r is None:
+                    break
                 row = {c: r.fields.get(h.lower()) for c, h in HEADERS.items()}
                 row["payload_length"] = int(row["payload_length"]) if row["payload_length"] else None
                 row["payload"] = body(r.fields, r.block) if r.block is not None else None
@@ -266,7 +327,8 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcSource(DataSource):
-    """Options: path; payload (read; default true); date (write; WARC-Date of records)."""
+    """Options: path; payload (read; default true); damaged (read; "fail" or "skip");
+    date (write; WARC-Date of records)."""
 
     @classmethod
     def name(cls) -> str:
@@ -276,7 +338,7 @@ class WarcSource(DataSource):
         return from_arrow_schema(COLUMNS)
 
     def reader(self, schema: T.StructType) -> WarcReader:
-        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false")
+        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false", self.options.get("damaged", "fail") == "skip")
 
     def writer(self, schema: T.StructType, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"], self.options.get("date", "2000-01-01T00:00:00Z"))
@@ -300,15 +362,19 @@ def revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
     return large.join(firsts, "digest").where("page_id > refers_to").distinct()
 
 
-def archive(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
-    """Write the archives of ``pages`` (page_id, url, html) below ``path``."""
+def archive(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> None:
+    """Write the archives of ``pages`` (page_id, url, html) below ``path``.
+
+    Pages are read twice: for their digests, which are kept, and to be written.
+    """
     spark = pages.sparkSession
     register(spark)
     html = F.coalesce("html", F.lit(""))
-    have = pages.select("page_id", "url", F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes"), html.alias("html"))
-    again = revisits(have, least_bytes)
+    digest = F.unhex(F.sha2(html, 256)).alias("digest")
+    again = settled(revisits(settled(pages.select("page_id", digest, F.octet_length(html).alias("bytes"))), least_bytes))
+    have = pages.select("page_id", "url", digest, F.octet_length(html).cast("long").alias("bytes"), html.alias("html"))
     # The payloads are shuffled only if the revisits are too many to be sent to every task.
-    if again.count() <= BROADCAST_ROWS:
+    if again.count() * REVISIT_BYTES <= broadcast_bytes:
         again = F.broadcast(again)
     joined = have.join(again, ["page_id", "digest"], "left")
     urn = lambda c: F.concat(F.lit("urn:page:"), F.col(c).cast("string"))
@@ -318,7 +384,7 @@ def archive(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None
         F.col("url").alias("target_uri"),
         F.lit(None).cast("string").alias("warc_date"),
         urn("refers_to").alias("refers_to"),
-        F.concat(F.lit("sha256:"), "digest").alias("payload_digest"),
+        F.concat(F.lit("sha256:"), F.lower(F.hex("digest"))).alias("payload_digest"),
         F.col("bytes").alias("payload_length"),
         F.lit(_HTTP).alias("content_type"),
         F.when(F.col("refers_to").isNull(), F.encode("html", "UTF-8")).alias("payload"),
