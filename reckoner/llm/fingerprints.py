@@ -11,19 +11,23 @@ distinct terms in a subset are sorted and hashed; the fingerprint is the list of
 share of equal hashes among the subsets that either document has terms in is the
 likeness of two fingerprints.
 
-A document with fewer than ``LEAST_TERMS`` terms of the lexicon is fingerprinted by
-the ``FEW_TERMS`` of its terms with the smallest hashes, in or out of the band.
+A document with fewer than ``LEAST_TERMS`` terms of the lexicon is fingerprinted by all
+its terms, in or out of the band, in subsets of their own. The edited text follows its
+document in this, so both are compared on terms of one kind.
 
 Defined results: null and empty texts have an empty fingerprint; two empty
 fingerprints have likeness 1, an empty one and another 0. Rows are ordered by doc_id
-and text; a row with a null doc_id has no place in the order, and its next document
-counts as empty; extra columns are not read.
+and text, also those of one doc_id; a row with a null doc_id has no place in the order,
+and its next document counts as empty; extra columns are not read; no documents give no
+rows.
 
 Scale: one shuffle of the texts (to blocks of neighbouring ids, where the next
 document and all of a document's terms are at hand) and one of term counts, summed
-before they move. A term of the lexicon is in at least ``LEAST_SHARE`` of all
-documents, so with d distinct terms in a mean document the lexicon, which is
-broadcast, has at most d / LEAST_SHARE terms, however many documents there are.
+before they move. Blocks are cut between quantiles of the ids, so dense, sparse and
+hash-like ones fill them alike; rows of one doc_id share a block. A term of the lexicon
+is in at least ``LEAST_SHARE`` of all documents, so with d distinct terms in a mean
+document the lexicon, which is broadcast, has at most d / LEAST_SHARE terms, however many
+documents there are.
 """
 
 from __future__ import annotations
@@ -34,11 +38,14 @@ from pyspark.sql import functions as F
 from reckoner.llm.common import settled
 
 LEAST_SHARE, MOST_SHARE, LEAST_DOCS = 0.0005, 0.1, 2
-LEAST_TERMS, FEW_TERMS = 8, 64
+LEAST_TERMS = 8
 SUBSETS = 64
 #: One in so many terms is in a given subset.
 FAMILIES = (64, 512, 4096)
 BLOCK = 256
+#: Parts of the ids with equally many documents, each cut evenly into blocks.
+QUANTILES = 256
+HASHES = 1 << 32
 _NOT_TERM = r"[^\p{L}\p{N}]+"
 
 
@@ -83,7 +90,7 @@ def _fingerprint(found: Column) -> Column:
     and put out when the subset changes.
     """
     start = F.struct(F.lit(-1).cast("long").alias("s"), F.lit(0).cast("long").alias("h"), F.array().cast("array<bigint>").alias("out"))
-    put = lambda acc: F.when(acc["s"] < 0, acc["out"]).otherwise(F.array_append(acc["out"], acc["s"] * 65536 + F.pmod(acc["h"], F.lit(65536))))
+    put = lambda acc: F.when(acc["s"] < 0, acc["out"]).otherwise(F.array_append(acc["out"], acc["s"] * HASHES + F.pmod(acc["h"], F.lit(HASHES))))
 
     def step(acc: Column, code: Column) -> Column:
         same = acc["s"] == code["s"]
@@ -94,26 +101,42 @@ def _fingerprint(found: Column) -> Column:
     return F.aggregate(F.array_sort(found), start, step, put)
 
 
-def _codes(terms_: Column) -> Column:
-    """(subset, term) of every subset that a term falls into."""
+def _codes(terms_: Column, first: Column) -> Column:
+    """(subset, term) of every subset that a term falls into, subsets counted from ``first``."""
 
     def family(k: int, rate: int) -> Column:
         subset = lambda t: F.pmod(F.xxhash64(t, F.lit(k + 1)), F.lit(rate))
         chosen = F.filter(terms_, lambda t: subset(t) < SUBSETS)
-        return F.transform(chosen, lambda t: F.struct((subset(t) + k * SUBSETS).alias("s"), t.alias("t")))
+        return F.transform(chosen, lambda t: F.struct((subset(t) + first + k * SUBSETS).alias("s"), t.alias("t")))
 
     return F.concat(*[family(k, rate) for k, rate in enumerate(FAMILIES)])
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal hashes among the subsets of either fingerprint."""
-    subset = lambda x: F.transform(x, lambda e: F.floor(e / 65536))
+    subset = lambda x: F.transform(x, lambda e: F.shiftright(e, 32))
     either = F.size(F.array_union(subset(a), subset(b)))
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
 def _hex(entries: Column) -> Column:
-    return F.array_join(F.transform(entries, lambda e: F.lower(F.lpad(F.hex(e), 6, "0"))), "")
+    return F.array_join(F.transform(entries, lambda e: F.lower(F.lpad(F.hex(e), 11, "0"))), "")
+
+
+def _block(docs: DataFrame) -> Column:
+    """The block of a doc_id: growing with it, of about ``BLOCK`` documents each."""
+    shares = [k / QUANTILES for k in range(QUANTILES)]
+    found = docs.agg(F.count("doc_id").alias("n"), F.percentile_approx("doc_id", shares, 100 * QUANTILES).alias("at"), F.max("doc_id").alias("last")).first()
+    if not found["n"]:
+        return F.lit(0).cast("long")
+    begins = sorted(set(found["at"]))
+    ends = [*begins[1:], found["last"] + 1]
+    per = max(1, round(found["n"] / len(begins) / BLOCK))
+    # Ids below the first quantile that the estimate gives belong to its part.
+    part = F.greatest(F.lit(0), F.size(F.filter(F.array(*[F.lit(b) for b in begins]), lambda b: b <= F.col("doc_id"))) - 1)
+    low, high = (F.get(F.array(*[F.lit(float(x)) for x in xs]), part) for xs in (begins, ends))
+    inside = F.floor((F.col("doc_id").cast("double") - low) / (high - low) * per)
+    return (part * per + F.least(F.greatest(inside, F.lit(0)), F.lit(per - 1))).cast("long")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -122,9 +145,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has its last quarter replaced by the beginning of the next document's.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.floor(F.col("doc_id") / BLOCK))
+    rows = rows.withColumn("block", _block(rows))
     # Rows without an id are spread over blocks below all others.
-    rows = rows.withColumn("block", F.coalesce("block", F.lit(-(2**62)) + F.pmod(F.xxhash64("text"), F.lit(2**20))))
+    rows = rows.withColumn("block", F.when(F.col("doc_id").isNotNull(), F.col("block")).otherwise(F.lit(-1) - F.pmod(F.xxhash64("text"), F.lit(2**20))))
     order = _next_blocks(rows.where("doc_id is not null").select("block", "doc_id"))
     lex = settled(lexicon(rows))
 
@@ -139,25 +162,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substr("text", F.lit(1), n - quarter), F.substr(F.coalesce("next", F.lit("")), F.lit(1), quarter))
     texts = placed.select("block", "place", "guest", "doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), terms(F.col("text")).alias("own"), terms(edited).alias("changed"))
 
-    # All terms of a document are looked up within its block. Its other figures ride
-    # on a term of their own, 0, that the lexicon always has.
-    few = lambda c: F.slice(F.sort_array(c), 1, FEW_TERMS)
-    about = F.struct("guest", "doc_id", "n_chars", "edited_sha256", few("own").alias("own"), few("changed").alias("changed"))
+    # All terms of a document are looked up within its block, those that both texts have
+    # once. Its other figures ride on a term of their own, 0, that the lexicon always has.
+    about = F.struct("guest", "doc_id", "n_chars", "edited_sha256", "own", "changed")
     none = F.when(F.lit(False), about)
 
-    def items_of(c: str, k: int) -> Column:
-        return F.transform(c, lambda t: F.struct(F.lit(k).alias("which"), t.alias("term"), none.alias("about")))
+    def items_of(terms_: Column, which: int) -> Column:
+        return F.transform(terms_, lambda t: F.struct(F.lit(which).alias("which"), t.alias("term"), none.alias("about")))
 
-    rider = F.array(F.struct(F.lit(2).alias("which"), F.lit(0).cast("long").alias("term"), about.alias("about")))
-    items = F.concat(rider, items_of("own", 0), items_of("changed", 1))
+    rider = F.array(F.struct(F.lit(0).alias("which"), F.lit(0).cast("long").alias("term"), about.alias("about")))
+    only, common, new = F.array_except("own", "changed"), F.array_intersect("own", "changed"), F.array_except("changed", "own")
+    items = F.concat(rider, items_of(only, 1), items_of(common, 3), items_of(new, 2))
     known = F.broadcast(lex.union(docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("term"))))
     found = texts.select("block", "place", F.inline(items)).join(known, "term").groupBy("block", "place").agg(
-        F.collect_list(F.when(F.col("which") == 0, F.col("term"))).alias("own"),
-        F.collect_list(F.when(F.col("which") == 1, F.col("term"))).alias("changed"),
+        F.collect_list(F.when(F.col("which").isin(1, 3), F.col("term"))).alias("own"),
+        F.collect_list(F.when(F.col("which").isin(2, 3), F.col("term"))).alias("changed"),
         F.first("about", ignorenulls=True).alias("about"),
     )
-    used = lambda c: F.when(F.size(c) >= LEAST_TERMS, F.col(c)).otherwise(F.col(f"about.{c}"))
-    marked = found.select("block", "place", "about", _fingerprint(_codes(used("own"))).alias("a"), _fingerprint(_codes(used("changed"))).alias("b"))
+    enough = F.size("own") >= LEAST_TERMS
+    used = lambda c: F.when(enough, F.col(c)).otherwise(F.col(f"about.{c}"))
+    first = F.when(enough, 0).otherwise(len(FAMILIES) * SUBSETS)
+    marked = found.select("block", "place", "about", _fingerprint(_codes(used("own"), first)).alias("a"), _fingerprint(_codes(used("changed"), first)).alias("b"))
     following = F.lead("a").over(Window.partitionBy("block").orderBy("place"))
     out = marked.withColumn("c", F.when(F.col("about.doc_id").isNotNull(), following)).where("not about.guest")
     return out.select(

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import collections
 import functools
+import gzip
 import hashlib
 import itertools
 import math
 import random
 import re
+import struct
+import time
 import zlib
 
 import numpy as np
@@ -15,6 +19,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 
 from reckoner.llm import fingerprints, html_main, maxplus, neardup, ppm, tiling, tokenfiles, toxicity, warc, wordpiece, words
@@ -116,7 +121,6 @@ def test_tiles_brute_force():
     r = random.Random(5)
     for _ in range(60):
         a, b = ([r.choice("abc") for _ in range(n)] for n in (30, 14))
-        pairs = [(i, j) for i in range(len(a) - 1) for j in range(len(b) - 1) if a[i : i + 2] == b[j : j + 2]]
         here, there, want = set(), set(), 0
         while True:
             best = (0, 0, 0)
@@ -130,7 +134,20 @@ def test_tiles_brute_force():
             here |= {-best[1] + k for k in range(best[0])}
             there |= {-best[2] + k for k in range(best[0])}
             want += best[0]
-        assert sum(t[2] for t in tiling.tiles(pairs, 2)) == want
+        block = tiling.Block(pa.table({"item_id": [4], "text": [" ".join(b)]}), 2)
+        cover, item, count = tiling._judge(block, 2)(pa.array([" ".join(a)]))
+        assert cover[0] == want / len(b) and item == [4 if want else None] and (count[0] > 0) == (want > 0)
+
+
+def test_tiles_of_repeated_words_and_phrases(spark):
+    phrase = "one two three "
+    items = [(1, "w " * 3000), (2, phrase * 900), (3, "alone here it stands"), (4, "alone here it stands")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    docs = ["w " * 30000, "w " * 2999, phrase * 8000, "x alone here it stands y", "w " * 400 + phrase * 10]
+    began = time.monotonic()
+    got = tiling.decontaminate(documents(spark, docs).withColumns({"Item_ID": F.lit("own"), "COVERAGE": F.lit(1)}), b).orderBy("doc_id").collect()
+    assert time.monotonic() - began < 60
+    assert [(r["item_id"], round(r["coverage"], 4), r["n_tiles"]) for r in got] == [(1, 1.0, 1), (1, 0.9997, 1), (2, 1.0, 1), (3, 1.0, 1), (1, 0.1333, 1)]
 
 
 def test_token_files(spark):
@@ -314,11 +331,96 @@ def test_warc(spark):
     some = warc.read(spark, path).where("record_type = 'response' and target_uri like 'u2%'")
     assert [bytes(r["payload"]) for r in some.collect()] == [b"short"]
     assert all(r["payload"] is None for r in warc.read(spark, path, payload=False).collect())
+    assert {r["target_uri"] for r in warc.read(spark, path).collect()} == {u for _, u, _ in pages}
     empty_path = fresh_path(spark, "warc")
     warc.archive(df.limit(0), empty_path)
     assert warc.read(spark, empty_path).count() == 0
 
 
+def test_warc_of_other_writers_and_damage(spark, tmp_path):
+    rows = [{"record_type": "response", "record_id": f"urn:{k}", "target_uri": f"http://x/{k}", "payload": b"<p>" + b"y" * (k * 5000)} for k in range(5)]
+    raw = [warc.record(r, "2020-01-01T00:00:00Z") for r in rows]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/one.warc").write_bytes(b"".join(raw) + b"\r\n")
+    (tmp_path / "a/two.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in raw))
+    got = warc.read(spark, f"file://{tmp_path}/a").collect()
+    assert sorted(bytes(r["payload"]) for r in got) == sorted(r["payload"] for r in rows for _ in range(2))
+    assert warc.read(spark, f"file://{tmp_path}/a", payload=False).where("record_id = 'urn:3'").count() == 2
+    whole = b"".join(gzip.compress(x) for x in raw)
+    for name, data in {"cut.warc.gz": whole[:-9], "junk.warc.gz": whole + b"junk", "cut.warc": b"".join(raw)[:-900], "broken.warc.gz": gzip.compress(raw[0]) + b"\x1f\x8b" + b"\x08" * 60}.items():
+        folder = tmp_path / name.replace(".", "_")
+        folder.mkdir()
+        (folder / name).write_bytes(data)
+        with pytest.raises(Exception, match="at byte"):
+            warc.read(spark, f"file://{folder}").collect()
+        some = warc.read(spark, f"file://{folder}").sparkSession.read.format("warc").option("path", f"file://{folder}").option("damaged", "skip").load().count()
+        assert some == {"cut.warc.gz": 4, "junk.warc.gz": 5, "cut.warc": 4, "broken.warc.gz": 1}[name]
+
+
+def plain_fingerprints(rows):
+    """I-Match by loops: rows of (doc_id, text) in ascending order."""
+    long = lambda x: struct.pack("<q", x)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    h = lambda data, seed=42: signed(xxhash.xxh64(data, seed=seed & (1 << 64) - 1).intdigest())
+    terms = lambda t: {h(w.encode()) for w in re.split(r"[^\w]|_", t.lower()) if w}
+    texts = [t or "" for _, t in rows]
+    df = collections.Counter(x for t in texts for x in terms(t))
+    n = len(texts)
+    band = {x for x, k in df.items() if max(fingerprints.LEAST_DOCS, fingerprints.LEAST_SHARE * n) <= k <= max(fingerprints.LEAST_DOCS, fingerprints.MOST_SHARE * n)}
+
+    def print_of(own, first):
+        entries = []
+        for k, rate in enumerate(fingerprints.FAMILIES):
+            subsets = collections.defaultdict(list)
+            for x in sorted(own):
+                s = h(struct.pack("<i", k + 1), h(long(x))) % rate
+                if s < fingerprints.SUBSETS:
+                    subsets[s].append(x)
+            for s, xs in sorted(subsets.items()):
+                value = h(long(xs[0]))
+                for x in xs[1:]:
+                    value = h(long(x), h(long(value)))
+                entries.append((first + k * fingerprints.SUBSETS + s, value % fingerprints.HASHES))
+        return entries
+
+    def like(a, b):
+        either = {s for s, _ in a} | {s for s, _ in b}
+        return len(set(a) & set(b)) / len(either) if either else 1.0
+
+    out = []
+    for k, (i, _) in enumerate(rows):
+        t, following = texts[k], texts[(k + 1) % n]
+        q = len(t) // 4
+        edited = t[: len(t) - q] + following[:q]
+        own, changed = terms(t), terms(edited)
+        few = len(own & band) < fingerprints.LEAST_TERMS
+        first = len(fingerprints.FAMILIES) * fingerprints.SUBSETS if few else 0
+        out.append([i, edited, print_of(own if few else own & band, first), print_of(changed if few else changed & band, first)])
+    return {i: (e, a, b, like(a, b), like(a, out[(k + 1) % n][2])) for k, (i, e, a, b) in enumerate(out)}
+
+
+@pytest.mark.parametrize("spread", ["dense", "sparse", "hashed"])
+def test_fingerprints_match_a_plain_version(spark, monkeypatch, spread):
+    monkeypatch.setattr(fingerprints, "BLOCK", 3)
+    monkeypatch.setattr(fingerprints, "QUANTILES", 4)
+    ids = {"dense": lambda k: k, "sparse": lambda k: k**5, "hashed": lambda k: zlib.crc32(b"%d" % k) * (1 << 30) - (1 << 61)}[spread]
+    rows = sorted((ids(k), t) for k, t in enumerate([*ODD, *[text(k % 9, 40 + k) for k in range(40)], "a " * 3000]))
+    want = plain_fingerprints(rows)
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").withColumn("TEXT2", F.lit(1))).collect()
+    assert len(got) == len(rows)
+    hexed = lambda entries: "".join(f"{s * fingerprints.HASHES + v:011x}" for s, v in entries)
+    for r in got:
+        edited, a, b, near, following = want[r["doc_id"]]
+        assert (r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (hashlib.sha256(edited.encode()).hexdigest(), hexed(a), hexed(b))
+        assert r["near_edited"] == pytest.approx(near) and r["near_next"] == pytest.approx(following)
+
+
+def test_fingerprints_of_no_documents_and_null_ids(spark):
+    assert fingerprints.fingerprints(empty(spark)).count() == 0
+    none = spark.createDataFrame([(None, "alpha beta"), (None, None)], "doc_id long, text string")
+    assert sorted(r["n_chars"] for r in fingerprints.fingerprints(none).collect()) == [0, 10]
+
+
 def test_fingerprints(spark):
     texts = ["" if t is None else t for t in ODD] + [text(k, 80) for k in range(12)] + [text(3, 80), text(3, 80)]
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(documents(spark, texts)).collect()}
