@@ -136,22 +136,27 @@ def _id_type(wide: bool, length: int) -> pa.DataType:
 
 class _Writer:
     def __init__(self, system: fs.FileSystem, path: str, wide: bool, length: int):
-        self.dtype, self.length, self.left = np.uint32 if wide else np.uint16, length, np.zeros(0, np.uint32)
+        self.dtype, self.length, self.waiting, self.n = np.uint32 if wide else np.uint16, length, [], 0
         self.schema = pa.schema([("ids", _id_type(wide, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.sink = system.open_output_stream(path)
         self.file = pa.ipc.new_file(self.sink, self.schema)
 
     def add(self, ids: np.ndarray, last: bool = False) -> None:
-        ids = np.concatenate([self.left, ids])
-        full = len(ids) // self.length * self.length
-        if last and full < len(ids):
-            full += self.length
-        now, self.left = ids[:full], ids[full:]
-        real = np.arange(full) < len(now)
-        now = np.concatenate([now, np.zeros(full - len(now), np.uint32)]).astype(self.dtype)
-        for a in range(0, full, BATCH_ROWS * self.length):
-            b = a + BATCH_ROWS * self.length
-            columns = [pa.FixedSizeListArray.from_arrays(pa.array(x[a:b]), self.length) for x in (now, real)]
+        """Ids wait until they fill a batch, so all batches but a file's last are equal."""
+        self.waiting.append(ids)
+        self.n += len(ids)
+        size = BATCH_ROWS * self.length
+        if self.n < size and not last:
+            return
+        ids = np.concatenate(self.waiting)
+        full = len(ids) if last else len(ids) // size * size
+        self.waiting, self.n = [ids[full:]], len(ids) - full
+        for a in range(0, full, size):
+            now = ids[a : min(a + size, full)]
+            padded = -(-len(now) // self.length) * self.length
+            real = np.arange(padded) < len(now)
+            now = np.concatenate([now, np.zeros(padded - len(now), np.uint32)]).astype(self.dtype)
+            columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (now, real)]
             self.file.write_batch(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, self.schema, strict=True)], schema=self.schema))
 
     def close(self) -> None:
@@ -251,6 +256,7 @@ def read(manifest: DataFrame) -> DataFrame:
                     start = pc.add(docs.column(1), row["base"])
                     yield pa.RecordBatch.from_arrays([docs.column(0), start, docs.column(2), docs.column(3), pa.array([row["part"]] * len(docs), pa.int32())], ["doc_id", "start", "n_tokens", "ids_crc32", "part"])
 
+    # One row a file, so the window needs no partitions.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.select("part", "path", "docs_path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
     n = max(1, manifest.count())
