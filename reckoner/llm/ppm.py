@@ -21,9 +21,11 @@ by the last ``LOW`` bytes of the contexts. All longer contexts of a byte end wit
 each part of the table is a trie of its own above the shorter runs, which are
 broadcast (there are 256 ** (LOW + 1) different ones at most, whatever the corpus).
 
-The codes of runs that make up at least ``HOT_RUN_SHARE`` of all bytes, and the counts
-of words that make up at least ``HOT_SHARE`` of all words, are broadcast (1 / share of
-them at most). The other runs and words of a document are sent to the part of the
+The codes of runs that make up at least ``HOT_RUN_SHARE`` of all bytes (a larger share
+where that gives more than ``HOT_RUNS``), and the counts of words that make up at least
+``HOT_SHARE`` of all words, are broadcast. So the driver holds at most 256 ** LOW low runs
+(268 MB; valid UTF-8 has far fewer), HOT_RUNS codes (32 MB) and 1 / HOT_SHARE words (16 MB),
+as two arrays each, whatever the corpus; scores don't depend on what is hot. The other runs and words of a document are sent to the part of the
 table that knows them, and what it answers is summed by row. The base score needs the count of
 each word of a document among all training words. Sums are of whole ``UNIT`` ths, so they
 don't depend on the order of their terms.
@@ -53,7 +55,7 @@ from reckoner.llm.common import fresh_path
 ORDER = 5
 DISCOUNT = 0.4
 LOW = 3
-HOT_RUN_SHARE = 1e-7
+HOT_RUN_SHARE, HOT_RUNS = 1e-7, 2_000_000
 HOT_SHARE = 1e-6
 UNIT = 1 << 32
 PART_ROWS = 1 << 20
@@ -304,6 +306,11 @@ def fit(training: DataFrame) -> tuple[Fitted, DataFrame]:
         low.append(_arrays(table.where(F.col("kind") == _RUN).groupBy(key.alias("key")).agg(F.sum("count").alias("count"))))
     hot, hot_counts = _arrays(table.where((F.col("kind") == _WORD) & (F.col("count") >= max(2, math.ceil(HOT_SHARE * n_words)))))
     hot_runs = table.where((F.col("kind") == _RUN) & (F.col("count") >= max(2, math.ceil(HOT_RUN_SHARE * n_bytes))))
+    # At most 64 rows: how many of these runs have counts between powers of two.
+    by_size = {r["power"]: r["count"] for r in hot_runs.groupBy(F.floor(F.log2("count")).alias("power")).count().collect()}
+    if sum(by_size.values()) > HOT_RUNS:
+        power = next(p for p in range(65) if sum(n for q, n in by_size.items() if q >= p) <= HOT_RUNS)
+        hot_runs = hot_runs.where(F.floor(F.log2("count")) >= power)
     hot_bytes = hot_runs.agg(F.coalesce(F.sum("count"), F.lit(0))).head()[0]
     # Enough parts for the counts and for what the training documents themselves would ask.
     rows = n_runs + distinct + n_bytes - hot_bytes + n_words - int(hot_counts.sum())
@@ -346,7 +353,8 @@ def _score_slice(fitted: Fitted, w: words.Words) -> tuple[np.ndarray, ...]:
 
 
 def score(docs: DataFrame, fitted: Fitted, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; no rows
+    for no documents."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
     doc = f"struct<doc_id: {docs.schema['doc_id'].dataType.simpleString()}, n_tokens: long, hot_n: long, hot_sum: long, score: long>"
     schema = T.StructType.fromDDL(f"kind int, row long, key long, n long, doc {doc}")
