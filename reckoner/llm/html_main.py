@@ -7,15 +7,17 @@ decided child by child, whichever gives the largest sum of log-odds, weighted by
 text; so no block is kept inside one that was left, and a short paragraph goes the
 way of its article.
 
-Learning: no page is labelled. At most ``sample_pages`` pages with the smallest id
-hashes are read to the driver. Their <article> (or <main>) is content, the rest is
-not. Each is also set anew into several invented layouts, with menus, notices,
+Learning: no page is labelled. At most ``sample_pages`` pages of at most
+``SAMPLE_BYTES``, those with the smallest id hashes, are read to the driver. Their
+<article> (or <main>) is content, but for the menus, asides, footers, forms, comments
+and adverts in it; the rest is not. Each is also set anew into several invented layouts, with menus, notices,
 adverts, forms, sidebars and reader comments made of other pages' text, so that
 neither tags nor text alone decide.
 
 Defined results: null and empty pages give empty texts, as do pages without content;
 equal pages give equal texts; extra columns stay as ``keep`` says; without a page to
-learn from, a block is content if it is inside <article> or <main>.
+learn from, a block is content if it is inside <article> or <main>; no pages give no
+rows.
 """
 
 from __future__ import annotations
@@ -35,10 +37,13 @@ from pyspark.sql import functions as F
 from reckoner.llm.common import with_results
 from reckoner.llm.dom import FEATURES, Block, blocks, features
 
-SAMPLE_PAGES = 120
+SAMPLE_PAGES, SAMPLE_BYTES = 120, 1 << 18
 LAYOUTS = 3
 ROUNDS, DEPTH = 12, 4
 MIXED = 1.0
+#: What isn't content inside an article of the sampled pages either.
+_APART = frozenset("nav aside footer form".split())
+_APART_TOKENS = frozenset("comment comments reply replies respond disqus discussion sidebar ad ads advert advertisement sponsored nav navbar menu breadcrumb breadcrumbs cookie consent share sharing social newsletter subscribe related recommended".split())
 _ARTICLE = re.compile(r"<(article|main)\b[^>]*>(.*?)(?:</\1\s*>|\Z)", re.S | re.I)
 
 
@@ -134,7 +139,8 @@ def _labelled(tree: list[Block]) -> list[int]:
     """1 for blocks of content, 0 for others, -1 for those around both."""
     part = []
     for b in tree:
-        own = b.mark or ("c" if b.tag in ("article", "main") else "")
+        apart = b.tag in _APART or not _APART_TOKENS.isdisjoint(b.tokens)
+        own = b.mark or ("b" if apart else "c" if b.tag in ("article", "main") else "")
         above = part[b.parent] if b.parent >= 0 else ""
         part.append("b" if above == "b" else own or above)
     around = {b.parent for b, p in zip(tree, part, strict=True) if p == "c"}
@@ -158,7 +164,7 @@ def training_rows(pages: list[str], seed: int = 1) -> tuple[list[list[float]], l
 
 def learn(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Trees | None:
     """Boosted trees from a bounded sample of pages; None without one that has an article."""
-    some = pages.where(F.col("html").isNotNull() & F.col("page_id").isNotNull()).select("page_id", "html")
+    some = pages.where(F.col("html").isNotNull() & F.col("page_id").isNotNull() & (F.octet_length("html") <= SAMPLE_BYTES)).select("page_id", "html")
     rows = some.orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages).collect()
     x, y = training_rows([r["html"] for r in sorted(rows, key=lambda r: zlib.crc32(r["html"].encode()))])
     if len(set(y)) < 2:
