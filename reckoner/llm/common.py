@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,15 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests), a temporary folder of this machine is
-    set as checkpoint folder instead.
+    Where the session names none, a session of one machine (as in tests) gets a temporary
+    folder; on a cluster that is an error.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if named:
+    if named := context.getConf().get("spark.checkpoint.dir", None):
         return named
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="reckoner-"))
         current = context._jsc.sc().getCheckpointDir()
     return current.get()

@@ -254,6 +254,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
 
 
 def deduplicated(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of ``docs`` whose document is kept."""
+    """The rows of ``docs`` whose document is kept, all their columns unchanged.
+
+    Rows with a null doc_id have no document that could be named, and stay, copies too.
+    """
     gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

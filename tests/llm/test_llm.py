@@ -167,6 +167,16 @@ def test_token_files(spark):
     assert tokenfiles.read(tokenfiles.write(empty(spark), fresh_path(spark, "tokens"), VOCABULARY)).count() == 0
 
 
+def test_token_files_have_full_batches(spark, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "SLICE_BYTES", 400)
+    path = fresh_path(spark, "tokens")
+    docs = documents(spark, [text(k, 60) for k in range(300)]).withColumn("DOC_ID2", F.lit(1))
+    manifest = tokenfiles.write(docs.coalesce(1), path, VOCABULARY, length=4)
+    for row in manifest.collect():
+        sizes = [b.num_rows for b in tokenfiles.sequences(row["path"]).to_batches()]
+        assert all(n == tokenfiles.BATCH_ROWS for n in sizes[:-1]) and sum(sizes) == -(-row["n_tokens"] // 4)
+
+
 def test_piece_counts_match_longest_match(spark):
     pieces = wordpiece.vocabulary(VOCABULARY)
     known, longest = set(pieces), max(len(b) for b, _ in pieces)
@@ -277,6 +287,51 @@ def test_model_probabilities_add_up_to_one():
             assert (10 ** m.code(every)).sum() == pytest.approx(1, abs=1e-9)
 
 
+def plain_code(training, text_):
+    """log10 probability of a text by partial matching, by loops over dictionaries."""
+    end = chr(255).encode("latin1")
+    spell = lambda t: b"".join(w + b" " for w in tokens(t))[:-1] + end if tokens(t) else end
+    counts = [collections.defaultdict(collections.Counter) for _ in range(ppm.ORDER + 1)]
+    for t in training:
+        padded = end * ppm.ORDER + spell(t)
+        for k in range(ppm.ORDER, len(padded)):
+            for o in range(ppm.ORDER + 1):
+                counts[o][padded[k - o : k]][padded[k]] += 1
+    total = 0.0
+    padded = end * ppm.ORDER + spell(text_)
+    for k in range(ppm.ORDER, len(padded)):
+        gone, known = set(), False
+        for o in range(ppm.ORDER, -1, -1):
+            here = counts[o].get(padded[k - o : k])
+            if here is None:
+                continue
+            left = {b: c for b, c in here.items() if b not in gone}
+            mass = sum(left.values())
+            if padded[k] in left:
+                total += math.log10((left[padded[k]] - ppm.DISCOUNT) / mass)
+                break
+            if mass:
+                total += math.log10(ppm.DISCOUNT * len(left) / mass)
+            gone, known = set(here), True
+        else:
+            total -= math.log10(256 - len(gone) if known else 256)
+    return total
+
+
+@pytest.mark.parametrize("hot", [1, 2_000_000])
+def test_scores_match_a_plain_model(spark, monkeypatch, hot):
+    monkeypatch.setattr(ppm, "HOT_RUNS", hot)
+    training = [*ODD, *[text(k % 5, 25) for k in range(8)]]
+    texts = [*training, text(77, 30), "unseen wörds", "x" * 300, text(1, 25)]
+    fitted, counts = ppm.fit(documents(spark, training))
+    got = {r["doc_id"]: r for r in ppm.score(documents(spark, texts).withColumn("SCORE", F.lit(1)), fitted, counts).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        assert got[k]["score"] == pytest.approx(plain_code(training, t), abs=1e-5)
+    assert (got[len(texts) - 1]["score"], got[len(texts) - 1]["base_score"]) == (got[texts.index(text(1, 25))]["score"], got[texts.index(text(1, 25))]["base_score"])
+    assert ppm.score(empty(spark), fitted, counts).count() == 0
+
+
 def test_scores(spark):
     texts = [*ODD, *[text(k % 7, 40) for k in range(40)]]
     docs = documents(spark, texts)
@@ -479,6 +534,13 @@ def test_extraction(spark):
     assert html_main.extract(df.limit(0), None).count() == 0
 
 
+def test_parts_inside_an_article_are_no_content():
+    page = '<main><article><p>one</p><div class="ad">buy</div><nav>menu</nav><article class="comment"><p>me too</p></article><footer>end</footer></article></main>'
+    tree = blocks(page)
+    said = {t: label for b, label in zip(tree, html_main._labelled(tree), strict=True) for _, t in b.runs}
+    assert said == {"one": 1, "buy": 0, "menu": 0, "me too": 0, "end": 0}
+
+
 def test_toxicity(spark):
     bad = ["vileword", "nastiness", "scumbagger", "worthlessly"]
     r = random.Random(3)
@@ -492,6 +554,11 @@ def test_toxicity(spark):
         labels.append((k, int(k % 3 == 0)))
     docs, known = documents(spark, texts + ODD), spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.learn(docs, known)
+    twice = toxicity.score(documents(spark, [texts[0], texts[0]]).withColumns({"SCORE": F.lit("x"), "Predicted": F.lit(2)}), model).collect()
+    assert twice[0]["score"] == twice[1]["score"] and len(twice[0]) == 4
+    assert toxicity.score(empty(spark), model).count() == 0
+    none = toxicity.learn(docs, known.limit(0))
+    assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.0}
     got = {x["doc_id"]: x for x in toxicity.score(docs, model).collect()}
     held = [k for k in range(300) if zlib.crc32(str(k).encode()) % 4 == 2]
     assert np.mean([got[k]["predicted"] == int(k % 3 == 0) for k in held]) > 0.95
