@@ -29,13 +29,17 @@ def undone(edits: DataFrame) -> DataFrame:
 def applied(edits: DataFrame, leaves: DataFrame, field_types: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(leaves after the edits, rejected edits with a reason).
 
-    ``leaves``: report_id, path, value; ``field_types``: template, type, allowed (array or
-    null). A missing leaf is made only if the catalogue knows its template.
+    ``leaves``: report_id, path, value and, if its type is known, kind ("boolean", "number"
+    or "string"; null for null), which decides before the catalogue; ``field_types``:
+    template, type, allowed (array or null). A missing leaf is made only if the catalogue
+    knows its template.
     """
     types = field_types.withColumnRenamed("template", "_template")
-    known = leaves.select("report_id", "path", F.lit(True).alias("_there"))
-    e = edits.withColumn("_template", S.path_template(F.col("path"))).join(F.broadcast(types), "_template", "left").join(known, ["report_id", "path"], "left")
-    coerced = S.coerce_by_type(F.col("new_text"), F.col("type"))
+    old = F.when(F.col("value") != "", F.col("kind")) if "kind" in leaves.columns else F.lit(None).cast("string")
+    known = leaves.select("report_id", "path", F.lit(True).alias("_there"), old.alias("_kind"))
+    # The catalogue is joined as Spark chooses: it checks its size.
+    e = edits.withColumn("_template", S.path_template(F.col("path"))).join(types, "_template", "left").join(known, ["report_id", "path"], "left")
+    coerced = S.coerce_by_type(F.col("new_text"), F.col("type"), F.col("_kind"))
     reason = (
         F.when(~F.col("path").startswith("expense_report."), "path must start with expense_report")
         .when(S.path_steps(F.col("path")).isNull(), "malformed path")
@@ -50,6 +54,15 @@ def applied(edits: DataFrame, leaves: DataFrame, field_types: DataFrame) -> tupl
     return after, judged.where("reason is not null").select("report_id", "path", "new_text", "reason")
 
 
+def with_meta(after: DataFrame) -> DataFrame:
+    """``after`` (from ``applied``) with ``meta``: an edit keeps the metadata that a leaf has, and a
+    leaf that it makes is of high confidence and says that a user wrote it."""
+    evidence = F.array(F.struct(F.lit("user_input").alias("kind")))
+    made = F.struct(F.lit("high").alias("confidence"), evidence.alias("evidence"), F.lit(False).alias("needs_review"))
+    meta = F.col("meta") if "meta" in after.columns else F.when(F.lit(False), made)
+    return after.withColumn("meta", F.coalesce(meta, F.when(F.col("edited"), made)))
+
+
 def delete_lines(lines: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines without the deleted ones and indexes closed up, deletions out of range)."""
     keys = deleted.select("report_id", "line_idx").distinct()

@@ -120,11 +120,17 @@ def combined_rows(lines: DataFrame) -> DataFrame:
     )
 
 
-def write_csv(rows: DataFrame, path: str, header: list[str] | None = None) -> None:
-    """One folder per report; the header line is always there, quoting after RFC 4180."""
+def write_csv(rows: DataFrame, path: str, header: list[str] | None = None, order: str = "line", by_report: bool = False) -> None:
+    """CSV in the order of reports and lines; header always there, quoting after RFC 4180.
+
+    Few large files with a report_id column, or, for as many reports as a folder can hold,
+    a folder of its own for each.
+    """
     names = [c for c in rows.columns if c != "report_id"]
-    shown = rows if header is None else rows.withColumnsRenamed(dict(zip(names, header, strict=False)))
-    shown.write.partitionBy("report_id").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    placed = rows.repartitionByRange("report_id").sortWithinPartitions("report_id", *([order] if order in names else []))
+    shown = placed if header is None else placed.withColumnsRenamed(dict(zip(names, header, strict=False)))
+    writer = shown.write.partitionBy("report_id") if by_report else shown.write
+    writer.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def airport_names(df: DataFrame, airports: DataFrame, columns: tuple[str, ...] = ("departure_airport", "destination_airport")) -> DataFrame:

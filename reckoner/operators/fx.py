@@ -37,11 +37,18 @@ def as_of(keys: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def as_of_range(keys: DataFrame, rates: DataFrame) -> DataFrame:
-    """The same by a range join on equal currencies; for few rates per currency."""
-    r = rates.withColumnRenamed("currency", "_currency")
-    joined = keys.join(r, (F.col("currency") == F.col("_currency")) & (F.col("rate_date") <= F.col("day")), "left")
-    found = joined.groupBy("currency", "day").agg(F.max_by("usd_per_unit", "rate_date").alias("found"))
-    return found.select("currency", "day", F.when(F.col("currency") == "USD", F.lit(1.0)).otherwise(F.col("found")).alias("usd_per_unit"))
+    """The same by a range join: a rate holds until the next, in each month until then.
+
+    A key meets the rates of its currency and month only, and one of them holds.
+    """
+    month = lambda c: F.date_trunc("month", c).cast("date")
+    end = keys.agg(F.max("day").alias("end"))
+    following = F.lead("rate_date").over(Window.partitionBy("currency").orderBy("rate_date"))
+    until = F.coalesce(F.date_sub("next", 1), F.greatest("end", "rate_date"))
+    held = rates.withColumn("next", following).join(F.broadcast(end)).withColumn("until", until)
+    held = held.select(F.col("currency").alias("_currency"), "rate_date", "until", "usd_per_unit", F.explode(F.sequence(month(F.col("rate_date")), month(F.col("until")), F.expr("interval 1 month"))).alias("_month"))
+    met = (F.col("currency") == F.col("_currency")) & (month(F.col("day")) == F.col("_month")) & F.col("day").between(F.col("rate_date"), F.col("until"))
+    return keys.join(held, met, "left").select("currency", "day", F.when(F.col("currency") == "USD", F.lit(1.0)).otherwise(F.col("usd_per_unit")).alias("usd_per_unit"))
 
 
 def enrich(lines: DataFrame, rates: DataFrame) -> DataFrame:

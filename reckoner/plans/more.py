@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckoner.functions import scalars as S
-from reckoner.operators import edits, fx, grounding, jobs, quality, reduce, store, validate
+from reckoner.operators import edits, fx, grounding, intake, jobs, quality, reduce, store, validate
 from reckoner.plans import oracle as O
 from reckoner.plans.queries import derived
 from reckoner.sources import catalog
@@ -320,3 +320,139 @@ def grounded(spark: SparkSession, d: str) -> DataFrame:
     found = grounding.ground(evidence, tokens)
     box = F.get("boxes", F.lit(0))
     return found.select("evidence_id", "how", F.get(box, F.lit(0)).alias("x0"), F.get(box, F.lit(2)).alias("x1"))
+
+
+_e02 = """e AS (SELECT user_id AS report_id, 'expense_report.' || event_type AS path, event_type, event_id, ts FROM events),
+c AS (SELECT *, CASE event_type WHEN 'view' THEN CAST(event_id AS VARCHAR) WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'true' END WHEN 'purchase' THEN 'note ' || event_id END AS v,
+ CASE event_type WHEN 'click' THEN event_id % 2 = 0 WHEN 'view' THEN true WHEN 'purchase' THEN true ELSE false END AS good FROM e),
+n AS (SELECT report_id, path, max_by(v, (ts, event_id)) AS v FROM c WHERE good GROUP BY 1, 2),
+l AS (SELECT DISTINCT user_id AS report_id, 'expense_report.view' AS path, '0' AS value FROM events)"""
+
+
+@query("E02", f"WITH {_e02} SELECT coalesce(n.report_id, l.report_id) AS report_id, coalesce(n.path, l.path) AS path, coalesce(v, l.value) AS value, n.path IS NOT NULL AS edited FROM n FULL JOIN l ON n.report_id = l.report_id AND n.path = l.path")
+def edits_applied(spark: SparkSession, d: str) -> DataFrame:
+    """Edits of number, boolean and text fields and of unknown ones, some of the wrong type."""
+    events = V.read(spark, d, "events")
+    said = F.when(F.col("event_type") == "view", F.concat(F.lit(" $"), "event_id")).when(F.col("event_type") == "click", F.when(F.col("event_id") % 2 == 0, "Yes").otherwise("maybe")).otherwise(F.concat(F.lit(" note "), "event_id"))
+    e = events.select(F.col("user_id").alias("report_id"), F.concat(F.lit("expense_report."), "event_type").alias("path"), said.alias("new_text"), "ts", "event_id")
+    leaves = events.select(F.col("user_id").alias("report_id"), F.lit("expense_report.view").alias("path"), F.lit("0").alias("value"), F.lit("number").alias("kind")).distinct()
+    # The catalogue takes the first for text; its old value says number.
+    types = spark.createDataFrame([("expense_report.view", "string", None), ("expense_report.click", "boolean", None), ("expense_report.purchase", "string", None)], "template string, type string, allowed array<string>")
+    return edits.applied(e, leaves, types)[0]
+
+
+_p06 = "f AS (SELECT page_id, 'f' || page_id || ['.pdf', '.PNG', '.tif', ''][1 + page_id % 4] AS name, [' meal', '', 'taxi'][1 + page_id % 3] AS kind, CASE WHEN page_id % 5 > 0 THEN 'Event' ELSE ' ' END AS event, CASE WHEN page_id % 7 > 0 THEN 'me' END AS payee FROM pages)"
+
+
+@query("P06", f"WITH {_p06} SELECT page_id, name, CASE WHEN trim(kind) = '' THEN 'kind' WHEN kind = 'taxi' THEN 'unknown' WHEN page_id % 4 > 1 THEN 'type' WHEN trim(event) = '' THEN 'event' WHEN payee IS NULL THEN 'payee' ELSE 'accepted' END AS outcome, CASE page_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/tiff' END AS mime, CASE page_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' END AS extracted_mime FROM f")
+def admissions(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda *xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col("page_id") % len(xs)).cast("int"))
+    files = V.read(spark, d, "pages").select("page_id", F.concat(F.lit("f"), "page_id", pick(".pdf", ".PNG", ".tif", "")).alias("name"), pick(" meal", "", "taxi").alias("kind"))
+    why = intake.rejection(F.col("name"), F.col("kind"), F.when(F.col("page_id") % 5 > 0, "Event").otherwise(" "), F.when(F.col("page_id") % 7 > 0, "me"))
+    says = lambda text: F.startswith(why, F.lit(text))
+    outcome = F.when(why.isNull(), "accepted").when(says("Missing kind"), "kind").when(says("Unknown kind"), "unknown").when(says("Unsupported"), "type").when(says("Missing required field: Event"), "event").otherwise("payee")
+    return files.select("page_id", "name", outcome.alias("outcome"), intake.mime_type(F.col("name")).alias("mime"), intake.mime_type(F.col("name"), extracted=True).alias("extracted_mime"))
+
+
+@query("P08", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN lower(replace(c_name, '#', '_'))[1:16] WHEN 1 THEN NULL ELSE NULL END AS signed_in FROM customer")
+def users(spark: SparkSession, d: str) -> DataFrame:
+    name = F.substring(F.replace("c_name", F.lit("#"), F.lit("_")), 1, 16)
+    header = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("accounts:"), name, F.lit("@example.org"))).when(F.col("c_custkey") % 3 == 1, F.lit("accounts:nobody")).otherwise(F.lit("accounts:a b@example.org"))
+    return V.read(spark, d, "customer").select("c_custkey", intake.signed_in(header).alias("signed_in"))
+
+
+@query("P10", f"WITH {O.LINES} SELECT report_id, line_idx, CASE WHEN line_idx % 3 = 1 THEN source END AS spot, CASE line_idx % 3 WHEN 0 THEN 'converted via mock FX rate (placeholder; real-time tool TBD)' WHEN 1 THEN source END AS shown FROM (SELECT report_id, line_idx, 'quote ' || report_id AS source FROM lines)")
+def evidence_shown(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence of an origin, of a page, and of a page without a quote, in turn (with P11)."""
+    quote = F.concat(F.lit("quote "), F.col("report_id").cast("string"))
+    third = F.col("line_idx") % 3
+    said = F.when(third == 1, quote).when(third == 2, "")
+    one = F.struct(F.when(third == 0, "derived").otherwise("document_span").alias("kind"), F.lit("a.pdf").alias("filename"), F.lit(1).alias("page"), said.alias("quote"), F.when(third == 0, "reduce.fx.mock").alias("origin"))
+    lines = V.lines(spark, d, country=False).withColumn("evidence", F.array(one))
+    return lines.select("report_id", "line_idx", intake.spot(F.col("evidence"))["quote"].alias("spot"), intake.provenance(F.col("evidence")).alias("shown"))
+
+
+@query("J16", f"WITH {O.LINES}, k AS (SELECT *, {O._kind} AS kind FROM lines) SELECT kind, count(*) FILTER (line_idx % 2 = 0 OR kind NOT IN ('meal', 'transport', 'lodging', 'airfare', 'ancillary')) AS n_right, count(*) AS n FROM k GROUP BY 1")
+def blocks_of_kinds(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.coalesce(F.try_element_at(catalog.literal_map(catalog.KIND_OF_TYPE), F.col("expense_type")), F.lit("other"))
+    blocks = F.when(F.col("line_idx") % 2 == 0, F.array(*[F.lit(x) for x in intake.BLOCK_OF_KIND.values()])).otherwise(F.array(F.lit("common")))
+    lines = V.lines(spark, d, country=False).select(kind.alias("kind"), intake.block_matches(kind, blocks).alias("right"))
+    return lines.groupBy("kind").agg(F.count_if("right").alias("n_right"), F.count("*").alias("n"))
+
+
+_master = "('business_meal','lodging_foreign','airfare_domestic','airfare_foreign','personal_mileage')"
+
+
+@query("A27", f"WITH {O.LINES}, m AS (SELECT DISTINCT expense_type FROM lines WHERE expense_type IN {_master}) SELECT kind, count(*) FILTER (t NOT IN (SELECT expense_type FROM m)) AS n_unknown FROM (VALUES ('meal','business_meal'),('meal','group_travel_meal'),('transport','ground_transportation_domestic'),('transport','ground_transportation_foreign'),('lodging','lodging_domestic'),('lodging','lodging_foreign'),('airfare','airfare_domestic'),('airfare','airfare_foreign'),('conference_registration','conference_registration'),('miscellaneous','other_business_expense'),('membership','membership_dues'),('mileage','personal_mileage'),('ancillary','ancillary_airline_fee')) AS c(kind, t) GROUP BY 1")
+def catalogue_drift(spark: SparkSession, d: str) -> DataFrame:
+    master = V.lines(spark, d, country=False).where(f"expense_type in {_master}").select("expense_type").distinct()
+    return intake.drift(intake.kinds(spark), master)
+
+
+@query("J20", f"WITH {O.LINES}, f AS (SELECT DISTINCT report_id, expense_type FROM lines WHERE line_idx % 2 = 0) SELECT l.report_id AS upload_id, l.line_idx, CASE WHEN l.line_idx % 5 = 4 THEN 'unnamed' WHEN f.report_id IS NULL THEN 'missing' ELSE 'there' END AS state FROM lines l LEFT JOIN f ON f.report_id = l.report_id AND f.expense_type = l.expense_type")
+def files_there(spark: SparkSession, d: str) -> DataFrame:
+    lines = V.lines(spark, d, country=False)
+    name = F.concat("expense_type", F.lit(".pdf"))
+    extractions = lines.select(F.col("report_id").alias("upload_id"), "line_idx", F.when(F.col("line_idx") % 5 != 4, name).alias("source_filename"))
+    files = lines.where("line_idx % 2 = 0").select(F.col("report_id").alias("upload_id"), name.alias("name"))
+    return intake.availability(extractions, files).select("upload_id", "line_idx", "state")
+
+
+@query("J21", f"WITH {O.LINES}, {O.REPORTS} SELECT r.report_id AS upload_id, count(*) FILTER (line_idx % 2 = 0) AS n_receipts, count(*) FILTER (line_idx % 2 = 1) AS n_extractions FROM reports r LEFT JOIN lines l ON l.report_id = r.report_id GROUP BY 1")
+def rehydrations(spark: SparkSession, d: str) -> DataFrame:
+    lines = V.lines(spark, d, country=False)
+    files = lines.select(F.col("report_id").alias("upload_id"), F.when(F.col("line_idx") % 2 == 0, "receipt").otherwise("extraction").alias("category"), F.concat("expense_type", F.lit(".pdf")).alias("name"))
+    reports = V.reports(spark, d).select(F.col("report_id").alias("upload_id"))
+    size = lambda c: F.size(c).cast("long")
+    return intake.rehydrated(reports, files).select("upload_id", size("receipts").alias("n_receipts"), size("extractions").alias("n_extractions"))
+
+
+@query("J22", f"WITH {O.REPORTS} SELECT report_id FROM reports WHERE NOT (report_id % 10 = 0 OR filer_id % 6 = 0)")
+def cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """What stays when test uploads and those of test users go."""
+    upload = F.concat(F.when(F.col("report_id") % 10 == 0, "test_").otherwise("up_"), F.col("report_id").cast("string"))
+    user = F.when(F.col("filer_id") % 6 == 0, F.concat(F.lit("pipelinetest"), F.col("filer_id").cast("string"))).otherwise("someone")
+    reports = V.reports(spark, d).select("report_id", upload.alias("upload_id"), user.alias("payee_id"), F.lit(None).cast("string").alias("filed_by"))
+    return intake.cleanup(reports, reports.select("upload_id"), ("^pipelinetest[0-9]*$",))[1].select("report_id")
+
+
+@query("E07", f"WITH {O.REPORTS} SELECT report_id AS upload_id, coalesce(payee_name, CAST(filer_id AS VARCHAR)) AS payee, coalesce(event_name, '—') AS event, coalesce('$' || format('{{:,.2f}}', stated_usd), '—') AS total FROM reports")
+def listed(spark: SparkSession, d: str) -> DataFrame:
+    r = V.reports(spark, d).select(F.col("report_id").alias("upload_id"), "payee_name", F.col("filer_id").cast("string").alias("payee_id"), "event_name", F.col("stated_usd").alias("total_usd"))
+    return intake.shown(r)
+
+
+@query("O01", f"WITH {O.LINES} SELECT report_id, min(date_text) AS conference_start_date, max(date_text) AS conference_end_date, CASE WHEN min(date_text) = max(date_text) THEN min(date_text) ELSE min(date_text) || ' to ' || max(date_text) END AS when_text, CAST(count(DISTINCT expense_type) AS BIGINT) AS n_venues FROM lines GROUP BY 1")
+def conferences(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as supporting documents: their dates as schedules, their types as venues (with O02)."""
+    documents = V.lines(spark, d, country=False).select("report_id", F.array("date_text").alias("scheduled_dates"), F.array("expense_type").alias("venues_mentioned"))
+    return intake.conference(documents).select("report_id", "conference_start_date", "conference_end_date", "when_text", F.size("venues").cast("long").alias("n_venues"))
+
+
+@query("O05", f"WITH {O.LINES} SELECT report_id, line_idx, CASE WHEN check_out_date >= check_in_date THEN date_diff('day', CAST(check_in_date AS DATE), CAST(check_out_date AS DATE)) - greatest(0, least(2, date_diff('day', CAST(check_in_date AS DATE), CAST(check_out_date AS DATE)) - 1)) END AS nights FROM lines WHERE expense_type LIKE 'lodging%'")
+def nights_apart(spark: SparkSession, d: str) -> DataFrame:
+    """A conference from the day after arrival for two nights."""
+    day = lambda n: F.date_add(F.to_date("check_in_date"), n).cast("string")
+    lines = V.lines(spark, d, country=False).where(F.startswith("expense_type", F.lit("lodging")))
+    return lines.select("report_id", "line_idx", intake.personal_nights(F.col("check_in_date"), F.col("check_out_date"), day(1), day(3)).alias("nights"))
+
+
+@query("O04_net", f"WITH {O.REPORTS}, {O.WINDOWS}, e AS (SELECT report_id, from_date, CAST(unnest(generate_series(CAST(from_date AS DATE), CAST(to_date AS DATE), INTERVAL 1 DAY)) AS DATE) AS day FROM windows WHERE from_date IS NOT NULL) SELECT report_id, count(*) AS n_days, sum(CASE WHEN day = CAST(from_date AS DATE) THEN 40.0 ELSE 60.0 END)::DOUBLE AS net_amount FROM e GROUP BY 1")
+def per_diem_net(spark: SparkSession, d: str) -> DataFrame:
+    """Each window at 60 a day, with a meal of 20 on its first day."""
+    w = S.when_window(F.col("when_text"))
+    deduction = F.array(F.struct(w["start"].alias("date"), F.lit(20.0).alias("deduction_amount")))
+    entries = V.reports(spark, d).where(w.isNotNull()).select("report_id", w["start"].alias("start_date"), w["end"].alias("end_date"), F.lit(60.0).alias("per_diem_rate"), deduction.alias("meal_deductions"))
+    return intake.per_diem(entries).groupBy("report_id").agg(F.count("*").alias("n_days"), F.sum("net_amount").alias("net_amount"))
+
+
+@query("J11", f"WITH {O.LINES}, c AS (SELECT report_id, line_idx, ['uni_staff', 'other', 'x'][1 + report_id % 3] AS a, ['uni_travel_connect_dl', 'uni_travel_egencia', 'uni_travel_key_travel', 'other'][1 + report_id % 4] AS b, ['coach', 'business', 'premium_economy', 'first', 'bed'][1 + report_id % 5] AS t FROM lines) SELECT report_id, line_idx, CASE a WHEN 'uni_staff' THEN 'Uni Traveler' WHEN 'other' THEN 'Visitor' END AS affiliation, CASE b WHEN 'uni_travel_connect_dl' THEN 'Uni Travel Connect (UA, DL, AA, AS and HA)' WHEN 'uni_travel_egencia' THEN 'Uni Travel - Egencia' WHEN 'other' THEN 'Other (Not a Uni Travel Booking Method)' ELSE 'Uni Travel - Key Travel' END AS booking, CASE WHEN t IN ('business', 'premium_economy') THEN 'Premium Economy/Business' WHEN t = 'bed' THEN NULL ELSE upper(t[1]) || t[2:] END AS class FROM c")
+def foreign_labels(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda *xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col("report_id") % len(xs)).cast("int"))
+    return V.lines(spark, d, country=False).select(
+        "report_id",
+        "line_idx",
+        intake.affiliation_label(pick("uni_staff", "other", "x"), "Uni").alias("affiliation"),
+        intake.booking_label(pick("uni_travel_connect_dl", "uni_travel_egencia", "uni_travel_key_travel", "other"), "Uni").alias("booking"),
+        intake.ticket_class_label(pick("coach", "business", "premium_economy", "first", "bed")).alias("class"),
+    )
