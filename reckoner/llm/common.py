@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Rows that ``with_results`` computes at a time.
+PART_ROWS = 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,8 +79,10 @@ def with_results(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = work()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            # In parts, so that a worker holds the results of few texts.
+            for at in range(0, whole.num_rows, PART_ROWS):
+                batch = whole.slice(at, PART_ROWS)
                 found = compute(batch.column(needed.index(text)))
                 columns = [batch.column(i) for i in range(len(kept))] + [found[n] for n in names]
                 yield pa.RecordBatch.from_arrays(

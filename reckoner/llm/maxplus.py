@@ -58,8 +58,8 @@ SPACE = "▁"
 CHUNK_CHARS = 1 << 15
 #: Neighbouring matrices that one step combines.
 FAN = 32
-CACHE_WORDS = 200_000
-CACHE_PAIRS = 1_000_000
+CACHE_WORDS = 120_000
+CACHE_PAIRS = 300_000
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+")
 _BORDER = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 _NONE = -np.inf
@@ -78,11 +78,11 @@ class Pieces:
         self.longest = max(map(len, scores), default=1)
         #: Whether a piece goes on from a word into the spaces behind it.
         self.crosses = any(map(_BORDER.search, scores))
-        #: Solved units; those not used since the last time that ``known`` was full go.
-        self.known: dict[str, tuple[float, tuple[int, ...]]] = {}
-        self.older: dict[str, tuple[float, tuple[int, ...]]] = {}
+        #: Ids (32 bits each) of solved units; those not used since ``known`` was last full go.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # Prefixes of pieces let the search stop early.
-        self.heads = {p[:n] for p in scores for n in range(1, len(p) + 1)}
+        self.heads = set() if merged else {p[:n] for p in scores for n in range(1, len(p) + 1)}
         self.inner = {p[n : n + 2] for p in scores for n in range(len(p) - 1)}
         self.number = {p: i for p, (i, _) in scores.items()}
         self.letters = {p for p in scores if len(p) == 1}
@@ -192,14 +192,13 @@ class Pieces:
             end -= last[end]
         return out[::-1]
 
-    def word(self, text: str) -> tuple[float, tuple[int, ...]]:
-        """Sum and ids of a unit's best path."""
+    def word(self, text: str) -> bytes:
+        """Ids of a unit's best path, 32 bits each."""
         got = self.known.get(text)
         if got is None:
             got = self.older.get(text)
             if got is None:
-                best, last = self._forward(text, len(text))
-                got = best[-1], tuple(self._ids(text, last, len(text), 0))
+                got = np.array(self._ids(text, self._forward(text, len(text))[1], len(text), 0), np.int32).tobytes()
             if len(self.known) > CACHE_WORDS:
                 self.known, self.older = {}, self.known
             self.known[text] = got
@@ -211,13 +210,13 @@ class Pieces:
         spaced = pc.replace_substring(texts, SPACE, " ")
         if self.crosses:
             code = spaced.dictionary_encode()
-            each = [self.word(SPACE + t.replace(" ", SPACE))[1] for t in code.dictionary.to_pylist()]
+            each = [self.word(SPACE + t.replace(" ", SPACE)) for t in code.dictionary.to_pylist()]
             unit, ends = code.indices.to_numpy(zero_copy_only=False), np.arange(1, len(texts) + 1)
         else:
             split = pc.split_pattern(spaced, " ")
             code = split.flatten().dictionary_encode()
             named = code.dictionary.to_pylist()
-            each = [self.word(SPACE + w)[1] for w in named]
+            each = [self.word(SPACE + w) for w in named]
             word = code.indices.to_numpy(zero_copy_only=False)
             last = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)) - 1
             # Empty words are spaces more in front of the next word, or at the end of a text.
@@ -227,11 +226,11 @@ class Pieces:
             more = np.diff(at, prepend=-1) - 1
             unit, wide = word[at].astype(np.int64), np.flatnonzero(more)
             different, place = np.unique(more[wide] * max(1, len(named)) + unit[wide], return_inverse=True)
-            each += [self.word(SPACE * (1 + k // len(named)) + named[k % len(named)])[1] for k in different.tolist()]
+            each += [self.word(SPACE * (1 + k // len(named)) + named[k % len(named)]) for k in different.tolist()]
             unit[wide] = len(named) + place
             ends = np.searchsorted(at, last) + 1
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.fromiter((i for ids in each for i in ids), np.int32, int(size.sum()))
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), np.int32)
         n = size[unit]
         # An empty text is one empty word, which stands for nothing.
         n[ends[empty] - 1] = 0
@@ -282,7 +281,7 @@ class Pieces:
                 head = self._forward(whole[:first], first, start, former)[0][first]
                 if middle is None:
                     # Every unit of a byte-pair model has a path, which weighs nothing.
-                    between = 0.0 if self.merged else sum(self.word(w)[0] for w in _UNIT.findall(whole[first:final]))
+                    between = 0.0 if self.merged else sum(self._forward(w, len(w))[0][-1] for w in _UNIT.findall(whole[first:final]))
                     middle = between + ends(*self._forward(whole[final:], inside - final), inside - final)
                 out[k] = head + middle
             else:
@@ -298,8 +297,7 @@ class Pieces:
         if first < start:
             return self._ids(whole, self._forward(whole, inside, start, former)[1], end, start)
         out = self._ids(whole[:first], self._forward(whole[:first], first, start, former)[1], first, start)
-        for w in _UNIT.findall(whole[first:final]):
-            out += self.word(w)[1]
+        out += np.frombuffer(b"".join(map(self.word, _UNIT.findall(whole[first:final]))), np.int32).tolist()
         tail = whole[final:]
         return out + self._ids(tail, self._forward(tail, inside - final)[1], end - final, 0)
 
