@@ -320,3 +320,36 @@ def confidence_rank(level: Column) -> Column:
 
 def confidence_name(rank: Column) -> Column:
     return F.when(rank == 2, "high").when(rank == 1, "medium").otherwise("low")
+
+
+# Parts of paths that decide how a field is shown and reviewed.
+AMOUNT_PARTS = ("amount", "rate", "total", "fare", "deduction", "net_amount")
+LONG_TEXT_PARTS = ("purpose", "remarks", "explanation", "why", "what", "where", "when")
+CRITICAL_PARTS = ("amount", "currency", "date", "expense_type", "payee", "airline", "hotel", "rate")
+
+
+def _has_part(path: Column, parts: tuple[str, ...]) -> Column:
+    return path.rlike("|".join(parts))
+
+
+def control_type(kind: Column, path: Column) -> Column:
+    """How a form shows a field of a type: select, checkbox, date, currency, number, textarea or text."""
+    number = F.when(_has_part(path, AMOUNT_PARTS), "currency").otherwise("number")
+    text = F.when(_has_part(path, LONG_TEXT_PARTS), "textarea").otherwise("text")
+    return F.when(kind == "enum", "select").when(kind == "boolean", "checkbox").when(kind == "date", "date").when(kind == "number", number).otherwise(text)
+
+
+def entry_mode(tier: Column) -> Column:
+    """Who fills a field, by its tier."""
+    return F.when(tier == "T1", "user_confirmed_input").when(tier == "T2", "computed_readonly").when(tier.isin("T3", "T4"), "model_prefill_review").otherwise("structural")
+
+
+def review_priority(path: Column, required: Column, expression: Column) -> Column:
+    """high for required fields that matter, medium for other required ones, else low."""
+    needed = F.coalesce(required, F.lit(False)) | (F.coalesce(expression, F.lit("")) != "")
+    return F.when(needed & _has_part(path, CRITICAL_PARTS), "high").when(needed, "medium").otherwise("low")
+
+
+def inherited_tier(tiers: Column) -> Column:
+    """The tier of the nearest of a node and its parents that has one (from the root down)."""
+    return F.get(F.reverse(F.filter(tiers, lambda t: t.isNotNull())), F.lit(0))

@@ -188,3 +188,10 @@ def review_status(reports: DataFrame, lines: DataFrame, issues: DataFrame) -> Da
     joined = reports.select("report_id").join(n, "report_id", "left").join(i, "report_id", "left")
     status = F.when(zero("n_issues") == 0, "ready to file").otherwise(F.concat(F.col("n_issues").cast("string"), F.lit(" to review")))
     return joined.select("report_id", zero("n_lines").alias("n_lines"), zero("n_issues").alias("n_issues"), zero("n_errors").alias("n_errors"), (zero("n_errors") > 0).alias("has_errors"), status.alias("status"))
+
+
+def advisory(rules: DataFrame) -> DataFrame:
+    """Rules that nothing enforces (rule_type depends_on and validation_expression), as notes."""
+    noted = rules.where(F.col("rule_type").isin("depends_on", "validation_expression"))
+    text = F.coalesce("expression", F.concat(F.lit("depends on "), F.array_join("depends_on", ", ")))
+    return noted.select("target_path", F.lit("info").alias("severity"), text.alias("message"))

@@ -456,3 +456,41 @@ def foreign_labels(spark: SparkSession, d: str) -> DataFrame:
         intake.booking_label(pick("uni_travel_connect_dl", "uni_travel_egencia", "uni_travel_key_travel", "other"), "Uni").alias("booking"),
         intake.ticket_class_label(pick("coach", "business", "premium_economy", "first", "bed")).alias("class"),
     )
+
+
+_f29 = "t AS (SELECT page_id, ['enum', 'boolean', 'date', 'number', 'number', 'string', 'string'][1 + page_id % 7] AS kind, ['general.category', 'a.is_shared', 'common.date', 'x.total_usd', 'x.days', 'payee.name', 'b.purpose'][1 + page_id % 7] AS path, ['T1', 'T2', 'T3', 'T4', NULL][1 + page_id % 5] AS tier, page_id % 2 = 0 AS required FROM pages)"
+
+
+@query("F29", f"WITH {_f29} SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'select' WHEN 1 THEN 'checkbox' WHEN 2 THEN 'date' WHEN 3 THEN 'currency' WHEN 4 THEN 'number' WHEN 5 THEN 'text' ELSE 'textarea' END AS control, CASE page_id % 5 WHEN 0 THEN 'user_confirmed_input' WHEN 1 THEN 'computed_readonly' WHEN 4 THEN 'structural' ELSE 'model_prefill_review' END AS mode, CASE WHEN NOT required THEN 'low' WHEN path IN ('common.date', 'payee.name') THEN 'high' ELSE 'medium' END AS priority, coalesce(tier, 'T3') AS inherited FROM t")
+def field_controls(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda *xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col("page_id") % len(xs)).cast("int"))
+    path = pick("general.category", "a.is_shared", "common.date", "x.total_usd", "x.days", "payee.name", "b.purpose")
+    tier = pick("T1", "T2", "T3", "T4", None)
+    kind = pick("enum", "boolean", "date", "number", "number", "string", "string")
+    return V.read(spark, d, "pages").select(
+        "page_id", S.control_type(kind, path).alias("control"), S.entry_mode(tier).alias("mode"), S.review_priority(path, F.col("page_id") % 2 == 0, F.lit(None).cast("string")).alias("priority"), S.inherited_tier(F.array(F.lit("T3"), tier)).alias("inherited")
+    )
+
+
+@query("O03", f"WITH {O.LINES} SELECT report_id, line_idx, line_idx % 2 = 0 AS presents FROM lines")
+def presenters(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a name stands in a list of authors."""
+    papers = F.array(F.struct(F.lit("t").alias("title"), F.concat(F.lit("B. Other, "), F.when(F.col("line_idx") % 2 == 0, F.concat(F.lit("ANN "), F.col("report_id").cast("string"), F.lit("x")))).alias("authors_string")), F.struct(F.lit("u").alias("title"), F.lit("C. Else").alias("authors_string")))
+    name = F.concat(F.lit(" Ann "), F.col("report_id").cast("string"))
+    lines = V.lines(spark, d, country=False)
+    return lines.select("report_id", "line_idx", F.coalesce(intake.is_presenting(name, papers), F.lit(False)).alias("presents"))
+
+
+@query("T04", "SELECT o_orderkey AS upload_id FROM orders WHERE CAST(o_orderdate AS DATE) + INTERVAL 90 DAY > DATE '1998-01-01'")
+def kept_reports(spark: SparkSession, d: str) -> DataFrame:
+    o = V.read(spark, d, "orders").select(F.col("o_orderkey").alias("upload_id"), (F.to_date("o_orderdate") + F.expr("interval 90 days")).alias("ttl"))
+    return store.retained(o, F.to_date(F.lit("1998-01-01"))).select("upload_id")
+
+
+@query("S27", "WITH s AS (SELECT DISTINCT user_id AS job_id FROM events), u AS (SELECT user_id AS job_id, max_by(event_type, (ts, event_id)) AS phase, max(CASE WHEN event_type = 'click' THEN 'bad' END) AS error FROM events WHERE user_id % 3 = 0 GROUP BY 1) SELECT job_id, coalesce(u.phase, 'extract') AS phase, coalesce(u.error, 'none') AS error FROM s LEFT JOIN u USING (job_id)")
+def merged_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Job state after updates of a third of the jobs; what they leave out keeps its value."""
+    events = V.read(spark, d, "events")
+    old = events.select(F.col("user_id").alias("job_id")).distinct().select("job_id", F.lit("extract").alias("phase"), F.lit("none").alias("error"), F.to_timestamp(F.lit("2026-01-01")).alias("ttl"))
+    updates = events.where("user_id % 3 = 0").groupBy(F.col("user_id").alias("job_id")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("phase"), F.max(F.when(F.col("event_type") == "click", "bad")).alias("error"))
+    return store.upsert_jobs(old, updates, F.to_timestamp(F.lit("2026-02-01"))).select("job_id", "phase", "error")

@@ -24,7 +24,49 @@ RECEIPT = (
     f"struct<source_filename:string,common:{COMMON},extras:struct<merchant_address:{wrapped('string')},printed_currency:{wrapped('string')},"
     "nightly_rates:array<struct<date:string,rate:double,taxes_and_fees:double>>,segments:array<struct<flight_number:string,from_airport:string,to_airport:string,departure_datetime:string>>>>"
 )
-FORM_FIELDS = ("payee_name", "payee_id", "event_name", "what", "why", "where_text", "who", "participant_role", "affiliation", "rush_processing", "foreign_activity_type", "notes")
+# Fields of the form's input, all of them optional.
+FORM_FIELDS = (
+    "payee_name payee_sunet payee_affiliation event_name business_purpose_who business_purpose_what business_purpose_when business_purpose_where business_purpose_why authorized_by rush_processing payment_method foreign_activity_type"
+).split()
+FORM = ", ".join(f"{f} string" for f in FORM_FIELDS)
+SUPPORTING = (
+    f"struct<source_filename:string,conference_name_as_printed:{wrapped('string')},doc_kind:{wrapped('string')},scheduled_dates:array<string>,venues_mentioned:array<string>,"
+    "papers_listed:array<struct<title:string,authors_string:string>>,workshops_listed:array<string>>"
+)
+SYNTHESIS = (
+    f"struct<source_filename:string,canonical_event_name:{wrapped('string')},participant_role:{wrapped('string')},business_purpose_what:{wrapped('string')},business_purpose_why:{wrapped('string')},"
+    f"source_filenames:array<string>,synthesis_confidence:{wrapped('string')}>"
+)
+
+
+def read_form_input(spark: SparkSession, path: str) -> DataFrame:
+    """file_name and the fields of form input files, one JSON object each; missing ones are null."""
+    df = spark.read.schema(FORM).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+    return df.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file_name"), *FORM_FIELDS)
+
+
+def _documents(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Rows of JSON files that hold an object or an array of objects."""
+    raw = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    text = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]")))
+    return raw.select(F.inline(F.from_json(text, f"array<{kind}>")))
+
+
+def read_supporting_docs(spark: SparkSession, path: str) -> DataFrame:
+    """Supporting conference documents; missing arrays are empty."""
+    df = _documents(spark, path, SUPPORTING)
+    empty = {c: F.coalesce(c, F.array().cast(df.schema[c].dataType)) for c in ("scheduled_dates", "venues_mentioned", "papers_listed", "workshops_listed")}
+    return df.withColumns(empty)
+
+
+def read_synthesis(spark: SparkSession, path: str) -> DataFrame:
+    """Synthesis bundles of uploads."""
+    return _documents(spark, path, SYNTHESIS)
+
+
+def with_provenance(rates: DataFrame, source_url: str, now: Column | None = None) -> DataFrame:
+    """``rates`` with where and when they were read, and their unit."""
+    return rates.withColumns({"fetched_at": F.current_timestamp() if now is None else now, "source_url": F.lit(source_url), "unit": F.lit("cents_per_mile")})
 
 
 def read_extractions(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reckoner.functions import scalars as S
-from reckoner.operators import edits, export, fx, grounding, jobs, quality, reduce, store, validate
+from reckoner.operators import edits, export, fx, grounding, intake, jobs, quality, reduce, store, validate
 from reckoner.sources import catalog, readers
 
 
@@ -292,6 +292,49 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in readers.form_input(form).collect()] == [(1, "Ann", "2025-01-01")]
 
 
+def test_more_readers(spark, tmp_path):
+    for name, value in {"form": {"payee_name": "Ann", "event_name": "E"}, "docs": [{"source_filename": "p.pdf", "doc_kind": {"value": "program"}, "scheduled_dates": ["2026-03-02", "2026-03-04"], "papers_listed": [{"title": "t", "authors_string": "Ann B, C"}]}], "bundle": {"source_filename": "s.json", "participant_role": {"value": "presenter"}, "source_filenames": ["a"]}}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.json").write_text(json.dumps(value, indent=1))
+    form = readers.read_form_input(spark, str(tmp_path / "form")).first()
+    assert (form["payee_name"], form["payment_method"], len(form)) == ("Ann", None, 14)
+    doc = readers.read_supporting_docs(spark, str(tmp_path / "docs")).first()
+    assert (doc["doc_kind"]["value"], doc["venues_mentioned"], doc["papers_listed"][0]["title"]) == ("program", [], "t")
+    assert readers.read_synthesis(spark, str(tmp_path / "bundle")).first()["participant_role"]["value"] == "presenter"
+    rates = readers.with_provenance(spark.range(1), "https://example.org", F.lit("2026-01-01")).first()
+    assert (rates["unit"], rates["source_url"], rates["fetched_at"]) == ("cents_per_mile", "https://example.org", "2026-01-01")
+
+
+def test_intake(spark):
+    rows = [("a.pdf", "meal", "E", "me"), ("a.pdf", " ", "E", "me"), ("a.pdf", "taxi", "E", "me"), ("a.TIF", "meal", "E", "me"), ("a", "meal", "E", "me"), ("a.HEIC", "meal", " ", "me"), ("a.png", "meal", "E", None)]
+    df = spark.createDataFrame(rows, "name string, kind string, event string, payee string")
+    got = [r[0] for r in df.select(intake.rejection(*map(F.col, df.columns))).collect()]
+    assert got[0] is None and got[1] == "Missing kind for file 'a.pdf'." and got[2].startswith("Unknown kind 'taxi' for file 'a.pdf' (known: ['airfare', 'ancillary',")
+    assert got[3].startswith("Unsupported file type '.tif' for 'a.TIF'. Allowed: ['.heic',") and got[4].startswith("Unsupported file type ''") and "Event name" in got[5] and "payee" in got[6]
+    assert each(spark, intake.signed_in(F.col("t")), "p:Ann_1@x.org", "p:a@x", "p:no mail", "Ann@x.org", None) == ["ann_1", None, None, None, None]
+    assert each(spark, intake.mime_type(F.col("t")), "x.JPG", "x.webp", "x.doc", ".pdf") == ["image/jpeg", "image/webp", None, None]
+    nights = spark.createDataFrame([("2026-03-01", "2026-03-08", "2026-03-02", "2026-03-05"), ("2026-03-01", "2026-03-02", "2026-04-02", "2026-04-05")], "a string, b string, c string, d string")
+    assert [r[0] for r in nights.select(intake.personal_nights(*map(F.col, "abcd"))).collect()] == [4, 1]
+    gone, left, files = intake.cleanup(spark.createDataFrame([("test_1", None, None), ("u1", "fxtest", None), ("u2", "ann", "fxtest"), ("u3", "ann", None)], "upload_id string, payee_id string, filed_by string"), spark.createDataFrame([("u1", "f"), ("u3", "g")], "upload_id string, name string"), ("^fxtest$",))
+    assert {r["upload_id"] for r in gone.collect()} == {"test_1", "u1", "u2"} and left.count() == 1 and files.count() == 1
+    meta = spark.createDataFrame([(None, None), (None, ("low", [], False, [], None)), (None, ("high", [], False, [], None)), ("x", None)], "v string, m struct<confidence:string,evidence:array<string>,needs_review:boolean,flags:array<string>,confidence_reason:string>")
+    assert [r[0] for r in meta.select(intake.is_unknown(F.col("v"), F.col("m"))).collect()] == [True, True, False, False]
+
+
+def test_edits_keep_metadata_and_types(spark):
+    e = spark.createDataFrame([(1, "expense_report.a", "12", 1, 1), (1, "expense_report.b", " 7 ", 1, 2)], "report_id long, path string, new_text string, ts long, event_id long")
+    leaves = spark.createDataFrame([(1, "expense_report.a", "x", "string")], "report_id long, path string, value string, kind string")
+    types = spark.createDataFrame([("expense_report.a", "boolean", None), ("expense_report.b", "number", None)], "template string, type string, allowed array<string>")
+    after = {r["path"]: r for r in edits.with_meta(edits.applied(e, leaves, types)[0]).collect()}
+    assert after["expense_report.a"]["value"] == "12" and after["expense_report.b"]["value"] == "7"
+    assert after["expense_report.b"]["meta"]["evidence"][0]["kind"] == "user_input"
+
+
+def test_advisory_rules(spark):
+    rules = spark.createDataFrame([("depends_on", "a", None, ["x", "y"]), ("required_when", "b", "c == 1", None), ("validation_expression", "d", "Must fall within", None)], "rule_type string, target_path string, expression string, depends_on array<string>")
+    assert {tuple(r) for r in validate.advisory(rules).collect()} == {("a", "info", "depends on x, y"), ("d", "info", "Must fall within")}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from reckoner.streaming.jobs import job_state
 
