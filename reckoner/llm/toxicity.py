@@ -22,10 +22,11 @@ some kilobytes.
 
 Defined results: null and empty texts score like a document with one window
 without difference; rows without a label are only scored; of several labels
-of a document, and of equal texts with different labels, the largest counts; with no
-labels of one class every score is the share of label 1 (0 without labels); a null
+of a document, and of equal texts with different labels, the largest counts; without
+texts of both classes, or without words that tell them apart, nothing can be told and
+every score is 0; a null
 doc_id is never used for learning; equal texts have equal scores; columns named like a
-result give way to it; no documents give no rows, and no labels a model that scores 0.
+result give way to it; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -99,8 +100,8 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 class Model:
     ordinary: bytes
     toxic: bytes
+    #: None if there is nothing to tell the classes apart.
     weights: np.ndarray
-    share: float
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         made = []
@@ -140,7 +141,7 @@ class Scorer:
 
     def scores(self, column: pa.Array) -> np.ndarray:
         if not len(self.model.weights):
-            return np.full(len(column), self.model.share)
+            return np.zeros(len(column))
         return 1 / (1 + np.exp(-np.clip(self.features(column) @ self.model.weights, -30, 30)))
 
 
@@ -180,7 +181,6 @@ def _dictionaries(texts: list[str], labels: list[int]) -> tuple[bytes, bytes] |
 
 def fit(texts: list[str], labels: list[int], totals: tuple[int, int]) -> Model:
     """A model of labelled texts; ``totals``: rows of label 0 and 1 that they stand for."""
-    share = totals[1] / max(1, sum(totals))
     label: dict[str, int] = {}
     for t, y in zip(texts, labels, strict=True):
         label[t] = max(y, label.get(t, 0))
@@ -192,8 +192,8 @@ def fit(texts: list[str], labels: list[int], totals: tuple[int, int]) -> Model:
         apart = list(label)
         made = _dictionaries(apart, list(label.values()))
     if made is None:
-        return Model(b"", b"", np.zeros(0), share)
-    model = Model(*made, np.zeros(1), share)
+        return Model(b"", b"", np.zeros(0))
+    model = Model(*made, np.zeros(1))
     x = Scorer(model).features(pa.array(apart, pa.string()))
     y = np.array([label[t] for t in apart], float)
     of_class = [max(1, len(y) - y.sum()), max(1, y.sum())]

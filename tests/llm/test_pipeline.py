@@ -52,3 +52,26 @@ def test_planted_cases(spark, tmp_path):
     by_id = dict(rows)
     assert all(maxplus.decode(r["ids"], public_tokenizers.path("piece_bpe_32k.model")) == (by_id[r["doc_id"]] or "") for r in read.collect())
     assert spark.read.parquet(str(tmp_path / "toxicity")).where("score = 0.5").count() == len(kept["toxicity"])
+
+
+def tables(spark, path, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(path / "documents.parquet"))
+    known = [(k, 1, k % 2) for k in range(6)]
+    spark.createDataFrame(known, "doc_id long, quality long, toxic long").write.parquet(str(path / "labels.parquet"))
+    spark.createDataFrame([(0, None)], "item_id long, text string").write.parquet(str(path / "benchmark.parquet"))
+
+
+def test_no_documents(spark, tmp_path):
+    tables(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_null_and_repeated_ids_and_columns(spark, tmp_path):
+    long = text(8, 30000)
+    rows = [(None, "a b c d e f", None, None, None), (None, None, None, "s", 0), (7, text(7, 50), "en", "s", 1), (7, text(7, 50), "en", "s", 1), (9, text(7, 50), "en", "s", 1), (11, "", None, None, 0), (12, long, "en", "s", len(long))]
+    tables(spark, tmp_path, rows)
+    got = [(r["doc_id"], r["n_pieces"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    # The copies of one id stay together; 9 is a copy of 7; rows without an id stay.
+    assert sorted(i for i, _ in got if i is not None) == [7, 7, 11, 12] and sorted(n > 0 for i, n in got if i is None) == [False, True]
+    assert max(n for _, n in got) > 30000
