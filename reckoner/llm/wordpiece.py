@@ -11,7 +11,8 @@ Words are runs outside space and 0x09-0x0D, A-Z lower-cased, closed by the
 vocabulary's end-of-word mark.
 
 Defined results: null and empty texts have no words and no pieces; repeated rows
-give equal rows; extra columns are kept or dropped as ``keep`` says.
+give equal rows; extra columns are kept or dropped as ``keep`` says, and give way to
+results of their name; no documents give no rows.
 
 Scale: no shuffle; the automaton is read from the vocabulary file by each worker;
 of a batch, each different word is walked once.
