@@ -26,7 +26,8 @@ def lines(spark: SparkSession, sf_dir: str, country: bool = True) -> DataFrame:
 
     Without ``country`` that column is left out, and with it two joins.
     """
-    df = read(spark, sf_dir, "lineitem")
+    # Named before the window, so that joins by report find the lines partitioned.
+    df = read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "report_id")
     places = []
     if country:
         # Suppliers and nations stay joins of Spark's choice: their size is checked by it.
@@ -34,7 +35,7 @@ def lines(spark: SparkSession, sf_dir: str, country: bool = True) -> DataFrame:
         df = df.join(s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey", "n_name"), "l_suppkey")
         places = [F.when(F.col("s_nationkey") % 5 == 1, "United States").when(F.col("s_nationkey") % 5 == 2, None).otherwise(F.col("n_name")).alias("country")]
     pick = lambda values, key: F.element_at(F.array(*[F.lit(v) for v in values]), (key + 1).cast("int"))
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    order = Window.partitionBy("report_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     price = F.col("l_extendedprice")
     kind, code = pick(TYPES, F.col("l_partkey") % 18), pick(CODES, F.col("l_suppkey") % 6)
     mileage, rented = F.col("expense_type") == "personal_mileage", F.col("expense_type") == "car_rental"
@@ -43,7 +44,7 @@ def lines(spark: SparkSession, sf_dir: str, country: bool = True) -> DataFrame:
     later = lambda n: F.date_add(F.to_date("l_shipdate"), n.cast("int")).cast("string")
     df = df.withColumns({"expense_type": kind, "original_currency": code})
     return df.select(
-        F.col("l_orderkey").alias("report_id"),
+        "report_id",
         (F.row_number().over(order) - 1).cast("long").alias("line_idx"),
         F.concat(F.lit("receipt_"), F.col("l_partkey").cast("string"), F.lit("_"), F.col("l_suppkey").cast("string"), F.lit(".pdf")).alias("source_filename"),
         "expense_type",
