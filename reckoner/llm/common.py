@@ -15,6 +15,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows that ``with_results`` computes at a time.
 PART_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long, so fewer of them than by Spark's default go to a Python worker at once.
+
+    A number that somebody has set stays.
+    """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(PART_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +77,10 @@ def with_results(
 
     ``work`` runs once in each task and returns the function that turns an Arrow
     column into the new columns by name. Nothing is shuffled. Columns of ``df``
-    that carry the name of a new one give way to it.
+    that carry the name of a new one give way to it. The session's Arrow batches become
+    smaller, where they have Spark's default.
     """
+    small_batches(df.sparkSession)
     new = T.StructType.fromDDL(fields)
     names = [f.name for f in new]
     read = without(df, *names)
