@@ -6,16 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reckoner.functions import scalars as S
+from reckoner.operators import intake
 from reckoner.sources import catalog
 
-FOREIGN_HEADER = (
-    "category,expense_date,expense_currency,expense_amount,expense_type,remarks,country of activity,activity type,affiliation,traveler_id,traveler_name,"
-    "ticket_number  (not required),travel_booking_method,airline,class_of_ticket,departure_airport,destination_airport,number_of_nights,location,Conference Hotel"
-).split(",")
+# The header of the foreign page.
+FOREIGN_HEADER = [
+    "category",
+    "expense_date",
+    "expense_currency",
+    "expense_amount",
+    "expense_type",
+    "remarks",
+    "country of activity",
+    "activity type",
+    "affiliation",
+    "traveler_id",
+    "traveler_name",
+    "ticket_number  (not required)",
+    "travel_booking_method",
+    "airline",
+    "class_of_ticket",
+    "departure_airport",
+    "destination_airport",
+    "number_of_nights",
+    "location",
+    "Conference Hotel",
+]
 ORDINARY = ["remarks", "country", "foreign_activity_type"]
-# Labels of the foreign page.
-ACTIVITIES = {"conference": "Conferences", "research_collaboration": "Collaborations/Meetings", "fieldwork": "Research: Field work", "other": "Other"}
-TICKETS = {"coach": "Coach", "first": "First", "premium_economy": "Premium Economy/Business", "business": "Premium Economy/Business"}
 
 
 def goes_foreign(kind: Column, category: Column) -> Column:
@@ -37,7 +54,10 @@ def _labels(df: DataFrame, page: str) -> Column:
     label = F.coalesce(F.try_element_at(catalog.literal_map(names), F.col("expense_type")), F.lit(""))
     if "alcohol_amount" not in df.columns:
         return label
-    return F.when(F.col("expense_type").isin("business_meal", "group_travel_meal") & (F.col("alcohol_amount") > 0), F.concat(label, F.lit(" with Alcohol"))).otherwise(label)
+    # The foreign page spells it shorter for groups.
+    short = (F.col("expense_type") == "group_travel_meal") & F.lit(page != "domestic")
+    said = F.concat(label, F.when(short, " w Alcohol").otherwise(" with Alcohol"))
+    return F.when(F.col("expense_type").isin("business_meal", "group_travel_meal") & (F.col("alcohol_amount") > 0), said).otherwise(label)
 
 
 def with_currency_name(df: DataFrame, column: str = "original_currency") -> DataFrame:
@@ -80,8 +100,8 @@ def foreign_rows(lines: DataFrame, reports: DataFrame) -> DataFrame:
     air = F.col("expense_type").isin("airfare_domestic", "airfare_foreign")
     only_air = lambda name: F.when(air, _optional(df, name)).otherwise("")
     lodging = F.col("expense_type").isin("lodging_domestic", "lodging_foreign")
-    activity = F.coalesce(F.try_element_at(catalog.literal_map(ACTIVITIES), _optional(df, "foreign_activity_type")), F.lit(""))
-    ticket = F.coalesce(F.try_element_at(catalog.literal_map(TICKETS), _optional(df, "class_of_ticket")), F.lit(""))
+    activity = F.coalesce(F.try_element_at(catalog.literal_map(intake.ACTIVITIES), _optional(df, "foreign_activity_type")), F.lit(""))
+    ticket = F.coalesce(F.try_element_at(catalog.literal_map(intake.TICKET_CLASSES), _optional(df, "class_of_ticket")), F.lit(""))
     hotel = F.when(lodging, F.when(_optional(df, "lodging_booking_method") == "conference_hotel", "Yes").otherwise("No")).otherwise("")
     return df.select(
         "report_id",

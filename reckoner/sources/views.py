@@ -9,10 +9,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# The expense types, in the order that the views deal them by.
 TYPES = (
-    "adjusted_per_diem airfare_domestic airfare_foreign ancillary_airline_fee business_meal car_rental conference_registration gift_card_employee_foreign gifts_foreign_activity "
-    "ground_transportation_foreign ground_transportation_domestic group_travel_meal human_subject_incentive lodging_domestic lodging_foreign membership_dues other_business_expense personal_mileage"
-).split()
+    "adjusted_per_diem",
+    "airfare_domestic",
+    "airfare_foreign",
+    "ancillary_airline_fee",
+    "business_meal",
+    "car_rental",
+    "conference_registration",
+    "gift_card_employee_foreign",
+    "gifts_foreign_activity",
+    "ground_transportation_foreign",
+    "ground_transportation_domestic",
+    "group_travel_meal",
+    "human_subject_incentive",
+    "lodging_domestic",
+    "lodging_foreign",
+    "membership_dues",
+    "other_business_expense",
+    "personal_mileage",
+)
 CODES = (None, "INR", "EUR", "GBP", "JPY", "XYZ")
 TIPPED = ("business_meal", "group_travel_meal", "ground_transportation_domestic", "ground_transportation_foreign")
 

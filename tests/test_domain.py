@@ -104,6 +104,14 @@ def test_routing_is_a_partition(spark):
     assert export.domestic_rows(df, reports).count() + export.foreign_rows(df, reports).count() == 3
 
 
+def test_meals_with_alcohol_by_page(spark):
+    reports = spark.createDataFrame([(1, "expenses_foreign"), (2, "expenses_domestic")], "report_id long, category string")
+    rows = [{"report_id": r, "line_idx": k, "expense_type": t} for r in (1, 2) for k, t in enumerate(("business_meal", "group_travel_meal"))]
+    df = lines(spark, *rows).withColumn("alcohol_amount", F.lit(5.0))
+    assert [r["expense_type"] for r in export.foreign_rows(df, reports).orderBy("line").collect()] == ["Business Meal with Alcohol", "Group Travel Meal w Alcohol"]
+    assert [r["expense_type"] for r in export.domestic_rows(df, reports).orderBy("line").collect()] == ["Business Meal with Alcohol", "Group Travel Meal with Alcohol"]
+
+
 def test_window_and_conditional_issues(spark):
     reports = spark.createDataFrame([(1, "expenses_domestic", "2025-01-03 to 2025-01-05")], "report_id long, category string, when_text string")
     df = lines(spark, {}, {"line_idx": 1, "date_text": "2025-01-04"}, {"line_idx": 2, "date_text": "2025-01-09", "expense_type": "lodging_foreign"})
