@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reckoner.llm import html_main, maxplus, ppm, tokenfiles, toxicity, warc
+from reckoner.llm import html_main, maxplus, negatives, pii, ppm, spelling, tokenfiles, toxicity, warc
 from reckoner.llm.common import fresh_path, table
 from reckoner.llm.fingerprints import fingerprints
 from reckoner.llm.neardup import near_duplicates
@@ -69,7 +69,39 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_main_text, op4_toxicity, op5_near_duplicates, op6_ppm, op7_token_files, op8_token_counts, op9_pieces, op10_decontamination)}
+#: Runs of letters that are words of seven code points, or become so without one.
+LETTERS = "([A-Za-z\u00C0-\u00FF]{7,})"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(LETTERS), F.lit(1))).alias("run")).withColumn("run", F.translate("run", UPPER, LOWER))
+    # A null id counts as the empty text.
+    h, n = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run"))), F.char_length("run")
+    at = (h % n).cast("int")
+    deleted = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, n))
+    words = runs.select(F.when(h % 31 == 0, deleted).otherwise(F.col("run")).alias("word"))
+    counts = words.where(F.char_length("word") >= 7).groupBy("word").agg(F.count("*").alias("n")).where("n >= 2")
+    return spelling.variants(counts)
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, keep=["doc_id"])
+    base = F.filter("pii", lambda x: x["base"])
+    kinds = F.transform(base, lambda x: x["kind"])
+    counts = [(F.size(base) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("pii")).alias("spans"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0, vector="embedding")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_main_text, op4_toxicity, op5_near_duplicates, op6_ppm, op7_token_files, op8_token_counts, op9_pieces, op10_decontamination, op11_spelling_variants, op12_personal_data, op13_hard_negatives)}
 ORACLE: dict[str, str] = {
     "op1_warc": """
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
@@ -79,4 +111,16 @@ SELECT page_id, payload_bytes, payload_digest,
  CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
  CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to, url
 FROM f""",
+    "op13_hard_negatives": """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, a.label = b.label AS same, b.id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM s WHERE same QUALIFY k <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+ s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+QUALIFY rank <= 5""",
 }
