@@ -71,7 +71,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if most < 2**53:
         return a @ b.T
     exact = np.array([[sum(int(x) * int(y) for x, y in zip(u, v, strict=True)) for v in b] for u in a], object)
-    return np.clip(exact.reshape(len(a), len(b)), -(2**63), 2**63 - 1).astype(np.int64)
+    return np.clip(exact.reshape(len(a), len(b)), 1 - 2**63, 2**63 - 1).astype(np.int64)
 
 
 def below(limits: np.ndarray, kind: np.dtype) -> np.ndarray:
@@ -192,7 +192,7 @@ def negatives(rows: DataFrame, anchors: pa.Table, found: list[list[tuple[int, in
     """anchor_id, positive_id, rank, negative_id and both scores for the anchors of a block."""
     spark = rows.sparkSession
     use = [i for i, have in enumerate(found) if have and have[0][0] >= 0]
-    anchors, found = anchors.take(use), [[(s, i, -(-low * s // 100)) for s, i in found[n] if s >= 0] for n in use]
+    anchors, found = anchors.take(pa.array(use, pa.int64())), [[(s, i, -(-low * s // 100)) for s, i in found[n] if s >= 0] for n in use]
     matrix, ids, labels = whole_numbers(anchors.column("vector").combine_chunks()), anchors.column("id").to_pylist(), anchors.column("label").to_pylist()
     width = max(map(len, found), default=1)
     none = np.iinfo(np.int64).min
@@ -237,5 +237,7 @@ def mine(rows: DataFrame, anchor: Column, vector: str = "vector", n_positives: i
     kind = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     rows.sparkSession.createDataFrame([], kind).write.parquet(path)
     for anchors in blocks(dealt, block):
-        negatives(dealt, anchors, positives(dealt, anchors, n_positives), k, low).write.mode("append").parquet(path)
+        found = positives(dealt, anchors, n_positives)
+        if any(have and have[0][0] >= 0 for have in found):
+            negatives(dealt, anchors, found, k, low).write.mode("append").parquet(path)
     return rows.sparkSession.read.schema(kind).parquet(path)
