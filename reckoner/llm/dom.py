@@ -5,8 +5,11 @@ white space inside a block becomes one space, comments, scripts, styles and othe
 unseen text are left out. Unclosed and misnested tags are repaired the way browsers
 do where it matters for blocks: a block start ends an open paragraph, an item ends an
 item, an end tag without its start is ignored. The text of buttons, lists of choices,
-drawings and templates goes up to their end tag; without one, up to the next block start or the
-end of an element around them.
+drawings and templates goes up to their end tag, as does the inside of scripts, styles,
+titles, text areas and frames; without one, up to the next block start or the
+end of an element around them. Inside drawings and formulas "/>" ends an element. A tag
+with a quote that is never closed ends at its first ">". Time is linear in the length of a
+page, whatever is open in it.
 """
 
 from __future__ import annotations
@@ -14,15 +17,14 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|textarea|title|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"([\w-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The end of a tag, or the begin of a quoted value, which may hold a ">".
+_STOP = re.compile(r">|=\s*[\"']")
+_COMMENT_END = re.compile(r"--!?>")
+_ATTRIBUTE = re.compile(r"(?<![\w-])([\w-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 #: HTML's elements without content, and its block-level elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,9 +35,14 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _HOLDS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}}
 #: Elements with markup inside whose text isn't read. Those without an end tag are open as "?tag".
 HIDDEN = frozenset("noscript template svg select button".split())
-_LOOSE = {f"?{t}" for t in HIDDEN}
+#: Elements whose inside is text up to their end tag. Without one, they are open as "?tag" too.
+RAW = frozenset("script style textarea title iframe".split())
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+_LOOSE = {f"?{t}" for t in HIDDEN | RAW}
+_UNSEEN = HIDDEN | _LOOSE
 _ALONE = frozenset(("select", "button"))
-_HAS_HIDDEN = re.compile(f"<(?:{'|'.join(sorted(HIDDEN))})\\b", re.I)
+#: Drawings and formulas, in which "/>" ends an element.
+_FOREIGN = frozenset(("svg", "math"))
 #: Groups of tags as one feature.
 GROUPS = ("article main", "nav menu", "header", "footer", "aside", "ul ol dl", "li dd dt", "p pre blockquote", "h1 h2 h3 h4 h5 h6 hgroup", "form fieldset", "section", "div center", "table tbody thead tr td th", "body html", "figure figcaption")
 _GROUP = {t: k for k, g in enumerate(GROUPS) for t in g.split()}
@@ -60,33 +67,128 @@ class Block:
     inline: int = 0
 
 
-def _ended(page: str) -> set[int]:
+@dataclass(slots=True)
+class Token:
+    """A tag, or a comment and the like (name ""), and where it stands; ``head`` is where its attributes begin."""
+
+    start: int
+    end: int
+    name: str = ""
+    is_end: bool = False
+    head: int = 0
+
+
+def tokens(page: str) -> list[Token]:
+    """The tags of a page. What is between elements of ``RAW`` and their end tags is part of the token.
+
+    Every search goes on where the last one ended, or has failed once and for all, so the
+    time is linear in the length of the page.
+    """
+    out: list[Token] = []
+    n, at = len(page), page.find("<")
+    #: What isn't to be found from here on: quotes without a second one, end tags.
+    gone: set[str] = set()
+    foreign = 0
+
+    def find(what: str, begin: int, pattern: re.Pattern | None = None) -> int:
+        if what in gone:
+            return -1
+        found = (m.start() if (m := pattern.search(page, begin)) else -1) if pattern else page.find(what, begin)
+        if found < 0:
+            gone.add(what)
+        return found
+
+    def closing(begin: int) -> int:
+        """Where the tag ends. A quote that is never closed is no quote: the tag ends at its first ">"."""
+        pos = begin
+        while m := _STOP.search(page, pos):
+            if m[0] == ">":
+                return m.end()
+            quote = find(m[0][-1], m.end())
+            if quote < 0:
+                end = page.find(">", m.end())
+                return end + 1 if end >= 0 else n
+            pos = quote + 1
+        return n
+
+    while 0 <= at < n - 1:
+        after = page[at + 1]
+        is_end = after == "/"
+        m = _NAME.match(page, at + 1 + is_end)
+        if m:
+            name, end = m[0].lower(), closing(m.end())
+            alone = not is_end and foreign > 0 and page.endswith("/>", m.end(), end)
+            alone = alone or name == "svg" and not is_end and page.endswith("/>", m.end(), end)
+            if name in _FOREIGN and not alone:
+                foreign = max(0, foreign + (-1 if is_end else 1))
+            if name in RAW and not is_end and not alone:
+                raw = find(f"</{name}", end, _RAW_END[name])
+                if raw >= 0:
+                    name, end = "", closing(raw + 2)
+            out.append(Token(at, end, "" if alone else name, is_end, m.end()))
+        elif after == "!" and page.startswith("--", at + 2):
+            # "<!-->" and "<!--->" are whole comments.
+            m = _COMMENT_END.search(page, at + 2)
+            end = m.end() if m else n
+            out.append(Token(at, end))
+        elif after in "!?/":
+            end = page.find(">", at)
+            end = end + 1 if end >= 0 else n
+            out.append(Token(at, end))
+        else:
+            end = at + 1
+        at = page.find("<", end)
+    return out
+
+
+class Open:
+    """The open elements, and for each name the places where it is open."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[int, str, bool]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, block: int, tag: str, seen: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((block, tag, seen))
+
+    def pop(self) -> tuple[int, str, bool]:
+        self.places[self.stack[-1][1]].pop()
+        return self.stack.pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost element of these names; -1 without one."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+
+def _ended(page_tokens: list[Token]) -> set[int]:
     """Where the hidden elements start that have an end tag of their own."""
-    open_: list[tuple[str, int]] = []
-    out = set()
-    if not _HAS_HIDDEN.search(page):
+    out: set[int] = set()
+    if not any(t.name in HIDDEN for t in page_tokens):
         return out
-    for m in _TOKEN.finditer(page):
-        tag = m[3] and m[3].lower()
-        if tag is None or tag in VOID:
+    open_ = Open()
+    for t in page_tokens:
+        if not t.name or t.name in VOID:
             continue
-        k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == tag), -1) if m[2] or tag in _ALONE else -1
-        if m[2] and k >= 0 and tag in HIDDEN:
-            out.add(open_[k][1])
+        k = open_.last((t.name,)) if t.is_end or t.name in _ALONE else -1
         if k >= 0:
-            del open_[k:]
-        if not (m[2] or tag == "svg" and m[4].endswith("/")):
-            open_.append((tag, m.start()))
+            if t.is_end and t.name in HIDDEN:
+                out.add(open_.stack[k][0])
+            while len(open_.stack) > k:
+                open_.pop()
+        if not t.is_end:
+            open_.push(t.start, t.name, False)
     return out
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in page order; the first is the page itself."""
     out = [Block("html", -1, 0)]
-    #: (block, tag, whether it is seen) of each open element.
-    open_ = [(0, "html", True)]
+    open_ = Open()
+    open_.push(0, "html", True)
     now, links, run, order, hidden = 0, 0, [], 0, 0
-    ended = _ended(page)
+    found = tokens(page)
+    ended = _ended(found)
 
     def flush() -> None:
         nonlocal run, order
@@ -99,77 +201,70 @@ def blocks(page: str) -> list[Block]:
     def close(to: int) -> None:
         """Close open elements from place ``to`` on."""
         nonlocal now, links, hidden
-        if any(seen and t in BLOCK for _, t, seen in open_[to:]):
+        gone = [open_.pop() for _ in range(len(open_.stack) - to)]
+        if any(seen and t in BLOCK for _, t, seen in gone):
             flush()
-        links -= sum(seen and t == "a" for _, t, seen in open_[to:])
-        hidden -= sum(t in HIDDEN or t in _LOOSE for _, t, _ in open_[to:])
-        del open_[to:]
-        now = open_[-1][0]
-
-    def find(tags: set[str], stop: set[str]) -> int:
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k][1] in tags:
-                return k
-            if open_[k][1] in stop:
-                return 0
-        return 0
+        links -= sum(seen and t == "a" for _, t, seen in gone)
+        hidden -= sum(t in _UNSEEN for _, t, _ in gone)
+        now = open_.stack[-1][0]
+
+    def inner(tags: Iterable[str], stop: Iterable[str] = ()) -> int:
+        """The place of the innermost of ``tags``, if none of ``stop`` is inside it; else 0."""
+        k = open_.last(tags)
+        return k if k > 0 and k > open_.last(stop) else 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not hidden:
-            text = page[at : m.start()]
+    for token in found:
+        if token.start > at and not hidden:
+            text = page[at : token.start]
             run.append(text)
             if links:
                 out[now].link_chars += len(text)
-        at = m.end()
-        tag = m[3]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m[2]:
-            if tag == "br":
-                run.append(" ")
-            elif k := find({tag}, set()):
-                close(k)
+        at, tag = token.end, token.name
+        if not tag:
             continue
         if tag == "br":
             run.append(" ")
             continue
-        if hidden and (tag in BLOCK or tag in _ALONE) and (k := find(_LOOSE if tag in BLOCK else {tag, f"?{tag}"}, set())):
+        if token.is_end:
+            if k := inner((tag,)):
+                close(k)
+            continue
+        if hidden and (tag in BLOCK or tag in _ALONE) and (k := inner(_LOOSE if tag in BLOCK else (tag, f"?{tag}"))):
             close(k)
-        if tag in HIDDEN:
-            if not (tag == "svg" and m[4].endswith("/")):
-                open_.append((now, tag if m.start() in ended else f"?{tag}", False))
-                hidden += 1
+        if tag in HIDDEN or tag in RAW:
+            open_.push(now, tag if token.start in ended else f"?{tag}", False)
+            hidden += 1
             continue
         if hidden:
             if tag not in VOID:
-                open_.append((now, tag, False))
+                open_.push(now, tag, False)
             continue
         if tag not in BLOCK:
             out[now].inline += 1
             if tag not in VOID:
-                open_.append((now, tag, True))
+                open_.push(now, tag, True)
                 links += tag == "a"
             continue
-        if tag in ("html", "body", "head") and any(t == tag for _, t, _ in open_):
+        if tag in ("html", "body", "head") and open_.last((tag,)) >= 0:
             continue
-        if k := find({"p"}, {"td", "th", "button"}):
+        if k := inner(("p",), ("td", "th", "button")):
             close(k)
-        if tag in _CLOSES and (k := find(_CLOSES[tag], _HOLDS[tag])):
+        if tag in _CLOSES and (k := inner(_CLOSES[tag], _HOLDS[tag])):
             close(k)
         flush()
-        attributes = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(m[4])} if m[4] else {}
-        tokens = tuple(t for name in ("class", "id", "role") for t in _SPLIT.split(attributes.get(name, "").lower()) if t)
-        out.append(Block(tag, now, out[now].depth + 1, tokens, attributes.get("data-part", "")))
+        head = page[token.head : token.end]
+        attributes = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(head)} if "=" in head else {}
+        words = tuple(t for name in ("class", "id", "role") for t in _SPLIT.split(attributes.get(name, "").lower()) if t)
+        out.append(Block(tag, now, out[now].depth + 1, words, attributes.get("data-part", "")))
         out[now].children.append(len(out) - 1)
         if tag not in VOID:
             now = len(out) - 1
-            open_.append((now, tag, True))
+            open_.push(now, tag, True)
     if at < len(page) and not hidden:
         run.append(page[at:])
     flush()
-    return [b for b in out]
+    return out
 
 
 FEATURES = (
