@@ -11,9 +11,12 @@ distinct terms in a subset are sorted and hashed; the fingerprint is the list of
 share of equal hashes among the subsets that either document has terms in is the
 likeness of two fingerprints.
 
-A document with fewer than ``LEAST_TERMS`` terms of the lexicon is fingerprinted by all
-its terms, in or out of the band, in subsets of their own. The edited text follows its
-document in this, so both are compared on terms of one kind.
+A text with few terms of the lexicon would have a fingerprint of few hashes. So one with
+less than twice ``LEAST_TERMS`` of them also has hashes of all its terms, in or out of the
+band, in subsets of their own; one with less than ``LEAST_TERMS`` has only these. The
+text alone decides, so equal texts have equal fingerprints, and two fingerprints are
+compared on the kinds of hashes that both have: around either limit both texts still have
+one kind in common.
 
 Defined results: null and empty texts have an empty fingerprint; two empty
 fingerprints have likeness 1, an empty one and another 0. Rows are ordered by doc_id
@@ -42,6 +45,8 @@ LEAST_TERMS = 8
 SUBSETS = 64
 #: One in so many terms is in a given subset.
 FAMILIES = (64, 512, 4096)
+#: The first subset of all terms, in or out of the lexicon.
+ALL_TERMS = len(FAMILIES) * SUBSETS
 BLOCK = 256
 #: Parts of the ids with equally many documents, each cut evenly into blocks.
 QUANTILES = 256
@@ -113,10 +118,18 @@ def _codes(terms_: Column, first: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the subsets of either fingerprint."""
+    """Share of equal hashes among the subsets of either fingerprint, of the kinds that both have.
+
+    Entries are in the order of their subsets, those of the lexicon first.
+    """
+    band = lambda x: F.coalesce(F.get(x, F.lit(0)) < ALL_TERMS * HASHES, F.lit(False))
+    every = lambda x: F.coalesce(F.get(x, F.size(x) - 1) >= ALL_TERMS * HASHES, F.lit(False))
+    of_both = lambda x, y: F.when(band(x) & ~band(y), F.filter(x, lambda e: e >= ALL_TERMS * HASHES)).when(every(x) & ~every(y), F.filter(x, lambda e: e < ALL_TERMS * HASHES)).otherwise(x)
+    u, v = of_both(a, b), of_both(b, a)
     subset = lambda x: F.transform(x, lambda e: F.shiftright(e, 32))
-    either = F.size(F.array_union(subset(a), subset(b)))
-    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
+    either = F.size(F.array_union(subset(u), subset(v)))
+    none = F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(0.0)
+    return F.when(either == 0, none).otherwise(F.size(F.array_intersect(u, v)) / either)
 
 
 def _hex(entries: Column) -> Column:
@@ -179,10 +192,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("which").isin(2, 3), F.col("term"))).alias("changed"),
         F.first("about", ignorenulls=True).alias("about"),
     )
-    enough = F.size("own") >= LEAST_TERMS
-    used = lambda c: F.when(enough, F.col(c)).otherwise(F.col(f"about.{c}"))
-    first = F.when(enough, 0).otherwise(len(FAMILIES) * SUBSETS)
-    marked = found.select("block", "place", "about", _fingerprint(_codes(used("own"), first)).alias("a"), _fingerprint(_codes(used("changed"), first)).alias("b"))
+    nothing = F.array().cast("array<struct<s:bigint,t:bigint>>")
+
+    def marks(c: str) -> Column:
+        n = F.size(c)
+        band = F.when(n >= LEAST_TERMS, _codes(F.col(c), F.lit(0))).otherwise(nothing)
+        return _fingerprint(F.concat(band, F.when(n < 2 * LEAST_TERMS, _codes(F.col(f"about.{c}"), F.lit(ALL_TERMS))).otherwise(nothing)))
+
+    marked = found.select("block", "place", "about", marks("own").alias("a"), marks("changed").alias("b"))
     following = F.lead("a").over(Window.partitionBy("block").orderBy("place"))
     out = marked.withColumn("c", F.when(F.col("about.doc_id").isNotNull(), following)).where("not about.guest")
     return out.select(
