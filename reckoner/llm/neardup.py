@@ -26,7 +26,8 @@ class and are compared once, as one representative.
    paired again.
 
 Defined results: null and wordless texts have an empty set and link to nothing;
-fewer than ``size`` words are one shingle; rows with equal doc_id are one document;
+fewer than ``size`` words are one shingle; rows with equal doc_id are one document: it is
+linked to whatever one of its texts is linked to, and all its rows have one component;
 rows with a null doc_id take part, and their component is null if all its rows are so;
 extra columns are not read. No documents give no rows.
 """
@@ -104,13 +105,13 @@ def _needed(m: Column, percent: int, k: int) -> Column:
 def _lists_of(values: DataFrame, needed: Column) -> DataFrame:
     """(value, place, node, n, rank) of lists that any pair sharing ``needed`` meets in.
 
-    ``values`` has node, n, m (how many values the node has) and value. Rare values
-    come first; those that no other node has match nothing. rank is the mean frequency of
+    ``values`` has node, set (a node may have several), n, m (how many values the set has)
+    and value. Rare values come first; those that no other node has match nothing. rank is the mean frequency of
     a node's values, less than 0: the lowest is at the centre of its group. Lists of one
     are left out.
     """
     often = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    shared = values.join(often, "value").groupBy("node", "n", "m").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("have"))
+    shared = values.join(often, "value").groupBy("node", "set", "n", "m").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("have"))
     alone = F.col("m") - F.size("have")
     often = F.aggregate("have", F.lit(0).cast("long"), lambda total, x: total + x["df"])
     shared = shared.withColumns({"alone": alone, "rank": -(often + alone) / F.col("m")})
@@ -211,14 +212,18 @@ def _rest(some: DataFrame, percent: int) -> DataFrame:
     return some.join(few, "value").where(apart).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
-def linked(classes: DataFrame, texts: DataFrame, size: int, percent: int, k: int) -> DataFrame:
-    """(node, root) of the classes that have a link; ``texts`` has node and text."""
-    values = classes.select("node", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
+def linked(classes: DataFrame, texts: DataFrame, own: DataFrame, size: int, percent: int, k: int) -> DataFrame:
+    """(node, root) of the classes that have a link; ``texts`` has node and text.
+
+    ``own`` has links known beforehand (a, b). A node of several classes is one document
+    with several texts.
+    """
+    values = classes.select("node", "set", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
     index = settled(_lists_of(values, _needed(F.col("m"), percent, k)))
-    nodes = settled(index.select("node", "n").distinct())
+    nodes = settled(index.select("node").distinct())
     # Texts are shuffled only where the ids are too many to be sent to every task.
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
-    sets = settled(full_sets(texts.join(wanted, "node"), size, keep=["node", "n"]))
+    sets = settled(full_sets(texts.join(wanted, "node"), size, keep=["node"]).where(F.size("grams") > 0))
 
     def verified(pairs: DataFrame) -> DataFrame:
         # A pivot is in many pairs. Without an aggregate behind the joins, Spark can split it.
@@ -227,10 +232,11 @@ def linked(classes: DataFrame, texts: DataFrame, size: int, percent: int, k: int
     def rooted(lists: DataFrame) -> DataFrame:
         return lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    links = verified(_estimated(_stars(index, percent), classes, percent, k))
+    links = verified(_estimated(_stars(index, percent), classes, percent, k)).union(settled(own))
     roots = components(links)
     still = _open(rooted(index)).select("node").distinct()
-    grams = sets.join(still, "node").select("node", "n", F.col("n").alias("m"), F.explode("grams").alias("value")).distinct()
+    n = F.size("grams").cast("long")
+    grams = sets.join(still, "node").select("node", F.xxhash64("grams").alias("set"), n.alias("n"), n.alias("m"), F.explode("grams").alias("value")).distinct()
     exact = _lists_of(grams, F.ceil(F.col("m") * percent / 100).cast("int"))
     # These lists are of full sets; sketches have nothing to add.
     lists = settled(rooted(_merged(settled(exact))))
@@ -244,19 +250,37 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     component_id is the smallest doc_id reachable by links; kept marks its document.
     """
     each = settled(sketched(docs, size, k, keep=["doc_id"]))
-    # A class goes by its smallest doc_id.
+    # A class goes by its smallest doc_id. Two classes of one name are texts of one document.
     named = each.where("set_key is not null and doc_id is not null")
-    classes = settled(named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    roots = linked(classes.select("node", "n", "sketch"), docs.select(F.col("doc_id").alias("node"), "text"), size, percent, k)
+    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = settled(classes.withColumn("set", F.xxhash64("set_key")))
+    # Documents of several rows link the classes of their texts.
+    repeated = settled(each.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    of_doc = named.join(repeated, "doc_id").join(classes.select("set_key", "node"), "set_key").select("doc_id", "node").distinct()
+    own = of_doc.join(of_doc.groupBy("doc_id").agg(F.min("node").alias("first")), "doc_id").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    roots = linked(classes.select("node", "set", "n", "sketch"), docs.select(F.col("doc_id").alias("node"), "text"), own, size, percent, k)
     of_key = classes.select("set_key", "node").join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
-    found = each.select("doc_id", "n_shingles", "set_key").join(of_key, "set_key", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = each.select("doc_id", "n_shingles", "set_key").join(of_key, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    if repeated.limit(1).count():
+        # A row without words goes with the other rows of its document.
+        least = found.join(repeated, "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("_least"))
+        found = found.join(least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("_least", "component_id").alias("component_id"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of ``docs`` whose document is kept, all their columns unchanged.
+    """One row of ``docs`` of each component, all its columns unchanged.
 
-    Rows with a null doc_id have no document that could be named, and stay, copies too.
+    That is the row of the document that is kept; of several such rows, the smallest by
+    its columns (those that have an order). Rows with a null doc_id have no document that
+    could be named, and stay, copies too.
     """
-    gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    found = settled(near_duplicates(docs, **options).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_and("kept").alias("kept")))
+    gone, several = found.where("not kept").select("doc_id"), found.where("kept and n > 1").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    if not several.limit(1).count():
+        return kept.select(docs.columns)
+    ordered = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    row = F.min_by(F.struct(*docs.columns), F.struct(*ordered)).alias("row")
+    single = kept.join(several, "doc_id").groupBy(F.col("doc_id").alias("_id")).agg(row).select("row.*")
+    return kept.join(several, "doc_id", "left_anti").select(docs.columns).unionByName(single)

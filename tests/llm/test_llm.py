@@ -95,6 +95,31 @@ def test_near_duplicates_match_brute_force(spark, copies):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
 
 
+def test_documents_of_several_texts(spark):
+    """Rows of one doc_id are one document: brute force over documents, each with several sets."""
+    base = [text(k, 60) for k in range(6)]
+    near = [f"{t} and more" for t in base]
+    rows = [(3, base[0]), (5, base[0]), (5, base[1]), (7, near[1]), (9, base[2]), (9, base[2]), (9, ""), (11, near[2]), (2, base[3]), (2, text(70, 60)), (1, text(71, 60)), (4, near[3]), (20, text(72, 60)), (20, base[4]), (21, base[5]), (20, f"{base[5]} x"), (22, near[4])]
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    parent = {i: i for i, _ in rows}
+
+    def top(i):
+        return i if parent[i] == i else top(parent[i])
+
+    for i, a in rows:
+        for j, b in rows:
+            x, y = grams(a), grams(b)
+            if x and y and len(x & y) * 100 >= 75 * len(x | y):
+                lo, hi = sorted((top(i), top(j)))
+                parent[hi] = lo
+    docs = spark.createDataFrame([(i, t, f"n{k}") for k, (i, t) in enumerate(rows)], "doc_id long, text string, kept string")
+    got = neardup.near_duplicates(docs).collect()
+    assert len(got) == len(rows) and all(r["component_id"] == top(r["doc_id"]) and r["kept"] == (top(r["doc_id"]) == r["doc_id"]) for r in got)
+    assert {top(i) for i in (3, 5, 7)} == {3} and {top(i) for i in (20, 21, 22)} == {20}
+    left = neardup.deduplicated(docs).collect()
+    assert sorted(r["doc_id"] for r in left) == sorted({top(i) for i, _ in rows}) and all((r["doc_id"], r["text"]) in rows for r in left)
+
+
 def test_near_duplicates_odd_rows(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
     rows = spark.createDataFrame([(1, "a b c d e f", 1), (1, "a b c d e f", 2), (None, "a b c d e f", 3), (None, None, 4), (5, "a b c d e f", 5)], "doc_id long, text string, kept long")
@@ -439,18 +464,22 @@ def plain_fingerprints(rows):
         return entries
 
     def like(a, b):
-        either = {s for s, _ in a} | {s for s, _ in b}
-        return len(set(a) & set(b)) / len(either) if either else 1.0
+        cut = len(fingerprints.FAMILIES) * fingerprints.SUBSETS
+        kinds = {s < cut for s, _ in a} & {s < cut for s, _ in b}
+        u, v = ({e for e in x if (e[0] < cut) in kinds} for x in (a, b))
+        either = {s for s, _ in u | v}
+        return len(u & v) / len(either) if either else float(not a and not b)
+
+    def both_kinds(own):
+        found, few = own & band, fingerprints.LEAST_TERMS
+        return (print_of(found, 0) if len(found) >= few else []) + (print_of(own, len(fingerprints.FAMILIES) * fingerprints.SUBSETS) if len(found) < 2 * few else [])
 
     out = []
     for k, (i, _) in enumerate(rows):
         t, following = texts[k], texts[(k + 1) % n]
         q = len(t) // 4
         edited = t[: len(t) - q] + following[:q]
-        own, changed = terms(t), terms(edited)
-        few = len(own & band) < fingerprints.LEAST_TERMS
-        first = len(fingerprints.FAMILIES) * fingerprints.SUBSETS if few else 0
-        out.append([i, edited, print_of(own if few else own & band, first), print_of(changed if few else changed & band, first)])
+        out.append([i, edited, both_kinds(terms(t)), both_kinds(terms(edited))])
     return {i: (e, a, b, like(a, b), like(a, out[(k + 1) % n][2])) for k, (i, e, a, b) in enumerate(out)}
 
 
@@ -490,12 +519,54 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprints(rows).count() == 4 and fingerprints.fingerprints(empty(spark)).count() == 0
 
 
+def test_equal_texts_have_equal_fingerprints(spark):
+    # Document 1 ends in 8 words that others have too, and its edited text, with fewer of them, is document 2.
+    common = [f"common{k}" for k in range(8)]
+    mine = " ".join([*[f"rare{k}x" for k in range(22)], *common])
+    edited = mine[: len(mine) - len(mine) // 4] + "q" * (len(mine) // 4)
+    texts = [(0, mine), (1, "q" * 400), (2, edited), (3, " ".join(common)), (4, " ".join(common[:7])), (5, f"{' '.join(common)} also"), (6, "r" * 500 + " s")]
+    rows = spark.createDataFrame(texts + [(k, f"other {k} word{k} " * 3) for k in range(10, 90)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(rows).collect()}
+    assert got[0]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+    assert got[0]["edited_fingerprint"] == got[2]["fingerprint"]
+    # 8 and 7 terms of the lexicon: alike by the hashes of all terms.
+    assert got[3]["near_next"] > 0.5
+
+
 def test_blocks_and_text():
     page = '<html><head><title>T</title><style>p{}</style></head><body><!-- x --><p>a&amp;b<br>c <b>d</b>e<p>f&nbsp; g<script>"</p>"</script><ul><li>x<li>y</ul>&lt;z'
     assert [t for b in blocks(page) for _, t in b.runs] == ["<z", "a&b c de", "f g", "x", "y"]
     assert blocks("") and blocks("<") and blocks("<p") and blocks("</p></div>")
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>one</p><svg><style/></svg><p>two</p>", ["one", "two"]),
+        ("<p>one</p><svg><title/></svg><p>two</p>", ["one", "two"]),
+        ("<p>one</p><title/><p>two</p>", ["one", "two"]),
+        ("<p>one</p><iframe src=x /><p>two</p>", ["one", "two"]),
+        ("<p>one</p><!-- x --!><p>two</p>", ["one", "two"]),
+        ('<p><a title="x>y</a> b</p>', ["y b"]),
+        ("<p>it's <b title='x>'>y</b><img alt=\"a>b\">z</p>", ["it's yz"]),
+        ("<p>1<svg><g><path d='a'/></g></svg>2</p>", ["12"]),
+        ("<!-->a<!--->b", ["ab"]),
+        ("<p>x</p><style>a{}", ["x"]),
+        ("<p>1 < 2 <3</p>", ["1 < 2 <3"]),
+    ],
+)
+def test_broken_markup_loses_no_text(page, want):
+    assert [t for _, t in sorted(r for b in blocks(page) for r in b.runs)] == want
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 50000, "<b></i>" * 50000, "<script>" * 50000, '<a title="x>y' + "<a href='z>" * 50000, "<select><option>" * 25000, "<ul><li>y" * 25000, "<p " + "a" * 200000, "<textarea></title>" * 25000])
+def test_time_is_linear_in_open_elements(page):
+    began = time.process_time()
+    tree = blocks(page)
+    html_main.text_of(tree, html_main.chosen(tree, np.ones(len(tree))))
+    assert time.process_time() - began < 6
+
+
 def test_hidden_elements_end_where_they_should():
     read = lambda page: [t for b in blocks(page) for _, t in b.runs]
     assert read('<article><p>one <svg class="i"/> two</p><p>three</p></article><p>four') == ["one two", "three", "four"]
