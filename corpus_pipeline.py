@@ -5,8 +5,8 @@ Parquet and read again as the next stage's documents. The first three filter and
 return the columns of documents unchanged; the last returns doc_id, n_pieces and ids.
 
 Defined results: a null or empty text is neither toxic nor contaminated nor a
-duplicate, and has no pieces; rows of a repeated doc_id stand or fall together at
-deduplication; columns that share a name with an operator's result pass through
+duplicate, and has no pieces; rows of a repeated doc_id are one document, of which
+deduplication leaves one row at most; columns that share a name with an operator's result pass through
 unchanged; no documents give no rows.
 """
 
