@@ -39,6 +39,7 @@ give no rows. ``chunk_chars`` must be larger than the longest piece.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -91,10 +92,14 @@ class Pieces:
         for p, i in self.number.items():
             self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
+        self.made: dict[str, bool] = {}
         #: By the numbers of two pieces; the numbers behind the pieces: uncovered, none.
         self.pairs: dict[int, bool] = {}
         self.uncovered = max(self.number.values(), default=0) + 1
         self.bits = (self.uncovered + 1).bit_length()
+        #: A character that no piece has.
+        used = set().union(*scores) if scores else set()
+        self.mark = next(c for c in map(chr, range(1, 0x110000)) if c not in used)
 
     def _merge(self, text: str) -> list[str]:
         """What merges leave of a short text: the best-scored pair first, then the leftmost."""
@@ -109,11 +114,20 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def _alone(self, piece: str) -> bool:
+        """Whether merges make a piece of its own text."""
+        got = self.made.get(piece)
+        if got is None:
+            got = self._merge(piece) == [piece]
+            if piece in self.scores:
+                self.made[piece] = got
+        return got
+
     def fits(self, before: str, piece: str) -> bool:
         """Whether merges leave both pieces of their joined text ("" before a text's first)."""
-        if before and before[-1] + piece[0] not in self.inner:
-            return self.fits("", before) and self.fits("", piece)
-        return self._merge(before + piece) == [x for x in (before, piece) if x]
+        if not (self._alone(piece) and (not before or self._alone(before))):
+            return False
+        return not before or before[-1] + piece[0] not in self.inner or self._merge(before + piece) == [before, piece]
 
     def _forward_merged(self, text: str, inside: int, start: int, before: str) -> tuple[list[float], list[int]]:
         """``_forward`` of a byte-pair model: at most one piece can end a path at a position."""
@@ -192,17 +206,71 @@ class Pieces:
             end -= last[end]
         return out[::-1]
 
+    def _solve(self, text: str) -> bytes:
+        return np.array(self._ids(text, self._forward(text, len(text))[1], len(text), 0), np.int32).tobytes()
+
+    def _solve_merged(self, units: list[str]) -> list[bytes]:
+        """``_solve`` of units without uncovered characters, of a byte-pair model, in one pass.
+
+        They stand in one text with a character between them that no piece has, so each
+        begins anew; then the paths are read off from all ends at once.
+        """
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        stop = np.cumsum(size + 1) - 1
+        text = self.mark.join(units)
+        begin, n = self.uncovered + 1, len(text)
+        ends, last = [-1] * (n + 1), [0] * (n + 1)
+        for k in (stop - size).tolist():
+            ends[k] = begin
+        bits, pairs = self.bits, self.pairs
+        for at, (own, length) in self.automaton.iter(text):
+            j = at + 1
+            if ends[j] >= 0:
+                continue
+            former = ends[j - length]
+            if former < 0:
+                continue
+            key = former << bits | own
+            fit = pairs.get(key)
+            if fit is None:
+                if len(pairs) > CACHE_PAIRS:
+                    pairs.clear()
+                i = j - length
+                fit = pairs[key] = self.fits("" if former == begin else text[i - last[i] : i], text[i:j])
+            if fit:
+                last[j], ends[j] = length, own
+        back, piece = np.array(last), np.array(ends)
+        here, steps = stop, []
+        while len(here := here[piece[here] != begin]):
+            if not back[here].all():
+                raise ValueError("no path ends here")
+            steps.append(here)
+            here = here - back[here]
+        path = np.sort(np.concatenate(steps)) if steps else np.zeros(0, np.int64)
+        raw = piece[path].astype(np.int32).tobytes()
+        cuts = [0, *(4 * np.searchsorted(path, stop, "right")).tolist()]
+        return [raw[a:b] for a, b in itertools.pairwise(cuts)]
+
+    def solved(self, units: list[str]) -> list[bytes]:
+        """Ids of the best paths of units, 32 bits each."""
+        known, older = self.known, self.older
+        out = [known.get(u) or older.get(u) for u in units]
+        new = list(dict.fromkeys(u for u, x in zip(units, out, strict=True) if x is None))
+        if new:
+            whole = self.merged and not self.crosses
+            easy = [u for u in new if whole and self.letters.issuperset(u)]
+            found = dict(zip(easy, self._solve_merged(easy), strict=True)) if easy else {}
+            if len(found) < len(new):
+                found |= {u: self._solve(u) for u in new if u not in found}
+            out = [found[u] if x is None else x for u, x in zip(units, out, strict=True)]
+        if len(known) > CACHE_WORDS:
+            self.known, self.older = {}, known
+        self.known.update(zip(units, out, strict=True))
+        return out
+
     def word(self, text: str) -> bytes:
         """Ids of a unit's best path, 32 bits each."""
-        got = self.known.get(text)
-        if got is None:
-            got = self.older.get(text)
-            if got is None:
-                got = np.array(self._ids(text, self._forward(text, len(text))[1], len(text), 0), np.int32).tobytes()
-            if len(self.known) > CACHE_WORDS:
-                self.known, self.older = {}, self.known
-            self.known[text] = got
-        return got
+        return self.solved([text])[0]
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, and the count of each row."""
@@ -210,13 +278,13 @@ class Pieces:
         spaced = pc.replace_substring(texts, SPACE, " ")
         if self.crosses:
             code = spaced.dictionary_encode()
-            each = [self.word(SPACE + t.replace(" ", SPACE)) for t in code.dictionary.to_pylist()]
+            each = self.solved([SPACE + t.replace(" ", SPACE) for t in code.dictionary.to_pylist()])
             unit, ends = code.indices.to_numpy(zero_copy_only=False), np.arange(1, len(texts) + 1)
         else:
             split = pc.split_pattern(spaced, " ")
             code = split.flatten().dictionary_encode()
             named = code.dictionary.to_pylist()
-            each = [self.word(SPACE + w) for w in named]
+            each = self.solved([SPACE + w for w in named])
             word = code.indices.to_numpy(zero_copy_only=False)
             last = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)) - 1
             # Empty words are spaces more in front of the next word, or at the end of a text.
@@ -226,7 +294,7 @@ class Pieces:
             more = np.diff(at, prepend=-1) - 1
             unit, wide = word[at].astype(np.int64), np.flatnonzero(more)
             different, place = np.unique(more[wide] * max(1, len(named)) + unit[wide], return_inverse=True)
-            each += [self.word(SPACE * (1 + k // len(named)) + named[k % len(named)]) for k in different.tolist()]
+            each += self.solved([SPACE * (1 + k // len(named)) + named[k % len(named)] for k in different.tolist()])
             unit[wide] = len(named) + place
             ends = np.searchsorted(at, last) + 1
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
@@ -297,7 +365,7 @@ class Pieces:
         if first < start:
             return self._ids(whole, self._forward(whole, inside, start, former)[1], end, start)
         out = self._ids(whole[:first], self._forward(whole[:first], first, start, former)[1], first, start)
-        out += np.frombuffer(b"".join(map(self.word, _UNIT.findall(whole[first:final]))), np.int32).tolist()
+        out += np.frombuffer(b"".join(self.solved(_UNIT.findall(whole[first:final]))), np.int32).tolist()
         tail = whole[final:]
         return out + self._ids(tail, self._forward(tail, inside - final)[1], end - final, 0)
 
