@@ -177,9 +177,13 @@ def path_template(path: Column) -> Column:
 
 
 def path_steps(path: Column) -> Column:
-    """Names and indexes of a path in order; null if it is malformed."""
-    good = path.rlike(r"^[A-Za-z_][A-Za-z0-9_]*(\[[0-9]+\])*(\.[A-Za-z_][A-Za-z0-9_]*(\[[0-9]+\])*)*$")
-    return F.when(good, F.regexp_extract_all(path, F.lit(r"([A-Za-z_][A-Za-z0-9_]*|[0-9]+)"), F.lit(1)))
+    """Names and indexes of a path in order; null if it is malformed.
+
+    A name is anything but points and opening brackets; indexes follow it.
+    """
+    part = r"[^.\[]+(?:\[[0-9]+\])*"
+    steps = F.transform(F.split(path, r"\."), lambda c: F.concat(F.array(F.regexp_extract(c, r"(?s)^([^\[]+)", 1)), F.regexp_extract_all(c, F.lit(r"\[([0-9]+)\]"), F.lit(1))))
+    return F.when(path.rlike(rf"\A{part}(?:\.{part})*\z"), F.flatten(steps))
 
 
 def coerce_bool(text: Column) -> Column:
@@ -192,7 +196,8 @@ def coerce_bool(text: Column) -> Column:
 def coerce_number(text: Column) -> Column:
     """struct(value, error): $ and , ignored, blank is null."""
     t = F.trim(F.translate(text, "$,", ""))
-    value = t.try_cast("double")
+    # Java reads a letter behind a number as its type.
+    value = F.when(~t.rlike("[0-9.][dDfF]$"), t.try_cast("double"))
     return F.struct(value.alias("value"), (value.isNull() & (t != "")).alias("error"))
 
 
@@ -247,7 +252,7 @@ def sanitize_filename(name: Column) -> Column:
 
 
 def valid_id(text: Column) -> Column:
-    return text.rlike("^[A-Za-z0-9_-]+$")
+    return text.rlike(r"^[A-Za-z0-9_-]+\z")
 
 
 # Currency codes that quotes and tokens disagree about, and punctuation that

@@ -103,7 +103,7 @@ def rejection(name: Column, kind: Column, event_name: Column, payee_id: Column)
 
 
 def is_user_id(text: Column) -> Column:
-    return text.rlike("^[A-Za-z0-9_-]{2,16}$")
+    return text.rlike(r"^[A-Za-z0-9_-]{2,16}\z")
 
 
 def signed_in(header: Column) -> Column:

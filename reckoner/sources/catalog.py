@@ -271,3 +271,155 @@ def load_mileage_rates(spark: SparkSession, path: str) -> DataFrame:
 def conditional_rules(spark: SparkSession) -> DataFrame:
     """(target, field, JSON list of its values) of the rules that hold under a condition."""
     return spark.createDataFrame([(t, condition(c)[0], json.dumps(condition(c)[1])) for t, c in REQUIRED_WHEN], "target string, on_field string, allowed string")
+
+# The type of each field of a report, by its path below the report.
+FIELD_TYPES = {
+    "general_information.category": "enum",
+    "general_information.payee.name": "string",
+    "general_information.payee.payee_id": "string",
+    "general_information.payee.affiliation": "enum",
+    "general_information.rush_processing": "enum",
+    "general_information.payment_method": "string",
+    "general_information.business_purpose.who": "string",
+    "general_information.business_purpose.what": "string",
+    "general_information.business_purpose.when": "string",
+    "general_information.business_purpose.where": "string",
+    "general_information.business_purpose.why": "string",
+    "general_information.event_name": "string",
+    "general_information.student_certification.supports_faculty_research": "boolean",
+    "general_information.student_certification.presenting_at_conference": "boolean",
+    "general_information.student_certification.integral_to_degree_work": "boolean",
+    "general_information.student_certification.related_to_employment": "boolean",
+    "general_information.student_certification.other": "boolean",
+    "general_information.student_certification.other_explanation": "string",
+    "general_information.authorized_by": "string",
+    "transaction_summary.transaction_number": "string",
+    "transaction_summary.transaction_date": "date",
+    "transaction_summary.status": "enum",
+    "transaction_summary.total_usd": "number",
+    "transaction_lines[].common.date": "date",
+    "transaction_lines[].common.line_amount_usd": "number",
+    "transaction_lines[].common.original_currency": "string",
+    "transaction_lines[].common.original_amount": "number",
+    "transaction_lines[].common.exchange_rate": "number",
+    "transaction_lines[].common.expense_type": "enum",
+    "transaction_lines[].common.remarks": "string",
+    "transaction_lines[].common.country_of_activity": "string",
+    "transaction_lines[].common.foreign_activity_type": "enum",
+    "transaction_lines[].common.source_document.filename": "string",
+    "transaction_lines[].common.source_document.document_type": "enum",
+    "transaction_lines[].airfare_details.travelers_name": "string",
+    "transaction_lines[].airfare_details.ticket_number": "string",
+    "transaction_lines[].airfare_details.ticket_amount": "number",
+    "transaction_lines[].airfare_details.booking_method": "enum",
+    "transaction_lines[].airfare_details.airline": "string",
+    "transaction_lines[].airfare_details.class_of_ticket": "enum",
+    "transaction_lines[].airfare_details.departure_airport": "string",
+    "transaction_lines[].airfare_details.destination_airport": "string",
+    "transaction_lines[].airfare_details.round_trip": "boolean",
+    "transaction_lines[].lodging_details.hotel_name": "string",
+    "transaction_lines[].lodging_details.location": "string",
+    "transaction_lines[].lodging_details.check_in_date": "date",
+    "transaction_lines[].lodging_details.check_out_date": "date",
+    "transaction_lines[].lodging_details.number_of_nights": "number",
+    "transaction_lines[].lodging_details.daily_rate": "number",
+    "transaction_lines[].lodging_details.booking_method": "enum",
+    "transaction_lines[].lodging_details.is_shared_lodging": "boolean",
+    "transaction_lines[].lodging_details.shared_with_transaction_number": "string",
+    "transaction_lines[].lodging_details.personal_nights_excluded": "number",
+    "transaction_lines[].ground_transport_details.origin": "string",
+    "transaction_lines[].ground_transport_details.destination": "string",
+    "transaction_lines[].ground_transport_details.service_provider": "string",
+    "transaction_lines[].ground_transport_details.missing_receipt": "boolean",
+    "transaction_lines[].ground_transport_details.tip_amount": "number",
+    "transaction_lines[].ground_transport_details.pre_tax_amount": "number",
+    "transaction_lines[].ground_transport_details.tax_amount": "number",
+    "transaction_lines[].conference_registration_details.conference_name": "string",
+    "transaction_lines[].conference_registration_details.order_number": "string",
+    "transaction_lines[].conference_registration_details.ticket_type": "string",
+    "transaction_lines[].conference_registration_details.attendee_name": "string",
+    "transaction_lines[].conference_registration_details.registration_system": "enum",
+    "transaction_lines[].conference_registration_details.conference_start_date": "date",
+    "transaction_lines[].conference_registration_details.conference_end_date": "date",
+    "transaction_lines[].conference_registration_details.meals_included.schedule[].date": "date",
+    "transaction_lines[].conference_registration_details.meals_included.schedule[].breakfast": "boolean",
+    "transaction_lines[].conference_registration_details.meals_included.schedule[].lunch": "boolean",
+    "transaction_lines[].conference_registration_details.meals_included.schedule[].dinner": "boolean",
+    "transaction_lines[].ancillary_details.fee_category": "enum",
+    "transaction_lines[].ancillary_details.airline": "string",
+    "transaction_lines[].ancillary_details.description": "string",
+    "transaction_lines[].meal_details.venue_name": "string",
+    "transaction_lines[].meal_details.attendees[].name": "string",
+    "transaction_lines[].meal_details.attendees[].affiliation": "string",
+    "transaction_lines[].meal_details.meal_purpose": "string",
+    "transaction_lines[].meal_details.alcohol_amount": "number",
+    "transaction_lines[].meal_details.tip_amount": "number",
+    "transaction_lines[].meal_details.has_alcohol_on_receipt": "boolean",
+    "transaction_lines[].meal_details.pre_tax_amount": "number",
+    "transaction_lines[].meal_details.tax_amount": "number",
+    "transaction_lines[].car_rental_details.rental_company": "string",
+    "transaction_lines[].car_rental_details.pickup_location": "string",
+    "transaction_lines[].car_rental_details.return_location": "string",
+    "transaction_lines[].car_rental_details.rental_start_date": "date",
+    "transaction_lines[].car_rental_details.rental_end_date": "date",
+    "transaction_lines[].car_rental_details.vehicle_class": "string",
+    "transaction_lines[].car_rental_details.insurance_included": "boolean",
+    "transaction_lines[].car_rental_details.miles_driven": "number",
+    "transaction_lines[].mileage_details.distance_miles": "number",
+    "transaction_lines[].mileage_details.origin": "string",
+    "transaction_lines[].mileage_details.destination": "string",
+    "transaction_lines[].mileage_details.trip_date": "date",
+    "transaction_lines[].mileage_details.vehicle_class": "enum",
+    "transaction_lines[].gift_details.recipient_name": "string",
+    "transaction_lines[].gift_details.recipient_relationship": "string",
+    "transaction_lines[].gift_details.gift_purpose": "string",
+    "transaction_lines[].human_subject_details.irb_protocol_number": "string",
+    "transaction_lines[].human_subject_details.number_of_subjects": "number",
+    "transaction_lines[].human_subject_details.per_subject_amount": "number",
+    "per_diem_expenses[].expense_type": "enum",
+    "per_diem_expenses[].start_date": "date",
+    "per_diem_expenses[].end_date": "date",
+    "per_diem_expenses[].number_of_days": "number",
+    "per_diem_expenses[].location": "string",
+    "per_diem_expenses[].country_of_activity": "string",
+    "per_diem_expenses[].foreign_activity_type": "enum",
+    "per_diem_expenses[].per_diem_rate": "number",
+    "per_diem_expenses[].remarks": "string",
+    "per_diem_expenses[].meal_deductions[].date": "date",
+    "per_diem_expenses[].meal_deductions[].breakfast_provided": "boolean",
+    "per_diem_expenses[].meal_deductions[].lunch_provided": "boolean",
+    "per_diem_expenses[].meal_deductions[].dinner_provided": "boolean",
+    "per_diem_expenses[].meal_deductions[].deduction_amount": "number",
+    "per_diem_expenses[].reimbursement_summary[].date": "date",
+    "per_diem_expenses[].reimbursement_summary[].per_diem_amount": "number",
+    "per_diem_expenses[].reimbursement_summary[].meal_deduction": "number",
+    "per_diem_expenses[].reimbursement_summary[].net_amount": "number",
+    "allocation_and_approvers.other_beneficiaries": "boolean",
+    "allocation_and_approvers.beneficiary_list[].name": "string",
+    "allocation_and_approvers.beneficiary_list[].relationship": "string",
+}
+# What a field may hold. {} stands for the institution's name.
+ALLOWED_VALUES = {
+    "general_information.category": ["expenses_domestic", "expenses_foreign", "athletic_use_only", "hr_use_only", "human_subjects", "relocation"],
+    "general_information.payee.affiliation": ["{}_student", "{}_postdoc", "{}_faculty", "{}_staff", "other"],
+    "general_information.rush_processing": ["yes", "no"],
+    "transaction_summary.status": ["draft", "submitted", "approved", "returned", "paid"],
+    "transaction_lines[].common.expense_type": ["adjusted_per_diem", "airfare_domestic", "airfare_foreign", "ancillary_airline_fee", "business_meal", "car_rental", "conference_registration", "gift_card_employee_foreign", "gifts_foreign_activity", "ground_transportation_foreign", "ground_transportation_domestic", "group_travel_meal", "human_subject_incentive", "lodging_domestic", "lodging_foreign", "membership_dues", "other_business_expense", "personal_mileage"],
+    "transaction_lines[].common.foreign_activity_type": ["conference", "research_collaboration", "fieldwork", "other"],
+    "transaction_lines[].common.source_document.document_type": ["receipt", "booking_confirmation", "price_comparison", "currency_conversion", "conference_program", "missing_receipt_form", "other"],
+    "transaction_lines[].airfare_details.booking_method": ["{}_travel_egencia", "{}_travel_key_travel", "{}_travel_connect_ua", "{}_travel_connect_dl", "{}_travel_connect_aa", "{}_travel_connect_as", "{}_travel_connect_ha", "other"],
+    "transaction_lines[].airfare_details.class_of_ticket": ["coach", "premium_economy", "business", "first"],
+    "transaction_lines[].lodging_details.booking_method": ["conference_hotel", "{}_travel_egencia", "{}_travel_key_travel", "other"],
+    "transaction_lines[].conference_registration_details.registration_system": ["whova", "cvent", "acm_regonline", "eventbrite", "usenix", "other"],
+    "transaction_lines[].ancillary_details.fee_category": ["wifi", "baggage", "seat", "priority_boarding", "other"],
+    "transaction_lines[].mileage_details.vehicle_class": ["personal_car", "motorcycle"],
+    "per_diem_expenses[].expense_type": ["alaska_hawaii_lodging", "alaska_hawaii_meals", "continental_us_lodging", "continental_us_meals", "international_lodging", "international_meals"],
+    "per_diem_expenses[].foreign_activity_type": ["conference", "research_collaboration", "fieldwork", "other"],
+}
+
+
+def field_types(spark: SparkSession, institution: str = "institution") -> DataFrame:
+    """template, type and allowed (null: anything) of every field of a report."""
+    allowed = {p: [v.replace("{}", institution) for v in vs] for p, vs in ALLOWED_VALUES.items()}
+    rows = [(f"expense_report.{p}", kind, allowed.get(p)) for p, kind in FIELD_TYPES.items()]
+    return spark.createDataFrame(rows, "template string, type string, allowed array<string>")
