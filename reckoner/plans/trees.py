@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reckoner.operators import replay, tree
+from reckoner.operators import export, replay, tree
 from reckoner.plans import oracle as O
-from reckoner.sources import catalog
+from reckoner.sources import catalog, portal, shared
 from reckoner.sources import views as V
 
 QUERIES, ORACLE = {}, {}
@@ -256,3 +256,34 @@ def fields_by_path(spark: SparkSession, d: str) -> DataFrame:
     wanted = paths.unionByName(paths.select("report_id", F.regexp_extract("path", r"^(.*)\.[^.]*$", 1).alias("path")))
     asked = wanted.select("report_id").distinct()
     return tree.get_at(_read_back(spark, d).join(asked, "report_id", "left_semi"), wanted, key="report_id")
+
+
+def _through_files(spark: SparkSession, d: str, rows: DataFrame, page: str, header: list[str], order: str) -> DataFrame:
+    """``rows`` written as the files of a page and read back; ``order`` counts from 1 in a file."""
+    path = shared.fresh_path(spark, f"portal-{page}")
+    portal.write_files(rows, V.reports(spark, d).select("report_id"), path, page, header, order)
+    fields = [c for c in rows.columns if c != "report_id"]
+    fields = fields if len(fields) == len(header) else [c for c in fields if c != order]
+    return portal.read_files(spark, path, page, fields).withColumn("report_id", F.col("report").cast("long")).drop("report")
+
+
+@query("S20", O.ORACLE["X01"])
+def domestic_files(spark: SparkSession, d: str) -> DataFrame:
+    """The domestic page of every report through its own file."""
+    rows = export.domestic_rows(V.lines(spark, d, country=False), V.reports(spark, d))
+    back = _through_files(spark, d, rows, "domestic", portal.DOMESTIC_HEADER, "line")
+    return back.select("report_id", F.col("line").cast("long").alias("line"), *rows.columns[2:])
+
+
+@query("S21", f"SELECT * EXCLUDE (line) FROM ({O.ORACLE['X02']})")
+def foreign_files(spark: SparkSession, d: str) -> DataFrame:
+    """The foreign page of every report through its own file; it has no line numbers."""
+    rows = export.foreign_rows(V.lines(spark, d), V.reports(spark, d))
+    return _through_files(spark, d, rows, "foreign", export.FOREIGN_HEADER, "line").select("report_id", *rows.columns[2:])
+
+
+@query("S22", f"SELECT * EXCLUDE (line_idx) FROM ({O.ORACLE['X03']})")
+def combined_files(spark: SparkSession, d: str) -> DataFrame:
+    """All lines of every report through its own file, without numbers."""
+    rows = export.combined_rows(V.lines(spark, d, country=False))
+    return _through_files(spark, d, rows, "combined", portal.COMBINED_HEADER, "line_idx").select("report_id", *rows.columns[2:])
