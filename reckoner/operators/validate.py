@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reckoner.functions import scalars as S
@@ -45,7 +45,7 @@ def _report_fields(pass_no: int, section: str, columns: list[str]) -> list[Colum
     for field in catalog.REQUIRED_FIELDS[section]:
         column = REPORT_COLUMNS.get(field, field)
         if column in columns:
-            found.append(F.when(F.col(f"r.{column}").isNull(), _missing(pass_no, F.lit(f"expense_report.{section}.{field}"), False)))
+            found.append(F.when(F.col(column).isNull(), _missing(pass_no, F.lit(f"expense_report.{section}.{field}"), False)))
     return found
 
 
@@ -99,7 +99,7 @@ def _mileage(institution: str) -> Column:
 
 
 def _window() -> Column:
-    w, date = S.when_window(F.col("r.when_text")), F.col("date_text")
+    w, date = S.when_window(F.col("_when")), F.col("date_text")
     where = F.when(date < w["start"], F.concat(F.lit("before trip start "), w["start"])).when(date > w["end"], F.concat(F.lit("after trip end "), w["end"]))
     message = F.concat(F.lit("Transaction date "), date, F.lit(" is "), where, F.lit(". Was this purchased ahead of the trip, or is the wrong receipt attached?"))
     return F.when((F.length(date) == 10) & date.contains("-") & where.isNotNull(), _review(6, _line_path("common.date"), message))
@@ -110,11 +110,15 @@ def all_issues(reports: DataFrame, lines: DataFrame, parity: bool = True, instit
 
     1 and 2: required report fields; 3: required line fields; 4: fields required under a
     condition; 5: category against countries and currencies; 6: dates outside the trip;
-    7: tips; 8: miles of rented cars. Lines are read once: they meet their report, each
-    row gives an array of issues, and those of the report go with its first line, or
-    with the row that a report without lines has. Lines of unknown reports are left out.
-    Rules on fields without a column aren't applied. With ``parity`` pass 3 reports
-    nothing: the catalogue's keys name no line, so these checks never fire there.
+    7: tips; 8: miles of rented cars. Rules on a report are applied to the reports alone, each
+    once, whatever lines it has and however they are numbered. Rules on lines meet the two
+    columns of the report that they need; a line of an unknown report has no issues.
+    Whether a report has a line abroad is summed up beside them. Rules on fields without a
+    column aren't applied. With ``parity`` pass 3 reports nothing: the catalogue's keys name no
+    line, so these checks never fire there.
+
+    Defined results: repeated lines each have their issues; lines with a null line_idx have
+    none; a repeated report has its issues once for each of its rows.
     """
     columns, known = lines.columns, reports.columns
     of_line, of_report = [], []
@@ -126,29 +130,29 @@ def all_issues(reports: DataFrame, lines: DataFrame, parity: bool = True, instit
         of_line += _line_fields(columns, parity)
     if 4 in passes:
         of_line += _conditional(columns)
-    away = None
-    if 5 in passes and {"country", "original_currency"} <= set(columns):
+    judged = reports
+    if 5 in passes and {"country", "original_currency"} <= set(columns) and "category" in known:
         away = F.coalesce(~is_home(F.col("country")), F.lit(False)) | (is_foreign_currency(F.col("original_currency")) & (F.col("original_currency") != ""))
         message = F.concat(F.lit("Report is domestic but the line is in "), F.col("country"))
-        of_line.append(F.when((F.col("r.category") == "expenses_domestic") & ~is_home(F.col("country")), _review(5, _line_path("common.country_of_activity"), message)))
-        foreign = (F.col("r.category") == "expenses_foreign") & ~F.coalesce("_away", F.lit(False))
+        of_line.append(F.when((F.col("_category") == "expenses_domestic") & ~is_home(F.col("country")), _review(5, _line_path("common.country_of_activity"), message)))
+        abroad = lines.where(away).select("report_id", F.lit(True).alias("_away")).distinct()
+        judged = reports.join(abroad, "report_id", "left")
+        foreign = (F.col("category") == "expenses_foreign") & F.col("_away").isNull()
         of_report.append(F.when(foreign, _review(5, F.lit("expense_report.general_information.category"), F.lit("Report is foreign but no line has a foreign country or currency"), False)))
-    if 6 in passes:
+    if 6 in passes and "when_text" in known:
         of_line.append(_window())
     if 7 in passes and {"tip", "pre_tax", "tax"} <= set(columns):
         of_line.append(_tip(institution))
     if 8 in passes and {"miles_driven", "rental_start_date", "rental_end_date"} <= set(columns):
         of_line.append(_mileage(institution))
-    # By name, so that neither side's columns hide the other's.
-    held = F.struct(*[F.col(c) for c in known]).alias("r")
-    met = reports.select("report_id", held).join(lines, "report_id", "left" if of_report else "inner")
-    if away is not None:
-        met = met.withColumn("_away", F.bool_or(away).over(Window.partitionBy("report_id")))
     none = F.lit(None).cast("struct<pass_no:int,line_idx:bigint,severity:string,kind:string,path:string,message:string>")
-    lined = F.array(none, *of_line)
-    first = F.when(F.coalesce(F.col("line_idx"), F.lit(0)) == 0, F.array(none, *of_report)).otherwise(F.array(none))
-    both = F.concat(F.when(F.col("line_idx").isNotNull(), lined).otherwise(F.array(none)), first)
-    return met.select("report_id", F.inline(F.array_compact(both))).select(*COLUMNS)
+    found = lambda df, issues: df.select("report_id", F.inline(F.array_compact(F.array(none, *issues)))).select(*COLUMNS)
+    # By names of their own, so that neither side's columns hide the other's.
+    given = {"_category": "category", "_when": "when_text"}
+    about = reports.select("report_id", *[F.col(c).alias(n) for n, c in given.items() if c in known])
+    met = lines.where("line_idx is not null").join(about, "report_id")
+    parts = [found(judged, of_report)] * bool(of_report) + [found(met, of_line)] * bool(of_line)
+    return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else found(reports, [])
 
 
 def required_report_fields(reports: DataFrame, lines: DataFrame) -> DataFrame:
