@@ -1,11 +1,12 @@
-"""Registered queries over reports as trees of leaves: edits one by one, look-ups, nested files."""
+"""Registered queries over reports as trees of leaves, their files, and quotes by place."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reckoner.operators import export, replay, tree
+from reckoner.functions import scalars as S
+from reckoner.operators import export, grounding, replay, tree
 from reckoner.plans import oracle as O
 from reckoner.sources import catalog, portal, shared
 from reckoner.sources import views as V
@@ -287,3 +288,46 @@ def combined_files(spark: SparkSession, d: str) -> DataFrame:
     """All lines of every report through its own file, without numbers."""
     rows = export.combined_rows(V.lines(spark, d, country=False))
     return _through_files(spark, d, rows, "combined", portal.COMBINED_HEADER, "line_idx").select("report_id", *rows.columns[2:])
+
+
+_n_places = lambda t, k: f"len([x FOR x IN range(1, length({t}) - length({k}) + 2) IF substr({t}, x, length({k})) = {k}])"
+
+
+@query("J19_index", f"WITH b AS (SELECT item_id, {O._norm('text')} AS q FROM benchmark UNION ALL SELECT 1000000 + item_id, substr({O._norm('text')}, 3, 6 + item_id % 9) FROM benchmark), k AS (SELECT item_id, trim(q) AS q FROM b WHERE trim(q) <> ''), d AS (SELECT doc_id, {O._norm('text')} AS t FROM documents) SELECT item_id AS evidence_id, doc_id, {_n_places('t', 'q')} AS n_found FROM k JOIN d ON contains(t, q)")
+def quotes_by_index(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark passages, and short pieces of them that begin and end inside words, in all documents."""
+    b = V.read(spark, d, "benchmark").select("item_id", S.quote_norm(F.col("text")).alias("q"))
+    piece = F.substring("q", F.lit(3), (F.col("item_id") % 9 + 6).cast("int"))
+    quotes = b.select(F.col("item_id").alias("evidence_id"), F.col("q").alias("quote")).unionByName(b.select((F.col("item_id") + 1000000).alias("evidence_id"), piece.alias("quote")))
+    return grounding.search_by_index(quotes, V.read(spark, d, "documents").select("doc_id", "text"))
+
+
+_g01 = f"""t AS (SELECT doc_id, {O._norm('text')} AS page, list_filter(string_split({O._norm('text')}, ' '), lambda x: x <> '') AS w FROM documents),
+u AS (SELECT *, w[1 + len(w) // 2] AS middle FROM t WHERE len(w) >= 10),
+e AS (SELECT doc_id, page, 0 AS turn, array_to_string(w[1:5], ' ') AS quote FROM u UNION ALL SELECT doc_id, page, 1, array_to_string(w[6:10], ' ') FROM u
+ UNION ALL SELECT doc_id, page, 2, array_to_string(w[1:3], ' ') || ' qqqq zzzz' FROM u UNION ALL SELECT doc_id, page, 3, 'qq ' || middle || ' zz' FROM u UNION ALL SELECT doc_id, page, 4, 'qqqqq zzzzz qqqqq zzzzz' FROM u),
+k AS (SELECT *, string_split(quote, ' ') AS ws FROM e),
+keys AS (SELECT *, CASE WHEN len(ws) > 3 THEN array_to_string(ws[1:3], ' ') END AS k1, list_filter(ws, lambda x: length(x) >= 4) AS long FROM k),
+keyed AS (SELECT *, list_filter(long, lambda x: length(x) = list_max(list_transform(long, lambda y: length(y))))[1] AS k2 FROM keys),
+best AS (SELECT *, CASE WHEN contains(page, quote) THEN 0 WHEN contains(page, k1) THEN 1 WHEN contains(page, k2) THEN 2 END AS level FROM keyed)"""
+
+
+@query(
+    "G01_levels",
+    f"WITH {_g01} SELECT doc_id, turn, CASE WHEN turn = 0 THEN 'tokens' WHEN level IS NOT NULL THEN 'search' END AS how, CASE WHEN turn > 0 THEN level END AS level, CASE WHEN turn = 0 THEN 1 WHEN level IS NULL THEN 0 ELSE {_n_places('page', 'CASE level WHEN 0 THEN quote WHEN 1 THEN k1 ELSE k2 END')} END AS n_boxes FROM best",
+)
+def grounded_by_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence on whole texts: by token ids, by the quote, by its first words, by its longest word, and none."""
+    docs = V.read(spark, d, "documents").select("doc_id", S.quote_norm(F.col("text")).alias("page")).withColumn("w", F.filter(F.split("page", " "), lambda x: x != "")).where("size(w) >= 10")
+    words = docs.select("doc_id", F.lit(1).alias("page"), F.posexplode("w").alias("pos", "text"))
+    at = F.col("pos").cast("double")
+    tokens = grounding.number_tokens(words.withColumn("box", F.array(at, F.lit(0.0), at + 1, F.lit(1.0))))
+    said = lambda a, n: F.array_join(F.slice("w", a, n), " ")
+    middle = F.get("w", F.floor(F.size("w") / 2).cast("int"))
+    ids = F.array(*[F.lit(k).cast("long") for k in range(1, 6)])
+    none = F.array().cast("array<bigint>")
+    quotes = (said(1, 5), said(6, 5), F.concat(said(1, 3), F.lit(" qqqq zzzz")), F.concat(F.lit("qq "), middle, F.lit(" zz")), F.lit("qqqqq zzzzz qqqqq zzzzz"))
+    each = F.array(*[F.struct(F.lit(k).alias("turn"), q.alias("quote"), (none if k else ids).alias("token_ids")) for k, q in enumerate(quotes)])
+    evidence = docs.select("doc_id", F.inline(each)).withColumns({"evidence_id": F.concat("doc_id", F.lit("/"), "turn"), "page": F.lit(1)})
+    found = grounding.ground(evidence.select("evidence_id", "doc_id", "page", "quote", "token_ids"), tokens)
+    return found.select("doc_id", F.split_part("evidence_id", F.lit("/"), F.lit(2)).cast("int").alias("turn"), "how", "level", F.size("boxes").alias("n_boxes"))
