@@ -6,10 +6,13 @@ common run of unmarked words is marked, again and again, until none of
 ``seed_words`` is left. Tiles may lie in any order, so shuffled passages count.
 The share of the item's words under tiles is its coverage.
 
-Of the shared seeds only those are kept that no longer match begins before, and the
-length of their match is found by halving, with running hashes of the words; so a word
-or a phrase repeated all over both texts makes few matches. A tile counts only if its
-words are equal, byte by byte.
+A pair is tiled by lengths, the longest first, with running hashes of the words. Whether
+any run of a length is left in common is told by the hashes of all unmarked runs of that
+length, so the longest is found by halving. Then, from the beginning of the document on,
+each unmarked run of that length is marked with the first unmarked one of the item that has
+its hash. So no list of all matches is made, and a refrain that both texts repeat takes
+time for its places in either, not for their pairs. A tile counts only if its words are
+equal, byte by byte.
 
 Defined results: a null or wordless text is clean with coverage 0 and no item; a
 null or wordless item matches nothing; an item shorter than a seed matches only as
@@ -26,7 +29,6 @@ and its block given up, so neither driver nor executors ever hold more than one.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import defaultdict
 from collections.abc import Callable
@@ -42,38 +44,11 @@ from reckoner.llm.common import settled, with_results, without
 SEED_WORDS = 4
 COVERAGE = 0.6
 BLOCK_BYTES = 16 << 20
-#: Pairs of shared seeds that are looked at together.
+#: Pairs of a document's seeds and items that are looked at together.
 PART = 1 << 20
 _SIEVE_BITS = 22
 
 
-def tiles(matches: list[tuple[int, int, int]], size: int, equal: Callable[[int, int, int], bool] = lambda i, j, n: True) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place, item place, length) from the longest matches of one pair.
-
-    The longest is marked first (ties: the earliest). A match that marks cut is split
-    into its unmarked runs, and those wait their turn again. ``equal`` tells whether the
-    words of a match are the same.
-    """
-    heap = [(-n, i, j) for i, j, n in matches]
-    heapq.heapify(heap)
-    here = np.zeros(max((i + n for i, _, n in matches), default=0), bool)
-    there = np.zeros(max((j + n for _, j, n in matches), default=0), bool)
-    found = []
-    while heap:
-        length, i, j = heapq.heappop(heap)
-        taken = here[i : i - length] | there[j : j - length]
-        if not taken.any():
-            if equal(i, j, -length):
-                here[i : i - length] = there[j : j - length] = True
-                found.append((i, j, -length))
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).view(np.int8)))
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if b - a >= size:
-                heapq.heappush(heap, (a - b, i + a, j + a))
-    return found
-
-
 def _running(hashed: np.ndarray) -> np.ndarray:
     """Running Karp-Rabin sums: those of a run of words come from their difference."""
     total = np.zeros(len(hashed) + 1, np.uint64)
@@ -93,41 +68,112 @@ class Block:
         self.words, hashed, self.size = w, w.hashes(), w.counts()
         self.running, self.down = _running(hashed), words._power("down", len(hashed) + 1).copy()
         self.flat, self.begin = words.shingles(hashed, w.first, seed_words)
-        # An item shorter than a seed is one seed of its own length.
-        by = np.argsort(self.flat, kind="stable")
-        self.grams, self.at = self.flat[by], by
-        self.owner = np.repeat(np.arange(len(self.ids)), np.diff(self.begin))
+        # An item shorter than a seed is one seed of its own length. Each different seed of an item is listed once.
+        owner = np.repeat(np.arange(len(self.ids)), np.diff(self.begin))
+        by = np.lexsort((owner, self.flat))
+        grams, owner = self.flat[by], owner[by]
+        new = np.ones(len(by), bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+        self.grams, self.owner = grams[new], owner[new]
         self.sieve = np.zeros(1 << _SIEVE_BITS, bool)
         self.sieve[self.grams >> np.uint64(64 - _SIEVE_BITS)] = True
         self.short = sorted({int(n) for n in self.size if 0 < n < seed_words})
 
-    def starts(self, grams: np.ndarray, is_first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``grams``, place in the items' seeds) of shared seeds that no shared seed
-        comes before. ``is_first`` marks the first seed of each row of ``grams``."""
+    def seeds(self, item: int) -> np.ndarray:
+        return self.flat[self.begin[item] : self.begin[item + 1]]
+
+    def hits(self, grams: np.ndarray) -> np.ndarray:
+        """Places in ``grams`` of seeds that some item has."""
         maybe = np.flatnonzero(self.sieve[grams >> np.uint64(64 - _SIEVE_BITS)])
-        left, right = (np.searchsorted(self.grams, grams[maybe], side) for side in ("left", "right"))
-        # Pairs are made and sieved in parts, however often a seed is repeated.
+        at = np.minimum(np.searchsorted(self.grams, grams[maybe]), max(0, len(self.grams) - 1))
+        return maybe[self.grams[at] == grams[maybe]] if len(self.grams) else maybe[:0]
+
+    def pairs(self, rows: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """row * number of items + item, in order, of rows and items that share one of ``grams``."""
+        order = np.lexsort((grams, rows))
+        rows, grams = rows[order], grams[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (rows[1:] != rows[:-1]) | (grams[1:] != grams[:-1])
+        rows, grams = rows[new], grams[new]
+        left, right = (np.searchsorted(self.grams, grams, side) for side in ("left", "right"))
         ends = np.cumsum(right - left)
-        here, there = [], []
+        found = np.zeros(0, np.int64)
+        # In parts, however many items have a seed.
         for a in range(0, int(ends[-1]) if len(ends) else 0, PART):
             pair = np.arange(a, min(a + PART, int(ends[-1])))
             k = np.searchsorted(ends, pair, "right")
-            p, g = maybe[k], self.at[left[k] + pair - (ends[k] - (right - left)[k])]
-            begins = is_first[p] | (g == self.begin[self.owner[g]]) | (grams[p - 1] != self.flat[g - 1])
-            here.append(p[begins])
-            there.append(g[begins])
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *here]), np.concatenate([none, *there])
+            item = self.owner[left[k] + pair - (ends[k] - (right - left)[k])]
+            found = np.union1d(found, rows[k] * len(self.ids) + item)
+        return found
+
+
+class Side:
+    """One text of a pair: where shared seeds stand in it, its words' running hashes, and its marks."""
 
+    def __init__(self, at: np.ndarray, n_words: int, running: np.ndarray, down: np.ndarray):
+        self.at, self.running, self.down = at, running, down
+        self.marked = np.zeros(n_words, bool)
 
-def _lengths(block: Block, running: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray, least: int, most: np.ndarray) -> np.ndarray:
-    """Words of the longest match from word ``a`` of the texts and ``b`` of the items on."""
-    low, high = np.minimum(least, most), most
-    while (low < high).any():
-        mid = (low + high + 1) // 2
-        same = (running[a + mid] - running[a]) * down[a] == (block.running[b + mid] - block.running[b]) * block.down[b]
-        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-    return low
+    def longest(self, seed: int) -> int:
+        """The words of its longest row of shared seeds."""
+        breaks = np.flatnonzero(np.diff(self.at) != 1)
+        return int(np.diff(np.concatenate([[-1], breaks, [len(self.at) - 1]])).max()) + seed - 1
+
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, hash) of the unmarked runs of ``n`` words that begin with a shared seed."""
+        at = self.at[self.at + n <= len(self.marked)]
+        before = np.concatenate([[0], np.cumsum(self.marked)])
+        at = at[before[at + n] == before[at]]
+        return at, (self.running[at + n] - self.running[at]) * self.down[at]
+
+    def mark(self, at: int, n: int) -> None:
+        self.marked[at : at + n] = True
+
+    def cut(self, at: int, n: int) -> bool:
+        """Whether a run that was free before runs of ``n`` words were marked is so no more."""
+        return bool(self.marked[at] or self.marked[at + n - 1])
+
+
+def tiles(a: Side, b: Side, seed: int, equal: Callable[[int, int, int], bool] = lambda i, j, n: True) -> list[tuple[int, int, int]]:
+    """Greedy tiles (place, item place, length) of a pair, of ``seed`` words at least.
+
+    The longest common run of unmarked words is marked first (ties: the earliest in ``a``,
+    then in ``b``). ``equal`` tells whether the words of a tile are the same.
+    """
+    found = []
+    high = min(a.longest(seed), b.longest(seed))
+    while high >= seed:
+        low, runs = seed - 1, None
+        while low < high:
+            mid = (low + high + 1) // 2
+            (i, hi), (j, hj) = a.runs(mid), b.runs(mid)
+            if np.isin(hi, hj).any():
+                low, runs = mid, (i, hi, j, hj)
+            else:
+                high = mid - 1
+        if runs is None:
+            break
+        i, hi, j, hj = runs
+        places: dict[int, list[int]] = defaultdict(list)
+        for h, y in zip(hj.tolist(), j.tolist(), strict=True):
+            places[h].append(y)
+        first = dict.fromkeys(places, 0)
+        some = np.isin(hi, hj)
+        for x, h in zip(i[some].tolist(), hi[some].tolist(), strict=True):
+            if a.cut(x, low):
+                continue
+            have, k = places[h], first[h]
+            while k < len(have) and b.cut(have[k], low):
+                k += 1
+            first[h] = k
+            # Equal hashes of different words: another place may have the words.
+            y = next((y for y in have[k:] if not b.cut(y, low) and equal(x, y, low)), None)
+            if y is not None:
+                a.mark(x, low)
+                b.mark(y, low)
+                found.append((x, y, low))
+        high = low - 1
+    return found
 
 
 def _equal(w: words.Words, a: int, v: words.Words, b: int, n: int) -> bool:
@@ -143,30 +189,26 @@ def _judge(block: Block, seed_words: int):
         for a, _, w in words.batches_of_words(column):
             hashed, n_words = w.hashes(), w.counts()
             running, down = _running(hashed), words._power("down", len(hashed) + 1)
-            shared: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-            least: dict[tuple[int, int], int] = {}
             for size in [seed_words, *block.short]:
                 # Rows with fewer words than ``size`` have one shingle, of another length.
                 grams, begin = words.shingles(hashed, w.first, size)
                 row_of = np.repeat(np.arange(len(n_words)), np.diff(begin))
-                is_first = np.zeros(len(grams), bool)
-                is_first[begin[:-1][np.diff(begin) > 0]] = True
-                p, g = block.starts(grams, is_first)
-                row, k = row_of[p], block.owner[g]
-                fit = (np.minimum(block.size[k], seed_words) == size) & (n_words[row] >= size)
-                p, g, row, k = p[fit], g[fit], row[fit], k[fit]
-                i, j = p - begin[row], g - block.begin[k]
-                most = np.minimum(n_words[row] - i, block.size[k] - j)
-                long = _lengths(block, running, down, w.first[row] + i, block.words.first[k] + j, size, most)
-                for r, which, x, y, z in zip(row.tolist(), k.tolist(), i.tolist(), j.tolist(), long.tolist(), strict=True):
-                    shared[r, which].append((x, y, z))
-                    least[r, which] = size
-            for (r, which), matches in sorted(shared.items()):
-                here, there = int(w.first[r]), int(block.words.first[which])
-                marked = tiles(matches, least[r, which], lambda i, j, n: _equal(w, here + i, block.words, there + j, n))  # noqa: B023
-                cover = sum(t[2] for t in marked) / int(block.size[which])
-                if cover > best[a + r]:
-                    best[a + r], item[a + r], count[a + r] = cover, block.ids[which], len(marked)
+                p = block.hits(grams)
+                p = p[n_words[row_of[p]] >= size]
+                at = np.searchsorted(row_of[p], np.arange(len(n_words) + 1))
+                for code in block.pairs(row_of[p], grams[p]).tolist():
+                    r, which = divmod(code, len(block.ids))
+                    if min(int(block.size[which]), seed_words) != size:
+                        continue
+                    mine, theirs = p[at[r] : at[r + 1]], block.seeds(which)
+                    mine = mine[np.isin(grams[mine], theirs)]
+                    here, there = int(w.first[r]), int(block.words.first[which])
+                    x = Side(mine - begin[r], int(n_words[r]), running[here:], down[here:])
+                    y = Side(np.flatnonzero(np.isin(theirs, grams[mine])), int(block.size[which]), block.running[there:], block.down[there:])
+                    marked = tiles(x, y, size, lambda i, j, n: _equal(w, here + i, block.words, there + j, n))  # noqa: B023
+                    cover = sum(t[2] for t in marked) / int(block.size[which])
+                    if cover > best[a + r] or cover == best[a + r] > 0 and block.ids[which] < item[a + r]:
+                        best[a + r], item[a + r], count[a + r] = cover, block.ids[which], len(marked)
         return best, item, count
 
     return compute

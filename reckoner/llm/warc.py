@@ -160,6 +160,14 @@ def records(source: pa.NativeFile, start: int, end: int, wanted, payload: bool,
             yield found
 
 
+def _length(fields: dict[str, str], at: int) -> int:
+    """The length that a header states (0 without one)."""
+    text = fields.get("content-length", "0")
+    if not (text.isascii() and text.isdigit()):
+        raise Damaged(f"a length of {text!r} at byte {at}")
+    return int(text)
+
+
 def _plain(source: pa.NativeFile, at: int, raw: bytes, wanted, payload: bool) -> tuple[Record | None, int]:
     while b"\r\n\r\n" not in raw:
         more = source.read(1 << 16)
@@ -168,7 +176,7 @@ def _plain(source: pa.NativeFile, at: int, raw: bytes, wanted, payload: bool) ->
         raw += more
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = header(head)
-    n = int(fields.get("content-length", 0))
+    n = _length(fields, at)
     if not wanted(fields):
         return None, len(head) + 4 + n + 4
     if payload:
@@ -200,7 +208,7 @@ def _member(source: pa.NativeFile, at: int, raw: bytes, wanted, payload: bool, f
                     raise Damaged(f"a record without end at byte {at}")
                 parts.append(inflate.decompress(more))
             size = size or source.tell() - len(inflate.unused_data) - at
-            rest = b"".join(parts)[: int(fields.get("content-length", 0))]
+            rest = b"".join(parts)[: _length(fields, at)]
     except zlib.error as error:
         raise Damaged(f"{error} at byte {at}") from error
     return (Record(fields, rest if payload else None) if take else None), size

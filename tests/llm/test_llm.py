@@ -144,9 +144,9 @@ def test_tiles_are_greedy_and_cover_reordered_text(spark):
 
 def test_tiles_brute_force():
     r = random.Random(5)
-    for _ in range(60):
-        a, b = ([r.choice("abc") for _ in range(n)] for n in (30, 14))
-        here, there, want = set(), set(), 0
+    for k in range(200):
+        a, b = ([r.choice("abc"[: 2 + k % 2]) for _ in range(n)] for n in (r.randint(2, 40), r.randint(2, 20)))
+        here, there, want, n_tiles = set(), set(), 0, 0
         while True:
             best = (0, 0, 0)
             for i, j in itertools.product(range(len(a)), range(len(b))):
@@ -158,10 +158,10 @@ def test_tiles_brute_force():
                 break
             here |= {-best[1] + k for k in range(best[0])}
             there |= {-best[2] + k for k in range(best[0])}
-            want += best[0]
+            want, n_tiles = want + best[0], n_tiles + 1
         block = tiling.Block(pa.table({"item_id": [4], "text": [" ".join(b)]}), 2)
         cover, item, count = tiling._judge(block, 2)(pa.array([" ".join(a)]))
-        assert cover[0] == want / len(b) and item == [4 if want else None] and (count[0] > 0) == (want > 0)
+        assert cover[0] == want / len(b) and item == [4 if want else None] and count[0] == n_tiles
 
 
 def test_tiles_of_repeated_words_and_phrases(spark):
@@ -175,6 +175,13 @@ def test_tiles_of_repeated_words_and_phrases(spark):
     assert [(r["item_id"], round(r["coverage"], 4), r["n_tiles"]) for r in got] == [(1, 1.0, 1), (1, 0.9997, 1), (2, 1.0, 1), (3, 1.0, 1), (1, 0.1333, 1)]
 
 
+def test_tiles_of_a_refrain_take_time_for_its_places_not_for_their_pairs():
+    block = tiling.Block(pa.table({"item_id": [1], "text": [" ".join(f"a b c d y{k}" for k in range(3000))]}), 4)
+    began = time.process_time()
+    cover, item, count = tiling._judge(block, 4)(pa.array([" ".join(f"a b c d x{k}" for k in range(20000))]))
+    assert (cover[0], item, count[0]) == (0.8, [1], 3000) and time.process_time() - began < 5
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 
@@ -427,14 +434,14 @@ def test_warc_of_other_writers_and_damage(spark, tmp_path):
     assert sorted(bytes(r["payload"]) for r in got) == sorted(r["payload"] for r in rows for _ in range(2))
     assert warc.read(spark, f"file://{tmp_path}/a", payload=False).where("record_id = 'urn:3'").count() == 2
     whole = b"".join(gzip.compress(x) for x in raw)
-    for name, data in {"cut.warc.gz": whole[:-9], "junk.warc.gz": whole + b"junk", "cut.warc": b"".join(raw)[:-900], "broken.warc.gz": gzip.compress(raw[0]) + b"\x1f\x8b" + b"\x08" * 60}.items():
+    for name, data in {"cut.warc.gz": whole[:-9], "junk.warc.gz": whole + b"junk", "cut.warc": b"".join(raw)[:-900], "broken.warc.gz": gzip.compress(raw[0]) + b"\x1f\x8b" + b"\x08" * 60, "length.warc": raw[0] + re.sub(rb"Content-Length: \d+", b"Content-Length: -5", raw[1]), "letters.warc.gz": gzip.compress(raw[0]) + gzip.compress(re.sub(rb"Content-Length: \d+", b"Content-Length: abc", raw[1]))}.items():
         folder = tmp_path / name.replace(".", "_")
         folder.mkdir()
         (folder / name).write_bytes(data)
         with pytest.raises(Exception, match="at byte"):
             warc.read(spark, f"file://{folder}").collect()
         some = warc.read(spark, f"file://{folder}").sparkSession.read.format("warc").option("path", f"file://{folder}").option("damaged", "skip").load().count()
-        assert some == {"cut.warc.gz": 4, "junk.warc.gz": 5, "cut.warc": 4, "broken.warc.gz": 1}[name]
+        assert some == {"cut.warc.gz": 4, "junk.warc.gz": 5, "cut.warc": 4, "broken.warc.gz": 1, "length.warc": 1, "letters.warc.gz": 1}[name]
 
 
 def plain_fingerprints(rows):
