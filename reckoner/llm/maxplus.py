@@ -59,7 +59,7 @@ SPACE = "▁"
 CHUNK_CHARS = 1 << 15
 #: Neighbouring matrices that one step combines.
 FAN = 32
-CACHE_WORDS = 120_000
+CACHE_WORDS = 240_000
 CACHE_PAIRS = 300_000
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+")
 _BORDER = re.compile(f"(?<=[^{SPACE}]){SPACE}")
@@ -93,8 +93,10 @@ class Pieces:
             self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.made: dict[str, bool] = {}
-        #: By the numbers of two pieces; the numbers behind the pieces: uncovered, none.
+        #: By the numbers of two pieces; the numbers behind the pieces: uncovered, none. Those
+        #: not used since ``pairs`` was last full go.
         self.pairs: dict[int, bool] = {}
+        self.older_pairs: dict[int, bool] = {}
         self.uncovered = max(self.number.values(), default=0) + 1
         self.bits = (self.uncovered + 1).bit_length()
         #: A character that no piece has.
@@ -129,6 +131,16 @@ class Pieces:
             return False
         return not before or before[-1] + piece[0] not in self.inner or self._merge(before + piece) == [before, piece]
 
+    def _learnt(self, key: int, before: str, piece: str) -> bool:
+        """``fits`` of a pair that ``pairs`` doesn't have."""
+        fit = self.older_pairs.get(key)
+        if fit is None:
+            fit = self.fits(before, piece)
+        if len(self.pairs) > CACHE_PAIRS:
+            self.pairs, self.older_pairs = {}, self.pairs
+        self.pairs[key] = fit
+        return fit
+
     def _forward_merged(self, text: str, inside: int, start: int, before: str) -> tuple[list[float], list[int]]:
         """``_forward`` of a byte-pair model: at most one piece can end a path at a position."""
         n = len(text)
@@ -154,9 +166,8 @@ class Pieces:
             key = former << bits | own
             fit = pairs.get(key)
             if fit is None:
-                if len(pairs) > CACHE_PAIRS:
-                    pairs.clear()
-                fit = pairs[key] = self.fits(before if i == start else text[i - last[i] : i], text[i:j])
+                fit = self._learnt(key, before if i == start else text[i - last[i] : i], text[i:j])
+                pairs = self.pairs
             if fit:
                 best[j], last[j], ends[j] = 0.0, size, own
         for k in holes[hole:]:
@@ -233,10 +244,9 @@ class Pieces:
             key = former << bits | own
             fit = pairs.get(key)
             if fit is None:
-                if len(pairs) > CACHE_PAIRS:
-                    pairs.clear()
                 i = j - length
-                fit = pairs[key] = self.fits("" if former == begin else text[i - last[i] : i], text[i:j])
+                fit = self._learnt(key, "" if former == begin else text[i - last[i] : i], text[i:j])
+                pairs = self.pairs
             if fit:
                 last[j], ends[j] = length, own
         back, piece = np.array(last), np.array(ends)
