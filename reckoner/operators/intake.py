@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckoner.functions import scalars as S
-from reckoner.operators.store import is_test_report
+from reckoner.operators.store import TEST_USERS, is_test_report
 
 # Kinds of files and the expense types that each may have.
 TYPES_OF_KIND = {
@@ -165,7 +165,7 @@ def rehydrated(reports: DataFrame, files: DataFrame) -> DataFrame:
     return joined.select(*reports.columns, *[F.coalesce(of(c), F.array().cast("array<string>")).alias(f"{c}s") for c in ("receipt", "extraction")])
 
 
-def cleanup(reports: DataFrame, files: DataFrame, patterns: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def cleanup(reports: DataFrame, files: DataFrame, patterns: tuple[str, ...] = TEST_USERS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(reports that go, reports that stay, files that stay); ``patterns``: of test users."""
     test = F.coalesce(is_test_report(F.col("upload_id"), F.col("payee_id"), patterns) | is_test_report(F.col("upload_id"), F.col("filed_by"), patterns), F.lit(False))
     gone = reports.where(test)

@@ -52,12 +52,14 @@ def paired(log: DataFrame) -> DataFrame:
     return start.join(end, [*key, "turn"], "left").withColumn("seconds", F.unix_timestamp("ended_at") - F.unix_timestamp("started_at"))
 
 
-# Names of errors that may pass when a call is repeated.
+# Names of errors that may pass when a call is repeated, and of those that are
+# special cases of a lost connection.
 RETRYABLE_NAMES = ("TimeoutError", "ConnectionError", "ServiceUnavailable", "InternalServerError", "DeadlineExceeded", "GoogleAPIError", "RetryError")
+CONNECTION_NAMES = ("BrokenPipeError", "ConnectionAbortedError", "ConnectionRefusedError", "ConnectionResetError", "RemoteDisconnected")
 
 
 def is_retryable(code: Column, name: Column) -> Column:
-    return F.coalesce(code.isin(*RETRYABLE_CODES), F.lit(False)) | F.coalesce(name.isin(*RETRYABLE_NAMES), F.lit(False))
+    return F.coalesce(code.isin(*RETRYABLE_CODES), F.lit(False)) | F.coalesce(name.isin(*RETRYABLE_NAMES, *CONNECTION_NAMES), F.lit(False))
 
 
 def usage(log: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reckoner.functions import scalars as S
@@ -124,6 +124,21 @@ def audit_counts(responses: DataFrame) -> DataFrame:
     return responses.groupBy(edit_class(F.col("status"), F.col("body")).alias("class")).agg(F.count("*").alias("n"))
 
 
+def first_of_each(rows: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
+    """The first ``k`` rows of each group, with their ``place`` from 1 and the number of the ``rest``.
+
+    Spark keeps k rows of a group in each task before the shuffle; the rest is counted apart, by sums.
+    """
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
+    top = rows.withColumn("place", place).where(F.col("place") <= k)
+    sizes = rows.groupBy(*by).agg(F.greatest(F.count("*") - k, F.lit(0)).alias("rest"))
+    met = sizes.withColumnsRenamed({c: f"_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return top.join(met, same).drop(*[f"_{c}" for c in by])
+
+
 def unknown_members(used: DataFrame, master: DataFrame) -> DataFrame:
     """Different members in use that the master list doesn't have, however often it has others."""
     return used.select("member").where("member is not null").distinct().join(master.select("member"), "member", "left_anti")

@@ -106,13 +106,14 @@ def propagate_activity(lines: DataFrame, reports: DataFrame) -> DataFrame:
     return joined.withColumn("foreign_activity_type", F.when(F.col("expense_type").endswith("_foreign"), F.col("_activity"))).drop("_activity")
 
 
-def merge_extractions(main: DataFrame, extra: DataFrame, key: str = "document_id", nested: tuple[str, ...] = ()) -> DataFrame:
+def merge_extractions(main: DataFrame, extra: DataFrame, key: str = "document_id", nested: tuple[str, ...] = (), present: str | None = None) -> DataFrame:
     """Two partial extractions of a document; columns of ``extra`` win where not null.
 
-    Struct columns in ``nested`` are merged field by field, one level deep. A document
-    that isn't in both exactly once is an error.
+    Where a row of ``extra`` says which keys it has, in the array column ``present``, those win
+    even if they are null, and others don't. Struct columns in ``nested`` are merged field
+    by field, one level deep. A document that isn't in both exactly once is an error.
     """
-    shared = [c for c in extra.columns if c in main.columns and c != key]
+    shared = [c for c in extra.columns if c in main.columns and c not in (key, present)]
     count = lambda df, name: df.groupBy(key).agg(F.count("*").alias(name))
     sizes = count(main, "_n").join(count(extra, "_m"), key, "full_outer")
     wrong = ~(F.col("_n").eqNullSafe(F.lit(1)) & F.col("_m").eqNullSafe(F.lit(1)))
@@ -121,13 +122,13 @@ def merge_extractions(main: DataFrame, extra: DataFrame, key: str = "document_id
 
     def merged(c: str) -> Column:
         if c not in nested:
-            return F.coalesce(f"_extra_{c}", c)
+            return F.coalesce(f"_extra_{c}", c) if present is None else F.when(F.array_contains(present, c), F.col(f"_extra_{c}")).otherwise(F.col(c))
         left, right = main.schema[c].dataType.names, extra.schema[c].dataType.names
         a, b = F.col(c), F.col(f"_extra_{c}")
         fields = [(F.coalesce(b[n], a[n]) if n in left and n in right else (a if n in left else b)[n]).alias(n) for n in dict.fromkeys([*left, *right])]
         return F.when(a.isNotNull() | b.isNotNull(), F.struct(*fields))
 
-    return checked.join(main, key).join(renamed, key).withColumns({c: merged(c) for c in shared}).drop("_ok", *[f"_extra_{c}" for c in shared])
+    return checked.join(main, key).join(renamed, key).withColumns({c: merged(c) for c in shared}).drop("_ok", *([present] if present else []), *[f"_extra_{c}" for c in shared])
 
 
 def spend_by_kind(derived: DataFrame) -> DataFrame:

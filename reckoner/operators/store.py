@@ -97,7 +97,18 @@ def _numbered(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(unique_name=out)
 
 
-def is_test_report(upload_id: Column, user: Column, patterns: tuple[str, ...] = ("^test", "^e2e")) -> Column:
+# Names of users that belong to tests.
+TEST_USERS = (
+    "^fmtest$",
+    "^fxtest$",
+    "^e2etest$",
+    "^scope_[0-9a-f]+$",
+    "^hist[0-9a-f]+$",
+    "^pipelinetest[0-9]*$",
+)
+
+
+def is_test_report(upload_id: Column, user: Column, patterns: tuple[str, ...] = TEST_USERS) -> Column:
     found = upload_id.startswith("test_")
     for p in patterns:
         found = found | F.coalesce(user.rlike(p), F.lit(False))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reckoner.functions import scalars as S
-from reckoner.operators import export, grounding, replay, tree
+from reckoner.operators import export, grounding, quality, replay, tree
 from reckoner.plans import oracle as O
 from reckoner.sources import catalog, portal, shared
 from reckoner.sources import views as V
@@ -331,3 +331,17 @@ def grounded_by_levels(spark: SparkSession, d: str) -> DataFrame:
     evidence = docs.select("doc_id", F.inline(each)).withColumns({"evidence_id": F.concat("doc_id", F.lit("/"), "turn"), "page": F.lit(1)})
     found = grounding.ground(evidence.select("evidence_id", "doc_id", "page", "quote", "token_ids"), tokens)
     return found.select("doc_id", F.split_part("evidence_id", F.lit("/"), F.lit(2)).cast("int").alias("turn"), "how", "level", F.size("boxes").alias("n_boxes"))
+
+
+_k03 = "m AS (SELECT doc_id AS document_id, CASE WHEN quality IS NULL THEN 'NULL MISMATCH' ELSE 'VALUE' END AS difference, 'quality' AS path FROM labels WHERE quality IS DISTINCT FROM toxic UNION ALL SELECT doc_id, 'DROPPED', 'toxic' FROM labels)"
+
+
+@query("K03_rest", f"WITH {_k03} SELECT difference, path, document_id, row_number() OVER (PARTITION BY difference, path ORDER BY document_id) AS place, greatest(count(*) OVER (PARTITION BY difference, path) - 8, 0) AS rest FROM m QUALIFY place <= 8")
+def first_failures(spark: SparkSession, d: str) -> DataFrame:
+    """The first 8 differences of each class and path, and how many more there are."""
+    labels = V.read(spark, d, "labels")
+    pair = lambda c, x: F.struct(F.lit(c).alias("path"), x.cast("string").alias("value"))
+    left = labels.select(F.col("doc_id").alias("document_id"), F.inline(F.array(pair("quality", F.col("quality")), pair("toxic", F.col("toxic")))))
+    right = labels.select(F.col("doc_id").alias("document_id"), F.inline(F.array(pair("quality", F.col("toxic")))))
+    diff = quality.tree_diff(left, right).select("difference", "path", "document_id")
+    return quality.first_of_each(diff, ["difference", "path"], ["document_id"], 8)
