@@ -257,7 +257,36 @@ def valid_id(text: Column) -> Column:
 
 # Currency codes that quotes and tokens disagree about, and punctuation that
 # counts as a space. Points (decimals) and @ stay.
-QUOTE_CODES = "USD EUR GBP JPY CNY INR SGD AUD CAD HKD CHF NZD SEK NOK DKK MXN ZAR KRW THB MYR IDR PHP VND BRL ARS TWD AED SAR".split()
+QUOTE_CODES = (
+    "USD",
+    "EUR",
+    "GBP",
+    "JPY",
+    "CNY",
+    "INR",
+    "SGD",
+    "AUD",
+    "CAD",
+    "HKD",
+    "CHF",
+    "NZD",
+    "SEK",
+    "NOK",
+    "DKK",
+    "MXN",
+    "ZAR",
+    "KRW",
+    "THB",
+    "MYR",
+    "IDR",
+    "PHP",
+    "VND",
+    "BRL",
+    "ARS",
+    "TWD",
+    "AED",
+    "SAR",
+)
 QUOTE_SIGNS = "[$₹€£¥]"
 QUOTE_PUNCTUATION = r"[:;,()\[\]{}<>'\"!?\\|*+=&^~`\-/%]"
 

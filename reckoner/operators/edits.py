@@ -32,18 +32,25 @@ def applied(edits: DataFrame, leaves: DataFrame, field_types: DataFrame) -> tupl
     ``leaves``: report_id, path, value and, if its type is known, kind ("boolean", "number"
     or "string"; null for null), which decides before the catalogue; ``field_types``:
     template, type, allowed (array or null). A missing leaf is made only if the catalogue
-    knows its template.
+    knows its template and the object that it would stand in is there: a line that isn't
+    there gets no fields. All edits are judged against ``leaves``; ``replay`` judges each
+    against the state after the one before.
     """
     types = field_types.withColumnRenamed("template", "_template")
     old = F.when(F.col("value") != "", F.col("kind")) if "kind" in leaves.columns else F.lit(None).cast("string")
     known = leaves.select("report_id", "path", F.lit(True).alias("_there"), old.alias("_kind"))
     # The catalogue is joined as Spark chooses: it checks its size.
     e = edits.withColumn("_template", S.path_template(F.col("path"))).join(types, "_template", "left").join(known, ["report_id", "path"], "left")
+    parts = F.split("path", r"\.")
+    objects = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
+    around = leaves.select("report_id", F.explode(objects).alias("_parent")).distinct().withColumn("_around", F.lit(True))
+    e = e.withColumn("_parent", F.regexp_extract("path", r"(?s)^(.*)\.[^.]*\z", 1)).join(around, ["report_id", "_parent"], "left")
+    no_place = F.col("_there").isNull() & F.col("_around").isNull() & (F.col("_parent") != "expense_report")
     coerced = S.coerce_by_type(F.col("new_text"), F.col("type"), F.col("_kind"))
     reason = (
         F.when(~F.col("path").startswith("expense_report."), "path must start with expense_report")
         .when(S.path_steps(F.col("path")).isNull(), "malformed path")
-        .when(F.col("_there").isNull() & F.col("type").isNull(), "unknown path")
+        .when((F.col("_there").isNull() & F.col("type").isNull()) | no_place, "unknown path")
         .when(coerced["error"], "value has the wrong type")
         .otherwise(F.when(F.col("allowed").isNotNull(), S.validate_enum(coerced["value"], F.col("allowed"))))
     )

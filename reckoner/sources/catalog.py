@@ -159,35 +159,181 @@ KIND_OF_TYPE = {
 
 # Fields that must be there, by the object they stand in.
 REQUIRED_FIELDS = {
-    "general_information": "category payee payee.name payee.sunet payee.affiliation rush_processing payment_method business_purpose business_purpose.who business_purpose.what business_purpose.when business_purpose.where business_purpose.why event_name student_certification authorized_by".split(),
-    "transaction_summary": "transaction_date total_usd".split(),
-    "transaction_lines[].common": "date line_amount_usd expense_type remarks source_document".split(),
-    "transaction_lines[].airfare_details": "travelers_name ticket_number ticket_amount booking_method airline class_of_ticket departure_airport destination_airport round_trip".split(),
-    "transaction_lines[].lodging_details": "hotel_name location check_in_date check_out_date number_of_nights daily_rate booking_method is_shared_lodging".split(),
-    "transaction_lines[].ground_transport_details": "origin destination service_provider missing_receipt".split(),
-    "transaction_lines[].conference_registration_details": "conference_name order_number ticket_type attendee_name registration_system conference_start_date conference_end_date meals_included".split(),
-    "transaction_lines[].ancillary_details": "fee_category airline description".split(),
-    "transaction_lines[].meal_details": "venue_name attendees meal_purpose has_alcohol_on_receipt".split(),
-    "transaction_lines[].car_rental_details": "rental_company pickup_location return_location rental_start_date rental_end_date vehicle_class insurance_included".split(),
-    "transaction_lines[].mileage_details": "distance_miles origin destination trip_date".split(),
-    "transaction_lines[].gift_details": "recipient_name recipient_relationship gift_purpose".split(),
-    "transaction_lines[].human_subject_details": "irb_protocol_number number_of_subjects per_subject_amount".split(),
-    "per_diem_expenses[]": "expense_type start_date end_date number_of_days location country_of_activity per_diem_rate remarks meal_deductions reimbursement_summary".split(),
+    "general_information": [
+        "category",
+        "payee",
+        "payee.name",
+        "payee.payee_id",
+        "payee.affiliation",
+        "rush_processing",
+        "payment_method",
+        "business_purpose",
+        "business_purpose.who",
+        "business_purpose.what",
+        "business_purpose.when",
+        "business_purpose.where",
+        "business_purpose.why",
+        "event_name",
+        "student_certification",
+        "authorized_by",
+    ],
+    "transaction_summary": [
+        "transaction_date",
+        "total_usd",
+    ],
+    "transaction_lines[].common": [
+        "date",
+        "line_amount_usd",
+        "expense_type",
+        "remarks",
+        "source_document",
+    ],
+    "transaction_lines[].airfare_details": [
+        "travelers_name",
+        "ticket_number",
+        "ticket_amount",
+        "booking_method",
+        "airline",
+        "class_of_ticket",
+        "departure_airport",
+        "destination_airport",
+        "round_trip",
+    ],
+    "transaction_lines[].lodging_details": [
+        "hotel_name",
+        "location",
+        "check_in_date",
+        "check_out_date",
+        "number_of_nights",
+        "daily_rate",
+        "booking_method",
+        "is_shared_lodging",
+    ],
+    "transaction_lines[].ground_transport_details": [
+        "origin",
+        "destination",
+        "service_provider",
+        "missing_receipt",
+    ],
+    "transaction_lines[].conference_registration_details": [
+        "conference_name",
+        "order_number",
+        "ticket_type",
+        "attendee_name",
+        "registration_system",
+        "conference_start_date",
+        "conference_end_date",
+        "meals_included",
+    ],
+    "transaction_lines[].ancillary_details": [
+        "fee_category",
+        "airline",
+        "description",
+    ],
+    "transaction_lines[].meal_details": [
+        "venue_name",
+        "attendees",
+        "meal_purpose",
+        "has_alcohol_on_receipt",
+    ],
+    "transaction_lines[].car_rental_details": [
+        "rental_company",
+        "pickup_location",
+        "return_location",
+        "rental_start_date",
+        "rental_end_date",
+        "vehicle_class",
+        "insurance_included",
+    ],
+    "transaction_lines[].mileage_details": [
+        "distance_miles",
+        "origin",
+        "destination",
+        "trip_date",
+    ],
+    "transaction_lines[].gift_details": [
+        "recipient_name",
+        "recipient_relationship",
+        "gift_purpose",
+    ],
+    "transaction_lines[].human_subject_details": [
+        "irb_protocol_number",
+        "number_of_subjects",
+        "per_subject_amount",
+    ],
+    "per_diem_expenses[]": [
+        "expense_type",
+        "start_date",
+        "end_date",
+        "number_of_days",
+        "location",
+        "country_of_activity",
+        "per_diem_rate",
+        "remarks",
+        "meal_deductions",
+        "reimbursement_summary",
+    ],
     "allocation_and_approvers": ["other_beneficiaries"],
 }
 # Fields that may be missing.
 OPTIONAL_FIELDS = {
-    "general_information.student_certification": "supports_faculty_research presenting_at_conference integral_to_degree_work related_to_employment other".split(),
-    "transaction_summary": "transaction_number status".split(),
-    "transaction_lines[].common.source_document": "filename document_type".split(),
+    "general_information.student_certification": [
+        "supports_faculty_research",
+        "presenting_at_conference",
+        "integral_to_degree_work",
+        "related_to_employment",
+        "other",
+    ],
+    "transaction_summary": [
+        "transaction_number",
+        "status",
+    ],
+    "transaction_lines[].common.source_document": [
+        "filename",
+        "document_type",
+    ],
     "transaction_lines[].lodging_details": ["personal_nights_excluded"],
-    "transaction_lines[].ground_transport_details": "tip_amount pre_tax_amount tax_amount".split(),
-    "transaction_lines[].conference_registration_details.meals_included": "schedule schedule[] schedule[].date schedule[].breakfast schedule[].lunch schedule[].dinner".split(),
-    "transaction_lines[].meal_details": "attendees[] attendees[].name attendees[].affiliation tip_amount pre_tax_amount tax_amount".split(),
+    "transaction_lines[].ground_transport_details": [
+        "tip_amount",
+        "pre_tax_amount",
+        "tax_amount",
+    ],
+    "transaction_lines[].conference_registration_details.meals_included": [
+        "schedule",
+        "schedule[]",
+        "schedule[].date",
+        "schedule[].breakfast",
+        "schedule[].lunch",
+        "schedule[].dinner",
+    ],
+    "transaction_lines[].meal_details": [
+        "attendees[]",
+        "attendees[].name",
+        "attendees[].affiliation",
+        "tip_amount",
+        "pre_tax_amount",
+        "tax_amount",
+    ],
     "transaction_lines[].car_rental_details": ["miles_driven"],
     "transaction_lines[].mileage_details": ["vehicle_class"],
-    "per_diem_expenses[]": "meal_deductions[] meal_deductions[].date meal_deductions[].breakfast_provided meal_deductions[].lunch_provided meal_deductions[].dinner_provided meal_deductions[].deduction_amount reimbursement_summary[] reimbursement_summary[].date reimbursement_summary[].per_diem_amount reimbursement_summary[].meal_deduction reimbursement_summary[].net_amount".split(),
-    "allocation_and_approvers": "beneficiary_list[] beneficiary_list[].name beneficiary_list[].relationship".split(),
+    "per_diem_expenses[]": [
+        "meal_deductions[]",
+        "meal_deductions[].date",
+        "meal_deductions[].breakfast_provided",
+        "meal_deductions[].lunch_provided",
+        "meal_deductions[].dinner_provided",
+        "meal_deductions[].deduction_amount",
+        "reimbursement_summary[]",
+        "reimbursement_summary[].date",
+        "reimbursement_summary[].per_diem_amount",
+        "reimbursement_summary[].meal_deduction",
+        "reimbursement_summary[].net_amount",
+    ],
+    "allocation_and_approvers": [
+        "beneficiary_list[]",
+        "beneficiary_list[].name",
+        "beneficiary_list[].relationship",
+    ],
 }
 _AWAY = "expense_type in [airfare_foreign, gift_card_employee_foreign, gifts_foreign_activity, ground_transportation_foreign, lodging_foreign]"
 # Fields and blocks that must be there when a condition holds, in order.

@@ -26,9 +26,20 @@ RECEIPT = (
 )
 # Fields of the form's input, all of them optional.
 FORM_FIELDS = (
-    "payee_name payee_sunet payee_affiliation event_name business_purpose_who business_purpose_what business_purpose_when business_purpose_where business_purpose_why authorized_by rush_processing payment_method foreign_activity_type"
-).split()
-FORM = ", ".join(f"{f} string" for f in FORM_FIELDS)
+    "payee_name",
+    "payee_id",
+    "payee_affiliation",
+    "event_name",
+    "business_purpose_who",
+    "business_purpose_what",
+    "business_purpose_when",
+    "business_purpose_where",
+    "business_purpose_why",
+    "authorized_by",
+    "rush_processing",
+    "payment_method",
+    "foreign_activity_type",
+)
 SUPPORTING = (
     f"struct<source_filename:string,conference_name_as_printed:{wrapped('string')},doc_kind:{wrapped('string')},scheduled_dates:array<string>,venues_mentioned:array<string>,"
     "papers_listed:array<struct<title:string,authors_string:string>>,workshops_listed:array<string>>"
@@ -39,9 +50,13 @@ SYNTHESIS = (
 )
 
 
-def read_form_input(spark: SparkSession, path: str) -> DataFrame:
-    """file_name and the fields of form input files, one JSON object each; missing ones are null."""
-    df = spark.read.schema(FORM).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+def read_form_input(spark: SparkSession, path: str, payee_key: str = "payee_id") -> DataFrame:
+    """file_name and the fields of form input files, one JSON object each; missing ones are null.
+
+    ``payee_key``: what the files call the payee's id.
+    """
+    kind = ", ".join(f"`{payee_key if f == 'payee_id' else f}` string" for f in FORM_FIELDS)
+    df = spark.read.schema(kind).option("multiLine", True).option("pathGlobFilter", "*.json").json(path).withColumnRenamed(payee_key, "payee_id")
     return df.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file_name"), *FORM_FIELDS)
 
 

@@ -231,6 +231,12 @@ def test_edits(spark):
     after, bad = edits.applied(e, leaves, types)
     assert {tuple(r) for r in after.collect()} == {(1, "expense_report.a", "2", True)}
     assert {(r["path"], r["reason"]) for r in bad.collect()} == {("x", "path must start with expense_report"), ("expense_report.b", "unknown path")}
+    # Neither a missing parent nor a line out of range is made.
+    types = spark.createDataFrame([(f"expense_report.{p}", "string", None) for p in ("transaction_lines[].common.date", "transaction_lines[].common.remarks", "payee.name")], "template string, type string, allowed array<string>")
+    there = spark.createDataFrame([(1, "expense_report.transaction_lines[0].common.date", "2024")], "report_id long, path string, value string")
+    asked = [f"expense_report.{p}" for p in ("transaction_lines[99].common.date", "payee.name", "transaction_lines[0].common.remarks")]
+    after, bad = edits.applied(spark.createDataFrame([(1, p, "x", 1, k) for k, p in enumerate(asked)], "report_id long, path string, new_text string, ts long, event_id long"), there, types)
+    assert {r["path"] for r in bad.collect()} == set(asked[:2]) and {r["path"] for r in after.collect()} == {asked[2], "expense_report.transaction_lines[0].common.date"}
     left, missing = edits.delete_lines(lines(spark, {}, {"line_idx": 1}, {"line_idx": 2}), spark.createDataFrame([(1, 1), (1, 9)], "report_id long, line_idx long"))
     assert [r["line_idx"] for r in left.orderBy("line_idx").collect()] == [0, 1] and missing.count() == 1
 
@@ -343,6 +349,13 @@ def test_advisory_rules(spark):
     assert {tuple(r) for r in validate.advisory(rules).collect()} == {("a", "info", "depends on x, y"), ("d", "info", "Must fall within")}
 
 
+def test_report_issues_do_not_hang_on_line_numbers(spark):
+    reports = spark.createDataFrame([(1, None), (2, None), (3, None), (4, None)], "report_id long, category string")
+    numbered = spark.createDataFrame([(1, 1), (1, 3), (2, 0), (2, 0), (3, 0), (9, 0)], "report_id long, line_idx long").withColumns({"date_text": F.lit("2024-01-01"), "expense_type": F.lit("car_rental")})
+    found = validate.all_issues(reports, numbered, passes=(1,)).collect()
+    assert sorted(r["report_id"] for r in found) == [1, 2, 3, 4] and {r["line_idx"] for r in found} == {-1}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from reckoner.streaming.jobs import job_state
 
