@@ -123,4 +123,39 @@ SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.
  s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
 FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
 QUALIFY rank <= 5""",
+    # The checksum bit by bit in a table of 256, then byte by byte; near words by strings without a code point.
+    "op11_spelling_variants": """
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS c FROM range(256) AS r(i))),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{7,}')) AS run FROM documents),
+low AS (SELECT d, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k FROM runs GROUP BY 1, 2),
+coded AS (SELECT run, k, hex(encode(d || ':' || run)) AS x FROM low),
+hashed AS (SELECT run, k, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
+  lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]), 4294967295), 4294967295) AS h FROM coded, crc),
+made AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM made WHERE length(word) >= 7 GROUP BY 1 HAVING sum(k) >= 2),
+cut AS (SELECT word, n, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT p.word AS w, q.word AS v, q.n FROM cut p JOIN cut q ON p.a = q.a AND p.b = q.b AND p.word <> q.word
+ UNION SELECT p.word, q.word, q.n FROM cut p JOIN words q ON p.a || p.b = q.word UNION SELECT q.word, p.word, p.n FROM cut p JOIN words q ON p.a || p.b = q.word),
+best AS (SELECT w, v, n, count(*) OVER (PARTITION BY w) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY w ORDER BY n DESC, v) = 1),
+told AS (SELECT word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 10 * words.n THEN v END AS form, CASE WHEN best.n >= 10 * words.n THEN best.n END AS form_n FROM words LEFT JOIN best ON w = word),
+walk AS (SELECT word, word AS here, 0 AS step FROM told UNION ALL SELECT walk.word, told.form, step + 1 FROM walk JOIN told ON told.word = walk.here WHERE told.form IS NOT NULL)
+SELECT told.word, form, root, n, n_near, form_n FROM told JOIN (SELECT word, arg_max(here, step) AS root FROM walk GROUP BY 1) AS ends ON ends.word = told.word""",
+    # Base spans: places of matches from what stands between them. No iban and no ssn stands in the tables, so ``spans`` has no others.
+    "op12_personal_data": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, 0 AS rank, 'email' AS kind, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+') AS ms, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+') AS ps FROM d
+ UNION ALL SELECT doc_id, 1, 'ip', regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+){3}'), string_split_regex(t, '[0-9]+(?:\\.[0-9]+){3}') FROM d
+ UNION ALL SELECT doc_id, 2, 'card', regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+'), string_split_regex(t, '[0-9](?:[ -]?[0-9])+') FROM d
+ UNION ALL SELECT doc_id, 3, 'phone', regexp_extract_all(t, '\\+[0-9][ ().0-9-]+[0-9]'), string_split_regex(t, '\\+[0-9][ ().0-9-]+[0-9]') FROM d),
+each AS (SELECT doc_id, rank, kind, ms, ps, unnest(range(1, len(ms) + 1)) AS k FROM m),
+found AS (SELECT doc_id, rank, kind, ms[k] AS x, regexp_replace(ms[k], '[^0-9]', '', 'g') AS digits,
+  CAST(list_sum(list_transform(ps[1:k], lambda p: length(p))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda p: length(p))), 0) AS BIGINT) AS at_ FROM each),
+good AS (SELECT * FROM found WHERE CASE kind WHEN 'email' THEN true WHEN 'ip' THEN list_max(list_transform(string_split(x, '.'), lambda p: CAST(p AS HUGEINT))) <= 255
+  WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+  ELSE length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(digits)), lambda i: CASE WHEN (length(digits) - i) % 2 = 1 THEN CAST(substr(digits, CAST(i + 1 AS BIGINT), 1) AS INT)
+    ELSE CAST(substr(digits, CAST(i + 1 AS BIGINT), 1) AS INT) * 2 - CASE WHEN CAST(substr(digits, CAST(i + 1 AS BIGINT), 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0 END),
+told AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+  string_agg(kind || ':' || at_ || ':' || (at_ + length(x)), ',' ORDER BY at_, rank) AS said FROM good GROUP BY 1)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(said, '')) AS base_sha256, coalesce(said, '') AS spans
+FROM d LEFT JOIN told USING (doc_id)""",
 }
