@@ -60,7 +60,7 @@ CHUNK_CHARS = 1 << 15
 #: Neighbouring matrices that one step combines.
 FAN = 32
 CACHE_WORDS = 240_000
-CACHE_PAIRS = 300_000
+CACHE_PAIRS = 600_000
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+")
 _BORDER = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 _NONE = -np.inf
@@ -87,18 +87,18 @@ class Pieces:
         self.inner = {p[n : n + 2] for p in scores for n in range(len(p) - 1)}
         self.number = {p: i for p, (i, _) in scores.items()}
         self.letters = {p for p in scores if len(p) == 1}
-        #: Finds all pieces of a text, at each end the longest first.
+        #: Finds all pieces of a text, at each end the longest first: number, length, and by
+        #: the number of a piece before it whether both fit.
         self.automaton = ahocorasick.Automaton()
+        self.after: list[dict[int, bool]] = []
+        self.n_pairs = 0
         for p, i in self.number.items():
-            self.automaton.add_word(p, (i, len(p)))
+            self.after.append({})
+            self.automaton.add_word(p, (i, len(p), self.after[-1]))
         self.automaton.make_automaton()
         self.made: dict[str, bool] = {}
-        #: By the numbers of two pieces; the numbers behind the pieces: uncovered, none. Those
-        #: not used since ``pairs`` was last full go.
-        self.pairs: dict[int, bool] = {}
-        self.older_pairs: dict[int, bool] = {}
+        #: Numbers behind those of the pieces: an uncovered character, and none.
         self.uncovered = max(self.number.values(), default=0) + 1
-        self.bits = (self.uncovered + 1).bit_length()
         #: A character that no piece has.
         used = set().union(*scores) if scores else set()
         self.mark = next(c for c in map(chr, range(1, 0x110000)) if c not in used)
@@ -131,14 +131,14 @@ class Pieces:
             return False
         return not before or before[-1] + piece[0] not in self.inner or self._merge(before + piece) == [before, piece]
 
-    def _learnt(self, key: int, before: str, piece: str) -> bool:
-        """``fits`` of a pair that ``pairs`` doesn't have."""
-        fit = self.older_pairs.get(key)
-        if fit is None:
-            fit = self.fits(before, piece)
-        if len(self.pairs) > CACHE_PAIRS:
-            self.pairs, self.older_pairs = {}, self.pairs
-        self.pairs[key] = fit
+    def _learnt(self, table: dict[int, bool], former: int, before: str, piece: str) -> bool:
+        """``fits`` of a pair that the piece's ``table`` doesn't have."""
+        if self.n_pairs > CACHE_PAIRS:
+            for t in self.after:
+                t.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        fit = table[former] = self.fits(before, piece)
         return fit
 
     def _forward_merged(self, text: str, inside: int, start: int, before: str) -> tuple[list[float], list[int]]:
@@ -146,11 +146,11 @@ class Pieces:
         n = len(text)
         best, last, ends = [_NONE] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[start] = 0.0
-        uncovered, bits, pairs = self.uncovered, self.bits, self.pairs
+        uncovered = self.uncovered
         ends[start] = self.number.get(before, uncovered) if before else uncovered + 1
         holes = [] if self.letters.issuperset(text) else [k for k in range(start, min(n, inside)) if text[k] not in self.letters]
         hole = 0
-        for at, (own, size) in self.automaton.iter(text, start):
+        for at, (own, size, table) in self.automaton.iter(text, start):
             while hole < len(holes) and holes[hole] < at:
                 k = holes[hole]
                 if ends[k] >= 0:
@@ -163,11 +163,9 @@ class Pieces:
             former = ends[i]
             if former < 0:
                 continue
-            key = former << bits | own
-            fit = pairs.get(key)
+            fit = table.get(former)
             if fit is None:
-                fit = self._learnt(key, before if i == start else text[i - last[i] : i], text[i:j])
-                pairs = self.pairs
+                fit = self._learnt(table, former, before if i == start else text[i - last[i] : i], text[i:j])
             if fit:
                 best[j], last[j], ends[j] = 0.0, size, own
         for k in holes[hole:]:
@@ -227,28 +225,25 @@ class Pieces:
         begins anew; then the paths are read off from all ends at once.
         """
         size = np.fromiter(map(len, units), np.int64, len(units))
+        # Paths stand at the place of their last character; before a unit there is a mark.
         stop = np.cumsum(size + 1) - 1
-        text = self.mark.join(units)
+        text = self.mark + self.mark.join(units)
         begin, n = self.uncovered + 1, len(text)
-        ends, last = [-1] * (n + 1), [0] * (n + 1)
+        ends, last = [-1] * n, [0] * n
         for k in (stop - size).tolist():
             ends[k] = begin
-        bits, pairs = self.bits, self.pairs
-        for at, (own, length) in self.automaton.iter(text):
-            j = at + 1
-            if ends[j] >= 0:
+        for at, (own, length, table) in self.automaton.iter(text):
+            if ends[at] >= 0:
                 continue
-            former = ends[j - length]
+            former = ends[at - length]
             if former < 0:
                 continue
-            key = former << bits | own
-            fit = pairs.get(key)
+            fit = table.get(former)
             if fit is None:
-                i = j - length
-                fit = self._learnt(key, "" if former == begin else text[i - last[i] : i], text[i:j])
-                pairs = self.pairs
+                i = at - length + 1
+                fit = self._learnt(table, former, "" if former == begin else text[i - last[i - 1] : i], text[i : at + 1])
             if fit:
-                last[j], ends[j] = length, own
+                last[at], ends[at] = length, own
         back, piece = np.array(last), np.array(ends)
         here, steps = stop, []
         while len(here := here[piece[here] != begin]):
@@ -264,18 +259,21 @@ class Pieces:
     def solved(self, units: list[str]) -> list[bytes]:
         """Ids of the best paths of units, 32 bits each."""
         known, older = self.known, self.older
-        out = [known.get(u) or older.get(u) for u in units]
-        new = list(dict.fromkeys(u for u, x in zip(units, out, strict=True) if x is None))
-        if new:
-            whole = self.merged and not self.crosses
-            easy = [u for u in new if whole and self.letters.issuperset(u)]
+        out = list(map(known.get, units))
+        lacking = [k for k, x in enumerate(out) if x is None]
+        if lacking:
+            new = [u for k in lacking if (u := units[k]) not in older]
+            easy = [u for u in new if self.merged and not self.crosses and self.letters.issuperset(u)]
             found = dict(zip(easy, self._solve_merged(easy), strict=True)) if easy else {}
-            if len(found) < len(new):
+            if len(easy) < len(new):
                 found |= {u: self._solve(u) for u in new if u not in found}
-            out = [found[u] if x is None else x for u, x in zip(units, out, strict=True)]
-        if len(known) > CACHE_WORDS:
-            self.known, self.older = {}, known
-        self.known.update(zip(units, out, strict=True))
+            if len(known) > CACHE_WORDS:
+                known, self.older = {}, known
+                self.known = known
+            for k in lacking:
+                u = units[k]
+                x = found.get(u)
+                out[k] = known[u] = older[u] if x is None else x
         return out
 
     def word(self, text: str) -> bytes:
