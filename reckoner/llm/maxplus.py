@@ -59,8 +59,8 @@ SPACE = "▁"
 CHUNK_CHARS = 1 << 15
 #: Neighbouring matrices that one step combines.
 FAN = 32
-CACHE_WORDS = 240_000
-CACHE_PAIRS = 600_000
+CACHE_WORDS = 100_000
+CACHE_PAIRS = 300_000
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+")
 _BORDER = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 _NONE = -np.inf
