@@ -15,7 +15,7 @@ context. It is computed with the model, and documents are scored by array lookup
 slice of many documents at once.
 
 Counting covers all training documents: slices of documents give the numbers of
-their words and of their runs of ``ORDER`` + 1 bytes, and Spark adds them up; shorter
+their words and of their runs of ``ORDER`` + 1 bytes, tasks add up those of some slices, and Spark adds them all up; shorter
 runs are marginals of these. No run is left out: the counts stay a Spark table, dealt
 by the last ``LOW`` bytes of the contexts. All longer contexts of a byte end with these, so
 each part of the table is a trie of its own above the shorter runs, which are
@@ -50,7 +50,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from reckoner.llm import words
-from reckoner.llm.common import fresh_path
+from reckoner.llm.common import fresh_path, light_batches
 
 ORDER = 5
 DISCOUNT = 0.4
@@ -59,7 +59,11 @@ HOT_RUN_SHARE, HOT_RUNS = 1e-7, 2_000_000
 HOT_SHARE = 1e-6
 UNIT = 1 << 32
 PART_ROWS = 1 << 20
-SLICE_BYTES = 4 << 20
+#: Work on a slice takes some 60 times its size.
+SLICE_BYTES = 1 << 20
+#: Counts of slices that a task adds up before it hands them on, and rows of a batch handed on.
+MERGED_ROWS = 1 << 20
+OUT_ROWS = 1 << 16
 END = 0xFF
 _SPACE = 0x20
 
@@ -196,17 +200,41 @@ def _units(x: np.ndarray) -> np.ndarray:
     return np.rint(x * UNIT).astype(np.int64)
 
 
+def _added(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of (key, count) tables, each in order of its keys."""
+    keys, counts = (np.concatenate(x) for x in zip(*tables, strict=True))
+    # Stable, as that is fast on runs already in order.
+    by = np.argsort(keys, kind="stable")
+    keys, counts = keys[by], counts[by]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, key, count) of the runs and words of each slice."""
+    """Rows (kind, key, count) of the runs and words of slices, added up as far as ``MERGED_ROWS`` goes."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {_RUN: [], _WORD: []}
+
+    def told(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # In parts, as the JVM holds each whole outside its heap.
+        for at in range(0, len(keys), OUT_ROWS):
+            k, c = keys[at : at + OUT_ROWS], counts[at : at + OUT_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["kind", "key", "count"])
+
     for batch in batches:
         data, offsets = words.utf8(batch.column(0))
         for a, b in words.slices(offsets, SLICE_BYTES):
             w = words.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             text, begin = normal(w)
             for kind, keys in ((_RUN, runs(text, begin, ORDER)), (_WORD, w.hashes())):
-                k, c = counted(keys)
-                if len(k):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], ["kind", "key", "count"])
+                held[kind].append(counted(keys))
+                if sum(len(k) for k, _ in held[kind]) > MERGED_ROWS:
+                    held[kind] = [_added(held[kind])]
+                    # Where little falls together, no more is kept.
+                    if len(held[kind][0][0]) > MERGED_ROWS // 2:
+                        yield from told(kind, *held[kind].pop())
+    for kind, tables in held.items():
+        if tables:
+            yield from told(kind, *_added(tables))
 
 
 class Fitted:
@@ -292,6 +320,7 @@ def _answered(counts: DataFrame, asked: DataFrame, fitted: Fitted) -> DataFrame:
 def fit(training: DataFrame) -> tuple[Fitted, DataFrame]:
     """The fitted model, and the counts of all training runs and words (kind, key, count)."""
     spark = training.sparkSession
+    light_batches(spark)
     path = fresh_path(spark, "ppm")
     each = training.select("text").mapInArrow(_count, "kind int, key long, count long")
     each.groupBy("kind", "key").agg(F.sum("count").alias("count")).write.parquet(path)
@@ -355,6 +384,7 @@ def _score_slice(fitted: Fitted, w: words.Words) -> tuple[np.ndarray, ...]:
 def score(docs: DataFrame, fitted: Fitted, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; no rows
     for no documents."""
+    light_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
     doc = f"struct<doc_id: {docs.schema['doc_id'].dataType.simpleString()}, n_tokens: long, hot_n: long, hot_sum: long, score: long>"
     schema = T.StructType.fromDDL(f"kind int, row long, key long, n long, doc {doc}")
@@ -372,8 +402,10 @@ def score(docs: DataFrame, fitted: Fitted, counts: DataFrame) -> DataFrame:
                 name = (part << 36) + seen + np.arange(n)
                 seen += n
                 for kind, (row, key, times) in ((_ASK_RUN, of_runs), (_ASK_WORD, of_words)):
-                    columns = [np.full(len(row), kind, np.int32), name[row], key.view(np.int64), times.astype(np.int64)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(row), arrow.field("doc").type)], schema=arrow)
+                    for at in range(0, len(row), OUT_ROWS):
+                        part_of = slice(at, at + OUT_ROWS)
+                        columns = [np.full(len(row[part_of]), kind, np.int32), name[row[part_of]], key[part_of].view(np.int64), times[part_of].astype(np.int64)]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(row[part_of]), arrow.field("doc").type)], schema=arrow)
                 # A row of its own for each document.
                 own = [batch.column(0).slice(a, n).cast(fields[0].type), *(pa.array(x.astype(np.int64)) for x in (w.counts() + 1, hot_n, hot_sum, score_))]
                 columns = [np.full(n, _DOC, np.int32), name, words.mix(name.astype(np.uint64)).view(np.int64), np.ones(n, np.int64)]

@@ -12,6 +12,7 @@ import random
 import re
 import struct
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -382,6 +383,36 @@ def test_scores(spark):
     assert ppm.score(docs, nothing, none).count() == len(texts)
 
 
+def test_counts_and_scores_of_many_texts_take_little_memory():
+    rng = np.random.default_rng(3)
+    letters = rng.choice(np.frombuffer(b"etaoins hrdlu cm", np.uint8), (3000, 2000))
+    column = pa.array([x.tobytes().decode() for x in letters])
+    w = next(words.batches_of_words(column.slice(0, 400)))[2]
+    hot = ppm.counted(ppm.runs(*ppm.normal(w), ppm.ORDER))[0]
+    fitted = ppm.Fitted([], np.zeros(0, np.uint64), np.zeros(0), 1, 1, 1, 1)
+    fitted.runs, fitted.run_code = hot, np.zeros(len(hot), np.int64)
+    data, offsets = words.utf8(column)
+    batch = pa.RecordBatch.from_arrays([column], ["text"])
+    tracemalloc.start()
+    try:
+        largest = max(b.num_rows for b in ppm._count(iter([batch])))
+        for a, b in words.slices(offsets, ppm.SLICE_BYTES):
+            ppm._score_slice(fitted, words.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 200e6 and largest <= ppm.OUT_ROWS
+    # Added up, they are the counts of all texts, and fewer than the slices' own.
+    got = list(ppm._count(iter([batch])))
+    kind, key, n = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in range(3))
+    parts = [w for _, _, w in words.batches_of_words(column)]
+    for k, slices in ((ppm._RUN, [ppm.runs(*ppm.normal(w), ppm.ORDER) for w in parts]), (ppm._WORD, [w.hashes() for w in parts])):
+        want, times = np.unique(np.concatenate(slices), return_counts=True)
+        keys, place = np.unique(key[kind == k].view(np.uint64), return_inverse=True)
+        assert np.array_equal(keys, want) and np.array_equal(np.bincount(place, weights=n[kind == k]), times)
+        assert (kind == k).sum() < sum(len(np.unique(x)) for x in slices)
+
+
 @pytest.mark.parametrize("share", [ppm.HOT_SHARE / 10, 1e-2])
 def test_scores_prune_no_run(spark, monkeypatch, share):
     # Over 12 MB, so that a run seen once is less than 1e-7 of the bytes.
