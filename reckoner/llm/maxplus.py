@@ -61,6 +61,9 @@ CHUNK_CHARS = 1 << 15
 FAN = 32
 CACHE_WORDS = 100_000
 CACHE_PAIRS = 300_000
+#: Texts whose different words are looked up together, and units that one pass solves.
+SLICE_BYTES = 2 << 20
+PASS_UNITS = 1 << 14
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+")
 _BORDER = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 _NONE = -np.inf
@@ -92,16 +95,19 @@ class Pieces:
         self.automaton = ahocorasick.Automaton()
         self.after: list[dict[int, bool]] = []
         self.n_pairs = 0
-        for p, i in self.number.items():
-            self.after.append({})
-            self.automaton.add_word(p, (i, len(p), self.after[-1]))
-        self.automaton.make_automaton()
-        self.made: dict[str, bool] = {}
         #: Numbers behind those of the pieces: an uncovered character, and none.
         self.uncovered = max(self.number.values(), default=0) + 1
-        #: A character that no piece has.
+        #: A character that no piece has. The automaton looks through branches in the order they
+        #: came, so with this one first a mark doesn't cost a look at all letters.
         used = set().union(*scores) if scores else set()
         self.mark = next(c for c in map(chr, range(1, 0x110000)) if c not in used)
+        for p, i in [(self.mark, self.uncovered), *self.number.items()]:
+            self.after.append({})
+            self.automaton.add_word(p, (i, len(p), self.after[-1]))
+        self.automaton.make_automaton()
+        self.made: dict[str, bool] = {}
+        #: Parts a text at characters that no piece has, and gives these too.
+        self.foreign = re.compile(f"([^{re.escape(''.join(sorted(used)))}])" if used else r"([\s\S])")
 
     def _merge(self, text: str) -> list[str]:
         """What merges leave of a short text: the best-scored pair first, then the leftmost."""
@@ -256,6 +262,36 @@ class Pieces:
         cuts = [0, *(4 * np.searchsorted(path, stop, "right")).tolist()]
         return [raw[a:b] for a, b in itertools.pairwise(cuts)]
 
+    def _solve_all(self, units: list[str]) -> dict[str, bytes]:
+        """``_solve`` of different units.
+
+        Merges don't reach over a character that no piece has, so in a byte-pair model what
+        stands between such is solved like a unit.
+        """
+        easy, parted = [], {}
+        if self.merged and not self.crosses:
+            covers = self.letters.issuperset
+            for u in units:
+                if covers(u):
+                    easy.append(u)
+                elif all(map(covers, (parts := self.foreign.split(u))[::2])):
+                    parted[u] = parts
+
+        def passed(units: list[str]) -> dict[str, bytes]:
+            passes = (units[at : at + PASS_UNITS] for at in range(0, len(units), PASS_UNITS))
+            return {u: x for part in passes for u, x in zip(part, self._solve_merged(part), strict=True)}
+
+        found = passed(easy)
+        if parted:
+            of = passed(list({x for parts in parted.values() for x in parts[::2] if x and x not in found})) | {"": b""}
+            for x in {x for parts in parted.values() for x in parts[1::2]}:
+                of[x] = np.array([self.byte_ids[b] for b in x.encode()], np.int32).tobytes()
+            for u, parts in parted.items():
+                found[u] = b"".join([of[x] if x in of else found[x] for x in parts])
+        if len(found) < len(units):
+            found |= {u: self._solve(u) for u in units if u not in found}
+        return found
+
     def solved(self, units: list[str]) -> list[bytes]:
         """Ids of the best paths of units, 32 bits each."""
         known, older = self.known, self.older
@@ -263,10 +299,7 @@ class Pieces:
         lacking = [k for k, x in enumerate(out) if x is None]
         if lacking:
             new = [u for k in lacking if (u := units[k]) not in older]
-            easy = [u for u in new if self.merged and not self.crosses and self.letters.issuperset(u)]
-            found = dict(zip(easy, self._solve_merged(easy), strict=True)) if easy else {}
-            if len(easy) < len(new):
-                found |= {u: self._solve(u) for u in new if u not in found}
+            found = self._solve_all(new) if new else {}
             if len(known) > CACHE_WORDS:
                 known, self.older = {}, known
                 self.known = known
@@ -291,19 +324,19 @@ class Pieces:
         else:
             split = pc.split_pattern(spaced, " ")
             code = split.flatten().dictionary_encode()
-            named = code.dictionary.to_pylist()
-            each = self.solved([SPACE + w for w in named])
+            units = pc.binary_join_element_wise(SPACE, code.dictionary, "").to_pylist()
+            each = self.solved(units)
             word = code.indices.to_numpy(zero_copy_only=False)
             last = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)) - 1
             # Empty words are spaces more in front of the next word, or at the end of a text.
-            closes = word != (named.index("") if "" in named else -1)
+            closes = word != pc.index(code.dictionary, "").as_py()
             closes[last] = True
             at = np.flatnonzero(closes)
             more = np.diff(at, prepend=-1) - 1
             unit, wide = word[at].astype(np.int64), np.flatnonzero(more)
-            different, place = np.unique(more[wide] * max(1, len(named)) + unit[wide], return_inverse=True)
-            each += self.solved([SPACE * (1 + k // len(named)) + named[k % len(named)] for k in different.tolist()])
-            unit[wide] = len(named) + place
+            different, place = np.unique(more[wide] * max(1, len(units)) + unit[wide], return_inverse=True)
+            each += self.solved([SPACE * (k // len(units)) + units[k % len(units)] for k in different.tolist()])
+            unit[wide] = len(units) + place
             ends = np.searchsorted(at, last) + 1
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         flat = np.frombuffer(b"".join(each), np.int32)
@@ -473,7 +506,7 @@ def _short(docs: DataFrame, path: str, verify: bool, keep: list[str]) -> DataFra
             column = pc.fill_null(column, "")
             _, offsets = words.utf8(column)
             every, counts, same = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], []
-            for a, b in words.slices(offsets):
+            for a, b in words.slices(offsets, SLICE_BYTES):
                 rows = column.slice(a, b - a)
                 ids, n = pieces.ids(rows)
                 every.append(ids)

@@ -351,6 +351,24 @@ def plain_code(training, text_):
     return total
 
 
+def test_units_with_foreign_characters_are_solved_in_one_pass(monkeypatch):
+    x = maxplus.Pieces(*(lambda y: (y.scores, y.byte_ids, y.unknown, y.merged))(maxplus.load(PIECES)))
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = ["of.\nThe end", "\n", "\n\nThe\n", " a\tb ", f"one{x.mark}two {x.mark}{x.mark}", "plain words", "", "new\nline new\nline  \n x", "\U0001f9ff\nword"]
+
+    def alone(*_):
+        raise AssertionError("solved on its own")
+
+    monkeypatch.setattr(x, "_solve", alone)
+    monkeypatch.setattr(maxplus, "PASS_UNITS", 2, raising=False)
+    ids, n = x.ids(pa.array(texts))
+    assert [part.tolist() for part in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(t) for t in texts]
+    monkeypatch.undo()
+    for t in filter(None, texts):
+        w = maxplus.SPACE + t.replace(" ", maxplus.SPACE)
+        assert np.frombuffer(x._solve(w), np.int32).tolist() == library.encode(t)
+
+
 @pytest.mark.parametrize("hot", [1, 2_000_000])
 def test_scores_match_a_plain_model(spark, monkeypatch, hot):
     monkeypatch.setattr(ppm, "HOT_RUNS", hot)
