@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,25 +9,22 @@ from reckoner.functions import scalars as S
 
 
 def leaves(docs: DataFrame, json: str = "json", depth: int = 12) -> DataFrame:
-    """(document_id, path, value, kind) of every leaf of a JSON column.
+    """(document_id, path, value, kind) of every leaf of a JSON column; empty objects and arrays are leaves.
 
-    A recursive query over variants; empty objects and arrays are leaves.
+    Each level of the variants is a step of the same task, so any number of documents streams
+    through (a recursive query has a limit of rows). A text nested deeper than ``depth`` is an error.
     """
-    spark = docs.sparkSession
-    view = f"_leaf_source_{uuid.uuid4().hex}"
-    docs.select("document_id", F.col(json).alias("j")).createOrReplaceTempView(view)
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(document_id, path, v, level) MAX RECURSION LEVEL {depth} AS (
-          SELECT document_id, '$', try_parse_json(j), 0 FROM {view}
-          UNION ALL
-          SELECT w.document_id, CASE WHEN e.key IS NULL THEN concat(w.path, '[', e.pos, ']') ELSE concat(w.path, '.', e.key) END, e.value, w.level + 1
-          FROM walk w, LATERAL variant_explode(w.v) e
-        )
-        SELECT document_id, path, CAST(v AS STRING) AS value, schema_of_variant(v) AS kind FROM walk
-        WHERE v IS NOT NULL AND (CAST(v AS STRING) IN ('[]', '{{}}') OR schema_of_variant(v) NOT LIKE 'OBJECT<%' AND schema_of_variant(v) NOT LIKE 'ARRAY<%')
-        """
-    )
+    tvf = docs.sparkSession.tvf
+    v, inner = F.col("v"), F.col("_inner")
+    holds = F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)<") & ~v.cast("string").isin("[]", "{}")
+    here = docs.select("document_id", F.lit("$").alias("path"), F.try_parse_json(json).alias("v")).where("v is not null").withColumn("_inner", holds)
+    step = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("path", F.lit("."), "key"))
+    for _ in range(depth):
+        met = here.withColumn("_open", F.when(inner, v)).lateralJoin(tvf.variant_explode_outer(F.col("_open").outer()))
+        here = met.select("document_id", F.when(inner, step).otherwise(F.col("path")).alias("path"), F.when(inner, F.col("value")).otherwise(v).alias("v"), "_inner")
+        here = here.withColumn("_inner", inner & holds)
+    deep = F.raise_error(F.concat(F.lit(f"nested deeper than {depth} levels: "), "path")).cast("string")
+    return here.select("document_id", F.when(inner, deep).otherwise(F.col("path")).alias("path"), v.cast("string").alias("value"), F.schema_of_variant(v).alias("kind"))
 
 
 _NUMBERS = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
