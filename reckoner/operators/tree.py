@@ -3,7 +3,10 @@
 A leaf has document_id, pos (its order in the text), steps (".key" and "[index]" from the
 root down), path (root and steps in one text), kind and value. Kinds are null, boolean,
 number, string, and array and object for empty ones. Numbers keep their text: 1.10 stays
-1.10. Neither depth nor width is limited, as nothing here is recursive.
+1.10. Neither depth nor width is limited: texts too deep for recursion are read token by token.
+
+What is asked of whole documents (``digests``, ``templates``, ``meta_counts``) is found where a text is
+read, so no row for each leaf leaves the task.
 
 Defined results: a text that isn't JSON has no leaves, nor has a null one; of a key that
 comes twice both leaves stay; extra columns aren't read; no documents give no rows.
@@ -11,9 +14,10 @@ comes twice both leaves stay; extra columns aren't read; no documents give no ro
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,15 +31,70 @@ _LEAF = "pos long, path string, steps array<string>, kind string, value string"
 Leaf = tuple[list[str], str, str | None]
 
 
-def _text(token: str) -> str:
-    text = json.loads(token)
-    # Half a surrogate pair has no UTF-8.
-    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if "\\u" in token else text
+class _Pairs(list):
+    """The members of an object, a key that comes twice included."""
+
+
+class _Number(str):
+    """A number's text."""
+
+    __slots__ = ()
+
+
+def _no_number(word: str) -> None:
+    raise ValueError(word)
+
+
+_DECODER = json.JSONDecoder(object_pairs_hook=_Pairs, parse_float=_Number, parse_int=_Number, parse_constant=_no_number)
+_WORDS = {True: ("boolean", "true"), False: ("boolean", "false"), None: ("null", None)}
+
+
+def _whole(text: str) -> str:
+    """Half a surrogate pair has no UTF-8."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def flat(text: str) -> list[Leaf] | None:
     """(steps, kind, value) of every leaf of a JSON text; None if it isn't one."""
     out: list[Leaf] = []
+    said = _whole if "\\u" in text else str
+
+    def walk(node: object, steps: list[str]) -> None:
+        kind = type(node)
+        if kind is str:
+            out.append((steps, "string", said(node)))
+        elif kind is _Number:
+            out.append((steps, "number", str(node)))
+        elif kind is _Pairs:
+            if not node:
+                out.append((steps, "object", "{}"))
+            for k, x in node:
+                walk(x, [*steps, "." + said(k)])
+        elif kind is list:
+            if not node:
+                out.append((steps, "array", "[]"))
+            for k, x in enumerate(node):
+                walk(x, [*steps, f"[{k}]"])
+        else:
+            out.append((steps, *_WORDS[node]))
+
+    try:
+        walk(_DECODER.decode(text), [])
+    except RecursionError:
+        return _flat_by_token(text)
+    except ValueError:
+        return None
+    return out
+
+
+def _text(token: str) -> str:
+    text = json.loads(token)
+    return _whole(text) if "\\u" in token else text
+
+
+def _flat_by_token(text: str) -> list[Leaf] | None:
+    """The same of texts of any depth."""
+    out: list[Leaf] = []
     steps: list[str] = []
     #: Of each open container: how many members it has before this one, or None for objects.
     open_: list[int | None] = []
@@ -138,6 +197,133 @@ def leaves(docs: DataFrame, json: str = "json", root: str = "$", key: str = "doc
     return docs.select(key, json).mapInArrow(run, out)
 
 
+def _by_document(docs: DataFrame, json: str, key: str, fields: str, of: Callable[[list[Leaf]], tuple]) -> DataFrame:
+    """``key`` and ``fields``: what ``of`` gives for the leaves of each document that has some."""
+    out = T.StructType([docs.schema[key], *T.StructType.fromDDL(fields)])
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *of(have)) for i, text in enumerate(batch.column(1).to_pylist()) if text and (have := flat(text))]
+            columns = list(zip(*found, strict=True)) or [[]] * len(arrow)
+            ids = batch.column(0).take(pa.array(columns[0], pa.int64())).cast(arrow.field(0).type)
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, f.type) for c, f in zip(columns[1:], list(arrow)[1:], strict=True)]], schema=arrow)
+
+    return docs.select(key, json).mapInArrow(run, out)
+
+
+def digests(docs: DataFrame, json: str = "json", root: str = "$", key: str = "document_id") -> DataFrame:
+    """``key``, n_leaves and leaves_md5: of the lines path=kind:value in the order of paths, those of nulls left out."""
+
+    def of(have: list[Leaf]) -> tuple[int, str]:
+        said = sorted((root + "".join(steps), f"{kind}:{value}") for steps, kind, value in have if value is not None)
+        return len(have), hashlib.md5("\n".join(f"{path}={x}" for path, x in said).encode()).hexdigest()
+
+    return _by_document(docs, json, key, "n_leaves long, leaves_md5 string", of)
+
+
+_CACHED = 1 << 16
+
+
+def _remembered(f: Callable) -> Callable:
+    """``f`` with its results for the arguments met so far; all are dropped when they are too many."""
+    had: dict = {}
+
+    def get(x: object) -> object:
+        if (y := had.get(x)) is None:
+            if len(had) >= _CACHED:
+                had.clear()
+            y = had[x] = f(x)
+        return y
+
+    return get
+
+
+def templates(docs: DataFrame, json: str = "json", root: str = "$") -> DataFrame:
+    """template (a path with [] for each index), kind, n, and the least and most value, over all leaves."""
+    out = T.StructType.fromDDL("template string, kind string, n long, least string, most string")
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        template = _remembered(lambda steps: re.sub(r"\[[0-9]+\]", "[]", root + "".join(steps)))
+        for batch in batches:
+            met: dict[tuple[str, str], list] = {}
+            for text in batch.column(0).to_pylist():
+                for steps, kind, value in flat(text) or [] if text else []:
+                    if (x := met.get(at := (template(tuple(steps)), kind))) is None:
+                        met[at] = [1, value, value]
+                        continue
+                    x[0] += 1
+                    if value is not None:
+                        if x[1] is None or value < x[1]:
+                            x[1] = value
+                        if x[2] is None or value > x[2]:
+                            x[2] = value
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*[(*at, *x) for at, x in met.items()], strict=True) if met else [[]] * 5, arrow, strict=True)], schema=arrow)
+
+    found = docs.select(json).mapInArrow(run, out)
+    return found.groupBy("template", "kind").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def _role(steps: tuple[str, ...]) -> tuple[tuple[str, ...], str, int | None]:
+    """Where the leaf of a report stands, what this part of it is ("", "value", "confidence", "evidence", "box", "meta"), and the evidence's number."""
+    if "._meta" not in steps:
+        return (steps[:-1], "value", None) if steps and steps[-1] == ".value" else (steps, "", None)
+    cut = steps.index("._meta")
+    part = "".join(steps[cut + 1 :])
+    if found := re.match(r"\.evidence\[([0-9]+)\](\.bboxes)?", part):
+        return steps[:cut], "box" if found[2] else "evidence", int(found[1])
+    return steps[:cut], "confidence" if part == ".confidence" else "meta", None
+
+
+def meta_counts(docs: DataFrame, json: str = "json", key: str = "document_id") -> DataFrame:
+    """Of each document: n_leaves (written ones), n_wrapped, n_high, n_medium and n_low of these, n_evidence and n_grounded.
+
+    The counts of ``with_meta`` without its rows.
+    """
+    role_of = _remembered(_role)
+
+    def of(have: list[Leaf]) -> tuple[int, ...]:
+        # Of each place: whether it is wrapped, its value's and its own (kind, value), confidence, evidence, and that with boxes.
+        met: dict[str, list] = {}
+        for steps, kind, value in have:
+            base, role, n = role_of(tuple(steps))
+            x = met.setdefault("".join(base), [False, None, None, None, None, None])
+            if not role:
+                x[2] = max(x[2] or (kind, value), (kind, value), key=_rank)
+                continue
+            x[0] = True
+            # A value below metadata counts as one, too.
+            if steps[-1] == ".value":
+                x[1] = max(x[1] or (kind, value), (kind, value), key=_rank)
+            if role == "confidence":
+                x[3] = value if x[3] is None or value is not None and value > x[3] else x[3]
+            elif n is not None:
+                x[4] = (x[4] or set()) | {n}
+                if role == "box" and kind not in ("null", "array"):
+                    x[5] = (x[5] or set()) | {n}
+        levels, rest = {"high": 0, "medium": 0, "low": 0}, [0, 0, 0, 0]
+        for wrapped, inner, bare, level, evidence, boxed in met.values():
+            leaf = inner or bare
+            if leaf is None or wrapped and leaf[0] == "null":
+                continue
+            rest[0] += 1
+            if wrapped:
+                rest[1] += 1
+                rest[2] += len(evidence or ())
+                rest[3] += len(boxed or ())
+                if (level := level or "low") in levels:
+                    levels[level] += 1
+        return rest[0], rest[1], *levels.values(), rest[2], rest[3]
+
+    return _by_document(docs, json, key, "n_leaves long, n_wrapped long, n_high long, n_medium long, n_low long, n_evidence long, n_grounded long", of)
+
+
+def _rank(leaf: tuple[str, str | None]) -> tuple[str, bool, str]:
+    """The order of (kind, value), null first."""
+    return leaf[0], leaf[1] is not None, leaf[1] or ""
+
+
 def _place() -> Column:
     """What puts steps into an order in which members of a container stand together, by index."""
     return F.transform("steps", lambda s: F.when(F.startswith(s, F.lit("[")), F.concat(F.lit("["), F.lpad(F.regexp_extract(s, r"^\[([0-9]+)\]$", 1), 12, "0"))).otherwise(s))

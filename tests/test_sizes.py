@@ -8,9 +8,24 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from reckoner.operators import quality
+from reckoner.operators import quality, tree
+from reckoner.plans import trees
 from reckoner.sources import views
 
+ODD = [
+    {"x": {"value": 1.10, "_meta": {"confidence": "high", "evidence": [{"kind": "document", "bboxes": [[0.1, 1.0]]}, {"kind": "k", "bboxes": None}, {"bboxes": []}]}}, "y": {"value": "t", "_meta": {"confidence": "medium", "needs_review": True}}},
+    {"z": {"value": None, "_meta": {"confidence": "high"}}, "w": {"value": 1}, "bare": "b", "deep": [{"v": {"value": False, "_meta": {"confidence": "low", "evidence": []}}}, {"v": {"value": 2, "_meta": {}}}]},
+    {"value": {"_meta": {"value": 3}}, "a": {"_meta": {"confidence": None}}, "n": {"value": {"value": 5}}},
+    {},
+    [],
+    {"only": {"value": None, "_meta": {"confidence": "high"}}},
+    {"k[3]": "é\n", "b.c": [[], {}, None, "", -2e10]},
+]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
 
 def test_rates_are_rounded_as_their_sql_rounds_them(spark, tmp_path):
     prices = [35155.0, 411185.0, 439385.0, 148975.0, 141925.0, 12345.0, 99999.99]
@@ -37,3 +52,39 @@ def test_leaves_of_odd_texts(spark):
     }
     with pytest.raises(Exception, match="nested deeper"):
         quality.leaves(spark.createDataFrame([("d", "[" * 13 + "1" + "]" * 13)], "document_id string, json string")).collect()
+
+
+def odd_documents(spark):
+    texts = [json.dumps(x, ensure_ascii=k % 2 == 0) for k, x in enumerate(ODD)] + ['{"a": 1.10, "a": 2}', '{"s": "\\ud83d x \\ud83d\\ude00"}', "[1,]", None, "NaN", '{"n": -Infinity}', "[" * 3000 + "1.10" + "]" * 3000]
+    return spark.createDataFrame(list(enumerate(texts)), "document_id long, json string").repartition(3)
+
+
+def test_documents_are_measured_where_they_are_read(spark):
+    docs = odd_documents(spark)
+    leaves = tree.leaves(docs, root="r").cache()
+    said = F.struct("path", F.concat("path", F.lit("="), "kind", F.lit(":"), "value").alias("said"))
+    old = leaves.groupBy("document_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(said)).alias("all")).select("document_id", "n", F.md5(F.array_join("all.said", "\n")))
+    assert sorted(map(tuple, tree.digests(docs, root="r").collect())) == sorted(map(tuple, old.collect()))
+    template = F.regexp_replace("path", r"\[[0-9]+\]", "[]")
+    old = leaves.groupBy(template, "kind").agg(F.count("*"), F.min("value"), F.max("value"))
+    assert sorted(map(str, map(tuple, tree.templates(docs, root="r").collect()))) == sorted(map(str, map(tuple, old.collect())))
+    meta = tree.with_meta(leaves).cache()
+    got = {x["document_id"]: x for x in tree.meta_counts(docs).collect()}
+    levels = {x["document_id"]: tuple(x)[1:] for x in tree.written_confidences(meta).collect()}
+    assert {k: (x["n_high"], x["n_medium"], x["n_low"]) for k, x in got.items() if x["n_wrapped"]} == levels
+    assert {k: (x["n_evidence"], x["n_grounded"]) for k, x in got.items() if x["n_leaves"]} == {x["document_id"]: tuple(x)[1:] for x in tree.grounded_evidence(meta).collect()}
+    assert levels[0] == (1, 1, 0) and got[0]["n_evidence"] == 4 - 1 and got[5]["n_leaves"] == 0
+    assert leaves.where("document_id = 13").first()["value"] == "1.10" and leaves.where("document_id in (9, 10, 11, 12)").count() == 0
+
+
+@pytest.mark.parametrize("name", ["S23", "L01_nested", "A13_all", "A22"])
+def test_leaves_of_reports_are_not_shuffled(spark, name):
+    plan = plan_of(trees.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    # Lines once by report, reports at most once, and the counts of a task's templates.
+    assert 1 <= plan.count("Exchange hashpartitioning") <= 3 and "Generate" not in plan
+
+
+def test_only_reports_that_are_asked_for_are_nested(spark):
+    asked = spark.createDataFrame([(3,), (5,), (10**9,)], "report_id long")
+    every = {x["report_id"]: x["json"] for x in trees.nested_reports(spark, "/root/testdata/sf0.001").where("report_id in (3, 5)").collect()}
+    assert {x["report_id"]: x["json"] for x in trees.nested_reports(spark, "/root/testdata/sf0.001", asked).collect()} == every and len(every) == 2
