@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import PurePosixPath
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from reckoner.functions import scalars as S
 
@@ -70,31 +74,59 @@ def with_collision_suffix(files: DataFrame) -> DataFrame:
     """``files`` (upload_id, seq, name) with unique_name, in the order of seq: a name that
     is taken gets the first free number from 2 on (name_2.pdf).
 
-    Each name depends on all before it, so uploads that repeat a name go through Python,
-    one upload (its files' names) at a time; all others stay in the JVM. Rows of equal
-    seq are taken by name; a null name stays null.
+    Each name depends on all before it. The files of an upload are gathered into one row, without a
+    shuffle where they are together already, and uploads go through Python in Arrow batches, a
+    list of names at a time. Rows of equal seq are taken by name; a null name stays null; files
+    without an upload keep their names.
     """
-    key = F.col("upload_id")
-    repeats = files.where("name is not null").groupBy("upload_id", "name").count().where("count > 1").select("upload_id").distinct()
-    made = files.join(repeats, "upload_id", "left_semi").groupBy(key).applyInPandas(_numbered, T.StructType([*files.schema.fields, T.StructField("unique_name", T.StringType())]))
-    return files.join(repeats, "upload_id", "left_anti").withColumn("unique_name", F.col("name")).unionByName(made)
-
-
-def _numbered(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["seq", "name"])
-    seen, counters, out = set(), {}, []
-    for name in rows["name"]:
-        if name is None or name not in seen:
-            out.append(name)
-        else:
+    rest = [c for c in files.columns if c != "upload_id"]
+    gathered = files.groupBy("upload_id").agg(F.collect_list(F.struct(*rest)).alias("_files"))
+    out = T.StructType([*files.schema.fields, T.StructField("unique_name", T.StringType())])
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Few uploads at a time, as one may have many files.
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ids, lists = part.column(0), part.column(1)
+                columns = dict(zip(rest, lists.flatten().flatten(), strict=True)) | {"upload_id": ids.take(pc.list_parent_indices(lists))}
+                seqs, names, unique, begin = columns["seq"].to_pylist(), columns["name"].to_pylist(), [], 0
+                for upload, n in zip(ids.to_pylist(), pc.list_value_length(lists).to_pylist(), strict=True):
+                    unique += names[begin : begin + n] if upload is None else _numbered(seqs[begin : begin + n], names[begin : begin + n])
+                    begin += n
+                yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in list(arrow)[:-1]] + [pa.array(unique, pa.string())], schema=arrow)
+
+    return gathered.mapInArrow(run, out)
+
+
+@lru_cache(1 << 16)
+def _cut(name: str) -> tuple[str, str]:
+    path = PurePosixPath(name)
+    return path.stem, path.suffix
+
+
+def _numbered(seqs: list, names: list[str | None]) -> list[str | None]:
+    seen: set[str | None] = set(names)
+    if len(seen) == len(names):
+        return names
+    seen.clear()
+    counters: dict[str, int] = {}
+    out: list[str | None] = [None] * len(names)
+    for i in sorted(range(len(names)), key=lambda i: (seqs[i] is None, 0 if seqs[i] is None else seqs[i], names[i] or "")):
+        name = names[i]
+        if name is None:
+            continue
+        if name in seen:
             k = counters.get(name, 2)
-            path = PurePosixPath(name)
-            while (made := f"{path.stem}_{k}{path.suffix}") in seen:
+            stem, suffix = _cut(name)
+            while (made := f"{stem}_{k}{suffix}") in seen:
                 k += 1
             counters[name] = k + 1
-            out.append(made)
-        seen.add(out[-1])
-    return rows.assign(unique_name=out)
+            name = made
+        out[i] = name
+        seen.add(name)
+    return out
 
 
 # Names of users that belong to tests.

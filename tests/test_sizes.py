@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from reckoner.operators import quality, tree
+from reckoner.operators import quality, store, tree
 from reckoner.plans import trees
 from reckoner.sources import views
 
@@ -88,3 +88,16 @@ def test_only_reports_that_are_asked_for_are_nested(spark):
     asked = spark.createDataFrame([(3,), (5,), (10**9,)], "report_id long")
     every = {x["report_id"]: x["json"] for x in trees.nested_reports(spark, "/root/testdata/sf0.001").where("report_id in (3, 5)").collect()}
     assert {x["report_id"]: x["json"] for x in trees.nested_reports(spark, "/root/testdata/sf0.001", asked).collect()} == every and len(every) == 2
+
+
+def test_names_of_many_uploads(spark):
+    names = ["a.png", "a_2.png", "a.png", "a_2_2.png", "a.png", "a_2.png"]
+    files = spark.range(3000).select((F.col("id") % 500).alias("n"), F.col("id").alias("upload_id"), F.posexplode(F.array(*[F.lit(x) for x in names])).alias("seq", "name"))
+    odd = spark.createDataFrame([(1, None, 0, "x"), (2, None, 1, "x"), (3, 9999, 1, None), (4, 9999, 2, None), (5, 9999, None, "b"), (6, 9999, 0, "b")], "n long, upload_id long, seq int, name string")
+    found = store.with_collision_suffix(files.unionByName(odd).repartition(7))
+    want = ["a.png", "a_2.png", "a_3.png", "a_2_2.png", "a_4.png", "a_2_3.png"]
+    every = found.where("upload_id < 3000").groupBy("upload_id").agg(F.array_sort(F.collect_list(F.struct("seq", "name", "unique_name", "n"))).alias("x")).collect()
+    assert len(every) == 3000 and all([tuple(y) for y in r["x"]] == [(k, names[k], want[k], r["upload_id"] % 500) for k in range(6)] for r in every)
+    assert sorted((x["n"], x["unique_name"]) for x in found.where("upload_id is null or upload_id = 9999").collect()) == [(1, "x"), (2, "x"), (3, None), (4, None), (5, "b_2"), (6, "b")]
+    # One row at a time for each upload was a call for each; now a task's uploads share a call.
+    assert "FlatMapGroups" not in plan_of(found) and "MapInArrow" in plan_of(found)
