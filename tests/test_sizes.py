@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import random
 import tarfile
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from reckoner.operators import quality, store, tree
+from reckoner.operators import grounding, quality, store, tree
 from reckoner.plans import trees
 from reckoner.sources import portal, views
 
@@ -138,3 +139,19 @@ def test_archives_of_many_none_and_failed_reports(spark, tmp_path):
     assert not (tmp_path / "bad").exists() or not list((tmp_path / "bad").iterdir())
     portal.write_archives(rows.limit(0), reports.limit(0), f"file://{tmp_path}/none", "p", ["A"], "line")
     assert portal.read_archives(spark, f"file://{tmp_path}/none", "p", ["a"]).count() == 0
+
+
+def test_documents_with_their_tokens_are_grounded_alike(spark):
+    r = random.Random(7)
+    word = lambda: r.choice(["fare", "paid", "in", "new-york/city", "$42.50", " ", "$", "aaaa", "hall", "é"])
+    tokens = [(k, p, i, word(), r.choice([[float(i), 0.0, i + 1.0, 1.0], [float(i), 0.0, i + 1.0, 1.0], None])) for k in range(30) for p in (1, 2, 5) for i in range(r.randint(0, 12))]
+    evidence = [(f"{k}/{n}", k, r.choice([1, 2, 5, 9, None]), r.choice([None, "$", " ".join(word() for _ in range(r.randint(1, 5)))]), r.choice([None, [], [1, 2], [3, 2, 99], [0]])) for k in range(30) for n in range(6)]
+    t = spark.createDataFrame(tokens, "doc_id long, page int, pos int, text string, box array<double>")
+    e = spark.createDataFrame(evidence, "evidence_id string, doc_id long, page int, quote string, token_ids array<long>")
+    old = grounding.ground(e, grounding.number_tokens(t)).collect()
+    gathered = lambda df, name: df.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "doc_id"])).alias(name))
+    docs = gathered(e, "evidence").join(gathered(t, "tokens"), "doc_id", "left").withColumn("tokens", F.coalesce("tokens", F.array()))
+    new = grounding.ground_documents(docs).collect()
+    assert sorted(map(str, new)) == sorted(map(str, old)) and {x["how"] for x in new} == {"tokens", "search", None} and {x["level"] for x in new} >= {0, 2, None}
+    plan = plan_of(trees.QUERIES["G01_levels"](spark, "/root/testdata/sf0.001"))
+    assert "Exchange" not in plan and "Join" not in plan
